@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 #: Odd multipliers of the two independent polynomial hashes (arbitrary odd constants).
 MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -234,6 +234,12 @@ def drop(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker is handed at once; texts of a thousand rows suffice to work in arrays."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def parts(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

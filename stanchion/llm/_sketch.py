@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from ._base import U64, pack_sorted, parts, unpack_sorted
 
 DEPTH, ROW_BITS, BLOCK_BITS = 2, 28, 22
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 _MULT = (0x8CB92BA72F3D8DD7, 0xD2B74407B1CE6E93)
 SCHEMA = pa.schema([("block", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
 

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _sketch
-from ._base import MULT, U64, WHITE, chunks, cuts, ids_of, pack, pack_sorted, parts, strings, unpack, unpack_sorted, windows, words_of, xxhash64
+from ._base import MULT, U64, WHITE, chunks, cuts, ids_of, pack, pack_sorted, parts, small_batches, strings, unpack, unpack_sorted, windows, words_of, xxhash64
 
 WINDOW = 20
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 _WORD = ~WHITE
 _HASHED = "bucket int, kind int, h1 binary, h2 binary, doc binary, start binary"
 
@@ -197,6 +197,7 @@ def _applied(size: int):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: each row's words outside windows that also start earlier, joined by one space."""
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = parts(spark)
     n_groups = 8 * n
