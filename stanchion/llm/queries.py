@@ -42,6 +42,16 @@ def op5_token_output(spark: SparkSession, sf_dir: str, tokenizer_path: str | Non
     return read_tokens(spark, out, with_ids=False)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    from .pieces import round_trip
+
+    if model_path is None:
+        import public_tokenizers
+
+        model_path = public_tokenizers.path("piece_bpe_32k.model")
+    return round_trip(_table(spark, sf_dir, "documents"), model_path)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
