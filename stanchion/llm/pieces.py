@@ -156,8 +156,8 @@ def automaton(path: str) -> Automaton:
                 if MARK in text[1:] and text.strip(MARK):
                     raise ValueError(f"a piece with a space inside: {text}")
                 pieces.append((text.encode(), sp.get_score(i), i))
-        byte_ids[_LITERAL] = byte_ids[_MARK]
         _LIVE[path] = Automaton(pieces, byte_ids)
+        _LIVE[path].byte_ids[_LITERAL] = byte_ids[_MARK]
     return _LIVE[path]
 
 
