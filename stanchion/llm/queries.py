@@ -16,6 +16,13 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import allot
+
+    out = allot(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", F.round("weight", 6).alias("weight"), "copies")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import held_out, score, train
 
