@@ -1,7 +1,73 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+Not here, and tested against brute force or round trips instead: license_scan's own notices,
+toxicity, token output, SentencePiece, vector search (approximate) and the pipeline.
+"""
 
 from __future__ import annotations
 
+_MIX = """
+WITH RECURSIVE n AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n,
+         md5('mix-doc-' || coalesce(doc_id::VARCHAR, 'null')) AS dh, md5('mix-block-' || coalesce(doc_id::VARCHAR, 'null')) AS bh
+  FROM documents),
+own AS (SELECT source, count(*) AS docs, sum(n)::DOUBLE AS tokens, ceil(sqrt(count(*)))::BIGINT AS blocks FROM n GROUP BY source),
+p AS (SELECT tokens / sum(tokens) OVER () AS p FROM own WHERE tokens > 0),
+ends AS (SELECT sum(-p * ln(p)) AS h1, ln(count(*)) AS h0, max(p) / min(p) AS spread, max(p) AS top FROM p),
+bisect AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0.0::DOUBLE AS lo2, 1.0::DOUBLE AS hi2
+  UNION ALL
+  SELECT i + 1, CASE WHEN up THEN (lo + hi) / 2 ELSE lo END, CASE WHEN up THEN hi ELSE (lo + hi) / 2 END,
+         CASE WHEN up2 THEN (lo2 + hi2) / 2 ELSE lo2 END, CASE WHEN up2 THEN hi2 ELSE (lo2 + hi2) / 2 END
+  FROM (SELECT b.*, (SELECT ln(sum(pow(p, (b.lo + b.hi) / 2))) - (b.lo + b.hi) / 2 / sum(pow(p, (b.lo + b.hi) / 2)) * sum(pow(p, (b.lo + b.hi) / 2) * ln(p)) FROM p)
+                    >= e.h1 + 0.5 * (e.h0 - e.h1) AS up, pow(e.spread, 1 - (b.lo2 + b.hi2) / 2) > 4.0 AS up2
+        FROM bisect b, ends e WHERE b.i < 40)),
+a AS (SELECT greatest(hi, hi2) AS a FROM bisect WHERE i = 40),
+z AS (SELECT any_value(a) AS a, sum(pow(p, a)) AS z FROM p, a),
+w AS (
+  SELECT o.source, o.tokens, o.blocks,
+         CASE WHEN o.tokens > 0 THEN pow(o.tokens / t.total, z.a) / z.z ELSE 0 END AS weight, t.total * z.z * pow(e.top, 1 - z.a) AS budget
+  FROM own o, z, ends e, (SELECT sum(tokens) AS total FROM own) t),
+goal AS (SELECT *, floor(weight * budget + 1e-6)::BIGINT AS goal FROM w),
+told AS (SELECT *, CASE WHEN tokens > 0 THEN floor(goal / tokens)::BIGINT ELSE 1 END AS epochs FROM goal),
+placed AS (
+  SELECT n.*, t.weight, t.epochs, CASE WHEN t.tokens > 0 THEN goal - epochs * tokens ELSE 0 END AS rest,
+         md5('mix-order-' || ((('0x' || substr(bh, 1, 8))::BIGINT % t.blocks)::VARCHAR)) AS block
+  FROM n JOIN told t ON n.source IS NOT DISTINCT FROM t.source),
+upto AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY block, dh RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed)
+SELECT doc_id, source, round(weight, 6) AS weight, epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS copies FROM upto
+"""
+
+_SUBSTRING = """
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+k AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS k FROM s),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM k),
+gone AS (SELECT doc_id, list(DISTINCT i + o.o) AS gone FROM r, (SELECT unnest(range(0, 20)) AS o) o WHERE nth > 1 GROUP BY doc_id),
+j AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN gone USING (doc_id)),
+u AS (SELECT doc_id, len(w) AS n, len(gone) AS m, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE w END) AS word, unnest(CASE WHEN len(w) = 0 THEN [0] ELSE range(1, len(w) + 1) END) AS i FROM j),
+g AS (SELECT doc_id, unnest(gone) AS i, true AS hit FROM j)
+SELECT u.doc_id, any_value(u.n)::BIGINT AS n_words, any_value(u.m)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(u.word, ' ' ORDER BY u.i) FILTER (WHERE g.hit IS NULL AND u.word IS NOT NULL), '')) AS kept_sha256
+FROM u LEFT JOIN g ON u.doc_id = g.doc_id AND u.i = g.i GROUP BY u.doc_id
+"""
+
+_JACCARD = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, sha256(array_to_string(w[i:i + 4], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, a AS c FROM edge UNION SELECT e.b, r.c FROM reach r JOIN edge e ON e.a = r.doc_id),
+low AS (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low.c, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mixing": _MIX, "op8_substring_dedup": _SUBSTRING, "op10_ngram_jaccard_join": _JACCARD}
