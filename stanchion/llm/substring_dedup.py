@@ -200,7 +200,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = parts(spark)
-    n_groups = 8 * n
+    n_groups = n
 
     def keys(batches):
         for batch in batches:
