@@ -18,10 +18,10 @@ Data flow:
  3. block signatures -> buckets count them -> those shared travel back by document group ->
     each document selects -> buckets form candidate pairs (small groups: all pairs; larger
     ones: pairs with a few members, stars);
- 4. pairs pass 256-bit parity sketches (Hamming bound), then exact intersection;
+ 4. pairs pass 1024-bit parity sketches (Hamming bound), then exact intersection;
  5. components by star contraction; members of a large group that the stars left in other
-    components are compared with the whole group, in blocks, by sketch and then exactly, and
-    components are formed again.
+    components are compared with all members of the groups that hang together with theirs, in
+    blocks, by sketch and then exactly, and components are formed again.
 
 Defined results: null or blank text has an empty set and is linked with nothing; rows that
 share an id count as one document; a null id has no component (null) and links to nothing.
@@ -30,6 +30,8 @@ share an id count as one document; a null id has no component (null) and links t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,9 @@ from .components import components
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Up to so many members, a bucket group's pairs are all formed; larger ones go by stars around so many members.
 SMALL, STARS, FLUSH = 24, 4, 1_000_000
+#: Bits of the dense sketches, and the columns that hold them.
+BITS = 1024
+SKETCH = [f"s{i}" for i in range(BITS // 64)]
 _WORD = ~WHITE
 
 
@@ -76,9 +81,9 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return run[bounds[1:]] - run[bounds[:-1]]
 
 
-def bits256(h: np.ndarray) -> np.ndarray:
-    """The dense parity sketch: shingle x flips bit x mod 256; as four signed integers."""
-    odd = np.bincount((h >> U64(7)).astype(np.int64) & 255, minlength=256) & 1
+def dense(h: np.ndarray) -> np.ndarray:
+    """The dense parity sketch: shingle x flips bit x mod BITS; as signed integers."""
+    odd = np.bincount((h >> U64(7)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -91,9 +96,9 @@ def _sets(shingle: int, num: int, den: int, bits):
                 lives = (n > 0) & (den * again >= num * n)
                 k1 = _sums(mix(h ^ U64(0x1B873593)), bounds).view(np.int64)
                 k2 = _sums(mix(h ^ U64(0x85EBCA6B00000001)), bounds).view(np.int64)
-                one = [(h[bounds[i] : bounds[i + 1]].tobytes(), *bits256(h[bounds[i] : bounds[i + 1]]).tolist()) if lives[i] else (None,) * 5 for i in range(len(n))]
+                one = [(h[bounds[i] : bounds[i + 1]].tobytes(), *dense(h[bounds[i] : bounds[i + 1]]).tolist()) if lives[i] else (None,) * (1 + len(SKETCH)) for i in range(len(n))]
                 cols = [batch.column(0).slice(lo, len(n)), pa.array(n), pa.array(k1), pa.array(k2)]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(c, t) for c, t in zip(zip(*one), [pa.binary()] + [pa.int64()] * 4)], ["doc", "n", "k1", "k2", "items", "s0", "s1", "s2", "s3"])
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(c, t) for c, t in zip(zip(*one), [pa.binary()] + [pa.int64()] * len(SKETCH))], ["doc", "n", "k1", "k2", "items", *SKETCH])
 
     return run
 
@@ -335,34 +340,38 @@ def _verified(num: int, den: int):
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """pairs: distinct (a, b)."""
-    side = lambda x: sets.select(F.col("doc").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "items", "s0", "s1", "s2", "s3")))
+    side = lambda x: sets.select(F.col("doc").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "items", *SKETCH)))
     met = pairs.join(side("a"), "a").join(side("b"), "b").filter(_sketches("a", "b", num, den))
     return met.select("a", "b", "items_a", "items_b").mapInArrow(_verified(num, den), "a long, b long")
 
 
 def _sketches(x: str, y: str, num: int, den: int):
-    """Hamming distance of the 256-bit sketches, never more than the sets' difference, within what a link allows."""
-    apart = sum((F.bit_count(F.col(f"s{i}_{x}").bitwiseXOR(F.col(f"s{i}_{y}"))) for i in range(1, 4)), F.bit_count(F.col(f"s0_{x}").bitwiseXOR(F.col(f"s0_{y}"))))
+    """Hamming distance of the dense sketches, never more than the sets' difference, within what a link allows."""
+    apart = reduce(add, (F.bit_count(F.col(f"{c}_{x}").bitwiseXOR(F.col(f"{c}_{y}"))) for c in SKETCH))
     return apart * (num + den) <= (F.col(f"n_{x}") + F.col(f"n_{y}")) * (den - num)
 
 
 def _left_over(hot: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
-    """Pairs of large groups whose members are still in several components: each member outside the
-    group's main component with all the others, in blocks of the group. None if there are none."""
+    """Pairs of large groups whose members are still in several components: each member outside the main
+    component with all the others, once for all the groups that share members, in blocks. None if there are none."""
     where = keep(hot.join(comps, hot.b == comps.id, "left").select(F.col("a").alias("tok"), F.col("b").alias("doc"), F.coalesce("comp", "b").alias("comp")), "where")
-    sizes = where.groupBy("tok", "comp").agg(F.count("*").alias("m"))
-    groups = keep(sizes.groupBy("tok").agg(F.sum("m").alias("m"), F.count("*").alias("comps"), F.max_by("comp", "m").alias("main")).filter("comps > 1"), "groups")
-    if groups.isEmpty():
-        drop(where, groups)
+    open_groups = where.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("doc").alias("first")).filter("low <> high")
+    edges = keep(open_groups.select("tok", "first").join(where, "tok").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), "edges")
+    if edges.isEmpty():
+        drop(where, edges)
         return None
-    cols = ("n", "s0", "s1", "s2", "s3")
-    split = where.join(groups, "tok").withColumn("blocks", F.ceil(F.col("m") / 256).cast("int"))
-    full = split.join(sets.select("doc", *cols), "doc")
-    right = full.select("tok", F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block"), F.col("doc").alias("y"), F.col("comp").alias("comp_y"), *(F.col(c).alias(f"{c}_y") for c in cols))
-    left = full.filter("comp <> main").select("tok", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("doc").alias("x"), F.col("comp").alias("comp_x"), *(F.col(c).alias(f"{c}_x") for c in cols))
-    met = left.join(right, ["tok", "block"]).filter("comp_x <> comp_y").filter(_sketches("x", "y", num, den))
+    spans = components(edges)
+    spans = spans.unionByName(spans.select(F.col("comp").alias("id"), "comp").distinct()).select(F.col("id").alias("doc"), F.col("comp").alias("span"))
+    members = keep(where.select("doc", "comp").distinct().join(spans, "doc"), "members")
+    sizes = members.groupBy("span", "comp").agg(F.count("*").alias("m"))
+    main = keep(sizes.groupBy("span").agg(F.sum("m").alias("m"), F.max_by("comp", F.struct("m", "comp")).alias("main")), "main")
+    cols = ("n", *SKETCH)
+    full = members.join(main, "span").withColumn("blocks", F.ceil(F.col("m") / 256).cast("int")).join(sets.select("doc", *cols), "doc")
+    right = full.select("span", F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block"), F.col("doc").alias("y"), F.col("comp").alias("comp_y"), *(F.col(c).alias(f"{c}_y") for c in cols))
+    left = full.filter("comp <> main").select("span", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("doc").alias("x"), F.col("comp").alias("comp_x"), *(F.col(c).alias(f"{c}_x") for c in cols))
+    met = left.join(right, ["span", "block"]).filter("comp_x <> comp_y").filter(_sketches("x", "y", num, den))
     out = keep(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "left")
-    drop(where, groups)
+    drop(where, edges, members, main)
     return out
 
 
@@ -372,7 +381,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = parts(spark)
-    n_groups = 4 * n
+    n_groups = n
 
     def keys(batches):
         for batch in batches:
@@ -380,11 +389,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield h
 
     bits = _sketch.repeated(base, keys)
-    kind = "doc long, n long, k1 long, k2 long, items binary, s0 long, s1 long, s2 long, s3 long"
+    kind = "doc long, n long, k1 long, k2 long, items binary" + "".join(f", {c} long" for c in SKETCH)
     info = keep(base.mapInArrow(_sets(shingle, num, den, bits), kind), "info")
     lives = info.filter("items is not null and doc is not null")
     classes = keep(lives.groupBy("k1", "k2").agg(F.min("doc").alias("rep")), "classes")
-    sets = keep(lives.join(classes.withColumnRenamed("rep", "doc"), ["doc", "k1", "k2"], "left_semi").select("doc", "n", "items", "s0", "s1", "s2", "s3"), "sets")
+    sets = keep(lives.join(classes.withColumnRenamed("rep", "doc"), ["doc", "k1", "k2"], "left_semi").select("doc", "n", "items", *SKETCH), "sets")
 
     met = (
         sets.select("doc", "items")
