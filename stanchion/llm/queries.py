@@ -49,6 +49,15 @@ def op5_token_output(spark: SparkSession, sf_dir: str, tokenizer_path: str | Non
     return read_tokens(spark, out, with_ids=False)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as of good quality."""
+    from .lm_score import fit, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return score(docs, fit(docs, good))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     from .pieces import round_trip
 
