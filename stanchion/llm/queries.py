@@ -16,6 +16,13 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .text_search import search
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search(docs, docs.filter(F.col("doc_id") % 100 == 0))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import allot
 
