@@ -339,10 +339,30 @@ def _verified(num: int, den: int):
 
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs: distinct (a, b)."""
-    side = lambda x: sets.select(F.col("doc").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "items", *SKETCH)))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").filter(_sketches("a", "b", num, den))
-    return met.select("a", "b", "items_a", "items_b").mapInArrow(_verified(num, den), "a long, b long")
+    """The pairs (a, b) that are links. pairs: distinct, and within what their sketches allow."""
+    side = lambda x: sets.select(F.col("doc").alias(x), F.col("items").alias(f"items_{x}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    return keep(met.select("a", "b", "items_a", "items_b").mapInArrow(_verified(num, den), "a long, b long"), "links")
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs: distinct (a, b); those whose sketches allow a link."""
+    side = lambda x: sets.select(F.col("doc").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", *SKETCH)))
+    return keep(pairs.join(side("a"), "a").join(side("b"), "b").filter(_sketches("a", "b", num, den)).select("a", "b"), "possible")
+
+
+def _spanning(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links among the pairs that connect all that the pairs' links connect: each document is compared with its
+    least partner first; other pairs only where their ends are not connected by then."""
+    first = keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    links = _links(first, sets, num, den)
+    comps = components(links)
+    at = lambda x: comps.select(F.col("id").alias(x), F.col("comp").alias(f"comp_{x}"))
+    apart = pairs.join(first, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    rest = keep(apart.filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b"), "rest")
+    more = _links(rest, sets, num, den)
+    drop(first, rest)
+    return links.unionByName(more)
 
 
 def _sketches(x: str, y: str, num: int, den: int):
@@ -410,14 +430,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     met = keep(met, "pairs")
     pairs = met.filter("kind = 0").select("a", "b").distinct()
-    links = keep(_links(pairs, sets, num, den), "links")
+    possible = _possible(pairs, sets, num, den)
+    links = _spanning(possible, sets, num, den)
     comps = components(links)
     hot = met.filter("kind = 1").select("a", "b")
     more = _left_over(hot, comps, sets, num, den)
     if more is not None:
         comps = components(links.unionByName(_links(more, sets, num, den)))
     named = keep(classes.join(comps, classes.rep == comps.id, "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp")), "named")
-    drop(sets, met, links)
+    drop(sets, met, possible)
     thin = info.select("doc", "n", "k1", "k2")
     return thin.join(named, ["k1", "k2"], "left").select(
         F.col("doc").alias("doc_id"),

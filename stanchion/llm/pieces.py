@@ -238,7 +238,7 @@ def decode_chunk(auto: Automaton, ids: np.ndarray, bounds: np.ndarray) -> tuple[
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, score (sum of the pieces' scores)."""
+    """doc_id, ids, score (sum of the pieces' scores), exact (whether decoding gives back the text)."""
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -249,9 +249,15 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             for lo, hi, body, offs in chunks(data, offsets, 8 << 20):
                 ids, bounds, score = encode_chunk(auto, body, offs)
                 column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), column, pa.array(score)], ["doc_id", "ids", "score"])
+                cols = [batch.column(0).slice(lo, hi - lo), column, pa.array(score), pa.array(_same(auto, ids, bounds, body, offs))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "score", "exact"])
 
-    return base.mapInArrow(run, "doc_id long, ids array<int>, score double")
+    return base.mapInArrow(run, "doc_id long, ids array<int>, score double, exact boolean")
+
+
+def _same(auto: Automaton, ids: np.ndarray, bounds: np.ndarray, body: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    again, at = decode_chunk(auto, ids, bounds)
+    return np.array([np.array_equal(again[a:b], body[c:d]) for a, b, c, d in zip(at, at[1:], offs, offs[1:])], bool)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -290,9 +296,8 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
             data, offsets = strings(batch.column(1))
             for lo, hi, body, offs in chunks(data, offsets, 8 << 20):
                 ids, bounds, score = encode_chunk(auto, body, offs)
-                again, at = decode_chunk(auto, ids, bounds)
                 raw = ids.astype("<u4").tobytes()
-                same = np.array([np.array_equal(again[a:b], body[c:d]) for a, b, c, d in zip(at, at[1:], offs, offs[1:])], bool)
+                same = _same(auto, ids, bounds, body, offs)
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds, bounds[1:])]
                 cols = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64()), pa.array(score), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_pieces", "ids_crc32", "score", "exact"])

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import _sketch
 from ._base import MULT, U64, WHITE, chunks, cuts, ids_of, pack, pack_sorted, parts, small_batches, strings, unpack, unpack_sorted, windows, words_of, xxhash64
@@ -153,19 +154,18 @@ def _flags(n_groups: int):
 
 def _applied(size: int):
     """Rows arrive sorted by group, flags first. Gives each document's words that no flagged window covers."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.large_string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, docs, starts, ready = None, [], [], None
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            cols = [batch.column(k).to_pylist() for k in (0, 2, 4, 5)]
+            out: list[list] = [[], [], []]
+            g_, kind, flagged_, at_ = (batch.column(k).to_pylist() for k in (0, 1, 4, 5))
             keys = ids_of(batch.column(2))
             texts = batch.column(3).cast(pa.large_binary())
-            for k, (g, doc_id, flagged, at) in enumerate(zip(*cols)):
+            for k, (g, row, flagged, at) in enumerate(zip(g_, kind, flagged_, at_)):
                 if g != now:
                     now, docs, starts, ready = g, [], [], None
-                if flagged is not None:
+                if not row:
                     docs.append(unpack(flagged, np.int64))
                     starts.append(unpack(at, np.uint32))
                     continue
@@ -178,27 +178,34 @@ def _applied(size: int):
                 lo, hi = np.searchsorted(ready[0], keys[k]), np.searchsorted(ready[0], keys[k], "right")
                 n = len(words)
                 if hi > lo:
-                    cover = np.zeros(n + size + 1, np.int64)
                     at = ready[1][lo:hi].astype(np.int64)
+                    at = at[at + size <= n]  # rows that share an id can be of other lengths
+                    cover = np.zeros(n + size + 1, np.int64)
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + size, -1)
                     kept = np.flatnonzero(np.cumsum(cover[:n]) == 0)
                     words = [words[i] for i in kept]
-                out[0].append(doc_id)
-                out[1].append(n)
-                out[2].append(n - len(words))
-                out[3].append(b" ".join(words))
+                out[0].append(n)
+                out[1].append(n - len(words))
+                out[2].append(b" ".join(words))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.large_binary()).cast(pa.large_string())], schema=schema)
+                on = pa.array([bool(k) for k in kind])
+                cols = [batch.column(6).filter(on), batch.column(2).filter(on), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.large_binary()).cast(pa.large_string())]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_words", "n_removed", "kept_text"])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text: each row's words outside windows that also start earlier, joined by one space."""
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text: each row's words outside windows that also start earlier, joined by one space.
+
+    Columns named in carry come along as they are, in a struct `row`.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    row = F.struct(*(F.col(f"`{c}`") for c in carry or []), F.lit(None).cast("int").alias("_none")).alias("row")
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), row)
+    text = base.select("doc_id", "text")
     n = parts(spark)
     n_groups = n
 
@@ -207,16 +214,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for _, _, h, _, _ in _windows(batch.column(1), window, False):
                 yield h
 
-    bits = _sketch.repeated(base, keys)
+    bits = _sketch.repeated(text, keys)
+    row_type = base.schema["row"].dataType
+    none = lambda kind: F.lit(None).cast(kind)
     flags = (
-        base.mapInArrow(_candidates(window, n, n_groups, bits), _HASHED)
+        text.mapInArrow(_candidates(window, n, n_groups, bits), _HASHED)
         .repartition(n, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_flags(n_groups), "grp int, docs binary, starts binary")
-        .select("grp", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "docs", "starts")
+        .select("grp", F.lit(0).alias("kind"), none("long").alias("doc_id"), none("string").alias("text"), "docs", "starts", none(row_type).alias("row"))
     )
     grp = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(2**63 - 1))), F.lit(n_groups)).cast("int").alias("grp")
-    rows = base.select(grp, F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("starts"))
+    rows = base.select(grp, F.lit(1).alias("kind"), "doc_id", "text", none("binary").alias("docs"), none("binary").alias("starts"), "row")
     met = flags.unionByName(rows).repartition(n, "grp").sortWithinPartitions("grp", "kind")
-    return met.mapInArrow(_applied(window), "doc_id long, n_words long, n_removed long, kept_text string")
-
+    kind = StructType([StructField("row", row_type), *(StructField(c, LongType()) for c in ("doc_id", "n_words", "n_removed")), StructField("kept_text", StringType())])
+    out = met.mapInArrow(_applied(window), kind)
+    return out.withColumn("row", F.col("row").dropFields("_none")) if carry else out.drop("row")
