@@ -1,0 +1 @@
+"""Column expressions; all of them stay inside generated code."""

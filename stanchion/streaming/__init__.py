@@ -1,0 +1 @@
+"""Stateful twins of the batch operators in operators.dwell."""
