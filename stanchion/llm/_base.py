@@ -7,8 +7,9 @@ words found in characters.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -240,6 +241,25 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+def release() -> None:
+    """Gives freed memory back to the system; workers and the driver live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable) -> Callable:
+    """run over batches, and then release()."""
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def parts(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from ._base import U64, pack_sorted, parts, unpack_sorted
+from ._base import U64, pack_sorted, parts, release, trimmed, unpack_sorted
 
 DEPTH, ROW_BITS, BLOCK_BITS = 2, 28, 22
 FLUSH = 2_000_000
@@ -28,12 +28,12 @@ def counters(h: np.ndarray, row: int) -> np.ndarray:
     return ((h * U64(_MULT[row])) >> U64(64 - ROW_BITS)).astype(np.uint32)
 
 
-def _emit(hashes: list[np.ndarray]) -> pa.RecordBatch:
+def _emit(hashes: list[np.ndarray], depth: int) -> pa.RecordBatch:
     h = np.concatenate(hashes) if hashes else np.empty(0, U64)
     out: tuple[list, list, list] = ([], [], [])
     n = 1 << (ROW_BITS - BLOCK_BITS)
     edges = (np.arange(1, n, dtype=np.uint64) << U64(BLOCK_BITS)).astype(np.uint32)
-    for row in range(DEPTH):
+    for row in range(depth):
         at = np.sort(counters(h, row))
         fresh = np.ones(len(at), bool)
         fresh[1:] = at[1:] != at[:-1]
@@ -68,7 +68,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def repeated(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> Broadcast:
+def repeated(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], depth: int = DEPTH) -> Broadcast:
     """Broadcasts the bits of counters that two or more keys of df share; keys turns batches into arrays of 64-bit hashes."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,25 +77,29 @@ def repeated(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[
             held.append(h)
             n += len(h)
             if n >= FLUSH:
-                yield _emit(held)
+                yield _emit(held, depth)
                 held, n = [], 0
         if n:
-            yield _emit(held)
+            yield _emit(held, depth)
 
     kind = "block int, once binary, more binary"
-    made = df.mapInArrow(sketch, kind)
-    merged = made.repartition(parts(df.sparkSession), "block").sortWithinPartitions("block").mapInArrow(_merge, kind)
+    made = df.mapInArrow(trimmed(sketch), kind)
+    merged = made.repartition(parts(df.sparkSession), "block").sortWithinPartitions("block").mapInArrow(trimmed(_merge), kind)
     n = 1 << (BLOCK_BITS - 3)
-    bits = np.zeros(DEPTH << (ROW_BITS - 3), np.uint8)
+    bits = np.zeros(depth << (ROW_BITS - 3), np.uint8)
+    r = None
     for r in merged.select("block", "once").collect():
         bits[r.block * n : (r.block + 1) * n] = np.frombuffer(r.once, np.uint8)
-    return df.sparkSession.sparkContext.broadcast(bits)
+    held = df.sparkSession.sparkContext.broadcast(bits)
+    del bits, r
+    release()
+    return held
 
 
 def maybe_repeated(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether each key may occur twice or more: never false for one that does."""
     out = np.ones(len(h), bool)
-    for row in range(DEPTH):
+    for row in range(len(bits) >> (ROW_BITS - 3)):
         at = counters(h, row)
         at_byte = (at >> np.uint32(3)).astype(np.int64) + (row << (ROW_BITS - 3))
         out &= (bits[at_byte] >> (7 - (at & np.uint32(7))).astype(np.uint8) & 1).astype(bool)

@@ -14,7 +14,8 @@ frequent of its blocks as long as T+1 remain, in one global order (frequency, th
 Data flow:
  1. a count-min sketch of all shingles; a document with too few repeated shingles to reach t
     with anything is done (nothing is lost: estimates are never too low);
- 2. the others: sets, equal sets collapse into a class that its smallest id stands for;
+ 2. the others: sets, equal sets collapse into a class that its smallest id stands for (a task
+    sends each set once, unless it meets it under a smaller id);
  3. block signatures -> buckets count them -> those shared travel back by document group ->
     each document selects -> buckets form candidate pairs (small groups: all pairs; larger
     ones: pairs with a few members, stars);
@@ -39,16 +40,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _sketch
-from ._base import LOWER, MULT, U64, WHITE, chunks, cuts, drop, ids_of, keep, mix, pack, pack_sorted, parts, range_hash, small_batches, strings, unpack, unpack_sorted, windows, words_of, xxhash64
+from ._base import LOWER, MULT, U64, WHITE, chunks, cuts, drop, ids_of, keep, mix, pack, pack_sorted, parts, range_hash, small_batches, strings, trimmed, unpack, unpack_sorted, windows, words_of, xxhash64
 from .components import components
 
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Up to so many members, a bucket group's pairs are all formed; larger ones go by stars around so many members.
-SMALL, STARS, FLUSH = 24, 4, 1_000_000
+SMALL, STARS, FLUSH, PAIRS = 24, 4, 500_000, 500_000
 #: Bits of the dense sketches, and the columns that hold them.
 BITS = 1024
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
 _WORD = ~WHITE
+_NULL = np.iinfo(np.int64).max
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -87,22 +89,61 @@ def dense(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+_KIND = "kind int, part long, doc long, n long, k1 long, k2 long, items binary"
+_REMEMBERED = 200_000
+
+
 def _sets(shingle: int, num: int, den: int, bits):
+    """Kind 0: every row's id, size and set key. Kind 1: sets that may have a link, once per task unless a smaller id has the same."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: dict[tuple[int, int], int] = {}
         for batch in batches:
+            ids = ids_of(batch.column(0))
             for lo, h, bounds in shingle_sets(batch.column(1), shingle):
                 n = np.diff(bounds)
+                doc = ids[lo : lo + len(n)]
                 again = _sums(_sketch.maybe_repeated(bits.value, h).astype(np.int64), bounds)
-                lives = (n > 0) & (den * again >= num * n)
+                lives = (n > 0) & (den * again >= num * n) & (doc != _NULL)
                 k1 = _sums(mix(h ^ U64(0x1B873593)), bounds).view(np.int64)
                 k2 = _sums(mix(h ^ U64(0x85EBCA6B00000001)), bounds).view(np.int64)
-                one = [(h[bounds[i] : bounds[i + 1]].tobytes(), *dense(h[bounds[i] : bounds[i + 1]]).tolist()) if lives[i] else (None,) * (1 + len(SKETCH)) for i in range(len(n))]
-                cols = [batch.column(0).slice(lo, len(n)), pa.array(n), pa.array(k1), pa.array(k2)]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(c, t) for c, t in zip(zip(*one), [pa.binary()] + [pa.int64()] * len(SKETCH))], ["doc", "n", "k1", "k2", "items", *SKETCH])
+                at = []
+                for i in np.flatnonzero(lives):
+                    key = int(k1[i]), int(k2[i])
+                    if told.get(key, _NULL) > doc[i]:
+                        if len(told) >= _REMEMBERED:
+                            told.clear()
+                        told[key] = int(doc[i])
+                        at.append(i)
+                at = np.array(at, np.int64)
+                items = [h[bounds[i] : bounds[i + 1]].tobytes() for i in at]
+                kind = np.concatenate((np.zeros(len(n), np.int32), np.ones(len(at), np.int32)))
+                every = np.concatenate((np.arange(len(n)), at))
+                part = np.concatenate((xxhash64(doc), k1[at]))
+                cols = [pa.array(kind), pa.array(part), pa.array(doc[every], mask=doc[every] == _NULL), pa.array(n[every]), pa.array(k1[every]), pa.array(k2[every]), pa.array([None] * len(n) + items, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["kind", "part", "doc", "n", "k1", "k2", "items"])
 
     return run
 
 
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive sorted by kind, set key and id. Of rows of kind 1 the first of each key stays, and gets its dense sketch."""
+    last = None
+    for batch in batches:
+        kind, k1, k2, items = (batch.column(c).to_pylist() for c in (0, 4, 5, 6))
+        keep_, sketches = [], []
+        for row in zip(kind, k1, k2, items):
+            fresh = not row[0] or row[1:3] != last
+            keep_.append(fresh)
+            if row[0]:
+                last = row[1:3]
+            if fresh:
+                sketches.append(dense(np.frombuffer(row[3], U64)).tolist() if row[0] else (None,) * len(SKETCH))
+        cols = [c.filter(pa.array(keep_)) for c in batch.columns]
+        more = [pa.array(c, pa.int64()) for c in zip(*sketches)] if sketches else [pa.array([], pa.int64())] * len(SKETCH)
+        yield pa.RecordBatch.from_arrays([cols[2], cols[3], cols[4], cols[5], cols[6], *more], ["doc", "n", "k1", "k2", "items", *SKETCH])
+
+
 def band_of(n: int, num: int, den: int) -> tuple[int, int, int]:
     """Band of size n, and the largest sizes of that band and the next."""
     b, low = 0, 1
@@ -275,6 +316,32 @@ def _selected(n_buckets: int):
     return run
 
 
+def _group_pairs(doc, size, heads, count, near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for m in np.unique(count[count <= SMALL]):
+        every = heads[count == m]
+        for lo in range(0, len(every), 100_000):
+            at = every[lo : lo + 100_000]
+            for i in range(m):
+                for j in range(i + 1, m):
+                    on = near(size[at + i], size[at + j])
+                    yield doc[at + i][on], doc[at + j][on]
+    for s, c in zip(heads[count > SMALL], count[count > SMALL]):
+        own, sizes = doc[s : s + c], size[s : s + c]
+        for turn in range(STARS):
+            lead = int(np.argmin(mix(own.astype(U64) + U64(turn)))) if turn else 0
+            on = near(sizes, sizes[lead]) & (own != own[lead])
+            yield np.minimum(own[on], own[lead]), np.maximum(own[on], own[lead])
+
+
+def _distinct(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(int(fresh.sum()), np.int32)), pa.array(a[fresh]), pa.array(b[fresh])], ["kind", "a", "b"])
+
+
 def _pairs(num: int, den: int):
     """Candidate pairs (kind 0), and the members of groups that went by stars (kind 1: token, doc)."""
 
@@ -293,30 +360,18 @@ def _pairs(num: int, den: int):
             size = all_sizes[first][np.searchsorted(known, doc)]
             heads = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
             count = np.diff(np.append(heads, len(tok)))
-            found = []
-            for m in np.unique(count[count <= SMALL]):
-                at = heads[count == m]
-                for i in range(m):
-                    for j in range(i + 1, m):
-                        on = near(size[at + i], size[at + j])
-                        found.append((doc[at + i][on], doc[at + j][on]))
-            hot = [(s, s + c) for s, c in zip(heads[count > SMALL], count[count > SMALL])]
-            for s, e in hot:
-                own = doc[s:e]
-                for turn in range(STARS):
-                    lead = s + int(np.argmin(mix(own.astype(U64) + U64(turn)))) if turn else s
-                    on = near(size[s:e], size[lead]) & (own != doc[lead])
-                    found.append((np.minimum(own[on], doc[lead]), np.maximum(own[on], doc[lead])))
-            a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            fresh = np.ones(len(a), bool)
-            fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            a, b = a[fresh], b[fresh]
-            t = np.concatenate([tok[s:e] for s, e in hot]).view(np.int64) if hot else np.empty(0, np.int64)
-            d = np.concatenate([doc[s:e] for s, e in hot]) if hot else np.empty(0, np.int64)
-            kind = np.concatenate((np.zeros(len(a), np.int32), np.ones(len(t), np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate((a, t))), pa.array(np.concatenate((b, d)))], ["kind", "a", "b"])
+            found, n = [], 0
+            for a, b in _group_pairs(doc, size, heads, count, near):
+                found.append((a, b))
+                n += len(a)
+                if n >= PAIRS:
+                    yield _distinct(found)
+                    found, n = [], 0
+            if n:
+                yield _distinct(found)
+            for s, c in zip(heads[count > SMALL], count[count > SMALL]):
+                kind = np.ones(c, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(tok[s : s + c].view(np.int64)), pa.array(doc[s : s + c])], ["kind", "a", "b"])
 
     return run
 
@@ -338,11 +393,15 @@ def _verified(num: int, den: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are links. pairs: distinct, and within what their sketches allow."""
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int, few: bool = False) -> DataFrame:
+    """The pairs (a, b) that are links. pairs: distinct, and within what their sketches allow. few: they need a small part
+    of the sets, which are filtered first."""
+    if few:
+        needed = keep(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "needed")
+        sets = sets.join(needed, "doc", "left_semi")
     side = lambda x: sets.select(F.col("doc").alias(x), F.col("items").alias(f"items_{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    return keep(met.select("a", "b", "items_a", "items_b").mapInArrow(_verified(num, den), "a long, b long"), "links")
+    return keep(met.select("a", "b", "items_a", "items_b").mapInArrow(trimmed(_verified(num, den)), "a long, b long"), "links")
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -360,9 +419,9 @@ def _spanning(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     at = lambda x: comps.select(F.col("id").alias(x), F.col("comp").alias(f"comp_{x}"))
     apart = pairs.join(first, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
     rest = keep(apart.filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b"), "rest")
-    more = _links(rest, sets, num, den)
+    more = _links(rest, sets, num, den, few=True)
     drop(first, rest)
-    return links.unionByName(more)
+    return keep(links.unionByName(more), "links")
 
 
 def _sketches(x: str, y: str, num: int, den: int):
@@ -408,25 +467,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for _, h, _ in shingle_sets(batch.column(1), shingle):
                 yield h
 
-    bits = _sketch.repeated(base, keys)
+    bits = _sketch.repeated(base, keys, depth=1)
     kind = "doc long, n long, k1 long, k2 long, items binary" + "".join(f", {c} long" for c in SKETCH)
-    info = keep(base.mapInArrow(_sets(shingle, num, den, bits), kind), "info")
-    lives = info.filter("items is not null and doc is not null")
-    classes = keep(lives.groupBy("k1", "k2").agg(F.min("doc").alias("rep")), "classes")
-    sets = keep(lives.join(classes.withColumnRenamed("rep", "doc"), ["doc", "k1", "k2"], "left_semi").select("doc", "n", "items", *SKETCH), "sets")
+    made = base.mapInArrow(trimmed(_sets(shingle, num, den, bits)), _KIND).repartition(n, "part").sortWithinPartitions("kind", "k1", "k2", "doc")
+    info = keep(made.mapInArrow(trimmed(_classes), kind), "info")
+    bits.destroy()
+    sets = info.filter("items is not null").select("doc", "n", "items", *SKETCH)
+    classes = info.filter("items is not null").select("k1", "k2", F.col("doc").alias("rep"))
 
     met = (
         sets.select("doc", "items")
-        .mapInArrow(_signatures(n, n_groups, num, den), "bucket int, kind int, a binary, b binary")
+        .mapInArrow(trimmed(_signatures(n, n_groups, num, den)), "bucket int, kind int, a binary, b binary")
         .repartition(n, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_counted(n_groups), "grp int, kind int, a binary, b binary, c binary")
+        .mapInArrow(trimmed(_counted(n_groups)), "grp int, kind int, a binary, b binary, c binary")
         .repartition(n, "grp")
         .sortWithinPartitions("grp")
-        .mapInArrow(_selected(n), "bucket int, toks binary, docs binary, sizes binary")
+        .mapInArrow(trimmed(_selected(n)), "bucket int, toks binary, docs binary, sizes binary")
         .repartition(n, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_pairs(num, den), "kind int, a long, b long")
+        .mapInArrow(trimmed(_pairs(num, den)), "kind int, a long, b long")
     )
     met = keep(met, "pairs")
     pairs = met.filter("kind = 0").select("a", "b").distinct()
@@ -436,10 +496,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = met.filter("kind = 1").select("a", "b")
     more = _left_over(hot, comps, sets, num, den)
     if more is not None:
-        comps = components(links.unionByName(_links(more, sets, num, den)))
+        comps = components(keep(links.unionByName(_links(more, sets, num, den, few=True)), "links"))
     named = keep(classes.join(comps, classes.rep == comps.id, "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp")), "named")
-    drop(sets, met, possible)
-    thin = info.select("doc", "n", "k1", "k2")
+    drop(met, possible)
+    thin = info.filter("items is null").select("doc", "n", "k1", "k2")
     return thin.join(named, ["k1", "k2"], "left").select(
         F.col("doc").alias("doc_id"),
         F.col("n").alias("n_shingles"),
