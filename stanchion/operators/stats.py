@@ -88,12 +88,12 @@ def friedman(scores: DataFrame, model: str, block: list[str], by: list[str], val
     blocks, or fewer than two give an error and nulls. p is by chi-square with k - 1 degrees, in closed form for each k."""
     sized = scores.groupBy(*by, model).agg(F.count("*").alias("n")).groupBy(*by).agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     r = ranks(scores, [*by, *block], value)
-    ties = scores.groupBy(*by, *block, value).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    sums = r.groupBy(*by, model).agg(F.sum("rank").alias("s")).groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
+    ties = scores.groupBy(*by, *block, value).agg(F.count("*").alias("_t")).groupBy(*by).agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("_ties"))
+    sums = r.groupBy(*by, model).agg(F.sum("rank").alias("_s")).groupBy(*by).agg(F.sum(F.col("_s") * F.col("_s")).alias("_ss"))
     met = sized.join(ties, by).join(sums, by)
     k, n = F.col("k").cast("double"), F.col("hi").cast("double")
-    chi = 12 / (n * k * (k + 1)) * F.col("ss") - 3 * n * (k + 1)
-    corrected = chi / F.nullif(1 - F.col("ties") / (n * k * (k * k - 1)), F.lit(0.0))
+    chi = 12 / (n * k * (k + 1)) * F.col("_ss") - 3 * n * (k + 1)
+    corrected = chi / F.nullif(1 - F.col("_ties") / (n * k * (k * k - 1)), F.lit(0.0))
     error = F.when(F.col("k") < 3, "needs three models or more").when(F.col("lo") != F.col("hi"), "unequal blocks").when(F.col("hi") < 2, "needs two blocks or more")
     met = met.withColumn("error", error).withColumn("statistic", F.when(error.isNull(), corrected))
     q = F.create_map(*(F.lit(float(x)) for kv in Q_ALPHA.items() for x in kv))[k]
