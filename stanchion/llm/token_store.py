@@ -13,8 +13,8 @@ The dictionary is trained on the id arrays of SAMPLE documents, chosen by a hash
 it is kept beside the shards and its hash checked on reading. It affects sizes only.
 
 Encoding goes by units: white space and the run of other characters after it. The tokenizer's
-pattern always splits before a unit, so a unit's ids depend on the unit alone, and each distinct
-unit of a batch is encoded once. Documents with other Unicode white space or control characters,
+pattern always splits before a unit, so a unit's ids depend on the unit alone, and a worker
+remembers those of units it has met. Documents with other Unicode white space or control characters,
 where that would not hold, are encoded whole.
 
 Defined results: null text is empty and has just the end id; rows that share an id stand next
@@ -35,13 +35,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import WHITE, Words, parts, ragged, scratch, small_batches, strings
+from ._base import U64, WHITE, Words, parts, ragged, scratch, small_batches, strings, trimmed
 
 END, SAMPLE, DICT_BYTES, SHARD_BYTES, LEVEL = 2, 1000, 1 << 16, 1 << 20, 3
 #: Longer texts are not sampled for the dictionary.
 SAMPLE_CHARS = 200_000
 MAGIC = b"TKS1"
+#: Units whose ids a process remembers (about 50 bytes each).
+MOST_UNITS = 1_000_000
 _LIVE: dict[str, object] = {}
+_UNITS: dict[str, "Units"] = {}
 
 
 def tokenizer(path: str):
@@ -82,27 +85,50 @@ def odd_documents(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode_chunk(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all documents of a chunk, and the bounds of each one's."""
-    tok, size = tokenizer(path)
-    n_docs = len(offsets) - 1
-    u = units_of(data, offsets)
-    _, first, which = np.unique(u.hashes(), return_index=True, return_inverse=True)
-    s, e = u.starts[first], u.ends[first]
+class Units:
+    """Ids of units met before in this process, by 64-bit hash; at most MOST_UNITS, of which those met again stay longest."""
+
+    def __init__(self):
+        self.keys = np.empty(0, U64)
+        self.at, self.counts, self.again = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        self.pool = np.empty(0, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        on = self.keys[at] == keys
+        self.again[at[on]] = True
+        return np.where(on, at, -1)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """keys are new and ascend; ids of each, one after another."""
+        if len(self.keys) + len(keys) > MOST_UNITS:
+            on = self.again if self.again.sum() < MOST_UNITS // 2 else np.zeros(len(self.keys), bool)
+            self.pool = self.pool[ragged(self.at[on], self.counts[on])]
+            self.keys, self.counts = self.keys[on], self.counts[on]
+            self.at, self.again = np.cumsum(self.counts) - self.counts, np.zeros(int(on.sum()), bool)
+        put = np.searchsorted(self.keys, keys)
+        self.at = np.insert(self.at, put, len(self.pool) + np.cumsum(counts) - counts)
+        self.counts = np.insert(self.counts, put, counts)
+        self.again = np.insert(self.again, put, False)
+        self.keys = np.insert(self.keys, put, keys)
+        self.pool = np.concatenate((self.pool, ids.astype(np.int32)))
+
+
+def _encode_units(tok, size: np.ndarray, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of data[s:e] for each s, e, one after another, and their counts. Units that white space begins go together."""
     white = np.append(WHITE[data], False)
     joins = white[s] & ~white[e - 1]
-    lone = np.flatnonzero(~joins)
-    joint = np.flatnonzero(joins)
-    counts = np.zeros(len(first), np.int64)
-    ids: list[np.ndarray] = []
-    at = np.zeros(len(first), np.int64)
-    total = 0
+    lone, joint = np.flatnonzero(~joins), np.flatnonzero(joins)
+    counts, at = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+    ids, total = [np.empty(0, np.int64)], 0
     if len(joint):
         lengths = (e - s)[joint]
-        body = data[ragged(s[joint], lengths)]
         bounds = np.concatenate(([0], np.cumsum(lengths)))
-        cut = np.unique(np.append(np.searchsorted(bounds, np.arange(0, bounds[-1], 1 << 16)), len(joint)))
-        raw = body.tobytes()
+        cut = np.unique(np.append(np.searchsorted(bounds, np.arange(0, bounds[-1], 1 << 12)), len(joint)))
+        raw = data[ragged(s[joint], lengths)].tobytes()
         pieces = [raw[bounds[a] : bounds[b]].decode() for a, b in zip(cut, cut[1:])]
         got = np.concatenate([np.array(x.ids, np.int64) for x in tok.encode_batch_fast(pieces, add_special_tokens=False)])
         ends = np.concatenate(([0], np.cumsum(size[got])))
@@ -118,9 +144,26 @@ def encode_chunk(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
             ids.append(np.array(x.ids, np.int64))
             counts[i], at[i] = len(x.ids), total
             total += len(x.ids)
-    pool = np.concatenate(ids) if ids else np.empty(0, np.int64)
+    return np.concatenate(ids)[ragged(at, counts)], counts
+
+
+def encode_chunk(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all documents of a chunk, and the bounds of each one's."""
+    tok, size = tokenizer(path)
+    known = _UNITS.setdefault(path, Units())
+    n_docs = len(offsets) - 1
+    u = units_of(data, offsets)
+    keys, first, which = np.unique(u.hashes(), return_index=True, return_inverse=True)
+    at = known.find(keys)
+    new = np.flatnonzero(at < 0)
+    ids, got = _encode_units(tok, size, data, u.starts[first[new]], u.ends[first[new]])
+    counts, start = known.counts[at] if len(known.counts) else np.zeros(len(keys), np.int64), known.at[at] if len(known.at) else np.zeros(len(keys), np.int64)
+    counts[new], start[new] = got, len(known.pool) + np.cumsum(got) - got
+    pool = np.concatenate((known.pool, ids))
+    if len(new) <= MOST_UNITS // 2:
+        known.add(keys[new], ids, got)
     c = counts[which]
-    out = pool[ragged(at[which], c)]
+    out = pool[ragged(start[which], c)].astype(np.int64)
     bounds = np.concatenate(([0], np.cumsum(c)))[u.first]
     odd = np.flatnonzero(odd_documents(data, offsets))
     if len(odd):
@@ -217,7 +260,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = E
             yield shard()
 
     ranged = base.repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(run, SHARDS).write.option("compression", "none").parquet(f"{out}/shards")
+    ranged.mapInArrow(trimmed(run), SHARDS).write.option("compression", "none").parquet(f"{out}/shards")
 
 
 _NULL = -(1 << 63)
@@ -247,7 +290,7 @@ def read_tokens(spark: SparkSession, out: str, with_ids: bool = True) -> DataFra
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return shards.select("part", "start", "shard").mapInArrow(run, kind)
+    return shards.select("part", "start", "shard").mapInArrow(trimmed(run), kind)
 
 
 def read_document(spark: SparkSession, out: str, doc_id: int) -> list[int] | None:
