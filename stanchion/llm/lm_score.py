@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import LOWER, U64, WHITE, chunks, drop, small_batches, strings, words_of
+from ._base import LOWER, U64, WHITE, chunks, drop, small_batches, strings, trimmed, words_of
 from ._counts import count_keys, most_frequent
 
 VOCABULARY, BIGRAMS, MU = 60_000, 1_000_000, 20.0
@@ -125,7 +125,7 @@ def _total(table: DataFrame) -> np.ndarray:
                 n += _columns(c, 2).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array([n[0]]), pa.array([n[1]])], ["b", "t"])
 
-    r = table.select("counts").mapInArrow(run, "b long, t long").agg(F.sum("b").alias("b"), F.sum("t").alias("t")).first()
+    r = table.select("counts").mapInArrow(trimmed(run), "b long, t long").agg(F.sum("b").alias("b"), F.sum("t").alias("t")).first()
     return np.array([r.b or 0, r.t or 0], np.int64)
 
 
@@ -144,4 +144,4 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
                 cols = [batch.column(0).slice(lo, len(n)), pa.array(n, pa.int64())] + [pa.array(x, pa.float64(), mask=none) for x in (t, b, t - b)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
 
-    return base.mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    return base.mapInArrow(trimmed(run), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")

@@ -87,10 +87,10 @@ def weights(docs: DataFrame, source_col: str = "source", text_col: str = "text",
     whole = F.col("total") * F.col("z") * F.pow(F.element_at(p, -1), 1.0 - F.col("exponent"))
     shares = shares.withColumn("budget", whole if budget is None else F.lit(float(budget)))
     # one row; joined to one row per source
-    met = own.crossJoin(F.broadcast(shares.select("total", "exponent", "z", "budget")))
-    met = met.withColumn("share", F.col("tokens") / F.col("total"))
+    met = own.join(F.broadcast(shares.select("total", "exponent", "z", "budget")), F.lit(True), "left")
+    met = met.withColumn("share", F.when(F.col("tokens") > 0, F.col("tokens") / F.col("total")).otherwise(0.0))
     met = met.withColumn("weight", F.when(F.col("tokens") > 0, F.pow("share", "exponent") / F.col("z")).otherwise(0.0))
-    met = met.withColumn("goal", F.floor(F.col("weight") * F.col("budget") + 1e-6).cast("long"))
+    met = met.withColumn("goal", F.when(F.col("tokens") > 0, F.floor(F.col("weight") * F.col("budget") + 1e-6)).otherwise(0).cast("long"))
     epochs = F.when(F.col("tokens") > 0, F.floor(F.col("goal") / F.col("tokens"))).otherwise(1).cast("long")
     met = met.withColumn("epochs", epochs).withColumn("rest", F.when(F.col("tokens") > 0, F.col("goal") - F.col("epochs") * F.col("tokens")).otherwise(0))
     return met.select("src", "docs", "tokens", "share", "weight", "exponent", "epochs", "rest")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import Words, chunks, ragged, small_batches, strings
+from ._base import Words, chunks, ragged, small_batches, strings, trimmed
 
 MARK = "▁"
 UNKNOWN = 10.0
@@ -252,7 +252,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 cols = [batch.column(0).slice(lo, hi - lo), column, pa.array(score), pa.array(_same(auto, ids, bounds, body, offs))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "score", "exact"])
 
-    return base.mapInArrow(run, "doc_id long, ids array<int>, score double, exact boolean")
+    return base.mapInArrow(trimmed(run), "doc_id long, ids array<int>, score double, exact boolean")
 
 
 def _same(auto: Automaton, ids: np.ndarray, bounds: np.ndarray, body: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -280,7 +280,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             text = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(body))
             yield pa.RecordBatch.from_arrays([batch.column(0), text], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,4 +302,4 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
                 cols = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64()), pa.array(score), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_pieces", "ids_crc32", "score", "exact"])
 
-    return base.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, score double, exact boolean")
+    return base.mapInArrow(trimmed(run), "doc_id long, n_pieces long, ids_crc32 long, score double, exact boolean")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import _sketch
-from ._base import MULT, U64, WHITE, chunks, cuts, ids_of, pack, pack_sorted, parts, small_batches, strings, unpack, unpack_sorted, windows, words_of, xxhash64
+from ._base import MULT, U64, WHITE, chunks, cuts, ids_of, pack, pack_sorted, parts, small_batches, strings, trimmed, unpack, unpack_sorted, windows, words_of, xxhash64
 
 WINDOW = 20
 FLUSH = 1_000_000
@@ -218,15 +218,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row_type = base.schema["row"].dataType
     none = lambda kind: F.lit(None).cast(kind)
     flags = (
-        text.mapInArrow(_candidates(window, n, n_groups, bits), _HASHED)
+        text.mapInArrow(trimmed(_candidates(window, n, n_groups, bits)), _HASHED)
         .repartition(n, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_flags(n_groups), "grp int, docs binary, starts binary")
+        .mapInArrow(trimmed(_flags(n_groups)), "grp int, docs binary, starts binary")
         .select("grp", F.lit(0).alias("kind"), none("long").alias("doc_id"), none("string").alias("text"), "docs", "starts", none(row_type).alias("row"))
     )
     grp = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(2**63 - 1))), F.lit(n_groups)).cast("int").alias("grp")
     rows = base.select(grp, F.lit(1).alias("kind"), "doc_id", "text", none("binary").alias("docs"), none("binary").alias("starts"), "row")
     met = flags.unionByName(rows).repartition(n, "grp").sortWithinPartitions("grp", "kind")
     kind = StructType([StructField("row", row_type), *(StructField(c, LongType()) for c in ("doc_id", "n_words", "n_removed")), StructField("kept_text", StringType())])
-    out = met.mapInArrow(_applied(window), kind)
+    out = met.mapInArrow(trimmed(_applied(window)), kind)
     return out.withColumn("row", F.col("row").dropFields("_none")) if carry else out.drop("row")

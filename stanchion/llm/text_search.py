@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._base import LOWER, U64, chunks, drop, ids_of, keep, pack, pack_sorted, ragged, small_batches, strings, unpack, unpack_sorted, words_of
+from ._base import LOWER, U64, chunks, drop, ids_of, keep, pack, pack_sorted, ragged, small_batches, strings, trimmed, unpack, unpack_sorted, words_of
 from ._counts import count_keys, read
 
 K1, B, BLOCK, SHARD_TERMS, QUERY_BLOCK = 1.2, 0.75, 64, 1_500_000, 1024
@@ -143,7 +143,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     spark = docs.sparkSession
     small_batches(spark)
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    index = keep(pick(docs).mapInArrow(_indexed, "ids binary, lengths binary, terms binary, df binary, docs binary, tfs binary"), "index")
+    index = keep(pick(docs).mapInArrow(trimmed(_indexed), "ids binary, lengths binary, terms binary, df binary, docs binary, tfs binary"), "index")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = total = 0
@@ -153,7 +153,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
                 n, total = n + len(length), total + int(length.sum())
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total])], ["n", "total"])
 
-    size = index.select("lengths").mapInArrow(told, "n long, total long").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    size = index.select("lengths").mapInArrow(trimmed(told), "n long, total long").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     n, mean = size.n or 0, (size.total or 0) / max(size.n or 0, 1)
 
     def counted(batches: Iterator[pa.RecordBatch]):
@@ -200,7 +200,7 @@ def _idf(frequency: DataFrame, asked: np.ndarray, n: int):
                     yield pa.RecordBatch.from_arrays([pa.array([pack(at[on])]), pa.array([pack(counts[on, 0])])], ["at", "df"])
 
     df = np.zeros(len(asked))
-    for r in frequency.select("keys", "counts").mapInArrow(run, "at binary, df binary").collect():
+    for r in frequency.select("keys", "counts").mapInArrow(trimmed(run), "at binary, df binary").collect():
         df[unpack(r.at, np.int64)] = unpack(r.df, np.int64)
     held.unpersist()
     value = np.log(1 + (n - df + 0.5) / (df + 0.5))
@@ -219,6 +219,6 @@ def _round(index: DataFrame, asked: list[tuple[int, np.ndarray, np.ndarray]], me
                 cols = [q.astype(np.int64), np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "doc_id", "score"])
 
-    out = keep(index.mapInArrow(run, "query_id long, doc_id long, score double"), "found")
+    out = keep(index.mapInArrow(trimmed(run), "query_id long, doc_id long, score double"), "found")
     held.unpersist()
     return out

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._base import LOWER, chunks, drop, keep, pack, pack_sorted, parts, small_batches, strings, unpack, unpack_sorted
+from ._base import LOWER, chunks, drop, keep, pack, pack_sorted, parts, small_batches, strings, trimmed, unpack, unpack_sorted
 
 GRAMS, BITS, FEATURES = (3, 4, 5), 22, 2048
 #: At most so many labelled rows of each label are learned from.
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     n, rows = np.zeros((2, 1 << BITS)), np.zeros(2)
     few_parts = min(8, parts(docs.sparkSession))
-    for r in sample.select("text", "y").coalesce(few_parts).mapInArrow(_counts, "label int, rows long, places binary, counts binary").collect():
+    for r in sample.select("text", "y").coalesce(few_parts).mapInArrow(trimmed(_counts), "label int, rows long, places binary, counts binary").collect():
         rows[r.label] += r["rows"]
         n[r.label][unpack_sorted(r.places, np.uint32)] += unpack(r.counts, np.uint32)
     if not rows.all():
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 out += [pack(feature[a:b].astype(np.uint16)) for a, b in zip(c, c[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["id", "y", "features"])
 
-    got = sorted(sample.mapInArrow(present, "id long, y int, features binary").collect())
+    got = sorted(sample.mapInArrow(trimmed(present), "id long, y int, features binary").collect())
     drop(sample)
     features = [unpack(r.features, np.uint16).astype(np.int64) for r in got]
     doc = np.repeat(np.arange(len(got)), [len(x) for x in features])
@@ -180,4 +180,4 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(s) if s else np.empty(0))], ["row", "toxicity_score"])
 
     kind = StructType([plain.schema["row"], StructField("toxicity_score", DoubleType())])
-    return plain.mapInArrow(run, kind).select("row.*", "toxicity_score")
+    return plain.mapInArrow(trimmed(run), kind).select("row.*", "toxicity_score")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._base import keep
+from ._base import keep, trimmed
 
 PROJECTIONS, SHARD, QUERY_BLOCK, GROWTH, MARGIN, SEED = 64, 16_384, 4_096, 1.15, 2.6, 7
 _NEAR = math.erf(1 / math.sqrt(2))
@@ -139,7 +139,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
             break
         block.sort()
         held = spark.sparkContext.broadcast((np.array([r.vec_id for r in block], np.int64), np.array([r.v for r in block])))
-        found.append(keep(base.mapInArrow(_answers(held, k), "query_id long, vec_id long, score double"), "near"))
+        found.append(keep(base.mapInArrow(trimmed(_answers(held, k)), "query_id long, vec_id long, score double"), "near"))
         held.unpersist()
         if len(block) < QUERY_BLOCK:
             break
