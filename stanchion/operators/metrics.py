@@ -47,26 +47,30 @@ def by_class(decided: DataFrame) -> DataFrame:
     return decided.withColumn("_a", F.explode(F.array(axis("helmet"), axis("vest")))).select("*", "_a.axis", "_a.truth", "_a.flagged").drop("_a")
 
 
-def zone_alerts(people: DataFrame, workers: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:
+def zone_alerts(people: DataFrame, workers: DataFrame, matched: DataFrame, keys: list[str], zones: list[str]) -> DataFrame:
     """Per zone: alerts on workers who should be alerted on, on compliant ones, on unmatched detections, and misses.
 
-    people: keys, person, zone, alerting; workers: keys, worker, zone, in_zone, lacks; matched: keys, worker, person.
+    people: keys, person, alerting (names of zones); workers: keys, worker, standing (names of zones), lacks; matched: keys,
+    worker, person. Rows meet once per image and are opened up by zone only to be counted.
     """
-    alerting = people.filter("alerting").select(*keys, "zone", "person")
-    on_worker = matched.join(alerting, [*keys, "person"]).select(*keys, "zone", "worker", F.lit(True).alias("alerted"))
-    seen = workers.join(matched, [*keys, "worker"], "left").join(on_worker, [*keys, "zone", "worker"], "left")
-    should, hit = F.col("in_zone") & F.col("lacks"), F.coalesce("alerted", F.lit(False))
-    own = seen.groupBy("zone").agg(
-        F.count("*").alias("workers"),
-        F.count_if("in_zone").alias("workers_in_zone"),
+    found = people.select(*keys, "person", "alerting").join(matched, [*keys, "person"], "left")
+    # one full outer join holds workers found, workers missed, and (their worker null) detections of nobody
+    seen = workers.withColumn("_own", F.lit(True)).join(found, [*keys, "worker"], "full_outer")
+    seen = seen.withColumn("zone", F.explode(F.array(*(F.lit(z) for z in zones))))
+    own = F.coalesce("_own", F.lit(False))
+    holds = lambda c: F.coalesce(F.array_contains(c, F.col("zone")), F.lit(False))
+    inside, hit = own & holds("standing"), holds("alerting")
+    should = inside & F.col("lacks")
+    out = seen.groupBy("zone").agg(
+        F.count_if(own).alias("workers"),
+        F.count_if(inside).alias("workers_in_zone"),
         F.count_if(should).alias("should_alert"),
         F.count_if(should & hit).alias("tp"),
         F.count_if(should & ~hit).alias("fn"),
         F.count_if(should & ~hit & F.col("person").isNull()).alias("missed"),
-        F.count_if(~should & hit).alias("fp_compliant"),
+        F.count_if(own & ~should & hit).alias("fp_compliant"),
+        F.count_if(~own & hit).alias("fp_unmatched"),
     )
-    stray = alerting.join(matched, [*keys, "person"], "left_anti").groupBy("zone").agg(F.count("*").alias("fp_unmatched"))
-    out = own.join(stray, "zone", "left").withColumn("fp_unmatched", F.coalesce("fp_unmatched", F.lit(0)))
     tp, fn, fpc, fpu = (F.col(c) for c in ("tp", "fn", "fp_compliant", "fp_unmatched"))
     out = out.withColumn("precision", ratio(tp, tp + fpc + fpu)).withColumn("precision_worker_level", ratio(tp, tp + fpc)).withColumn("recall", ratio(tp, tp + fn))
     return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))

@@ -133,7 +133,7 @@ def _inside(x: str, y: str) -> str:
 SELECT zone, count(*) AS people, count(*) FILTER (WHERE {_inside("fx", "fy")}) AS inside FROM p, zones GROUP BY zone""")
 def zone_membership(spark, d):
     people = C.boxes(spark, d).filter(F.col("cls") == G.PERSON)
-    return zone.with_zones(people, zone.zone_table(spark)).groupBy("zone").agg(F.count("*").alias("people"), F.count_if("in_zone").alias("inside"))
+    return zone.with_fixed_zones(people).groupBy("zone").agg(F.count("*").alias("people"), F.count_if("in_zone").alias("inside"))
 
 
 #: An L around machinery; the notch is outside. The oracle counts crossings edge by edge.
@@ -150,7 +150,15 @@ t AS (
 SELECT image_id, box_idx, edge OR crossings % 2 = 1 AS inside FROM t""")
 def concave_zone(spark, d):
     b = G.box()
-    return C.boxes(spark, d).select("image_id", "box_idx", P.contains(P.polygon(_L_SHAPE), b.xc, b.yc).alias("inside"))
+    return C.boxes(spark, d).select("image_id", "box_idx", P.inside(_L_SHAPE, b.xc, b.yc).alias("inside"))
+
+
+@query(f"""WITH {_ZONES}, p AS (SELECT *, xc AS fx, yc + h / 2 AS fy FROM ({O.BOXES}) WHERE cls = 0)
+SELECT zone, count(*) FILTER (WHERE {_inside("fx", "fy")}) AS inside FROM p, zones GROUP BY zone""")
+def zone_table_membership(spark, d):
+    """The same by a table of zones, read at run time."""
+    people = C.boxes(spark, d).filter(F.col("cls") == G.PERSON)
+    return zone.with_zones(people, zone.zone_table(spark)).groupBy("zone").agg(F.count_if("in_zone").alias("inside"))
 
 
 @query(f"""WITH {_DECIDED}, {_ZONES},
@@ -169,13 +177,11 @@ q AS (SELECT *, coalesce(tp::DOUBLE / nullif(tp + fp_compliant + fp_unmatched, 0
 SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM q""")
 def zone_alert_confusion(spark, d):
     boxes, people = _predicted(spark, d)
-    zones = zone.zone_table(spark)
     states = assign.people_states(boxes, assign.bind(boxes))
     lacking = ~(F.col("wears_helmet") & F.col("wears_vest"))
-    judged = zone.with_zones(states, zones).withColumn("alerting", F.col("in_zone") & lacking)
-    workers = zone.with_zones(C.workers(spark, d), zones).withColumn("lacks", ~(F.col("helmet") & F.col("vest")))
-    matched = assign.match_people(people, C.workers(spark, d))
-    return metrics.zone_alerts(judged, workers, matched, ["image_id"])
+    judged = states.select("image_id", "person", F.when(lacking, zone.zones_of(G.box())).otherwise(F.array().cast("array<string>")).alias("alerting"))
+    workers = C.workers(spark, d).withColumn("standing", zone.zones_of(G.box())).withColumn("lacks", ~(F.col("helmet") & F.col("vest")))
+    return metrics.zone_alerts(judged, workers, assign.match_people(people, C.workers(spark, d)), ["image_id"], list(P.ZONES))
 
 
 _TAUS = [20, 40, 60, 80]
@@ -356,7 +362,7 @@ def verdicts(spark, d):
     states = assign.people_states(boxes, assign.bind(boxes))
     lacking = zone.missing(F.array(F.lit(1), F.lit(2)), F.array_compact(F.array(F.when(F.col("wears_helmet"), 1), F.when(F.col("wears_vest"), 2))))
     x, y = G.feet(G.box())
-    inside = P.contains(P.polygon(P.ZONES["central-half"]), x, y)
+    inside = P.inside(P.ZONES["central-half"], x, y)
     return states.groupBy(zone.verdict(inside, lacking).alias("verdict")).agg(F.count("*").alias("n"))
 
 
@@ -370,7 +376,7 @@ def breach_summary(spark, d):
     states = assign.people_states(boxes, assign.bind(boxes))
     worn = F.array_compact(F.array(F.when(F.col("wears_helmet"), 1), F.when(F.col("wears_vest"), 2)))
     x, y = G.feet(G.box())
-    people = states.select("image_id", F.col("person").alias("box_idx"), F.when(F.col("conf") >= 50, F.col("person")).alias("track_id"), worn.alias("worn"), P.contains(P.polygon(P.ZONES["central-half"]), x, y).alias("in_zone"))
+    people = states.select("image_id", F.col("person").alias("box_idx"), F.when(F.col("conf") >= 50, F.col("person")).alias("track_id"), worn.alias("worn"), P.inside(P.ZONES["central-half"], x, y).alias("in_zone"))
     tracked, _ = zone.assess(people, ["image_id"], F.array(F.lit(1), F.lit(2)))
     name = F.concat(F.lit("#"), F.col("track_id").cast("string"), F.lit(" no "), N.join_classes(F.col("missing"), " or "))
     names = F.transform(F.array_sort(F.collect_list(F.struct("track_id", name.alias("name")))), lambda v: v["name"])
@@ -384,5 +390,5 @@ def frame_counts(spark, d):
     states = assign.people_states(boxes, assign.bind(boxes))
     worn = F.array_compact(F.array(F.when(F.col("wears_helmet"), 1), F.when(F.col("wears_vest"), 2)))
     x, y = G.feet(G.box())
-    people = states.select("image_id", F.col("person").alias("box_idx"), F.when(F.col("conf") >= 50, F.col("person")).alias("track_id"), worn.alias("worn"), P.contains(P.polygon(P.ZONES["central-half"]), x, y).alias("in_zone"))
+    people = states.select("image_id", F.col("person").alias("box_idx"), F.when(F.col("conf") >= 50, F.col("person")).alias("track_id"), worn.alias("worn"), P.inside(P.ZONES["central-half"], x, y).alias("in_zone"))
     return zone.assess(people, ["image_id"], F.array(F.lit(1), F.lit(2)))[1]

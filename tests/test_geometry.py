@@ -39,7 +39,9 @@ ELL = [(0.1, 0.1), (0.9, 0.1), (0.9, 0.4), (0.4, 0.4), (0.4, 0.9), (0.1, 0.9)]
 
 def test_polygons(spark):
     def inside(shape, x, y):
-        return one(spark, polygon.contains(polygon.polygon(shape), F.lit(x), F.lit(y)))
+        a, b = one(spark, polygon.contains(polygon.polygon(shape), F.lit(x), F.lit(y)), polygon.inside(shape, F.lit(x), F.lit(y)))
+        assert a == b
+        return a
 
     assert inside(SQUARE, 0.5, 0.5) and not inside(SQUARE, 0.1, 0.5) and not inside(SQUARE, 0.5, 0.9)
     assert inside(SQUARE, 0.2, 0.5) and inside(SQUARE, 0.2, 0.2) and inside(SQUARE, 0.8, 0.8)
