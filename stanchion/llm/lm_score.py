@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import LOWER, U64, WHITE, chunks, drop, small_batches, strings, trimmed, words_of
+from . import _sketch
+from ._base import LOWER, U64, WHITE, chunks, drop, ids_of, keep, mix, small_batches, strings, trimmed, words_of
 from ._counts import count_keys, most_frequent
 
 VOCABULARY, BIGRAMS, MU = 60_000, 1_000_000, 20.0
@@ -90,9 +91,9 @@ class Models:
 def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
     """target_ids: one column, the ids of the target's rows."""
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    ids = target_ids.toDF("id").filter("id is not null").distinct()
-    both = base.select("text", F.lit(0).alias("target")).unionByName(base.join(ids, "id", "left_semi").select("text", F.lit(1).alias("target")))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    target = _rows_of(base, target_ids.toDF("id").select(F.col("id").cast("long")).filter("id is not null").distinct())
+    both = base.select("text", F.lit(0).alias("target")).unionByName(target.select("text", F.lit(1).alias("target")))
 
     def counted(of):
         def run(batches: Iterator[pa.RecordBatch]):
@@ -111,10 +112,32 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     words = np.concatenate(([total - counts.sum(0)], np.zeros((1, 2), np.int64), counts))
     table = count_keys(both, counted(lambda h, first: _pairs(_numbers(vocabulary, h), first)), 2)
     bigrams, pairs = most_frequent(table, BIGRAMS, 2)
-    drop(table)
+    drop(table, target)
     return Models(vocabulary, words, bigrams, pairs)
 
 
+def _rows_of(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of base with these ids, kept. A filter of fixed size, that misses no id, lets few other texts reach the join."""
+
+    def keys(batches):
+        for batch in batches:
+            h = mix(ids_of(batch.column(0)).astype(U64))
+            yield np.concatenate((h, h))  # seen twice: what the sketch marks
+
+    bits = _sketch.repeated(ids, keys, depth=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on = _sketch.maybe_repeated(bits.value, mix(ids_of(batch.column(0)).astype(U64)))
+            if on.any():
+                yield batch.filter(pa.array(on))
+
+    near = base.mapInArrow(trimmed(run), "id long, text string")
+    out = keep(near.join(ids, "id", "left_semi"), "target")
+    bits.destroy()
+    return out
+
+
 def _total(table: DataFrame) -> np.ndarray:
     from ._counts import _columns
 
