@@ -20,7 +20,8 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .text_search import search
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return search(docs, docs.filter(F.col("doc_id") % 100 == 0))
+    found = search(docs, docs.filter(F.col("doc_id") % 100 == 0))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,8 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     good = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return score(docs, fit(docs, good))
+    out = score(docs, fit(docs, good))
+    return out.withColumns({c: F.round(c, 6) for c in ("loss_target", "loss_background", "score")})
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
