@@ -126,3 +126,13 @@ def decode_state(code: Column) -> tuple[Column, Column]:
     """(helmet, vest) of the codes 0..3; null for others."""
     known = code.isin(0, 1, 2, 3)
     return F.when(known, code.isin(1, 3)), F.when(known, code.isin(2, 3))
+
+
+def brightness(red: Column, green: Column, blue: Column) -> Column:
+    """Mean of a pixel's (or an image's mean) channels."""
+    return (red + green + blue) / 3
+
+
+def saturation(red: Column, green: Column, blue: Column) -> Column:
+    high, low = F.greatest(red, green, blue), F.least(red, green, blue)
+    return (high - low) / F.greatest(high, F.lit(1))

@@ -20,13 +20,19 @@ def micros(seconds: float) -> int:
     return round(seconds * SECOND)
 
 
-def incidents(violating: DataFrame, grace: int, keys: list[str] | None = None, ts: str = "ts_us") -> DataFrame:
-    """violating with `incident`, the number of the incident inside its track."""
+def incidents(violating: DataFrame, grace: int, keys: list[str] | None = None, ts: str = "ts_us", closes: str | None = None) -> DataFrame:
+    """violating with `incident`, the number of the incident inside its track.
+
+    closes names a boolean column of rows that are no violation but end an open incident at once; they are not returned.
+    """
     keys = keys or ["track_id"]
     run = W.partitionBy(*keys).orderBy(ts)
     before = F.lag(ts).over(run)
-    opens = (before.isNull() | (F.col(ts) - before > grace)).cast("int")
-    return violating.withColumn("_opens", opens).withColumn("incident", F.sum("_opens").over(run)).drop("_opens")
+    opens = before.isNull() | (F.col(ts) - before > grace)
+    if closes:
+        opens = ~F.col(closes) & (opens | F.lag(closes).over(run))
+    marked = violating.withColumn("_opens", opens.cast("int")).withColumn("incident", F.sum("_opens").over(run)).drop("_opens")
+    return marked.filter(~F.col(closes)) if closes else marked
 
 
 def alerts(violating: DataFrame, dwell: int, grace: int, keys: list[str] | None = None, ts: str = "ts_us", missing: str = "missing") -> DataFrame:
@@ -39,10 +45,10 @@ def alerts(violating: DataFrame, dwell: int, grace: int, keys: list[str] | None
     return due.groupBy(*keys, "incident").agg(F.min("started_us").alias("started_us"), first.alias("f")).select(*keys, "incident", "started_us", "f.fired_us", "f.missing")
 
 
-def islands(violating: DataFrame, grace: int, keys: list[str] | None = None, ts: str = "ts_us") -> DataFrame:
+def islands(violating: DataFrame, grace: int, keys: list[str] | None = None, ts: str = "ts_us", closes: str | None = None) -> DataFrame:
     """One row per incident: its first and last row, and how many there are."""
     keys = keys or ["track_id"]
-    return incidents(violating, grace, keys, ts).groupBy(*keys, "incident").agg(F.min(ts).alias("started_us"), F.max(ts).alias("ended_us"), F.count("*").alias("n"))
+    return incidents(violating, grace, keys, ts, closes).groupBy(*keys, "incident").agg(F.min(ts).alias("started_us"), F.max(ts).alias("ended_us"), F.count("*").alias("n"))
 
 
 def remembered(observed: DataFrame, required: list[int], memory: int, keys: list[str] | None = None, ts: str = "ts_us", worn: str = "worn") -> DataFrame:

@@ -82,3 +82,22 @@ def first_usable(frames: DataFrame, by: list[str], order: str, brightness: str,
     seen = frames.filter((F.col(order) < most) & (F.col(order) % every == 0))
     rank = F.struct(F.col(brightness) >= enough, F.when(F.col(brightness) >= enough, -F.col(order).cast("double")).otherwise(F.col(brightness)), -F.col(order))
     return seen.groupBy(*by).agg(F.max_by(F.struct(F.col(order).alias("frame"), F.col(brightness).alias("brightness")), rank).alias("f")).select(*by, "f.*")
+
+
+def due(runs: DataFrame, summaries: DataFrame, checkpoints: DataFrame, key: str = "run_id") -> DataFrame:
+    """Runs that are not done, with their state, those to resume first. Runs in a queue are independent: one that fails does not hold others up."""
+    done, begun = summaries.select(key).distinct().withColumn("_s", F.lit(True)), checkpoints.select(key).distinct().withColumn("_c", F.lit(True))
+    met = runs.join(done, key, "left").join(begun, key, "left")
+    state = run_state(F.col("_s").isNotNull(), F.col("_c").isNotNull())
+    return met.withColumn("state", state).drop("_s", "_c").filter("state <> 'done'").orderBy(F.desc("state"), key)
+
+
+def frame_policy(kind: Column, dwell: Column, memory: Column) -> Column:
+    """struct(tracked, dwell, memory): stills have no identity over time, so they are not tracked, fire at once and remember nothing."""
+    still = kind == "images"
+    return F.struct((~still).alias("tracked"), F.when(still, 0.0).otherwise(dwell).alias("dwell"), F.when(still, 0.0).otherwise(memory).alias("memory"))
+
+
+def rate(override: Column, declared: Column, usual: float = 25.0) -> Column:
+    """Frames per second: what is asked for, else what the source declares if positive, else the usual."""
+    return F.coalesce(override, F.when(declared > 0, declared), F.lit(usual))

@@ -156,3 +156,52 @@ def aligned(scores: DataFrame, model: str, block: list[str], value: str = "value
     own = scores.select(*block, F.col(model).alias("m"), F.col(value).alias("v"))
     met = own.alias("x").join(own.alias("y"), block).filter("x.m < y.m")
     return met.select(F.col("x.m").alias("a"), F.col("y.m").alias("b"), *block, (F.col("x.v") - F.col("y.v")).alias("diff"))
+
+
+def studentized_range_tail(q: float, k: int) -> float:
+    """P(range of k standard normals > q), by Simpson's rule over one of them."""
+    z = np.linspace(-8.0, 8.0 + q, 4001)
+    normal = NormalDist()
+    cdf = lambda x: np.array([normal.cdf(v) for v in x])
+    f = k * np.exp(-z * z / 2) / np.sqrt(2 * np.pi) * (cdf(z) - cdf(z - q)) ** (k - 1)
+    h = z[1] - z[0]
+    return float(min(1.0, max(0.0, 1 - h / 3 * (f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum()))))
+
+
+def nemenyi(ranked: DataFrame, by: list[str], model: str = "model") -> DataFrame:
+    """(by, a, b, difference, p) of each two models of a mean_ranks() table: the Nemenyi test. A group is a few models."""
+    kinds = {f.name: f.dataType.simpleString() for f in ranked.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", a {kinds[model]}, b {kinds[model]}, difference double, p double"
+
+    def one(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(model)
+        k, n = len(pdf), pdf["blocks"].max()
+        rows = []
+        for i in range(k):
+            for j in range(i + 1, k):
+                x, y = pdf.iloc[i], pdf.iloc[j]
+                d = float(x["mean_rank"] - y["mean_rank"])
+                rows.append([*(x[c] for c in by), x[model], y[model], d, studentized_range_tail(abs(d) / np.sqrt(k * (k + 1) / (6 * n)) * np.sqrt(2), k)])
+        return pd.DataFrame(rows, columns=[*by, "a", "b", "difference", "p"])
+
+    return ranked.groupBy(*by).applyInPandas(one, schema)
+
+
+def aggregate(scores: DataFrame, model: str = "model", dataset: str = "trained_on", seed: str = "seed", metric: str = "metric") -> dict[str, DataFrame]:
+    """All tables of a report over (model, dataset, seed, metric, value): cells, pooled intervals, paired tests, and one omnibus
+    test per metric with its corrected p. Models that lack a condition another has are left out of the tests."""
+    conditions = scores.select(metric, dataset, seed).distinct().groupBy(metric).agg(F.count("*").alias("_all"))
+    whole = scores.groupBy(metric, model).agg(F.count("*").alias("_n")).join(conditions, metric).filter("_n = _all").select(metric, model)
+    complete = scores.join(whole, [metric, model], "left_semi")
+    block = F.concat_ws("|", F.col(dataset).cast("string"), F.col(seed).cast("string"))
+    paired = aligned(complete, model, [metric, dataset, seed]).withColumn("block", block)
+    omnibus = friedman(complete, model, [dataset, seed], [metric])
+    return {
+        "per_cell": intervals(scores, [metric, model, dataset], order=seed),
+        "pooled": intervals(scores.withColumn("block", block), [metric, model], order="block"),
+        "paired": sign_flip(paired, [metric, "a", "b"], order="block"),
+        "mean_ranks": mean_ranks(complete, model, [dataset, seed], [metric]),
+        "omnibus": omnibus.filter("p is not null").transform(lambda t: holm(t, [], "p", metric)),
+    }

@@ -28,6 +28,16 @@ def incident_islands(spark, d):
     return dwell.islands(_violating(spark, d), 36 * HOUR)
 
 
+@query(f"""WITH v AS (SELECT *, event_type = 'purchase' AS closes FROM ({O.TRACKS}) WHERE violating OR event_type = 'purchase'),
+m AS (SELECT *, CASE WHEN NOT closes AND (lag(ts_us) OVER w IS NULL OR ts_us - lag(ts_us) OVER w > {36 * HOUR} OR lag(closes) OVER w) THEN 1 ELSE 0 END AS opens FROM v WINDOW w AS (PARTITION BY track_id ORDER BY ts_us)),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY track_id ORDER BY ts_us)::BIGINT AS incident FROM m)
+SELECT track_id, incident, min(ts_us) AS started_us, max(ts_us) AS ended_us, count(*) AS n FROM i WHERE NOT closes GROUP BY 1, 2""")
+def resolved_incidents(spark, d):
+    """A purchase ends the track's incident at once."""
+    t = C.tracks(spark, d).withColumn("closes", F.col("event_type") == "purchase").filter("violating or closes")
+    return dwell.islands(t, 36 * HOUR, closes="closes")
+
+
 @query(f"""WITH {_ISLANDS}, s AS (SELECT *, min(ts_us) OVER (PARTITION BY track_id, incident) AS started_us FROM i),
 f AS (SELECT *, row_number() OVER (PARTITION BY track_id, incident ORDER BY ts_us) AS nth FROM s WHERE ts_us - started_us >= {24 * HOUR})
 SELECT track_id, incident, started_us, ts_us AS fired_us, 'helmet+vest' AS missing FROM f WHERE nth = 1""")
@@ -288,6 +298,18 @@ def cd_cliques(spark, d):
     return stats.cliques(m, 0.6)
 
 
+@query()
+def nemenyi(spark, d):
+    """No oracle: the studentised range is integrated numerically."""
+    return stats.nemenyi(stats.mean_ranks(C.scores(spark, d), "model", ["trained_on", "seed"], ["tested"]), ["tested"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'resumable' ELSE 'pending' END AS state FROM orders WHERE o_orderstatus <> 'F'")
+def due_runs(spark, d):
+    o = table(spark, d, "orders")
+    return progress.due(o.select("o_orderkey"), o.filter("o_orderstatus = 'F'"), o.filter("o_orderpriority like '1%'"), "o_orderkey")
+
+
 @query()
 def bootstrap_intervals(spark, d):
     """No oracle: the replicates come from a seeded generator."""

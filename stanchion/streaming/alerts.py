@@ -84,3 +84,14 @@ def newest_only(batch: DataFrame, by: list[str], order: str) -> DataFrame:
     from ..operators.progress import newest
 
     return newest(batch, by, order)
+
+
+def frames(spark, path: str, schema, limit: int | None = None) -> DataFrame:
+    """A finite source: rows of Parquet files as a stream, for trigger(availableNow=True); with limit, frames before it."""
+    out = spark.readStream.schema(schema).parquet(path)
+    return out if limit is None else out.filter(F.col("frame") < limit)
+
+
+def polled(alerts: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """Alerts for a client that polls: each (frame, track_id) once."""
+    return alerts.withWatermark("ts", late).dropDuplicatesWithinWatermark(["frame", "track_id"])
