@@ -22,6 +22,8 @@ U64 = np.uint64
 #: Odd multipliers of the two independent polynomial hashes (arbitrary odd constants).
 MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 CHUNK_BYTES = 1 << 19
+#: Values that are hashed at once; the tables of powers are about as long.
+BLOCK = 1 << 19
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -40,7 +42,7 @@ def powers(mult: int, n: int) -> np.ndarray:
         full = np.full(size, mult, U64)
         full[0] = 1
         have = np.multiply.accumulate(full)
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _POW[mult] = have
     return have[:n]
 
@@ -73,13 +75,24 @@ def xxhash64(v: np.ndarray) -> np.ndarray:
     return (h ^ (h >> U64(32))).view(np.int64)
 
 
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, mult: int) -> np.ndarray:
-    """Hash of values[s:e] for each s, e, by differences of one running polynomial sum."""
-    n = len(values)
-    run = np.zeros(n + 1, U64)
-    np.cumsum(values.astype(U64) * powers(mult, n) if values.dtype != U64 else values * powers(mult, n), out=run[1:])
-    h = (run[ends] - run[starts]) * powers(inverse(mult), n + 1)[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, mult: int, add: int = 0) -> np.ndarray:
+    """Hash of values[s:e] + add for each s, e (both ascending), by differences of a running polynomial sum over blocks of values."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + BLOCK, "right")))
+        n = int(ends[j - 1]) - lo
+        v = values[lo : lo + n].astype(U64)
+        if add:
+            v += U64(add)
+        v *= powers(mult, n)
+        run = np.zeros(n + 1, U64)
+        np.cumsum(v, out=run[1:])
+        s, e = starts[i:j] - lo, ends[i:j] - lo
+        out[i:j] = (run[e] - run[s]) * powers(inverse(mult), n + 1)[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93)
+        i = j
+    return mix(out)
 
 
 @dataclass
@@ -92,9 +105,7 @@ class Words:
     first: np.ndarray
 
     def hashes(self, k: int = 0) -> np.ndarray:
-        values = self.data.astype(U64)
-        values += U64(1)
-        return range_hash(values, self.starts, self.ends, MULT[k])
+        return range_hash(self.data, self.starts, self.ends, MULT[k], add=1)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

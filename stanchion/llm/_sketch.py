@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from ._base import U64, pack_sorted, parts, release, trimmed, unpack_sorted
+from ._base import U64, pack_sorted, parts, release, trimmed, unpack, unpack_sorted
+from ._base import pack as _pack
 
 DEPTH, ROW_BITS, BLOCK_BITS = 2, 28, 22
 FLUSH = 2_000_000
@@ -24,6 +25,31 @@ _MULT = (0x8CB92BA72F3D8DD7, 0xD2B74407B1CE6E93)
 SCHEMA = pa.schema([("block", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
 
 
+class Marks:
+    """The bits of a merged sketch, compressed by block; a process opens them once, where they are used."""
+
+    def __init__(self, blocks: dict[int, bytes], depth: int):
+        self.blocks, self.depth = blocks, depth
+        self._bits: np.ndarray | None = None
+
+    def __getstate__(self):
+        if self._bits is not None:
+            raise ValueError("marks are sent before they are opened")
+        return self.blocks, self.depth
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def bits(self) -> np.ndarray:
+        if self._bits is None:
+            n = 1 << (BLOCK_BITS - 3)
+            self._bits = np.zeros(self.depth << (ROW_BITS - 3), np.uint8)
+            for block, packed in self.blocks.items():
+                self._bits[block * n : (block + 1) * n] = unpack(packed, np.uint8)
+            self.blocks = {}
+        return self._bits
+
+
 def counters(h: np.ndarray, row: int) -> np.ndarray:
     return ((h * U64(_MULT[row])) >> U64(64 - ROW_BITS)).astype(np.uint32)
 
@@ -52,7 +78,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, seen, more = None, None, None
 
     def done():
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(more).tobytes()], pa.binary()), pa.array([b""], pa.binary())], schema=SCHEMA)
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_pack(np.packbits(more))], pa.binary()), pa.array([b""], pa.binary())], schema=SCHEMA)
 
     for batch in batches:
         for block, once, twice in zip(*(c.to_pylist() for c in batch.columns)):
@@ -85,19 +111,15 @@ def repeated(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[
     kind = "block int, once binary, more binary"
     made = df.mapInArrow(trimmed(sketch), kind)
     merged = made.repartition(parts(df.sparkSession), "block").sortWithinPartitions("block").mapInArrow(trimmed(_merge), kind)
-    n = 1 << (BLOCK_BITS - 3)
-    bits = np.zeros(depth << (ROW_BITS - 3), np.uint8)
-    r = None
-    for r in merged.select("block", "once").collect():
-        bits[r.block * n : (r.block + 1) * n] = np.frombuffer(r.once, np.uint8)
-    held = df.sparkSession.sparkContext.broadcast(bits)
-    del bits, r
+    blocks = {r.block: bytes(r.once) for r in merged.select("block", "once").collect()}
+    held = df.sparkSession.sparkContext.broadcast(Marks(blocks, depth))
     release()
     return held
 
 
-def maybe_repeated(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def maybe_repeated(marks: Marks, h: np.ndarray) -> np.ndarray:
     """Whether each key may occur twice or more: never false for one that does."""
+    bits = marks.bits()
     out = np.ones(len(h), bool)
     for row in range(len(bits) >> (ROW_BITS - 3)):
         at = counters(h, row)

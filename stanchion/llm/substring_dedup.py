@@ -33,7 +33,7 @@ from . import _sketch
 from ._base import MULT, U64, WHITE, chunks, cuts, ids_of, pack, pack_sorted, parts, small_batches, strings, trimmed, unpack, unpack_sorted, windows, words_of, xxhash64
 
 WINDOW = 20
-FLUSH = 1_000_000
+FLUSH = 500_000
 _WORD = ~WHITE
 _HASHED = "bucket int, kind int, h1 binary, h2 binary, doc binary, start binary"
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._base import LOWER, chunks, drop, keep, pack, pack_sorted, parts, small_batches, strings, trimmed, unpack, unpack_sorted
+from ._base import LOWER, chunks, drop, keep, pack, pack_sorted, parts, release, small_batches, strings, trimmed, unpack, unpack_sorted
 
 GRAMS, BITS, FEATURES = (3, 4, 5), 22, 2048
 #: At most so many labelled rows of each label are learned from.
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sample = keep(text.join(chosen, "id").select("id", "text", "y"), "labelled")
 
-    n, rows = np.zeros((2, 1 << BITS)), np.zeros(2)
+    n, rows = np.zeros((2, 1 << BITS), np.uint32), np.zeros(2)
     few_parts = min(8, parts(docs.sparkSession))
     for r in sample.select("text", "y").coalesce(few_parts).mapInArrow(trimmed(_counts), "label int, rows long, places binary, counts binary").collect():
         rows[r.label] += r["rows"]
@@ -137,12 +137,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not rows.all():
         drop(sample)
         return None
-    q, p = n
-    ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
+    total = n.sum(1, dtype=np.float64) + n.shape[1]
+    seen = np.flatnonzero(n[0] + n[1] >= 3)
+    q, p = n[:, seen].astype(np.float64)
+    del n
+    ratio = np.log((p + 1) / total[1]) - np.log((q + 1) / total[0])
     share = (p + q) / rows.sum()
-    apart = (p / rows[1] - q / rows[0]) ** 2 / np.maximum(share * (1 - share), 1e-12) * (p + q >= 3)
+    apart = (p / rows[1] - q / rows[0]) ** 2 / np.maximum(share * (1 - share), 1e-12)
     best = np.argsort(-apart, kind="stable")[:FEATURES]
     best = np.sort(best[apart[best] > 0])
+    ratio, best = ratio[best], seen[best]
     table = np.full(1 << BITS, -1, np.int16)
     table[best] = np.arange(len(best))
 
@@ -160,8 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drop(sample)
     features = [unpack(r.features, np.uint16).astype(np.int64) for r in got]
     doc = np.repeat(np.arange(len(got)), [len(x) for x in features])
-    w, b = _fit(doc, np.concatenate(features), ratio[best], np.array([r.y for r in got], float))
-    return Model(table, w * ratio[best], b)
+    w, b = _fit(doc, np.concatenate(features) if features else np.empty(0, np.int64), ratio, np.array([r.y for r in got], float))
+    release()
+    return Model(table, w * ratio, b)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

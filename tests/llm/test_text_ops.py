@@ -73,16 +73,15 @@ def test_sketch_loses_nothing():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 5000).astype(np.uint64)
     h[2500:2600] = h[:100]
-    bits = np.zeros(_sketch.DEPTH << (_sketch.ROW_BITS - 3), np.uint8)
+    blocks = {}
     batches = [b for a in (0, 2500) for b in [_sketch._emit([h[a : a + 2500]], _sketch.DEPTH)]]
     import pyarrow as pa
 
     table = pa.Table.from_batches(batches).sort_by("block").to_batches()
-    n = 1 << (_sketch.BLOCK_BITS - 3)
     for out in _sketch._merge(iter(table)):
         r = out.to_pylist()[0]
-        bits[r["block"] * n : (r["block"] + 1) * n] = np.frombuffer(r["once"], np.uint8)
-    on = _sketch.maybe_repeated(bits, h)
+        blocks[r["block"]] = r["once"]
+    on = _sketch.maybe_repeated(_sketch.Marks(blocks, _sketch.DEPTH), h)
     assert on[:100].all() and on[2500:2600].all() and on.sum() < 260
 
 
