@@ -8,10 +8,10 @@ hashes) with their postings in document order. A query is a bag of distinct term
 In a shard, documents stand in blocks of BLOCK. For each term and block the largest impact is
 kept, and their weighted sum bounds every score in the block. A query scores the blocks of highest
 bound first; its k-th best score so far is a threshold, and blocks whose bound is below it are
-never scored. Each shard gives its k best, and merging these by score is exact, as all shards use
-the same statistics.
+never scored. A task's shards hand the threshold on. Each task gives its k best, and merging these
+by score is exact, as all use the same statistics.
 
-Queries go round in blocks of QUERY_BLOCK, so what is broadcast is bounded by their texts.
+Queries go round in blocks of about QUERY_TERMS terms, the bound of what is broadcast.
 
 Defined results: null or blank text matches nothing and, as a query, returns nothing; only
 documents with a positive score are returned; a query's own id is no answer to it; ties go to the
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._base import LOWER, U64, chunks, drop, ids_of, keep, pack, pack_sorted, ragged, small_batches, strings, trimmed, unpack, unpack_sorted, words_of
 from ._counts import count_keys, read
 
-K1, B, BLOCK, SHARD_TERMS, QUERY_BLOCK = 1.2, 0.75, 64, 1_500_000, 1024
+K1, B, BLOCK, SHARD_TERMS, QUERY_TERMS = 1.2, 0.75, 64, 2_500_000, 1_000_000
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
 _NULL = np.iinfo(np.int64).max
@@ -87,55 +87,68 @@ class Shard:
     def __init__(self, ids, lengths, terms, df, docs, tfs, mean_length: float):
         self.ids = unpack(ids, np.int64)
         length = unpack(lengths, np.uint32).astype(np.float64)
+        scale = K1 * (1 - B + B * length / max(mean_length, 1e-9))
         self.terms = unpack_sorted(terms, U64)
         df = unpack(df, np.uint32).astype(np.int64)
-        self.docs = unpack(docs, np.uint32).astype(np.int64)
+        self.docs = unpack(docs, np.uint32).astype(np.int32)
         tf = unpack(tfs, np.uint32).astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.docs] / max(mean_length, 1e-9)))
-        term = np.repeat(np.arange(len(df)), df)
+        self.impact = tf * (K1 + 1) / (tf + scale[self.docs])
+        del tf
+        self.at = np.concatenate(([0], np.cumsum(df)))  # postings of each term
         block = self.docs // BLOCK
         self.blocks = -(-len(self.ids) // BLOCK)
         n = len(self.docs)
         cut = np.ones(n, bool)
-        cut[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        at = np.flatnonzero(cut)
-        self.run_start = at
-        self.run_size = np.diff(np.append(at, n))
-        self.run_block = block[at]
-        self.run_max = np.maximum.reduceat(self.impact, at) if n else np.empty(0)
-        self.run_of = np.searchsorted(at, np.concatenate(([0], np.cumsum(df))))  # runs of each term
-
-    def best(self, terms: np.ndarray, idf: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the k best, and how many blocks were scored. terms ascend."""
-        at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
-        on = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        cut[1:] = block[1:] != block[:-1]
+        cut[self.at[:-1]] = True
+        self.run_start = np.flatnonzero(cut)
+        self.run_size = np.diff(np.append(self.run_start, n)).astype(np.int32)
+        self.run_block = block[self.run_start]
+        self.run_max = np.maximum.reduceat(self.impact, self.run_start) if n else np.empty(0)
+        self.run_of = np.searchsorted(self.run_start, self.at)  # runs of each term
+
+    def best(self, terms: np.ndarray, idf: np.ndarray, own: int, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The k best so far (ids, scores) and of this shard, and how many blocks were scored. terms ascend."""
+        if not len(self.terms):
+            return ids, scores, 0
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        on = self.terms[at] == terms
         at, idf = at[on], idf[on]
         lo, n = self.run_of[at], self.run_of[at + 1] - self.run_of[at]
         runs = ragged(lo, n)
-        weight = np.repeat(idf, n)
-        bound = np.bincount(self.run_block[runs], weight * self.run_max[runs], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        ids, scores, done, step = np.empty(0, np.int64), np.empty(0), 0, 4
-        while done < len(order):
-            if len(scores) >= k and bound[order[done]] < scores[k - 1] * (1 - 1e-9):
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[done : done + step]] = True
-            done += step
-            step *= 2
-            pick = chosen[self.run_block[runs]]
-            r, w = runs[pick], weight[pick]
+        blocks = self.run_block[runs]
+        bound = np.bincount(blocks, np.repeat(idf, n) * self.run_max[runs], self.blocks)
+        scored = np.zeros(self.blocks, bool)
+        if len(scores) < k:  # no threshold yet: the blocks of highest bound give one
+            few = min(self.blocks, max(4, self.blocks // 8))
+            scored[np.argpartition(-bound, few - 1)[:few]] = True
+            ids, scores = self._scored(scored, at, idf, runs, blocks, n, own, k, ids, scores)
+        rest = (bound > 0) & ~scored
+        if len(scores) >= k:
+            rest &= bound >= scores[k - 1] * (1 - 1e-9)
+        if rest.any():
+            ids, scores = self._scored(rest, at, idf, runs, blocks, n, own, k, ids, scores)
+        return ids, scores, int((scored | rest).sum())
+
+    def _scored(self, chosen, at, idf, runs, blocks, n, own, k, ids, scores):
+        if 2 * chosen.sum() > self.blocks:  # most blocks: whole lists, other blocks' scores are not looked at
+            size = self.at[at + 1] - self.at[at]
+            p, weight = ragged(self.at[at], size), np.repeat(idf, size)
+        else:
+            pick = chosen[blocks]
+            r = runs[pick]
             size = self.run_size[r]
-            p = ragged(self.run_start[r], size)
-            docs = self.docs[p]
-            s = np.bincount(docs, np.repeat(w, size) * self.impact[p], len(self.ids))
-            found = np.unique(docs)
-            found = found[(self.ids[found] != own) & (self.ids[found] != _NULL) & (s[found] > 0)]
-            ids, scores = np.concatenate((ids, self.ids[found])), np.concatenate((scores, s[found]))
-            top = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[top], scores[top]
-        return ids, scores, min(done, len(order))
+            p, weight = ragged(self.run_start[r], size), np.repeat(np.repeat(idf, n)[pick], size)
+        s = np.bincount(self.docs[p], weight * self.impact[p], len(self.ids))
+        least = scores[k - 1] if len(scores) >= k else 0.0
+        found = np.flatnonzero((s > 0) & (s >= least))
+        found = found[chosen[found // BLOCK] & (self.ids[found] != own) & (self.ids[found] != _NULL)]
+        if len(found) > k:
+            edge = np.partition(s[found], len(found) - k)[len(found) - k]
+            found = found[s[found] >= edge]
+        ids, scores = np.concatenate((ids, self.ids[found])), np.concatenate((scores, s[found]))
+        top = np.lexsort((ids, -scores))[:k]
+        return ids[top], scores[top]
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,12 +176,22 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
 
     frequency = count_keys(index.select("terms", "df"), counted)
     # of several rows with one id, the least text asks
+    # of several rows with one id, the least text asks
     rows = pick(queries).filter("id is not null").groupBy("id").agg(F.min("text").alias("text")).toLocalIterator()
-    found = []
-    while block := [r for _, r in zip(range(QUERY_BLOCK), rows)]:
-        asked = _bags_of(block)
+    found, held, terms = [], [], 0
+
+    def ask(asked: list[tuple[int, np.ndarray]]) -> None:
         idf = _idf(frequency, np.unique(np.concatenate([t for _, t in asked])), n)
         found.append(_round(index, [(q, t, idf(t)) for q, t in asked], mean, k))
+
+    for r in rows:
+        held += _bags_of([r])
+        terms += len(held[-1][1])
+        if terms >= QUERY_TERMS:
+            ask(sorted(held, key=lambda x: x[0]))
+            held, terms = [], 0
+    if held:
+        ask(sorted(held, key=lambda x: x[0]))
     drop(frequency)
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
@@ -211,13 +234,15 @@ def _round(index: DataFrame, asked: list[tuple[int, np.ndarray, np.ndarray]], me
     held = index.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, np.int64), np.empty(0)
+        best = [none] * len(held.value)  # of all the task's shards: each begins with the threshold of those before it
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 shard = Shard(*row, mean)
-                got = [(q, *shard.best(t, w, q, k)[:2]) for q, t, w in held.value]
-                q = np.repeat([x[0] for x in got], [len(x[1]) for x in got])
-                cols = [q.astype(np.int64), np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "doc_id", "score"])
+                best = [shard.best(t, w, q, k, *b)[:2] for (q, t, w), b in zip(held.value, best)]
+        q = np.repeat([q for q, _, _ in held.value], [len(i) for i, _ in best])
+        cols = [q.astype(np.int64), np.concatenate([i for i, _ in best]), np.concatenate([x for _, x in best])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "doc_id", "score"])
 
     out = keep(index.mapInArrow(trimmed(run), "query_id long, doc_id long, score double"), "found")
     held.unpersist()

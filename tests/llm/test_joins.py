@@ -145,7 +145,7 @@ def test_text_search(spark, monkeypatch):
 
     monkeypatch.setattr(T, "SHARD_TERMS", 400)
     monkeypatch.setattr(T, "BLOCK", 4)
-    monkeypatch.setattr(T, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(T, "QUERY_TERMS", 300)
     rows = near_copies(8)
     df = docs_of(spark, rows).repartition(3)
     got = defaultdict(list)
