@@ -27,10 +27,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ._base import LOWER, chunks, drop, keep, pack, pack_sorted, parts, release, small_batches, strings, trimmed, unpack, unpack_sorted
 
-GRAMS, BITS, FEATURES = (3, 4, 5), 22, 2048
+GRAMS, BITS, FEATURES = (3, 4, 5), 22, 4096
 #: At most so many labelled rows of each label are learned from.
 SAMPLE = 10_000
-FOLDS, L2, STEPS = 5, 10.0, 300
+FOLDS, L2, STEPS = 5, 30.0, 300
 _P = np.uint32(0x01000193)
 _SPREAD = np.uint32(0x9E3779B1)
 
