@@ -270,6 +270,39 @@ def test_lm_scores(spark, monkeypatch):
     assert L.score(df, L.fit(df.limit(0), good.limit(0))).count() == len(rows)
 
 
+def test_lm_counts_every_word_and_bigram(spark, monkeypatch):
+    """More words than were once kept (60,000), in pieces of a few documents, against exact counts."""
+    from stanchion.llm import lm_score as L
+
+    monkeypatch.setattr(L, "PIECE", 20_000)
+    rng = random.Random(8)
+    texts = {i: [f"r{i}x{j}" if j % 3 else f"c{rng.randint(0, 30)}" for j in range(150)] for i in range(640)}
+    texts |= {700: [], 701: texts[5][::-1], 702: texts[5] + texts[9]}
+    df = docs_of(spark, [(i, " ".join(t) or None, "s") for i, t in texts.items()] + [(None, "c1 c2", "s")]).repartition(3)
+    texts[None] = ["c1", "c2"]
+    good = set(range(0, 640, 7)) | {702}
+    got = {r.doc_id: r for r in L.score(df, L.fit(df, spark.createDataFrame([(i,) for i in good], "doc_id long"))).collect()}
+    assert len(got) == len(texts) and len({x for t in texts.values() for x in t}) > 60_000
+    size = len({x for t in texts.values() for x in t}) + 2
+    pairs = {i: list(zip(["<s>"] + t, t)) for i, t in texts.items()}
+
+    def model(ids):
+        one, two = Counter(x for i in ids for x in texts[i]), Counter(x for i in ids for x in pairs[i])
+        h, total = Counter(a for i in ids for a, _ in pairs[i]), sum(len(texts[i]) for i in ids)
+        return lambda a, b: -math.log((two[a, b] + L.MU * (one[b] + 1) / (total + size)) / (h[a] + L.MU))
+
+    fb, ft = model(list(texts)), model(good)
+    for i, p in pairs.items():
+        r = got[i]
+        assert r.n_tokens == len(p) and (r.score is None) == (not p)
+        if p:
+            b, t = sum(fb(*x) for x in p) / len(p), sum(ft(*x) for x in p) / len(p)
+            assert math.isclose(r.loss_background, b, rel_tol=1e-9) and math.isclose(r.loss_target, t, rel_tol=1e-9) and math.isclose(r.score, t - b, abs_tol=1e-9), i
+    other = docs_of(spark, [(1, "never seen", "s")])
+    unseen = L.score(other, L.fit(df.limit(0), spark.createDataFrame([], "doc_id long"))).first()
+    assert unseen.n_tokens == 2 and math.isclose(unseen.loss_target, math.log(2)) and unseen.score == 0
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against what it should do to its own input, over a small fixture."""
     pytest.importorskip("public_tokenizers")
