@@ -113,6 +113,15 @@ def test_license_scan(spark, empty):
     assert license_scan(empty).count() == 0
 
 
+def test_license_line_in_a_third_of_the_rows(spark):
+    from stanchion.llm.license_scan import license_scan
+
+    rows = [(i, f"prose {i} licensed under CC BY 4.0." if i % 3 == 0 else f"prose {i} of a row") for i in range(3900)]
+    got = {r.doc_id: r for r in license_scan(docs_of(spark, rows).repartition(2)).collect()}
+    assert all((r.labels, r.score) == (("cc-by,cc-by-4.0", 1.0) if i % 3 == 0 else ("", 0.0)) for i, r in got.items())
+    assert [tuple(x) for x in got[3].spans] == [("cc-by-4.0", 2, 8, 1.0)]
+
+
 def test_toxicity(spark, empty):
     from stanchion.llm.toxicity import held_out, score, train
 
