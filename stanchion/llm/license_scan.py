@@ -1,11 +1,11 @@
 """License scan: a positional rare-token index over licence notices.
 
-Each notice is a sequence of words. A document's occurrences of licence words are found in
-one pass; its RARE words of highest inverse document frequency (counted over the whole
-corpus) are looked up in the notices' postings, and postings agree where position in the
-document minus position in the notice is the same. At each such alignment the whole notice
-is compared with the document, weighted by frequency; a notice is reported where enough of
-it stands and each of its key phrases stands in full within its reach.
+Each notice is a sequence of words, weighted by inverse document frequency (counted over the
+whole corpus), and is reported where ENOUGH of its weight stands in place and each of its key
+phrases stands in full within its reach. A notice is looked up by its rarest places: the
+fewest that hold more than 1 - ENOUGH of its weight, so that no alignment with enough of it
+misses them all. Every alignment where one of them stands is compared with the whole notice,
+whatever else the document holds.
 
 Besides, the base phrases are found wherever their words stand consecutively.
 
@@ -51,7 +51,9 @@ NOTICES: list[tuple[str, str, list[str]]] = [
     ("cc0-1.0", "creative commons cc0 1 0 universal public domain dedication", ["cc0 1 0"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
 ]
-RARE, ENOUGH, SLACK = 12, 0.6, 3
+ENOUGH, SLACK = 0.6, 3
+#: Alignments that are compared at once.
+BLOCK = 1 << 16
 #: As if so many documents without any licence word had been seen too: in a small corpus of licences their words are still rare.
 PRIOR = 1000
 
@@ -69,16 +71,12 @@ def _lowered(column: pa.Array):
 
 
 class Index:
-    """Postings of licence words: for word w, (notice, position) are its places."""
+    """Hashes of notices, key phrases, base phrases, and of all words of notices."""
 
     def __init__(self, notices=NOTICES, base=BASE):
         self.notices = [(label, hash_words(text), [hash_words(k) for k in keys]) for label, text, keys in notices]
         self.base = [(label, hash_words(phrase)) for phrase, label in base.items()]
         self.words = np.unique(np.concatenate([h for _, h, _ in self.notices]))
-        self.at: list[list[tuple[int, int]]] = [[] for _ in self.words]
-        for t, (_, h, _) in enumerate(self.notices):
-            for q, w in enumerate(np.searchsorted(self.words, h)):
-                self.at[w].append((t, q))
         self.tail = np.zeros(1 << 16, bool)
         self.tail[(self.words & U64(0xFFFF)).astype(np.int64)] = True
 
@@ -116,33 +114,41 @@ def document_counts(base: DataFrame, index: Index) -> tuple[int, np.ndarray]:
     return total, df
 
 
-def match(index: Index, idf: np.ndarray, own: np.ndarray, at: np.ndarray, w: np.ndarray) -> list[tuple[str, int, int, float]]:
-    """Notices in one document: own are its word hashes, at and w its licence words' places and numbers."""
-    rare = np.unique(w)
-    rare = rare[np.argsort(-idf[rare], kind="stable")][:RARE]
-    votes: dict[tuple[int, int], float] = {}
-    for p, x in zip(at.tolist(), w.tolist()):
-        if x in rare:
-            for t, q in index.at[x]:
-                votes[t, p - q] = votes.get((t, p - q), 0.0) + idf[x]
-    best: dict[str, tuple[str, int, int, float]] = {}
-    for (t, d), mass in votes.items():
-        label, h, keys = index.notices[t]
-        weight = idf[np.searchsorted(index.words, h)]
-        whole = weight.sum()
-        if mass < ENOUGH * np.sort(weight)[::-1][:RARE].sum() / 2:
-            continue
-        lo, hi = max(0, d), min(len(own), d + len(h))
-        same = own[lo:hi] == h[lo - d : hi - d]
-        score = float(weight[lo - d : hi - d][same].sum() / whole) if whole > 0 else 0.0
-        if score < ENOUGH:
-            continue
-        reach = own[max(0, d - SLACK) : d + len(h) + SLACK]
-        if all(any((reach[i : i + len(k)] == k).all() for i in range(len(reach) - len(k) + 1)) for k in keys):
-            found = (label, lo, hi, round(score, 6))
-            if label not in best or (-found[3], found[1]) < (-best[label][3], best[label][1]):
-                best[label] = found
-    return sorted(best.values())
+def rarest(weight: np.ndarray) -> np.ndarray:
+    """The fewest places of a notice without which less than ENOUGH of its weight is left."""
+    order = np.argsort(-weight, kind="stable")
+    left = weight.sum() - np.cumsum(weight[order])
+    return order[: 1 + int(np.argmax(left < ENOUGH * weight.sum() * (1 - 1e-9)))]
+
+
+def match(index: Index, idf: np.ndarray, h: np.ndarray, first: np.ndarray) -> list[list[tuple[str, int, int, float]]]:
+    """Notices in each document: h are the word hashes of all, first[i]:first[i+1] those of document i."""
+    best: list[dict[str, tuple[str, int, int, float]]] = [{} for _ in first[1:]]
+    at, w = index.occurrences(h)
+    order = np.argsort(w, kind="stable")
+    at, c = at[order], np.searchsorted(w[order], np.arange(len(index.words) + 1))
+    for label, notice, keys in index.notices:
+        number = np.searchsorted(index.words, notice)
+        weight, n = idf[number], len(notice)
+        places = [(at[c[number[q]] : c[number[q] + 1]], q) for q in rarest(weight)]
+        doc = np.concatenate([np.searchsorted(first, p, "right") - 1 for p, _ in places])
+        # an alignment may begin before its document; the document tells it from that of the one before
+        found = np.unique(np.stack((doc, np.concatenate([p - q for p, q in places])), 1), axis=0)
+        for s in range(0, len(found), BLOCK):
+            doc, d = found[s : s + BLOCK].T
+            place = d[:, None] + np.arange(n)
+            within = (place >= first[doc][:, None]) & (place < first[doc + 1][:, None])
+            same = within & (h[np.clip(place, 0, len(h) - 1)] == notice)
+            scores = (same * weight).sum(axis=1) / weight.sum()
+            for i in np.flatnonzero(scores >= ENOUGH):
+                f, e = int(first[doc[i]]), int(first[doc[i] + 1])
+                lo, hi = max(f, int(d[i])), min(e, int(d[i]) + n)
+                reach = h[max(f, int(d[i]) - SLACK) : min(e, int(d[i]) + n + SLACK)]
+                if all(any((reach[j : j + len(k)] == k).all() for j in range(len(reach) - len(k) + 1)) for k in keys):
+                    one, held = (label, lo - f, hi - f, round(float(scores[i]), 6)), best[doc[i]]
+                    if label not in held or (-one[3], one[1]) < (-held[label][3], held[label][1]):
+                        held[label] = one
+    return [sorted(x.values()) for x in best]
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices=NOTICES, base_phrases=BASE) -> DataFrame:
@@ -175,14 +181,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     np.maximum.at(last, doc, place)
                     for d in np.unique(doc):
                         labels[d].add(label)
-                at, w = index.occurrences(h)
-                doc = np.searchsorted(words.first, at, "right") - 1
-                c = np.searchsorted(doc, np.arange(len(n) + 1))
-                spans: list[list] = [[] for _ in n]
-                for d in np.unique(doc):
-                    s = slice(c[d], c[d + 1])
-                    f = words.first[d]
-                    spans[d] = match(index, idf, h[f : words.first[d + 1]], at[s] - f, w[s])
+                spans = match(index, idf, h, words.first)
                 scores = [max((x[3] for x in s), default=1.0 if b else 0.0) for s, b in zip(spans, labels)]
                 yield pa.RecordBatch.from_arrays(
                     [

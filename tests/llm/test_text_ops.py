@@ -122,6 +122,39 @@ def test_license_line_in_a_third_of_the_rows(spark):
     assert [tuple(x) for x in got[3].spans] == [("cc-by-4.0", 2, 8, 1.0)]
 
 
+def test_license_notices_however_many(spark):
+    """All notices in one document, notices in prose full of rare licence words, and damaged ones, against brute force."""
+    from stanchion.llm import license_scan as L
+
+    rng = random.Random(9)
+    licence = sorted({x for _, t, _ in L.NOTICES for x in t.split()})
+    whole = [t for _, t, _ in L.NOTICES]
+    rows = [(0, " ".join(whole)), (1, " / ".join(whole[::-1])), (2, " ".join(rng.choice(licence + ["prose"]) for _ in range(3000)) + " " + whole[0])]
+    for i in range(3, 60):
+        words = [rng.choice(VOCAB) for _ in range(10)]
+        for t in rng.sample(whole, rng.randint(0, 3)):
+            words += [rng.choice(VOCAB) if rng.random() < 0.12 else x for x in t.split()][rng.choice([0, 0, 1]) :] + rng.sample(licence, rng.randint(0, 9))
+        rows.append((i, " ".join(words)))
+    rows += [(i, "the of a is under this") for i in range(60, 100)] + [(100, " ".join(whole[0].split()[2:])), (101, "licensed under the")]
+    got = {r.doc_id: r for r in L.license_scan(docs_of(spark, rows).repartition(2)).collect()}
+    texts = {i: t.translate(LOWER).replace("/", " ").split() for i, t in rows}
+    idf = {x: np.log((len(rows) + L.PRIOR) / (sum(x in t for t in map(set, texts.values())) + 1)) for x in licence}
+    for i, w in texts.items():
+        best = {}
+        for label, text, keys in L.NOTICES:
+            t = text.split()
+            total = sum(idf[x] for x in t)
+            for d in range(1 - len(t), len(w)):
+                score = sum(idf[x] for q, x in enumerate(t) if 0 <= d + q < len(w) and w[d + q] == x) / total
+                reach = f" {' '.join(w[max(0, d - L.SLACK) : d + len(t) + L.SLACK])} "
+                if score >= L.ENOUGH and all(f" {k} " in reach for k in keys):
+                    one = (round(-score, 6), max(0, d), min(len(w), d + len(t)))
+                    if label not in best or one[:2] < best[label][:2]:
+                        best[label] = one
+        assert [(x.label, round(-x.score, 6), x.start, x.end) for x in got[i].spans] == [(k, *best[k]) for k in sorted(best)], i
+    assert {x.label for x in got[0].spans} == {x for x, _, _ in L.NOTICES} and "apache-2.0" in got[2].labels
+
+
 def test_toxicity(spark, empty):
     from stanchion.llm.toxicity import held_out, score, train
 
