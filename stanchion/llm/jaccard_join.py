@@ -24,6 +24,9 @@ Data flow:
     components are compared with all members of the groups that hang together with theirs, in
     blocks, by sketch and then exactly, and components are formed again.
 
+Only components are computed, which these steps keep exact. Links are not enumerated: a pair whose
+ends are connected by then is not verified, so there is no count of a document's links.
+
 Defined results: null or blank text has an empty set and is linked with nothing; rows that
 share an id count as one document; a null id has no component (null) and links to nothing.
 """
