@@ -8,7 +8,7 @@ hashes) with their postings in document order. A query is a bag of distinct term
 In a shard, documents stand in blocks of BLOCK. For each term and block the largest impact is
 kept, and their weighted sum bounds every score in the block. A query scores the blocks of highest
 bound first; its k-th best score so far is a threshold, and blocks whose bound is below it are
-never scored. A task's shards hand the threshold on. Each task gives its k best, and merging these
+never scored. This is not WAND: no pivots are selected and no cursors skip. A task's shards hand the threshold on. Each task gives its k best, and merging these
 by score is exact, as all use the same statistics.
 
 Queries go round in blocks of about QUERY_TERMS terms, the bound of what is broadcast.
