@@ -20,22 +20,21 @@ def within(query: DataFrame, reference: DataFrame, radius: int, hash_: str = "ha
     return met.select("query", "reference", "distance").distinct()
 
 
-def within_words(query: DataFrame, reference: DataFrame, radius: int, words: list[str], by: str = "stem", bound: int = 100_000) -> DataFrame:
-    """The same for fingerprints in several columns and any radius, by comparing all with all; the reference must hold at most
-    `bound` rows, which is checked, as it is broadcast."""
-    n = reference.limit(bound + 1).count()
-    if n > bound:
+def within_words(query: DataFrame, reference: DataFrame, radius: int, words: list[str], by: str = "stem", bound: int | None = None) -> DataFrame:
+    """The same for fingerprints in several columns and any radius, by comparing all with all. A small side is broadcast;
+    otherwise each partition of the one meets each of the other. With a `bound`, more reference rows are an error."""
+    if bound is not None and reference.limit(bound + 1).count() > bound:
         raise ValueError(f"more than {bound} reference rows; use within() with a small radius")
     a = query.select(F.col(by).alias("query"), *(F.col(w).alias(f"q_{w}") for w in words))
     b = reference.select(F.col(by).alias("reference"), *(F.col(w).alias(f"r_{w}") for w in words))
     far = F.lit(0)
     for w in words:
         far = far + B.hamming(F.col(f"q_{w}"), F.col(f"r_{w}"))
-    return a.join(F.broadcast(b), far <= radius).select("query", "reference", far.alias("distance"))
+    return a.join(b, far <= radius).select("query", "reference", far.alias("distance"))
 
 
-def nearest(query: DataFrame, reference: DataFrame, words: list[str], by: str = "stem", bound: int = 100_000) -> DataFrame:
-    """(query, distance): least distance to any reference row. No radius bounds it, so all are compared, under the same check."""
+def nearest(query: DataFrame, reference: DataFrame, words: list[str], by: str = "stem", bound: int | None = None) -> DataFrame:
+    """(query, distance): least distance to any reference row. No radius bounds it, so all are compared, as above."""
     every = within_words(query, reference, 64 * len(words), words, by, bound)
     return every.groupBy("query").agg(F.min("distance").alias("distance"))
 

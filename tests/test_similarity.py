@@ -31,6 +31,25 @@ def test_bands_against_all_pairs(spark, radius):
     assert sorted(map(tuple, words.collect())) == want
 
 
+def test_many_references(spark):
+    """More than 100,000 rows, with and without a side that is broadcast, against plain integers."""
+    from pyspark.sql import functions as F
+
+    r = spark.range(100_001).select(F.col("id").alias("stem"), (F.col("id") * 2654435761).alias("hash"))
+    q = spark.createDataFrame([(1, 0), (2, 7 * 2654435761), (3, -1)], "stem long, hash long")
+    far = {(i, j): ((h ^ j * 2654435761) & (1 << 64) - 1).bit_count() for i, h in ((1, 0), (2, 7 * 2654435761), (3, -1)) for j in range(100_001)}
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in (kept, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            got = similarity.within_words(q, r, 14, ["hash"]).collect()
+            near = similarity.nearest(q, r, ["hash"]).collect()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        assert {(x.query, x.reference): x.distance for x in got} == {k: n for k, n in far.items() if n <= 14} and len(got) > 3
+        assert {x.query: x.distance for x in near} == {i: min(far[i, j] for j in range(100_001)) for i in (1, 2, 3)}
+
+
 def test_bound_is_checked(spark):
     p = prints(spark, {"a": 1, "b": 2})
     with pytest.raises(ValueError):
