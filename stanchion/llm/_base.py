@@ -219,14 +219,22 @@ def cuts(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir).
+    """A new path in the folder that all executors share (spark.checkpoint.dir), in one that is this application's own.
 
-    Only where that is unset, as in tests on one machine, a folder beside the warehouse serves.
+    Only on one machine, where that is unset as in tests, a folder beside the warehouse serves.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{top.rstrip('/')}/stanchion/{name}-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/stanchion/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all tables that keep() has made in this application: call it when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark, "x")).getParent()
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

@@ -16,13 +16,13 @@ Data flow:
     with anything is done (nothing is lost: estimates are never too low);
  2. the others: sets, equal sets collapse into a class that its smallest id stands for (a task
     sends each set once, unless it meets it under a smaller id);
- 3. block signatures -> buckets count them -> those shared travel back by document group ->
-    each document selects -> buckets form candidate pairs (small groups: all pairs; larger
-    ones: pairs with a few members, stars);
+ 3. block signatures go in pieces to hash buckets and bring back each token's count and smallest id; each document
+    chooses its tokens, and is compared with the smallest ids of these (stars);
  4. pairs pass 1024-bit parity sketches (Hamming bound), then exact intersection;
- 5. components by star contraction; members of a large group that the stars left in other
-    components are compared with all members of the groups that hang together with theirs, in
-    blocks, by sketch and then exactly, and components are formed again.
+ 5. components by star contraction;
+ 6. a token whose documents, without its star, are all in one component is done, and so goes without any of its pairs
+    being listed. Documents of the other tokens are compared across components, in cells of a bounded size, by sketch
+    and then exactly; a cell gives only links that connect components. Then components are formed again.
 
 Only components are computed, which these steps keep exact. Links are not enumerated: a pair whose
 ends are connected by then is not verified, so there is no count of a document's links.
@@ -43,17 +43,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _sketch
-from ._base import LOWER, MULT, U64, WHITE, chunks, cuts, drop, ids_of, keep, mix, pack, pack_sorted, parts, range_hash, small_batches, strings, trimmed, unpack, unpack_sorted, windows, words_of, xxhash64
+from ._ask import ask, grouped, hear, opened, sized
+from ._base import LOWER, MULT, U64, WHITE, chunks, drop, keep, mix, parts, ragged, range_hash, small_batches, strings, trimmed, windows, words_of, xxhash64
 from .components import components
 
 SHINGLE, NUM, DEN = 5, 75, 100
-#: Up to so many members, a bucket group's pairs are all formed; larger ones go by stars around so many members.
-SMALL, STARS, FLUSH, PAIRS = 24, 4, 500_000, 500_000
+#: Tokens of a piece of sets; sets and shingles on either side of a cell of comparisons.
+PIECE, CELL, ITEMS = 500_000, 4096, 2_000_000
 #: Bits of the dense sketches, and the columns that hold them.
 BITS = 1024
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
 _WORD = ~WHITE
-_NULL = np.iinfo(np.int64).max
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -102,18 +102,19 @@ def _sets(shingle: int, num: int, den: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: dict[tuple[int, int], int] = {}
         for batch in batches:
-            ids = ids_of(batch.column(0))
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy()
             for lo, h, bounds in shingle_sets(batch.column(1), shingle):
                 n = np.diff(bounds)
-                doc = ids[lo : lo + len(n)]
+                doc, valid = ids[lo : lo + len(n)], known[lo : lo + len(n)]
                 again = _sums(_sketch.maybe_repeated(bits.value, h).astype(np.int64), bounds)
-                lives = (n > 0) & (den * again >= num * n) & (doc != _NULL)
+                lives = (n > 0) & (den * again >= num * n) & valid
                 k1 = _sums(mix(h ^ U64(0x1B873593)), bounds).view(np.int64)
                 k2 = _sums(mix(h ^ U64(0x85EBCA6B00000001)), bounds).view(np.int64)
                 at = []
                 for i in np.flatnonzero(lives):
                     key = int(k1[i]), int(k2[i])
-                    if told.get(key, _NULL) > doc[i]:
+                    if key not in told or told[key] > doc[i]:
                         if len(told) >= _REMEMBERED:
                             told.clear()
                         told[key] = int(doc[i])
@@ -122,8 +123,8 @@ def _sets(shingle: int, num: int, den: int, bits):
                 items = [h[bounds[i] : bounds[i + 1]].tobytes() for i in at]
                 kind = np.concatenate((np.zeros(len(n), np.int32), np.ones(len(at), np.int32)))
                 every = np.concatenate((np.arange(len(n)), at))
-                part = np.concatenate((xxhash64(doc), k1[at]))
-                cols = [pa.array(kind), pa.array(part), pa.array(doc[every], mask=doc[every] == _NULL), pa.array(n[every]), pa.array(k1[every]), pa.array(k2[every]), pa.array([None] * len(n) + items, pa.binary())]
+                part = np.concatenate((xxhash64(doc ^ np.arange(len(doc))), k1[at]))
+                cols = [pa.array(kind), pa.array(part), pa.array(doc[every], mask=~valid[every]), pa.array(n[every]), pa.array(k1[every]), pa.array(k2[every]), pa.array([None] * len(n) + items, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["kind", "part", "doc", "n", "k1", "k2", "items"])
 
     return run
@@ -179,204 +180,67 @@ def tokens(h: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, int]
         yield tok, spare
 
 
-def _signatures(n_buckets: int, n_groups: int, num: int, den: int):
-    """Tokens by bucket (kind 0), and sizes and allowances by document group (kind 1)."""
+def _looked_up(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """For each piece of sets: its stars (kind 0: a, b), and what is left to compare (kind 1: packed seats; kind 2: sizes as a and ids as b)."""
 
-    def flush(toks, docs, info):
-        tok, doc = np.concatenate(toks), np.concatenate(docs)
-        order = np.argsort(tok)
-        tok, doc = tok[order], doc[order]
-        c = cuts((tok >> U64(32)) * U64(n_buckets) >> U64(32), n_buckets)
-        rows = [(b, 0, pack_sorted(tok[c[b] : c[b + 1]]), pack(doc[c[b] : c[b + 1]])) for b in range(n_buckets) if c[b + 1] > c[b]]
-        info = np.array(info, np.int64)
-        g = xxhash64(info[:, 0]) % n_groups
-        rows += [(int(x % n_buckets), 1, int(x).to_bytes(8, "little"), info[g == x].tobytes()) for x in np.unique(g)]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), pa.int32(), pa.binary(), pa.binary()])], ["bucket", "kind", "a", "b"])
+    def piece(held: list) -> tuple[np.ndarray, list[np.ndarray], bytes]:
+        doc, size, toks, spare = zip(*held)
+        n = np.array([len(t) for t in toks])
+        keys, place = np.unique(np.concatenate(toks), return_inverse=True)
+        low = np.full(len(keys), np.iinfo(np.int64).max)
+        np.minimum.at(low, place, np.repeat(np.array(doc, np.int64), n))
+        body = sized(np.array(doc, np.int64), np.array(size, np.int64), n, np.array(spare, np.int64), place.astype(np.uint32))
+        return keys, [np.bincount(place, minlength=len(keys)), low], body
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toks, docs, info, n = [], [], [], 0
+    def cut(batches: Iterator[pa.RecordBatch]):
+        held, n = [], 0
         for batch in batches:
-            for doc, items in zip(ids_of(batch.column(0)), batch.column(1).to_pylist()):
+            for doc, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = np.frombuffer(items, U64)
-                row = [int(doc), len(h), 0, 0]
                 for tok, spare in tokens(h, num, den):
-                    toks.append(tok)
-                    docs.append(np.full(len(tok), doc))
-                    row[2 + int(tok[0] & U64(1))] = spare
+                    held.append((doc, len(h), tok, spare))
                     n += len(tok)
-                info.append(row)
-            if n >= FLUSH:
-                yield flush(toks, docs, info)
-                toks, docs, info, n = [], [], [], 0
-        if n:
-            yield flush(toks, docs, info)
-
-    return run
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows sorted by their first column, one key's at a time."""
-    now, held = None, []
-    for batch in batches:
-        for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != now:
-                if held:
-                    yield now, held
-                now, held = key, []
-            held.append(row)
-    if held:
-        yield now, held
-
-
-def _by_token(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (token, doc) that share their token with another doc, in order, and each one's count of docs."""
-    tok = np.concatenate([unpack_sorted(a, U64) for a, _ in rows])
-    doc = np.concatenate([unpack(b, np.int64) for _, b in rows])
-    order = np.argsort(tok)
-    tok = tok[order]
-    same = np.zeros(len(tok), bool)
-    same[1:] = tok[1:] == tok[:-1]
-    same[:-1] |= same[1:]
-    tok, doc = tok[same], doc[order[same]]
-    order = np.lexsort((doc, tok))
-    tok, doc = tok[order], doc[order]
-    fresh = np.ones(len(tok), bool)
-    fresh[1:] = (tok[1:] != tok[:-1]) | (doc[1:] != doc[:-1])
-    tok, doc = tok[fresh], doc[fresh]
-    if not len(tok):
-        return tok, doc, np.empty(0, np.int64)
-    heads = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
-    count = np.diff(np.append(heads, len(tok)))
-    count = np.repeat(count, count)
-    many = count > 1
-    return tok[many], doc[many], count[many]
-
-
-def _counted(n_groups: int):
-    """Shared tokens with their counts, packed by document group."""
-
-    def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), pa.int32()] + [pa.binary()] * 3)], ["grp", "kind", "a", "b", "c"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in _runs(batches):
-            rows = [(int.from_bytes(a, "little"), 1, b, None, None) for kind, a, b in held if kind]
-            if got := [(a, b) for kind, a, b in held if not kind]:
-                tok, doc, count = _by_token(got)
-                g = xxhash64(doc) % n_groups
-                order = np.argsort(g, kind="stable")
-                tok, doc, count, g = tok[order], doc[order], count[order], g[order]
-                heads = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else []
-                rows += [(int(g[s]), 0, pack(tok[s:e]), pack(doc[s:e]), pack(count[s:e])) for s, e in zip(heads, [*heads[1:], len(g)])]
-            if rows:
-                yield out(rows)
-
-    return run
-
-
-def _selected(n_buckets: int):
-    """Each document leaves out its most frequent tokens as far as it may; the rest, packed by bucket, with its size."""
-
-    def flush(held):
-        tok, doc, size = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(tok)
-        tok, doc, size = tok[order], doc[order], size[order]
-        c = cuts((tok >> U64(32)) * U64(n_buckets) >> U64(32), n_buckets)
-        rows = [(b, pack_sorted(tok[s:e]), pack(doc[s:e]), pack(size[s:e])) for b, s, e in zip(range(n_buckets), c, c[1:]) if e > s]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 3)], ["bucket", "toks", "docs", "sizes"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for _, rows in _runs(batches):
-            info = np.concatenate([np.frombuffer(a, np.int64).reshape(-1, 4) for kind, a, _, _ in rows if kind])
-            got = [(unpack(a, U64), unpack(b, np.int64), unpack(c, np.int64)) for kind, a, b, c in rows if not kind]
-            if not got:
-                continue
-            # rows that share an id: the smaller allowance holds for all of them
-            info = info[np.argsort(info[:, 0], kind="stable")]
-            heads = np.flatnonzero(np.concatenate(([True], info[1:, 0] != info[:-1, 0])))
-            spare = np.minimum.reduceat(info[:, 2:], heads, axis=0)
-            least, most = np.minimum.reduceat(info[:, 1], heads), np.maximum.reduceat(info[:, 1], heads)
-            spare[least != most] = 0
-            tok, doc, count = (np.concatenate(x) for x in zip(*got))
-            order = np.lexsort((tok, -count, tok & U64(1), doc))
-            tok, doc = tok[order], doc[order]
-            parity = (tok & U64(1)).astype(np.int64)
-            fresh = np.ones(len(tok), bool)
-            fresh[1:] = (doc[1:] != doc[:-1]) | (parity[1:] != parity[:-1])
-            rank = np.arange(len(tok)) - np.maximum.accumulate(np.where(fresh, np.arange(len(tok)), 0))
-            at = np.searchsorted(info[heads, 0], doc)
-            on = rank >= spare[at, parity]
-            size = np.where(least[at] == most[at], least[at], 0)  # 0: several sizes, no bound
-            held.append((tok[on], doc[on], size[on]))
-            n += int(on.sum())
-            if n >= FLUSH:
-                yield flush(held)
-                held, n = [], 0
-        if n:
-            yield flush(held)
-
-    return run
-
-
-def _group_pairs(doc, size, heads, count, near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for m in np.unique(count[count <= SMALL]):
-        every = heads[count == m]
-        for lo in range(0, len(every), 100_000):
-            at = every[lo : lo + 100_000]
-            for i in range(m):
-                for j in range(i + 1, m):
-                    on = near(size[at + i], size[at + j])
-                    yield doc[at + i][on], doc[at + j][on]
-    for s, c in zip(heads[count > SMALL], count[count > SMALL]):
-        own, sizes = doc[s : s + c], size[s : s + c]
-        for turn in range(STARS):
-            lead = int(np.argmin(mix(own.astype(U64) + U64(turn)))) if turn else 0
-            on = near(sizes, sizes[lead]) & (own != own[lead])
-            yield np.minimum(own[on], own[lead]), np.maximum(own[on], own[lead])
-
-
-def _distinct(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    fresh = np.ones(len(a), bool)
-    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(np.zeros(int(fresh.sum()), np.int32)), pa.array(a[fresh]), pa.array(b[fresh])], ["kind", "a", "b"])
-
-
-def _pairs(num: int, den: int):
-    """Candidate pairs (kind 0), and the members of groups that went by stars (kind 1: token, doc)."""
-
-    def near(a, b):
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        return (lo == 0) | (den * lo >= num * hi)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in _runs(batches):
-            tok, doc, _ = _by_token([(a, b) for a, b, _ in held])
-            if not len(tok):
-                continue
-            all_docs = np.concatenate([unpack(b, np.int64) for _, b, _ in held])
-            all_sizes = np.concatenate([unpack(c, np.int64) for _, _, c in held])
-            known, first = np.unique(all_docs, return_index=True)
-            size = all_sizes[first][np.searchsorted(known, doc)]
-            heads = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
-            count = np.diff(np.append(heads, len(tok)))
-            found, n = [], 0
-            for a, b in _group_pairs(doc, size, heads, count, near):
-                found.append((a, b))
-                n += len(a)
-                if n >= PAIRS:
-                    yield _distinct(found)
-                    found, n = [], 0
-            if n:
-                yield _distinct(found)
-            for s, c in zip(heads[count > SMALL], count[count > SMALL]):
-                kind = np.ones(c, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(tok[s : s + c].view(np.int64)), pa.array(doc[s : s + c])], ["kind", "a", "b"])
-
-    return run
+                if n >= PIECE:
+                    yield piece(held)
+                    held, n = [], 0
+        if held:
+            yield piece(held)
+
+    def answer(keys, cols):
+        count, low = cols
+        return [count.astype(np.uint32), np.where(count > 1, low, 0), np.where(count > 2, keys, U64(0))]
+
+    def finish(number: int, body: bytes, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        doc, size, n, spare, place = opened(body, *[np.int64] * 4, np.uint32)
+        segment = np.repeat(np.arange(len(n)), n)
+        count = cols[0][place].astype(np.int64)
+        # each may leave out its most frequent tokens as far as its allowance goes, in one order for all: by count, then by token
+        order = np.lexsort((place, -count, segment))
+        rank = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+        order = order[(rank >= np.repeat(spare, n)) & (count[order] > 1)]
+        place, segment, count = place[order], segment[order], count[order]
+        own, lead = doc[segment], cols[1][place]
+        star = np.unique(np.stack((lead, own), 1)[lead != own], axis=0)
+        if len(star):
+            yield _chosen(0, number, star[:, 0], star[:, 1])
+        on = count > 2
+        if on.any():
+            keys, at = np.unique(cols[2][place[on]], return_inverse=True)
+            left, who = np.unique(own[on], return_inverse=True)
+            most = np.zeros(len(left), np.int64)
+            np.maximum.at(most, who, size[segment[on]])
+            seat = np.unique(np.stack((who, at, (lead == own)[on]), 1), axis=0)  # rows that share an id may share a token
+            packed = sized(keys, *(np.ascontiguousarray(seat[:, i]).astype(np.uint32) for i in range(3)))
+            yield _chosen(1, number, np.array([-1]), np.array([-1]), packed)
+            yield _chosen(2, number, most, left)
+
+    answered = ask(sets.select("doc", "items"), cut, [np.add, np.minimum], answer)
+    return hear(answered, finish, [np.uint32, np.int64, U64], "kind int, piece long, a long, b long, body binary")
+
+
+def _chosen(kind: int, number: int, a: np.ndarray, b: np.ndarray, body: bytes | None = None) -> pa.RecordBatch:
+    cols = [pa.array(np.full(len(a), kind, np.int32)), pa.array(np.full(len(a), number)), pa.array(a), pa.array(b), pa.array([body] * len(a), pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["kind", "piece", "a", "b", "body"])
 
 
 def _verified(num: int, den: int):
@@ -433,27 +297,110 @@ def _sketches(x: str, y: str, num: int, den: int):
     return apart * (num + den) <= (F.col(f"n_{x}") + F.col(f"n_{y}")) * (den - num)
 
 
-def _left_over(hot: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
-    """Pairs of large groups whose members are still in several components: each member outside the main
-    component with all the others, once for all the groups that share members, in blocks. None if there are none."""
-    where = keep(hot.join(comps, hot.b == comps.id, "left").select(F.col("a").alias("tok"), F.col("b").alias("doc"), F.coalesce("comp", "b").alias("comp")), "where")
-    open_groups = where.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("doc").alias("first")).filter("low <> high")
-    edges = keep(open_groups.select("tok", "first").join(where, "tok").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), "edges")
-    if edges.isEmpty():
-        drop(where, edges)
+def _open(chosen: DataFrame, comps: DataFrame) -> DataFrame:
+    """(tok, doc, n, comp) of the tokens whose docs, but for the star's own, are in several components. Of a token whose docs are
+    all in one, a piece sends no more than that component, however many they are."""
+    none = lambda kind: F.lit(None).cast(kind)
+    bodies = chosen.filter("kind = 1").select("piece", none("long").alias("doc"), none("long").alias("n"), none("long").alias("comp"), "body")
+    named = chosen.filter("kind = 2").select("piece", F.col("b").alias("doc"), F.col("a").alias("n")).join(comps, F.col("doc") == F.col("id"), "left")
+    named = named.select("piece", "doc", "n", F.coalesce("comp", "doc").alias("comp"), none("binary").alias("body"))
+    met = bodies.unionByName(named).repartition(parts(chosen.sparkSession), "piece").sortWithinPartitions("piece", F.col("body").isNull(), "doc")
+    ends = np.iinfo(np.int64)
+
+    def cut(batches: Iterator[pa.RecordBatch]):
+        for _, ((*_, body), *rows) in grouped(batches, 0):
+            doc, n, comp = (np.array(x, np.int64) for x in list(zip(*rows))[1:4])
+            keys, who, at, lead = opened(body, U64, *[np.uint32] * 3)
+            who, at = who[lead == 0], at[lead == 0]
+            low, high = np.full(len(keys), ends.max), np.full(len(keys), ends.min)
+            np.minimum.at(low, at, comp[who])
+            np.maximum.at(high, at, comp[who])
+            yield keys, [low, high], sized(doc, n, comp, who, at)
+
+    def answer(keys, cols):
+        return [np.where(cols[0] < cols[1], keys, U64(0))]
+
+    def finish(number: int, body: bytes, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        doc, n, comp, who, at = opened(body, *[np.int64] * 3, *[np.uint32] * 2)
+        tok = cols[0][at]
+        who, tok = who[tok > 0], tok[tok > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tok.view(np.int64), doc[who], n[who], comp[who])], ["tok", "doc", "n", "comp"])
+
+    answered = ask(met, cut, [np.minimum, np.maximum], answer)
+    return keep(hear(answered, finish, [U64], "tok long, doc long, n long, comp long"), "open")
+
+
+def _cells(num: int, den: int):
+    """Links between the left and the right sets of each cell, as many as connect what its links connect; sets of one component are
+    not compared. Sketches come first, then exact intersections of one set with all that are left."""
+
+    def one(rows: list) -> Iterator[tuple[int, int]]:
+        doc, comp, n = (np.array(x, np.int64) for x in list(zip(*rows))[1:4])
+        left, right = (np.flatnonzero(x) for x in list(zip(*rows))[4:6])
+        sketch = np.array([r[7:] for r in rows], np.int64).view(U64)
+        starts, number, seen, done = np.cumsum(n) - n, None, None, np.zeros(len(rows), bool)
+        for x in left:
+            done[x] = True
+            y = right[(comp[right] != comp[x]) & ~done[right]]
+            y = y[den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])]
+            apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+            y = y[apart * (num + den) <= (n[x] + n[y]) * (den - num)]
+            if not len(y):
+                continue
+            if number is None:
+                number = np.unique(np.concatenate([np.frombuffer(r[6], U64) for r in rows]), return_inverse=True)[1]
+                seen = np.zeros(len(number), np.int32)
+            own = number[starts[x] : starts[x] + n[x]]
+            seen[own] = 1
+            both = np.add.reduceat(seen[number[ragged(starts[y], n[y])]], np.cumsum(n[y]) - n[y])
+            seen[own] = 0
+            y = y[den * both >= num * (n[x] + n[y] - both)]
+            if len(y):
+                met, first = np.unique(comp[y], return_index=True)
+                yield from zip([int(doc[x])] * len(met), doc[y[first]].tolist())
+                comp[np.isin(comp, met)] = comp[x]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, 0):
+            if found := list(one(rows)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+    return run
+
+
+def _left_over(chosen: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
+    """Links that the stars have left out; None if every token's docs are in one component.
+
+    Tokens that hang together by their docs are a span. A span that fits in a cell is compared in one; the tokens of larger
+    ones each for itself. Of each such group the docs outside its largest component (left) meet all (right), in cells of
+    about CELL sets and ITEMS shingles on either side, however large the group is."""
+    seats = _open(chosen, comps)
+    if seats.isEmpty():
+        drop(seats)
         return None
-    spans = components(edges)
-    spans = spans.unionByName(spans.select(F.col("comp").alias("id"), "comp").distinct()).select(F.col("id").alias("doc"), F.col("comp").alias("span"))
-    members = keep(where.select("doc", "comp").distinct().join(spans, "doc"), "members")
-    sizes = members.groupBy("span", "comp").agg(F.count("*").alias("m"))
-    main = keep(sizes.groupBy("span").agg(F.sum("m").alias("m"), F.max_by("comp", F.struct("m", "comp")).alias("main")), "main")
-    cols = ("n", *SKETCH)
-    full = members.join(main, "span").withColumn("blocks", F.ceil(F.col("m") / 256).cast("int")).join(sets.select("doc", *cols), "doc")
-    right = full.select("span", F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block"), F.col("doc").alias("y"), F.col("comp").alias("comp_y"), *(F.col(c).alias(f"{c}_y") for c in cols))
-    left = full.filter("comp <> main").select("span", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("doc").alias("x"), F.col("comp").alias("comp_x"), *(F.col(c).alias(f"{c}_x") for c in cols))
-    met = left.join(right, ["span", "block"]).filter("comp_x <> comp_y").filter(_sketches("x", "y", num, den))
-    out = keep(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "left")
-    drop(where, edges, members, main)
+    first = seats.groupBy("tok").agg(F.min("doc").alias("first"))
+    edges = keep(seats.join(first, "tok").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), "edges")
+    of = components(edges)
+    spans = seats.select("tok", "doc", "n", "comp").join(of.select(F.col("id").alias("doc"), F.col("comp").alias("span")), "doc", "left").withColumn("span", F.coalesce("span", "doc"))
+    spans = keep(spans, "spans")
+    size = spans.select("span", "doc", "n").distinct().groupBy("span").agg(F.count("*").alias("m"), F.sum("n").alias("items"))
+    large = size.select("span", ((F.col("m") > CELL) | (F.col("items") > ITEMS)).alias("large"))
+    key = F.when(F.col("large"), F.col("tok")).otherwise(F.col("span")).alias("key")
+    members = keep(spans.join(large, "span").select("large", key, "doc", "n", "comp").distinct(), "members")
+    by = members.groupBy("large", "key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("items"))
+    group = by.groupBy("large", "key").agg(F.sum("m").alias("m"), F.sum("items").alias("items"), F.max_by(F.struct("comp", "m", "items"), F.struct("m", "comp")).alias("main"))
+    pieces = lambda m, items: F.greatest(F.lit(1), F.ceil(m / CELL), F.ceil(items / ITEMS)).cast("int")
+    group = group.select("large", "key", F.col("main.comp").alias("main"), pieces(F.col("m"), F.col("items")).alias("rights"), pieces(F.col("m") - F.col("main.m"), F.col("items") - F.col("main.items")).alias("lefts"))
+    full = members.join(keep(group, "groups"), ["large", "key"]).withColumns({"l": F.pmod(F.xxhash64("doc"), "lefts").cast("int"), "r": F.pmod(F.xxhash64("doc", F.lit(1)), "rights").cast("int"), "outside": F.col("comp") != F.col("main")})
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: F.struct(i.alias("l"), F.col("r").alias("r")))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: F.struct(F.col("l").alias("l"), j.alias("r")))
+    cell = F.explode(F.when(F.col("outside"), F.array_union(as_right, as_left)).otherwise(as_right)).alias("cell")
+    put = full.select("large", "key", "doc", "comp", "outside", F.col("l").alias("own_l"), F.col("r").alias("own_r"), cell)
+    put = put.select(F.concat_ws("/", "large", "key", "cell.l", "cell.r").alias("cell"), "doc", "comp", (F.col("outside") & (F.col("cell.l") == F.col("own_l"))).alias("is_left"), (F.col("cell.r") == F.col("own_r")).alias("is_right"))
+    met = keep(put, "cells").join(sets, "doc").select("cell", "doc", "comp", "n", "is_left", "is_right", "items", *SKETCH)
+    met = met.repartition(parts(sets.sparkSession), "cell").sortWithinPartitions("cell")
+    out = keep(met.mapInArrow(trimmed(_cells(num, den)), "a long, b long"), "left")
+    drop(seats, edges, spans, members)
     return out
 
 
@@ -463,7 +410,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = parts(spark)
-    n_groups = n
 
     def keys(batches):
         for batch in batches:
@@ -478,30 +424,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = info.filter("items is not null").select("doc", "n", "items", *SKETCH)
     classes = info.filter("items is not null").select("k1", "k2", F.col("doc").alias("rep"))
 
-    met = (
-        sets.select("doc", "items")
-        .mapInArrow(trimmed(_signatures(n, n_groups, num, den)), "bucket int, kind int, a binary, b binary")
-        .repartition(n, "bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(trimmed(_counted(n_groups)), "grp int, kind int, a binary, b binary, c binary")
-        .repartition(n, "grp")
-        .sortWithinPartitions("grp")
-        .mapInArrow(trimmed(_selected(n)), "bucket int, toks binary, docs binary, sizes binary")
-        .repartition(n, "bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(trimmed(_pairs(num, den)), "kind int, a long, b long")
-    )
-    met = keep(met, "pairs")
-    pairs = met.filter("kind = 0").select("a", "b").distinct()
-    possible = _possible(pairs, sets, num, den)
+    chosen = keep(_looked_up(sets, num, den), "chosen")
+    possible = _possible(chosen.filter("kind = 0").select("a", "b").distinct(), sets, num, den)
     links = _spanning(possible, sets, num, den)
     comps = components(links)
-    hot = met.filter("kind = 1").select("a", "b")
-    more = _left_over(hot, comps, sets, num, den)
+    more = _left_over(chosen, comps, sets, num, den)
     if more is not None:
-        comps = components(keep(links.unionByName(_links(more, sets, num, den, few=True)), "links"))
+        comps = components(keep(links.unionByName(more), "links"))
     named = keep(classes.join(comps, classes.rep == comps.id, "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp")), "named")
-    drop(met, possible)
+    drop(chosen, possible)
     thin = info.filter("items is null").select("doc", "n", "k1", "k2")
     return thin.join(named, ["k1", "k2"], "left").select(
         F.col("doc").alias("doc_id"),

@@ -58,22 +58,24 @@ def linked(rows, k=5, num=75, den=100):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("seed,small", [(4, 24), (5, 24), (6, 2), (7, 2)])
-def test_jaccard_join(spark, monkeypatch, seed, small):
+@pytest.mark.parametrize("seed,piece,cell", [(4, 500_000, 4096), (5, 500_000, 4096), (6, 300, 5), (7, 300, 2)])
+def test_jaccard_join(spark, monkeypatch, seed, piece, cell):
     from stanchion.llm import jaccard_join as J
 
-    monkeypatch.setattr(J, "SMALL", small)
+    monkeypatch.setattr(J, "PIECE", piece)
+    monkeypatch.setattr(J, "CELL", cell)
     rows = near_copies(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_join(docs_of(spark, rows).repartition(3)).collect()}
     assert got == linked(rows)
 
 
-def test_left_over_groups(spark, monkeypatch):
-    """Stars around one member leave a group in parts; the comparison of what is left over must find the rest."""
+@pytest.mark.parametrize("cell,items", [(4096, 2_000_000), (7, 2_000_000), (4096, 500)])
+def test_left_over_groups(spark, monkeypatch, cell, items):
+    """Stars around one member leave a group in parts; the comparison of what is left over must find the rest, in one cell or in many."""
     from stanchion.llm import jaccard_join as J
 
-    monkeypatch.setattr(J, "SMALL", 2)
-    monkeypatch.setattr(J, "STARS", 1)
+    monkeypatch.setattr(J, "CELL", cell)
+    monkeypatch.setattr(J, "ITEMS", items)
     rng = random.Random(9)
     base = [f"w{j}" for j in range(100)]
     rows = []
@@ -93,6 +95,9 @@ def test_jaccard_odd_rows(spark):
     rows = [(None, t, "s"), (3, t, "s"), (3, "other words are here now", "s"), (8, t, "s"), (9, "Other words are here now", "s")]
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_join(docs_of(spark, rows)).collect())
     assert got == [(False, 3, 1, 3), (False, 3, 3, 3), (False, 8, 3, 3), (False, 9, 1, 3), (True, 0, 3, None)]
+    top = 2**63 - 1
+    ends = [(top, t, "s"), (None, t, "s"), (7, t, "s"), (top - 1, "one two three", "s"), (-(2**63), "one two three", "s")]
+    assert {(r.doc_id, r.component_id) for r in jaccard_join(docs_of(spark, ends)).collect()} == {(top, 7), (7, 7), (None, None), (top - 1, -(2**63)), (-(2**63), -(2**63))}
     assert jaccard_join(docs_of(spark, rows).limit(0)).count() == 0
 
 
