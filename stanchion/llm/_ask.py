@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from ._base import U64, cuts, pack, pack_sorted, parts, trimmed, unpack, unpack_sorted
 
 #: Buckets for each partition of the shuffle; a task holds one at a time.
-SPLIT = 4
+SPLIT = 2
 KIND = "at int, piece long, keys binary, cols binary, body binary"
 _FIELDS = pa.schema([("at", pa.int32()), ("piece", pa.int64()), ("keys", pa.binary()), ("cols", pa.binary()), ("body", pa.binary())])
 
@@ -64,11 +64,11 @@ def ask(
     cut: Callable[[Iterator[pa.RecordBatch]], Iterator[Piece]],
     combine: list[np.ufunc],
     answer: Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]],
-    tell: Callable[[np.ndarray, list[np.ndarray]], bytes] | None = None,
+    tell: Callable[[np.ndarray, list[np.ndarray]], np.ndarray] | None = None,
 ) -> DataFrame:
     """Rows of KIND for hear(). cut turns batches into pieces: distinct ascending keys, evenly spread over 64 bits, their
     integer columns, and a body. combine: how each column's values of one key combine. answer: the columns that go back
-    (of integers, best small or zero). tell: what a bucket says of its keys, as a row with piece -1."""
+    (of integers, best small or zero). tell: integers that a bucket says of its keys; every piece hears their sums over all buckets."""
     n = parts(df.sparkSession)
     n_buckets = n * SPLIT
 
@@ -77,7 +77,7 @@ def ask(
         for keys, cols, body in cut(batches):
             c = cuts((keys >> U64(32)) * U64(n_buckets) >> U64(32), n_buckets)
             rows = [(piece % n_buckets, piece, None, None, body)]
-            rows += [(b, piece, pack_sorted(keys[s:e]), sized(*(np.ascontiguousarray(x[s:e], np.int64) for x in cols)), None) for b, s, e in zip(range(n_buckets), c, c[1:]) if e > s]
+            rows += [(b, piece, pack_sorted(keys[s:e]), sized(*(np.ascontiguousarray(x[s:e], np.int64) for x in cols)), None) for b, s, e in zip(range(n_buckets), c, c[1:]) if e > s or tell]
             yield _batch(rows)
             piece += 1
 
@@ -92,25 +92,26 @@ def ask(
                 every, place = np.unique(np.concatenate(keys), return_inverse=True)
                 order = np.argsort(place, kind="stable")
                 heads = np.searchsorted(place[order], np.arange(len(every)))
-                whole = [f.reduceat(np.concatenate([c[i] for c in cols])[order], heads) for i, f in enumerate(combine)]
-                if tell:
-                    out.append((bucket, -1, None, None, tell(every, whole)))
+                whole = [np.empty(0, np.int64)] * len(combine) if not len(every) else [f.reduceat(np.concatenate([c[i] for c in cols])[order], heads) for i, f in enumerate(combine)]
+                told = tell(every, whole).astype(np.int64).tobytes() if tell else None
                 back = answer(every, whole)
-                out += [(bucket, r[1], None, sized(*(x[place[e - len(k) : e]] for x in back)), None) for r, k, e in zip(own, keys, ends)]
+                out += [(bucket, r[1], None, sized(*(x[place[e - len(k) : e]] for x in back)), told) for r, k, e in zip(own, keys, ends)]
             yield _batch(out)
 
     sent = df.mapInArrow(trimmed(send), KIND).repartition(n, "at").sortWithinPartitions("at")
     return sent.mapInArrow(trimmed(combined), KIND)
 
 
-def hear(answered: DataFrame, finish: Callable[[int, bytes, list[np.ndarray]], Iterator[pa.RecordBatch]], kinds: list, schema: str) -> DataFrame:
-    """finish gets each piece's number, its body, and its columns (of these kinds) in the order of its keys."""
+def hear(answered: DataFrame, finish: Callable[[int, bytes, list[np.ndarray], np.ndarray], Iterator[pa.RecordBatch]], kinds: list, schema: str) -> DataFrame:
+    """finish gets each piece's number, its body, its columns (of these kinds) in the order of its keys, and what all buckets told."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, rows in grouped(batches, 1):
             body = next(r[4] for r in rows if r[0] < 0)
-            cols = [opened(r[3], *kinds) for r in rows if r[0] >= 0]
-            yield from finish(piece, body, [np.concatenate([c[i] for c in cols]) if cols else np.empty(0, k) for i, k in enumerate(kinds)])
+            own = [r for r in rows if r[0] >= 0]
+            cols = [opened(r[3], *kinds) for r in own]
+            told = sum((np.frombuffer(r[4], np.int64) for r in own if r[4]), np.zeros(1, np.int64))
+            yield from finish(piece, body, [np.concatenate([c[i] for c in cols]) if cols else np.empty(0, k) for i, k in enumerate(kinds)], told)
 
     n = parts(answered.sparkSession)
-    return answered.filter("piece >= 0").repartition(n, "piece").sortWithinPartitions("piece", "at").mapInArrow(trimmed(run), schema)
+    return answered.repartition(n, "piece").sortWithinPartitions("piece", "at").mapInArrow(trimmed(run), schema)

@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._base import U64, cuts, keep, pack, pack_sorted, parts, trimmed, unpack, unpack_sorted
 
@@ -93,42 +92,3 @@ def count_keys(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterato
 
     made = df.mapInArrow(trimmed(local), KIND).repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
     return keep(made.mapInArrow(trimmed(merge), KIND), "counts")
-
-
-def most_frequent(table: DataFrame, most: int, width: int, by: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Keys with the highest counts in column `by`, whole classes of equal counts, as many as fit in `most`; ascending keys and their counts."""
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in batch.column(0).to_pylist():
-                v, n = np.unique(_classes(_columns(c, width)[:, by]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n)], ["v", "n"])
-
-    rows = table.select("counts").mapInArrow(trimmed(sizes), "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).orderBy(F.desc("v")).collect()
-    total, least = 0, None
-    for r in rows:
-        total += r.n
-        if total > most:
-            break
-        least = r.v
-    if least is None:
-        return np.empty(0, U64), np.empty((0, width), np.int64)
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, c in zip(*(x.to_pylist() for x in batch.columns)):
-                keys, counts = read(k, c, width)
-                on = _classes(counts[:, by]) >= least
-                if on.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([pack(keys[on])]), pa.array([pack(np.ascontiguousarray(counts[on]).reshape(-1))])], ["k", "c"])
-
-    got = table.select("keys", "counts").mapInArrow(trimmed(chosen), "k binary, c binary").collect()
-    keys = np.concatenate([unpack(r.k, U64) for r in got])
-    counts = np.concatenate([unpack(r.c, np.int64).reshape(-1, width) for r in got])
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def _classes(counts: np.ndarray) -> np.ndarray:
-    """Counts up to 4096 as they are; above, in steps of a sixteenth of a doubling, so that there are few classes."""
-    return np.where(counts <= 4096, counts, 4096 + np.ceil(16 * np.log2(np.maximum(counts, 1) / 4096)).astype(np.int64))

@@ -210,7 +210,7 @@ def _looked_up(sets: DataFrame, num: int, den: int) -> DataFrame:
         count, low = cols
         return [count.astype(np.uint32), np.where(count > 1, low, 0), np.where(count > 2, keys, U64(0))]
 
-    def finish(number: int, body: bytes, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def finish(number: int, body: bytes, cols: list[np.ndarray], _) -> Iterator[pa.RecordBatch]:
         doc, size, n, spare, place = opened(body, *[np.int64] * 4, np.uint32)
         segment = np.repeat(np.arange(len(n)), n)
         count = cols[0][place].astype(np.int64)
@@ -320,7 +320,7 @@ def _open(chosen: DataFrame, comps: DataFrame) -> DataFrame:
     def answer(keys, cols):
         return [np.where(cols[0] < cols[1], keys, U64(0))]
 
-    def finish(number: int, body: bytes, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def finish(number: int, body: bytes, cols: list[np.ndarray], _) -> Iterator[pa.RecordBatch]:
         doc, n, comp, who, at = opened(body, *[np.int64] * 3, *[np.uint32] * 2)
         tok = cols[0][at]
         who, tok = who[tok > 0], tok[tok > 0]

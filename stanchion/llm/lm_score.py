@@ -1,7 +1,7 @@
 """LM scoring by cross-entropy difference: a document's loss under a target model less that under a background model.
 
 Both are bigram models over one vocabulary, all words of the whole corpus and one place for
-any other, and over all its bigrams. For either,
+any other, and over all its bigrams: nothing is cut off, so the tables grow with the input. For either,
 
     P(w | h) = (c(h, w) + MU * P1(w)) / (c(h) + MU),    P1(w) = (c(w) + 1) / (N + size of the vocabulary)
 
@@ -9,13 +9,9 @@ with c(h, w) the count of a bigram, c(h) the sum of these, so that P sums to one
 background counts all rows, the target the rows of target ids.
 
 Words, contexts and bigrams are counted exactly over all documents, as 62-bit hashes with two
-bits for which of these they are, in one table of packed hash buckets that grows with the
-corpus. Nothing of it is broadcast or sent to the driver but three totals. Scoring cuts the
-documents into pieces, looks a piece's distinct keys up in the table bucket by bucket, and
-brings the counts back to the piece.
-
-Where VOCABULARY and BIGRAMS are set, only so many of the most frequent words and bigrams are
-kept (rarer words then share the place for others), and broadcast. By default they are not.
+bits for which of these they are. Documents are cut into pieces; a piece's distinct keys and
+their counts go to hash buckets, which add up all pieces and give the sums back, so counting
+and looking up are one round trip, and neither table is written, broadcast or collected.
 
 A word is a run of characters other than ASCII white space, with A-Z lower-cased; a document
 begins with a start mark that is predicted by nothing and predicts its first word.
@@ -31,154 +27,143 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _sketch
-from ._base import LOWER, U64, WHITE, chunks, cuts, drop, ids_of, keep, mix, pack, pack_sorted, parts, small_batches, strings, trimmed, unpack, unpack_sorted, words_of
-from ._counts import _SPREAD, _columns, count_keys, most_frequent, read
+from ._ask import ask, hear, opened, sized
+from ._base import LOWER, U64, WHITE, chunks, drop, ids_of, keep, mix, small_batches, strings, trimmed, words_of
 
 MU = 20.0
-#: The most words and bigrams that are kept; None: all.
-VOCABULARY: int | None = None
-BIGRAMS: int | None = None
-#: Words of a piece of documents that is looked up at once.
+#: Words of a piece of documents.
 PIECE = 1_000_000
-#: Kinds of keys, in their last two bits.
+#: Up to so many target ids are broadcast (32 MB); of more, the rows are found by a join.
+IDS = 4_000_000
+#: Kinds of keys, in their last two bits; then keys are spread by an odd factor.
 _ONE, _CONTEXT, _PAIR = (U64(k) for k in range(3))
+_SPREAD = 0x9E6C63D0876A9A47
+_BACK = pow(_SPREAD, -1, 1 << 64)
 _HEAD = U64(0x5851F42D4C957F2D)  # stands for the start mark's hash
 _WORD = ~WHITE
-_START = 1  # number of the start mark; 0 is any word outside the vocabulary
+#: What is done with a row: it is counted for the background, counted for the target, scored.
+_COUNTED, _TARGET, _SCORED = 1, 2, 4
 
 
-def _words(column: pa.Array):
-    data, offsets = strings(column)
-    for lo, _, body, offs in chunks(data, offsets):
-        w = words_of(LOWER[body], offs, _WORD)
-        yield lo, w, w.hashes()
+@dataclass
+class Models:
+    """The rows that both models count: the corpus (id, text), and the ids of the target's rows."""
 
+    docs: DataFrame
+    corpus: DataFrame
+    ids: DataFrame
 
-def _numbers(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
-    if not len(vocabulary):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, at + 2, 0)
 
+def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
+    """target_ids: one column, the ids of the target's rows. Counting is done when documents are scored."""
+    return Models(docs, _plain(docs, id_col, text_col), target_ids.toDF("id").select(F.col("id").cast("long")).filter("id is not null").distinct())
 
-def _pairs(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Key of each word and the one before it."""
-    before = np.empty_like(numbers)
-    before[1:] = numbers[:-1]
-    heads = first[:-1][first[:-1] < first[1:]]
-    before[heads] = _START
-    return (before.astype(U64) << U64(32)) | numbers.astype(U64)
 
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
-class Models:
-    def __init__(self, vocabulary, words, bigrams, pairs):
-        """words: counts (background, target) of number 0, the start mark and the vocabulary; pairs: of the kept bigrams."""
-        self.vocabulary, self.bigrams = vocabulary, bigrams
-        size = len(words)
-        h, w = (bigrams >> U64(32)).astype(np.int64), (bigrams & U64(0xFFFFFFFF)).astype(np.int64)
-        self.kept, self.word, self.context = [], [], []
-        for k in (0, 1):
-            one = (words[:, k] + 1) / (words[:, k].sum() + size)
-            total = np.bincount(h, pairs[:, k], size)
-            self.word.append(-np.log(MU * one))
-            self.context.append(np.log(total + MU))
-            self.kept.append(-np.log((pairs[:, k] + MU * one[w]) / (total[h] + MU)))
-
-    def losses(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sum over each document's words of the loss under the background and the target model."""
-        numbers = _numbers(self.vocabulary, h)
-        key = _pairs(numbers, first)
-        at = np.minimum(np.searchsorted(self.bigrams, key), max(len(self.bigrams) - 1, 0))
-        on = self.bigrams[at] == key if len(self.bigrams) else np.zeros(len(key), bool)
-        before = (key >> U64(32)).astype(np.int64)
-        out = []
-        for k in (0, 1):
-            loss = self.word[k][numbers] + self.context[k][before]
-            loss[on] = self.kept[k][at[on]]
-            run = np.concatenate(([0.0], np.cumsum(loss)))
-            out.append(run[first[1:]] - run[first[:-1]])
-        return out[0], out[1]
 
+def _pairs(own: np.ndarray, n: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For numbers of words, n[i] of them in document i: the number of the word before each place (n_words at a start),
+    the distinct pairs (before, own), and which of them each place has."""
+    before = np.empty_like(own)
+    before[1:] = own[:-1]
+    before[(np.cumsum(n) - n)[n > 0]] = n_words
+    pairs, place = np.unique(before * (n_words + 1) + own, return_inverse=True)
+    return before, pairs // (n_words + 1), pairs % (n_words + 1), place
 
-@dataclass
-class Tables:
-    """All counts (background, target) by key, in packed buckets; size of the vocabulary and total of words."""
 
-    counts: DataFrame
-    n_buckets: int
-    size: int
-    total: np.ndarray
+def _keys(words: np.ndarray, before: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of words, of words as contexts (the start mark is the last), and of pairs of numbers, in one order; and where each has gone."""
+    words = np.append(words, _HEAD)
+    pair = mix(words[before] * U64(_SPREAD) + U64(1)) + words[own]
+    keys = np.concatenate([mix(x) & ~U64(3) | kind for x, kind in ((words, _ONE), (words, _CONTEXT), (pair, _PAIR))]) * U64(_SPREAD)
+    order = np.argsort(keys)
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.arange(len(keys))
+    return keys[order], rank
 
 
-def _numbered(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words (the last is the start mark), and for each place the number of the word before it and its own."""
-    words, own = np.unique(h, return_inverse=True)
-    before = np.empty_like(own)
-    before[1:] = own[:-1]
-    before[first[:-1][first[:-1] < first[1:]]] = len(words)
-    return np.append(words, _HEAD), before, own
+def _piece(ids: pa.Array, role: np.ndarray, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], bytes]:
+    words, number = np.unique(h, return_inverse=True)
+    before, pair_before, pair_own, place = _pairs(number, n, len(words))
+    keys, rank = _keys(words, pair_before, pair_own)
+    at = rank[number], rank[len(words) + 1 + before], rank[2 * (len(words) + 1) + place]
+    doc = np.repeat(role, n)
+    cols = [sum(np.bincount(x[(doc & flag) > 0], minlength=len(keys)) for x in at) for flag in (_COUNTED, _TARGET)]
+    if not role[0] & _SCORED:  # as no other row of the piece is
+        return keys, cols, b""
+    valid = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+    return keys, cols, sized(ids.fill_null(0).to_numpy(), valid, n.astype(np.uint32), np.diff(words, prepend=U64(0)), number.astype(np.uint32))
 
 
-def _keys(words: np.ndarray, before: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-    """Keys of the words, of the words as contexts, and of the given pairs of numbers."""
-    pair = mix(words[before] * U64(_SPREAD) + U64(1)) + words[own]
-    return [mix(x) & ~U64(3) | kind for x, kind in ((words, _ONE), (words, _CONTEXT), (pair, _PAIR))]
-
-
-def _counted(h: np.ndarray, first: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of some documents and their counts in rows that are not and that are the target's."""
-    words, before, own = _numbered(h, first)
-    n = len(words)
-    pairs, at = np.unique(before * n + own, return_inverse=True)
-    keys = _keys(words, pairs // n, pairs % n)
-    counts = [np.stack([np.bincount(x[target == k], minlength=len(y)) for k in (0, 1)], 1) for x, y in zip((own, before, at), keys)]
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    on = counts.any(axis=1)
-    return keys[on], counts[on]
-
-
-def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tables | Models:
-    """target_ids: one column, the ids of the target's rows."""
-    small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    target = _rows_of(base, target_ids.toDF("id").select(F.col("id").cast("long")).filter("id is not null").distinct())
-    both = base.select("text", F.lit(0).alias("target")).unionByName(target.select("text", F.lit(1).alias("target")))
-
-    def counted(of):
-        def run(batches: Iterator[pa.RecordBatch]):
-            for batch in batches:
-                target = batch.column(1).to_numpy()
-                for lo, w, h in _words(batch.column(0)):
-                    yield of(h, w.first, target[lo + np.repeat(np.arange(len(w.first) - 1), w.counts())])
-
-        return run
-
-    def single(of):
-        return counted(lambda h, first, own: (of(h, first), np.stack((1 - own, own), 1).astype(np.int64)))
-
-    if VOCABULARY is None and BIGRAMS is None:
-        table = count_keys(both, counted(_counted), 2)
-        drop(target)
-        size, total = _total(table, _ONE)
-        return Tables(table, parts(docs.sparkSession), size + 2, total)
-    most = np.iinfo(np.int64).max
-    table = count_keys(both, single(lambda h, first: h), 2)
-    vocabulary, counts = most_frequent(table, most if VOCABULARY is None else VOCABULARY, 2)
-    _, total = _total(table)
-    drop(table)
-    words = np.concatenate(([total - counts.sum(0)], np.zeros((1, 2), np.int64), counts))
-    table = count_keys(both, single(lambda h, first: _pairs(_numbers(vocabulary, h), first)), 2)
-    bigrams, pairs = most_frequent(table, most if BIGRAMS is None else BIGRAMS, 2)
-    drop(table, target)
-    return Models(vocabulary, words, bigrams, pairs)
-
-
-def _rows_of(base: DataFrame, ids: DataFrame) -> DataFrame:
+def _cut(few):
+    """few: the target's ids, ascending, where they are broadcast."""
+
+    def piece(held: list):
+        ids, *rest = zip(*held)
+        return _piece(pa.concat_arrays(ids), *(np.concatenate(x) for x in rest))
+
+    def cut(batches: Iterator[pa.RecordBatch]):
+        held, size = {0: [], _SCORED: []}, {0: 0, _SCORED: 0}  # a piece is scored or only counted as a whole
+        for batch in batches:
+            role, ids = batch.column(0).to_numpy().copy(), batch.column(1)
+            if few is not None and len(few.value):
+                known = ids.fill_null(0).to_numpy()
+                at = np.minimum(np.searchsorted(few.value, known), len(few.value) - 1)
+                role[(few.value[at] == known) & ids.is_valid().to_numpy(zero_copy_only=False) & ((role & _COUNTED) > 0)] |= _TARGET
+            for kind in held:
+                on = (role & _SCORED) == kind
+                if not on.any():
+                    continue
+                own, roles, (data, offsets) = ids.filter(pa.array(on)), role[on], strings(batch.column(2).filter(pa.array(on)))
+                for lo, hi, body, offs in chunks(data, offsets):
+                    w = words_of(LOWER[body], offs, _WORD)
+                    held[kind].append((own.slice(lo, hi - lo), roles[lo:hi], w.counts(), w.hashes()))
+                    size[kind] += len(w.starts) + hi - lo
+                    if size[kind] >= PIECE:
+                        yield piece(held[kind])
+                        held[kind], size[kind] = [], 0
+        for rows in held.values():
+            if rows:
+                yield piece(rows)
+
+    return cut
+
+
+def _told(keys: np.ndarray, cols: list[np.ndarray]) -> np.ndarray:
+    """Of the words of a bucket: how many the corpus holds, and their counts."""
+    on = (keys * U64(_BACK)) & U64(3) == _ONE
+    b, t = (c[on] for c in cols)
+    return np.array([(b > 0).sum(), b.sum(), t.sum()])
+
+
+def _losses(_: int, body: bytes, cols: list[np.ndarray], told: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not body:
+        return
+    ids, valid, n, words, number = opened(body, np.int64, np.uint8, np.uint32, U64, np.uint32)
+    n, number, words = n.astype(np.int64), number.astype(np.int64), np.cumsum(words, dtype=U64)
+    size, *total = np.resize(told, 3) + np.array([2, 0, 0])  # with places for the start mark and for other words
+    _, before, own, place = _pairs(number, n, len(words))
+    rank = _keys(words, before, own)[1]
+    one, context, pair = rank[own], rank[len(words) + 1 + before], rank[2 * (len(words) + 1) :]
+    out = []
+    for c, whole in zip((x.astype(np.float64) for x in cols), total):
+        loss = np.log(c[context] + MU) - np.log(c[pair] + MU * (c[one] + 1) / (whole + size))
+        sums = np.zeros(len(n))
+        if len(place):
+            sums[n > 0] = np.add.reduceat(loss[place], (np.cumsum(n) - n)[n > 0])
+        out.append(sums / np.maximum(n, 1))
+    b, t = out
+    losses = [pa.array(x, pa.float64(), mask=n == 0) for x in (t, b, t - b)]
+    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), pa.array(n), *losses], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+
+
+def _target_rows(base: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of base with these ids, kept. A filter of fixed size, that misses no id, lets few other texts reach the join."""
 
     def keys(batches):
@@ -200,153 +185,19 @@ def _rows_of(base: DataFrame, ids: DataFrame) -> DataFrame:
     return out
 
 
-def _total(table: DataFrame, kind: np.uint64 | None = None) -> tuple[int, np.ndarray]:
-    """How many keys (of this kind) there are, and the sums of their counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(3, np.int64)
-        for batch in batches:
-            for k, c in zip(*(x.to_pylist() for x in batch.columns)):
-                keys, counts = read(k, c, 2)
-                on = slice(None) if kind is None else keys & U64(3) == kind
-                n += np.append(len(keys[on]), counts[on].sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in n], ["n", "b", "t"])
-
-    made = table.select("keys", "counts").mapInArrow(trimmed(run), "n long, b long, t long")
-    r = made.agg(*(F.sum(x).alias(x) for x in ("n", "b", "t"))).first()
-    return r.n or 0, np.array([r.b or 0, r.t or 0], np.int64)
-
-
-def score(docs: DataFrame, models: Tables | Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score (loss per token under the target less under the background)."""
-    small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if isinstance(models, Tables):
-        return _looked_up(base, models)
-    held = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, w, h in _words(batch.column(1)):
-                n = w.counts()
-                yield _scored(batch.column(0).slice(lo, len(n)), n, *held.value.losses(h, w.first))
-
-    return base.mapInArrow(trimmed(run), _SCORED)
-
-
-_SCORED = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
-
-
-def _scored(ids: pa.Array, n: np.ndarray, b: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
-    b, t = (x / np.maximum(n, 1) for x in (b, t))
-    cols = [ids, pa.array(n, pa.int64())] + [pa.array(x, pa.float64(), mask=n == 0) for x in (t, b, t - b)]
-    return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-
-_PIECES = pa.schema([("piece", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.list_(pa.int64())), ("body", pa.binary())])
-
-
-def _sized(*arrays: np.ndarray) -> bytes:
-    bodies = [pack(x) for x in arrays]
-    return b"".join(len(x).to_bytes(4, "little") + x for x in bodies)
-
-
-def _opened(body: bytes, *kinds) -> list[np.ndarray]:
-    out, at = [], 0
-    for kind in kinds:
-        size = int.from_bytes(body[at : at + 4], "little")
-        out.append(unpack(body[at + 4 : at + 4 + size], kind))
-        at += 4 + size
-    return out
-
-
-def _piece(number: int, ids: list, n: np.ndarray, h: np.ndarray, n_buckets: int) -> pa.RecordBatch:
-    """One row (bucket -1) of a piece's documents, whose body says which keys stand at each place, and one of its keys in each bucket."""
-    words, before, own = _numbered(h, np.concatenate(([0], np.cumsum(n))))
-    pairs, place = np.unique(before * len(words) + own, return_inverse=True)
-    before, own = pairs // len(words), pairs % len(words)
-    keys = np.concatenate(_keys(words, before, own)) * U64(_SPREAD)
-    order = np.argsort(keys)
-    rank = np.empty(len(keys), np.uint32)
-    rank[order] = np.arange(len(keys), dtype=np.uint32)
-    keys = keys[order]
-    one, context, pair = np.split(rank, (len(words), 2 * len(words)))
-    body = _sized(n.astype(np.uint32), place.astype(np.uint32), one[own], context[before], pair)
-    c = cuts((keys >> U64(32)) * U64(n_buckets) >> U64(32), n_buckets)
-    rows = [(number, -1, None, ids, body)] + [(number, b, pack_sorted(keys[s:e]), None, None) for b, s, e in zip(range(n_buckets), c, c[1:]) if e > s]
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
-
-
-def _looked_up(base: DataFrame, tables: Tables) -> DataFrame:
-    n_buckets, size, total = tables.n_buckets, tables.size, tables.total
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, ns, hs, n = TaskContext.get().partitionId() << 32, [], [], [], 0
-        for batch in batches:
-            for lo, w, h in _words(batch.column(1)):
-                ns.append(w.counts())
-                hs.append(h)
-                ids += batch.column(0).slice(lo, len(ns[-1])).to_pylist()
-                n += len(h)
-                if n >= PIECE or len(ids) >= PIECE:
-                    yield _piece(number, ids, np.concatenate(ns), np.concatenate(hs), n_buckets)
-                    number, ids, ns, hs, n = number + 1, [], [], [], 0
-        if ids:
-            yield _piece(number, ids, np.concatenate(ns), np.concatenate(hs), n_buckets)
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by bucket, the table's own first; one bucket of it is held at a time."""
-        now, keys, counts = None, np.empty(0, U64), np.empty((0, 2), np.int64)
-        for batch in batches:
-            for bucket, piece, k, c in zip(*(x.to_pylist() for x in batch.columns)):
-                if bucket != now:
-                    now, keys, counts = bucket, np.empty(0, U64), np.empty((0, 2), np.int64)
-                asked = unpack_sorted(k, U64)
-                if piece < 0:
-                    keys, counts = asked, _columns(c, 2)
-                    continue
-                found = np.zeros((len(asked), 2), np.uint64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                    on = keys[at] == asked
-                    found[on] = counts[at[on]]
-                body = _sized(*(np.ascontiguousarray(found[:, i]) for i in (0, 1)))
-                yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([bucket], pa.int32()), pa.array([body], pa.binary())], ["piece", "bucket", "body"])
-
-    def losses(ids: list, body: bytes, found: list[np.ndarray]) -> pa.RecordBatch:
-        n, place, one, context, pair = _opened(body, *[np.uint32] * 5)
-        n, out = n.astype(np.int64), []
-        starts = np.cumsum(n) - n
-        counts = np.concatenate(found) if found else np.zeros((0, 2))
-        for k in (0, 1):
-            c = counts[:, k]
-            loss = np.log(c[context] + MU) - np.log(c[pair] + MU * (c[one] + 1) / (total[k] + size))
-            own = np.zeros(len(n))
-            if len(place):
-                own[n > 0] = np.add.reduceat(loss[place], starts[n > 0])
-            out.append(own)
-        return _scored(pa.array(ids, pa.int64()), n, *out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by piece, its documents first and then its counts by bucket, which is the order of its keys."""
-        held, found = None, []
-        for batch in batches:
-            for bucket, ids, body in zip(*(x.to_pylist() for x in batch.columns)):
-                if bucket < 0:
-                    if held:
-                        yield losses(*held, found)
-                    held, found = (ids, body), []
-                else:
-                    found.append(np.stack(_opened(body, np.uint64, np.uint64), 1).astype(np.float64))
-        if held:
-            yield losses(*held, found)
-
-    pieces = keep(base.mapInArrow(trimmed(cut), "piece long, bucket int, keys binary, ids array<long>, body binary"), "pieces")
-    table = tables.counts.select("bucket", F.lit(-1).cast("long").alias("piece"), "keys", "counts")
-    asked = pieces.filter("bucket >= 0").select("bucket", "piece", "keys", F.lit(None).cast("binary").alias("counts"))
-    n = parts(base.sparkSession)
-    met = table.unionByName(asked).repartition(n, "bucket").sortWithinPartitions("bucket", "piece")
-    answers = met.mapInArrow(trimmed(answer), "piece long, bucket int, body binary")
-    own = pieces.filter("bucket < 0").select("piece", "bucket", "ids", "body")
-    back = own.unionByName(answers.select("piece", "bucket", F.lit(None).cast("array<long>").alias("ids"), "body"))
-    return back.repartition(n, "piece").sortWithinPartitions("piece", "bucket").select("bucket", "ids", "body").mapInArrow(trimmed(run), _SCORED)
+    spark = docs.sparkSession
+    small_batches(spark)
+    own = docs.sameSemantics(models.docs)
+    rows = models.corpus.select(F.lit(_COUNTED | _SCORED * own).alias("role"), "id", "text")
+    ids, few = keep(models.ids, "ids"), None
+    if ids.count() <= IDS:
+        few = spark.sparkContext.broadcast(np.sort(ids.toArrow().column(0).to_numpy()))
+        drop(ids)
+    else:
+        rows = rows.unionByName(_target_rows(models.corpus, ids).select(F.lit(_TARGET).alias("role"), "id", "text"))
+    if not own:
+        rows = rows.unionByName(_plain(docs, id_col, text_col).select(F.lit(_SCORED).alias("role"), "id", "text"))
+    answered = ask(rows, _cut(few), [np.add, np.add], lambda keys, cols: cols, _told)
+    return hear(answered, _losses, [np.int64, np.int64], "doc_id long, n_tokens long, loss_target double, loss_background double, score double")

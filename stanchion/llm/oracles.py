@@ -83,34 +83,21 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s
 SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10
 """
 
-_CLASS = "CASE WHEN b <= 4096 THEN b ELSE 4096 + ceil(16 * log2(b / 4096.0))::BIGINT END"
-
-
-def _most(source: str, most: int) -> str:
-    """Rows of source in the highest classes of the count b that together are no more than `most`."""
-    return f"""(SELECT s.* FROM {source} s WHERE {_CLASS} >= coalesce((
-      SELECT min(c) FROM (SELECT c, sum(n) OVER (ORDER BY c DESC) AS upto FROM (SELECT {_CLASS} AS c, count(*) AS n FROM {source} GROUP BY 1)) WHERE upto <= {most}), 1000000000))"""
-
-
-_LM = f"""
+_LM = """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w,
          doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM documents),
 u AS (SELECT doc_id, good, unnest(w) AS w, unnest(range(len(w))) AS i FROM d),
-c AS (SELECT w, count(*) AS b, count(*) FILTER (WHERE good) AS t FROM u GROUP BY 1),
-v AS {_most("c", 60_000)},
-k AS (SELECT u.doc_id, u.good, u.i, coalesce(v.w, '<unk>') AS w FROM u LEFT JOIN v ON u.w = v.w),
-p AS (SELECT doc_id, good, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), '<s>') AS h, w FROM k),
+p AS (SELECT doc_id, good, w, coalesce(lag('w' || w) OVER (PARTITION BY doc_id ORDER BY i), '<s>') AS h FROM u),
+one AS (SELECT w, count(*) AS b, count(*) FILTER (WHERE good) AS t FROM u GROUP BY 1),
 bi AS (SELECT h, w, count(*) AS b, count(*) FILTER (WHERE good) AS t FROM p GROUP BY 1, 2),
-kept AS {_most("bi", 1_000_000)},
-one AS (SELECT w, count(*) AS b, count(*) FILTER (WHERE good) AS t FROM k GROUP BY 1),
-tot AS (SELECT sum(b)::DOUBLE AS b, sum(t)::DOUBLE AS t, (SELECT count(*) FROM v) + 2 AS size FROM one),
-ctx AS (SELECT h, sum(b)::DOUBLE AS b, sum(t)::DOUBLE AS t FROM kept GROUP BY 1),
+tot AS (SELECT sum(b)::DOUBLE AS b, sum(t)::DOUBLE AS t, count(*) + 2 AS size FROM one),
+ctx AS (SELECT h, sum(b)::DOUBLE AS b, sum(t)::DOUBLE AS t FROM bi GROUP BY 1),
 l AS (
   SELECT p.doc_id,
-         -ln((coalesce(kept.b, 0) + 20 * (one.b + 1) / (tot.b + tot.size)) / (coalesce(ctx.b, 0) + 20)) AS b,
-         -ln((coalesce(kept.t, 0) + 20 * (one.t + 1) / (tot.t + tot.size)) / (coalesce(ctx.t, 0) + 20)) AS t
-  FROM p JOIN one ON one.w = p.w LEFT JOIN kept ON kept.h = p.h AND kept.w = p.w LEFT JOIN ctx ON ctx.h = p.h, tot),
+         -ln((bi.b + 20 * (one.b + 1) / (tot.b + tot.size)) / (ctx.b + 20)) AS b,
+         -ln((bi.t + 20 * (one.t + 1) / (tot.t + tot.size)) / (ctx.t + 20)) AS t
+  FROM p JOIN one ON one.w = p.w JOIN bi ON bi.h = p.h AND bi.w = p.w JOIN ctx ON ctx.h = p.h, tot),
 a AS (SELECT doc_id, count(*) AS n, avg(b) AS b, avg(t) AS t FROM l GROUP BY 1)
 SELECT d.doc_id, coalesce(a.n, 0)::BIGINT AS n_tokens, round(a.t, 6) AS loss_target, round(a.b, 6) AS loss_background, round(a.t - a.b, 6) AS score FROM d LEFT JOIN a USING (doc_id)
 """

@@ -237,42 +237,39 @@ def test_mixing(spark):
     assert M.allot(df.limit(0)).count() == 0 and M.mix(df.filter("doc_id = 1000")).count() == 1
 
 
-def test_lm_scores(spark, monkeypatch):
+@pytest.mark.parametrize("ids", [4_000_000, 10])
+def test_lm_scores(spark, monkeypatch, ids):
+    """Against exact counts, with the target's ids broadcast and joined; rows that share an id, null and very long rows among them."""
     from stanchion.llm import lm_score as L
 
-    monkeypatch.setattr(L, "VOCABULARY", 40)
-    monkeypatch.setattr(L, "BIGRAMS", 120)
+    monkeypatch.setattr(L, "IDS", ids)
     rng = random.Random(6)
     words = [f"v{int(rng.paretovariate(0.7))}" for _ in range(400)]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 50))), "s") for i in range(150)] + [(500, None, "s"), (501, "", "s"), (502, "A a " * 30_000, "s")]
+    rows += [(8, rows[3][1], "s"), (None, "v1 v2 v2", "s"), (None, None, "s")]
     df = docs_of(spark, rows).repartition(3)
     good = spark.createDataFrame([(i,) for i in range(0, 150, 4)] + [(0,), (None,), (9999,)], "doc_id long")
-    got = {r.doc_id: r for r in L.score(df, L.fit(df, good)).collect()}
-    text = {i: (t or "").translate(LOWER).split() for i, t, _ in rows}
-    top = lambda c, most: {x for x, v in c.items() if sum(n >= v for n in c.values()) <= most}
-    cb = Counter(x for t in text.values() for x in t)
-    vocab = top(cb, 40)
-    m = lambda x: x if x in vocab else None
-    pairs = {i: list(zip(["<s>"] + [m(x) for x in t], [m(x) for x in t])) for i, t in text.items()}
-    kept = top(Counter(x for p in pairs.values() for x in p), 120)
+    text = [(i, (t or "").translate(LOWER).split()) for i, t, _ in rows]
+    pairs = [(i, list(zip(["<s>"] + t, t))) for i, t in text]
+    size = len({x for _, t in text for x in t}) + 2
 
-    def model(ids):
-        one, two = Counter(m(x) for i in ids for x in text[i]), Counter(x for i in ids for x in pairs[i] if x in kept)
-        total, h = sum(one.values()), Counter()
-        for (a, _), n in two.items():
-            h[a] += n
-        return lambda a, b: -math.log((two[a, b] + L.MU * (one[b] + 1) / (total + len(vocab) + 2)) / (h[a] + L.MU))
+    def model(on):
+        one, two, h = Counter(x for i, t in text if on(i) for x in t), Counter(x for i, p in pairs if on(i) for x in p), Counter(a for i, p in pairs if on(i) for a, _ in p)
+        total = sum(one.values())
+        return lambda a, b: -math.log((two[a, b] + L.MU * (one[b] + 1) / (total + size)) / (h[a] + L.MU))
 
-    fb, ft = model(list(text)), model([i for i in range(0, 150, 4)])
-    for i, p in pairs.items():
-        r = got[i]
-        assert r.n_tokens == len(p)
-        if p:
-            b, t = sum(fb(*x) for x in p) / len(p), sum(ft(*x) for x in p) / len(p)
-            assert math.isclose(r.loss_background, b, rel_tol=1e-9) and math.isclose(r.loss_target, t, rel_tol=1e-9) and math.isclose(r.score, t - b, abs_tol=1e-9)
-        else:
-            assert r.score is None
-    assert L.score(df, L.fit(df.limit(0), good.limit(0))).count() == len(rows)
+    fb, ft = model(lambda i: True), model(lambda i: i is not None and i < 150 and i % 4 == 0)
+    want = []
+    for i, p in pairs:
+        b, t = (sum(f(*x) for x in p) / len(p) if p else None for f in (fb, ft))
+        want.append((-1 if i is None else i, len(p), *(round(x, 8) if p else None for x in (t, b, t - b if p else None))))
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    models = L.fit(df, good)
+    for scored in (L.score(df, models), L.score(df.filter("true").select(*df.columns[::-1]), models)):  # the corpus itself, and as other rows
+        got = [(-1 if r.doc_id is None else r.doc_id, r.n_tokens, *(None if x is None else round(x, 8) for x in (r.loss_target, r.loss_background, r.score))) for r in scored.collect()]
+        for x, y in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+            assert x[:2] == y[:2] and all(u == v or abs(u - v) < 1e-7 for u, v in zip(x[2:], y[2:])), (x, y)
+    assert L.score(df, L.fit(df.limit(0), good.limit(0))).count() == len(rows) and L.score(df.limit(0), models).count() == 0
 
 
 def test_lm_counts_every_word_and_bigram(spark, monkeypatch):
