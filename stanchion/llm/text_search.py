@@ -5,21 +5,28 @@ taken over the whole corpus, exactly. Documents are dealt into shards of about S
 postings; a shard is an inverted index of its own, packed into one row of a table: terms (64-bit
 hashes) with their postings in document order. A query is a bag of distinct terms.
 
-In a shard, documents stand in blocks of BLOCK. For each term and block the largest impact is
-kept, and their weighted sum bounds every score in the block. A query scores the blocks of highest
-bound first; its k-th best score so far is a threshold, and blocks whose bound is below it are
-never scored. This is not WAND: no pivots are selected and no cursors skip. A task's shards hand the threshold on. Each task gives its k best, and merging these
-by score is exact, as all use the same statistics.
-
-Queries go round in blocks of about QUERY_TERMS terms, the bound of what is broadcast.
+In a shard, documents stand in blocks of BLOCK, and each long list keeps its largest part of a
+score in every block. For a group of queries the sums of these, which bound all scores in a block,
+are one matrix product. A query adds what its short lists hold, and looks only at documents whose
+bound reaches its threshold (the k-th best so far, of all shards of the task). For these the long
+lists are added up, and those that still reach it are scored whole. This is block-max pruning, not
+WAND proper: bounds are taken for all blocks at once, so there are no cursors, pivots or skips in
+lists; what they would save is saved by the product.
+
+Queries go round in blocks of about QUERY_TERMS terms, the bound of what is broadcast. A block first
+asks about the square root of the number of shards; the k-th best found there is the floor that all
+others must reach, so that they return few rows. Merging by score is exact, as all use the same
+statistics.
 
 Defined results: null or blank text matches nothing and, as a query, returns nothing; only
 documents with a positive score are returned; a query's own id is no answer to it; ties go to the
-smaller id; rows that share an id are separate documents; null ids are not returned and do not ask.
+smaller id; rows that share an id are separate documents, and as queries the least text of an id
+asks; null ids are not returned and do not ask.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,13 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._base import LOWER, U64, chunks, drop, ids_of, keep, pack, pack_sorted, ragged, small_batches, strings, trimmed, unpack, unpack_sorted, words_of
+from ._base import LOWER, U64, chunks, drop, keep, pack, pack_sorted, ragged, small_batches, strings, trimmed, unpack, unpack_sorted, words_of
 from ._counts import count_keys, read
 
-K1, B, BLOCK, SHARD_TERMS, QUERY_TERMS = 1.2, 0.75, 64, 2_500_000, 1_000_000
+K1, B, BLOCK, SHARD_TERMS, QUERY_TERMS = 1.2, 0.75, 2, 2_500_000, 2_000_000
+#: A list is long if it holds more than one of SPARSE documents; queries of a matrix product.
+SPARSE, GROUP = 32, 256
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
-_NULL = np.iinfo(np.int64).max
+
+
+INDEX = ["ids", "known", "lengths", "terms", "df", "docs", "tfs"]
 
 
 def bags(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -58,23 +69,23 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards: ids, lengths, terms, postings per term, and postings (document, count) in term order."""
 
     def shard(held):
-        ids = np.concatenate([x[0] for x in held])
-        lengths = np.concatenate([x[1] for x in held])
-        term = np.concatenate([x[2] for x in held])
-        tf = np.concatenate([x[3] for x in held])
-        doc = np.repeat(np.arange(len(ids), dtype=np.uint32), np.concatenate([x[4] for x in held]))
+        ids, known, lengths, term, tf, n = (np.concatenate([x[i] for x in held]) for i in range(6))
+        at = np.argsort(lengths, kind="stable")  # documents of like length share a block: its bounds are tighter
+        p = ragged((np.cumsum(n) - n)[at], n[at])
+        term, tf, doc = term[p], tf[p], np.repeat(np.arange(len(ids), dtype=np.uint32), n[at])
         order = np.argsort(term, kind="stable")  # documents stay in order inside a term
         term, tf, doc = term[order], tf[order], doc[order]
         heads = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.empty(0, np.int64)
         df = np.diff(np.append(heads, len(term)))
-        row = [pack(ids), pack(lengths.astype(np.uint32)), pack_sorted(term[heads]), pack(df.astype(np.uint32)), pack(doc), pack(tf.astype(np.uint32))]
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], ["ids", "lengths", "terms", "df", "docs", "tfs"])
+        row = [pack(ids[at]), pack(known[at].astype(np.uint8)), pack(lengths[at].astype(np.uint32)), pack_sorted(term[heads]), pack(df.astype(np.uint32)), pack(doc), pack(tf.astype(np.uint32))]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], INDEX)
 
     held, n = [], 0
     for batch in batches:
-        ids = ids_of(batch.column(0))
+        ids, known = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
         for lo, term, tf, bounds, lengths in bags(batch.column(1)):
-            held.append((ids[lo : lo + len(lengths)], lengths, term, tf, np.diff(bounds)))
+            hi = lo + len(lengths)
+            held.append((ids[lo:hi], known[lo:hi], lengths, term, tf, np.diff(bounds)))
             n += len(term)
             if n >= SHARD_TERMS:
                 yield shard(held)
@@ -84,69 +95,87 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Shard:
-    def __init__(self, ids, lengths, terms, df, docs, tfs, mean_length: float):
-        self.ids = unpack(ids, np.int64)
+    """One shard, opened for a block of queries: asked are all their terms, ascending, and idf their weights."""
+
+    def __init__(self, ids, known, lengths, terms, df, docs, tfs, mean_length: float, asked: np.ndarray, idf: np.ndarray):
+        self.ids, self.known = unpack(ids, np.int64), unpack(known, np.uint8).astype(bool)
+        n = len(self.ids)
         length = unpack(lengths, np.uint32).astype(np.float64)
         scale = K1 * (1 - B + B * length / max(mean_length, 1e-9))
-        self.terms = unpack_sorted(terms, U64)
-        df = unpack(df, np.uint32).astype(np.int64)
+        terms, df = unpack_sorted(terms, U64), unpack(df, np.uint32).astype(np.int64)
+        at = np.minimum(np.searchsorted(terms, asked), max(len(terms) - 1, 0))
+        on = terms[at] == asked if len(terms) else np.zeros(len(asked), bool)
+        self.term = np.where(on, at, -1)  # of each term asked for
+        weight = np.zeros(len(terms))
+        weight[at[on]] = idf[on]
         self.docs = unpack(docs, np.uint32).astype(np.int32)
         tf = unpack(tfs, np.uint32).astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + scale[self.docs])
+        self.part = np.repeat(weight, df) * (tf * (K1 + 1) / (tf + scale[self.docs]))  # what a posting adds to a score
         del tf
         self.at = np.concatenate(([0], np.cumsum(df)))  # postings of each term
-        block = self.docs // BLOCK
-        self.blocks = -(-len(self.ids) // BLOCK)
-        n = len(self.docs)
-        cut = np.ones(n, bool)
-        cut[1:] = block[1:] != block[:-1]
-        cut[self.at[:-1]] = True
-        self.run_start = np.flatnonzero(cut)
-        self.run_size = np.diff(np.append(self.run_start, n)).astype(np.int32)
-        self.run_block = block[self.run_start]
-        self.run_max = np.maximum.reduceat(self.impact, self.run_start) if n else np.empty(0)
-        self.run_of = np.searchsorted(self.run_start, self.at)  # runs of each term
-
-    def best(self, terms: np.ndarray, idf: np.ndarray, own: int, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """The k best so far (ids, scores) and of this shard, and how many blocks were scored. terms ascend."""
-        if not len(self.terms):
-            return ids, scores, 0
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        on = self.terms[at] == terms
-        at, idf = at[on], idf[on]
-        lo, n = self.run_of[at], self.run_of[at + 1] - self.run_of[at]
-        runs = ragged(lo, n)
-        blocks = self.run_block[runs]
-        bound = np.bincount(blocks, np.repeat(idf, n) * self.run_max[runs], self.blocks)
-        scored = np.zeros(self.blocks, bool)
-        if len(scores) < k:  # no threshold yet: the blocks of highest bound give one
-            few = min(self.blocks, max(4, self.blocks // 8))
-            scored[np.argpartition(-bound, few - 1)[:few]] = True
-            ids, scores = self._scored(scored, at, idf, runs, blocks, n, own, k, ids, scores)
-        rest = (bound > 0) & ~scored
-        if len(scores) >= k:
-            rest &= bound >= scores[k - 1] * (1 - 1e-9)
-        if rest.any():
-            ids, scores = self._scored(rest, at, idf, runs, blocks, n, own, k, ids, scores)
-        return ids, scores, int((scored | rest).sum())
-
-    def _scored(self, chosen, at, idf, runs, blocks, n, own, k, ids, scores):
-        if 2 * chosen.sum() > self.blocks:  # most blocks: whole lists, other blocks' scores are not looked at
-            size = self.at[at + 1] - self.at[at]
-            p, weight = ragged(self.at[at], size), np.repeat(idf, size)
-        else:
-            pick = chosen[blocks]
-            r = runs[pick]
-            size = self.run_size[r]
-            p, weight = ragged(self.run_start[r], size), np.repeat(np.repeat(idf, n)[pick], size)
-        s = np.bincount(self.docs[p], weight * self.impact[p], len(self.ids))
-        least = scores[k - 1] if len(scores) >= k else 0.0
-        found = np.flatnonzero((s > 0) & (s >= least))
-        found = found[chosen[found // BLOCK] & (self.ids[found] != own) & (self.ids[found] != _NULL)]
-        if len(found) > k:
-            edge = np.partition(s[found], len(found) - k)[len(found) - k]
-            found = found[s[found] >= edge]
-        ids, scores = np.concatenate((ids, self.ids[found])), np.concatenate((scores, s[found]))
+        # the same by document, terms in order
+        order = np.argsort(self.docs, kind="stable")
+        self.term_of = np.repeat(np.arange(len(df), dtype=np.int32), df)[order]
+        self.part_of = self.part[order]
+        self.first = np.searchsorted(self.docs[order], np.arange(n + 1))
+        # long lists as columns, and the largest part of each in each block
+        self.blocks = -(-n // BLOCK)
+        long = np.flatnonzero((df > n / SPARSE) & (weight > 0))
+        self.row = np.full(len(df), -1, np.int32)
+        self.row[long] = np.arange(len(long))
+        self.column = np.zeros((len(long), self.blocks * BLOCK), np.float32)
+        for r, t in enumerate(long):
+            a, b = self.at[t], self.at[t + 1]
+            self.column[r, self.docs[a:b]] = self.part[a:b]
+        self.column *= np.float32(1 + 1e-6)  # no less than the parts
+        self.wanted = np.zeros(len(df))
+        self.peak = self.column.reshape(len(long), self.blocks, BLOCK).max(axis=2)
+
+    def best(self, queries: list[tuple[int, np.ndarray]], floors: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query (own id, numbers of its terms): the k best that reach its floor of those held and of this shard (ids, scores)."""
+        n = len(self.ids)
+        for s in range(0, len(queries), GROUP):
+            group = queries[s : s + GROUP]
+            terms = [t[t >= 0] for t in (self.term[q] for _, q in group)]
+            row = [self.row[t] for t in terms]
+            which = np.zeros((len(group), len(self.peak)), np.float32)
+            which[np.repeat(np.arange(len(group)), [(r >= 0).sum() for r in row]), np.concatenate([r[r >= 0] for r in row])] = 1
+            bounds = (which @ self.peak) * np.float32(1 + 1e-5)
+            for i, ((own, _), t, r) in enumerate(zip(group, terms, row)):
+                ids, scores = best[s + i]
+                if not len(t):
+                    yield ids, scores
+                    continue
+                short, r = t[r < 0], r[r >= 0]
+                p = ragged(self.at[short], self.at[short + 1] - self.at[short])
+                rest = np.bincount(self.docs[p], self.part[p], n)
+                bound = np.repeat(bounds[i].astype(np.float64), BLOCK)[:n] + rest
+                bound[~self.known | (self.ids == own)] = 0
+                threshold = max(floors[s + i], scores[k - 1] if len(scores) >= k else 0.0)
+                if not threshold:  # the documents of highest bound give one
+                    few = min(n, 4 * k)
+                    lead = np.sort(np.argpartition(-bound, few - 1)[:few])
+                    ids, scores = self._scored(lead[bound[lead] > 0], t, k, 0.0, ids, scores)
+                    bound[lead] = 0
+                    threshold = scores[k - 1] if len(scores) >= k else 0.0
+                near = np.flatnonzero((bound > 0) & (bound >= threshold * (1 - 1e-9)))
+                exact = rest[near] + self.column[r[:, None], near].sum(axis=0) * (1 + 1e-5)
+                found = near[exact >= threshold * (1 - 1e-9)]
+                ids, scores = self._scored(found, t, k, threshold, ids, scores)
+                yield ids, scores
+
+    def _scored(self, found: np.ndarray, terms: np.ndarray, k: int, least: float, ids: np.ndarray, scores: np.ndarray):
+        """The k best of those held and of the documents found, whose parts are summed in the order of their terms."""
+        found = found[self.first[found + 1] > self.first[found]]
+        if not len(found):
+            return ids, scores
+        self.wanted[terms] = 1
+        n = self.first[found + 1] - self.first[found]
+        p = ragged(self.first[found], n)
+        s = np.add.reduceat(self.wanted[self.term_of[p]] * self.part_of[p], np.cumsum(n) - n)
+        self.wanted[terms] = 0
+        on = (s > 0) & (s >= least)
+        ids, scores = np.concatenate((ids, self.ids[found[on]])), np.concatenate((scores, s[on]))
         top = np.lexsort((ids, -scores))[:k]
         return ids[top], scores[top]
 
@@ -156,18 +185,20 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     spark = docs.sparkSession
     small_batches(spark)
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    index = keep(pick(docs).mapInArrow(trimmed(_indexed), "ids binary, lengths binary, terms binary, df binary, docs binary, tfs binary"), "index")
+    index = keep(pick(docs).mapInArrow(trimmed(_indexed), ", ".join(f"{c} binary" for c in INDEX)), "index")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = total = 0
+        n = total = shards = 0
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 length = unpack(x, np.uint32)
-                n, total = n + len(length), total + int(length.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total])], ["n", "total"])
+                n, total, shards = n + len(length), total + int(length.sum()), shards + 1
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total]), pa.array([shards])], ["n", "total", "shards"])
 
-    size = index.select("lengths").mapInArrow(trimmed(told), "n long, total long").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    size = index.select("lengths").mapInArrow(trimmed(told), "n long, total long, shards long").agg(*(F.sum(c).alias(c) for c in ("n", "total", "shards"))).first()
     n, mean = size.n or 0, (size.total or 0) / max(size.n or 0, 1)
+    leads = F.pmod(F.xxhash64("ids"), F.lit(math.isqrt(size.shards or 1))) == 0
+    rounds = [index.filter(leads).select(INDEX), index.filter(~leads).select(INDEX)]
 
     def counted(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -175,24 +206,36 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
                 yield unpack_sorted(terms, U64), unpack(df, np.uint32).astype(np.int64)[:, None]
 
     frequency = count_keys(index.select("terms", "df"), counted)
+
+    def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, term, _, bounds, lengths in bags(batch.column(1)):
+                rows = [pack_sorted(term[s:e]) for s, e in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(lengths)), pa.array(rows, pa.binary())], ["id", "terms"])
+
     # of several rows with one id, the least text asks
-    # of several rows with one id, the least text asks
-    rows = pick(queries).filter("id is not null").groupBy("id").agg(F.min("text").alias("text")).toLocalIterator()
+    least = pick(queries).filter("id is not null").groupBy("id").agg(F.min("text").alias("text"))
+    asking = keep(least.mapInArrow(trimmed(bagged), "id long, terms binary"), "asking")
     found, held, terms = [], [], 0
 
     def ask(asked: list[tuple[int, np.ndarray]]) -> None:
-        idf = _idf(frequency, np.unique(np.concatenate([t for _, t in asked])), n)
-        found.append(_round(index, [(q, t, idf(t)) for q, t in asked], mean, k))
-
-    for r in rows:
-        held += _bags_of([r])
+        own = np.unique(np.concatenate([t for _, t in asked]))
+        block = [(q, np.searchsorted(own, t)) for q, t in sorted(asked, key=lambda x: x[0])]
+        idf, floors = _idf(frequency, own, n), np.zeros(len(block))
+        for shards in rounds:
+            found.append(_round(shards, block, own, idf, floors, mean, k))
+            if shards is not rounds[-1]:
+                floors = _floors(found[-1], block, k)
+
+    for r in asking.toLocalIterator():
+        held.append((r.id, unpack_sorted(bytes(r.terms), U64)))
         terms += len(held[-1][1])
         if terms >= QUERY_TERMS:
-            ask(sorted(held, key=lambda x: x[0]))
+            ask(held)
             held, terms = [], 0
     if held:
-        ask(sorted(held, key=lambda x: x[0]))
-    drop(frequency)
+        ask(held)
+    drop(frequency, asking, index)
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
@@ -200,17 +243,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def _bags_of(block: list) -> list[tuple[int, np.ndarray]]:
-    """The queries' distinct terms."""
-    block = sorted(block, key=lambda r: r.id)
-    out = []
-    for lo, term, _, bounds, lengths in bags(pa.array([r.text for r in block], pa.string())):
-        out += [(block[lo + i].id, term[bounds[i] : bounds[i + 1]]) for i in range(len(lengths))]
-    return out
-
-
-def _idf(frequency: DataFrame, asked: np.ndarray, n: int):
-    """A function of terms, from the whole corpus's document counts of the terms asked for."""
+def _idf(frequency: DataFrame, asked: np.ndarray, n: int) -> np.ndarray:
+    """Weights of the terms asked for, from the whole corpus's document counts."""
     held = frequency.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,21 +260,27 @@ def _idf(frequency: DataFrame, asked: np.ndarray, n: int):
     for r in frequency.select("keys", "counts").mapInArrow(trimmed(run), "at binary, df binary").collect():
         df[unpack(r.at, np.int64)] = unpack(r.df, np.int64)
     held.unpersist()
-    value = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    return lambda terms: value[np.searchsorted(asked, terms)]
+    return np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _floors(found: DataFrame, block: list, k: int) -> np.ndarray:
+    """Each query's k-th best score so far, where it has so many: all better answers reach it."""
+    order = W.partitionBy("query_id").orderBy(F.desc("score"))
+    least = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("query_id", "score")
+    have = {r.query_id: r.score for r in least.collect()}  # a row for each query of the block at most
+    return np.array([have.get(q, 0.0) for q, _ in block])
 
 
-def _round(index: DataFrame, asked: list[tuple[int, np.ndarray, np.ndarray]], mean: float, k: int) -> DataFrame:
-    held = index.sparkSession.sparkContext.broadcast(asked)
+def _round(index: DataFrame, block: list[tuple[int, np.ndarray]], asked: np.ndarray, idf: np.ndarray, floors: np.ndarray, mean: float, k: int) -> DataFrame:
+    held = index.sparkSession.sparkContext.broadcast((block, asked, idf, floors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.empty(0, np.int64), np.empty(0)
-        best = [none] * len(held.value)  # of all the task's shards: each begins with the threshold of those before it
+        block, asked, idf, floors = held.value
+        best = [(np.empty(0, np.int64), np.empty(0))] * len(block)  # of all the task's shards: each begins with the threshold of those before it
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                shard = Shard(*row, mean)
-                best = [shard.best(t, w, q, k, *b)[:2] for (q, t, w), b in zip(held.value, best)]
-        q = np.repeat([q for q, _, _ in held.value], [len(i) for i, _ in best])
+                best = list(Shard(*row, mean, asked, idf).best(block, floors, best, k))
+        q = np.repeat([q for q, _ in block], [len(i) for i, _ in best])
         cols = [q.astype(np.int64), np.concatenate([i for i, _ in best]), np.concatenate([x for _, x in best])]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "doc_id", "score"])
 

@@ -143,13 +143,16 @@ def test_components(spark, most):
     assert got == {x: find(x) for x in up if find(x) != x}
 
 
-def test_text_search(spark, monkeypatch):
+@pytest.mark.parametrize("block,sparse,group", [(2, 32, 256), (4, 3, 2), (1, 10**6, 5)])
+def test_text_search(spark, monkeypatch, block, sparse, group):
     import re
 
     from stanchion.llm import text_search as T
 
     monkeypatch.setattr(T, "SHARD_TERMS", 400)
-    monkeypatch.setattr(T, "BLOCK", 4)
+    monkeypatch.setattr(T, "BLOCK", block)
+    monkeypatch.setattr(T, "SPARSE", sparse)
+    monkeypatch.setattr(T, "GROUP", group)
     monkeypatch.setattr(T, "QUERY_TERMS", 300)
     rows = near_copies(8)
     df = docs_of(spark, rows).repartition(3)
@@ -174,6 +177,21 @@ def test_text_search(spark, monkeypatch):
     assert T.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_text_search_odd_rows(spark):
+    from stanchion.llm.text_search import search
+
+    top = 2**63 - 1
+    rows = [(top, "red fox", "s"), (None, "red fox", "s"), (5, "red fox", "s"), (5, "red hen", "s"), (6, "Red", "s"), (7, None, "s"), (8, "", "s"), (9, "blue sea", "s")]
+    df = docs_of(spark, rows)
+    got = defaultdict(list)
+    for r in search(df, df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.doc_id)
+    # rows that share id 5 are its own; the null id neither asks nor answers; a shared id asks with its least text
+    assert dict(got) == {top: [5, 6, 5], 5: [top, 6], 6: [5, 5, top]}
+    ranked = search(df, df.filter("doc_id = 6")).orderBy("rank").collect()
+    assert [r.rank for r in ranked] == [1, 2, 3] and len({r.score for r in ranked}) == 1
+
+
 def test_vector_search(spark, monkeypatch):
     from stanchion.llm import vector_search as V
 
