@@ -8,8 +8,8 @@ any other, and over all its bigrams: nothing is cut off, so the tables grow with
 with c(h, w) the count of a bigram, c(h) the sum of these, so that P sums to one. The
 background counts all rows, the target the rows of target ids.
 
-Words, contexts and bigrams are counted exactly over all documents, as 62-bit hashes with two
-bits for which of these they are. Documents are cut into pieces; a piece's distinct keys and
+Words (also as contexts) and bigrams are counted exactly over all documents, as 63-bit hashes with
+one bit for which of these they are. Documents are cut into pieces; a piece's distinct keys and
 their counts go to hash buckets, which add up all pieces and give the sums back, so counting
 and looking up are one round trip, and neither table is written, broadcast or collected.
 
@@ -36,11 +36,11 @@ from ._base import LOWER, U64, WHITE, chunks, drop, ids_of, keep, mix, small_bat
 
 MU = 20.0
 #: Words of a piece of documents.
-PIECE = 1_000_000
+PIECE = 1_500_000
 #: Up to so many target ids are broadcast (32 MB); of more, the rows are found by a join.
 IDS = 4_000_000
-#: Kinds of keys, in their last two bits; then keys are spread by an odd factor.
-_ONE, _CONTEXT, _PAIR = (U64(k) for k in range(3))
+#: Kinds of keys, in their last bit; then keys are spread by an odd factor.
+_ONE, _PAIR = U64(0), U64(1)
 _SPREAD = 0x9E6C63D0876A9A47
 _BACK = pow(_SPREAD, -1, 1 << 64)
 _HEAD = U64(0x5851F42D4C957F2D)  # stands for the start mark's hash
@@ -78,10 +78,10 @@ def _pairs(own: np.ndarray, n: np.ndarray, n_words: int) -> tuple[np.ndarray, np
 
 
 def _keys(words: np.ndarray, before: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of words, of words as contexts (the start mark is the last), and of pairs of numbers, in one order; and where each has gone."""
+    """Keys of words (the start mark is the last) and of pairs of numbers, in one order; and where each has gone."""
     words = np.append(words, _HEAD)
     pair = mix(words[before] * U64(_SPREAD) + U64(1)) + words[own]
-    keys = np.concatenate([mix(x) & ~U64(3) | kind for x, kind in ((words, _ONE), (words, _CONTEXT), (pair, _PAIR))]) * U64(_SPREAD)
+    keys = np.concatenate([mix(x) & ~U64(1) | kind for x, kind in ((words, _ONE), (pair, _PAIR))]) * U64(_SPREAD)
     order = np.argsort(keys)
     rank = np.empty(len(keys), np.int64)
     rank[order] = np.arange(len(keys))
@@ -89,16 +89,23 @@ def _keys(words: np.ndarray, before: np.ndarray, own: np.ndarray) -> tuple[np.nd
 
 
 def _piece(ids: pa.Array, role: np.ndarray, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], bytes]:
+    """Counts of words and pairs for the background and the target, then of words as contexts for either."""
     words, number = np.unique(h, return_inverse=True)
     before, pair_before, pair_own, place = _pairs(number, n, len(words))
     keys, rank = _keys(words, pair_before, pair_own)
-    at = rank[number], rank[len(words) + 1 + before], rank[2 * (len(words) + 1) + place]
+    at, context = (rank[number], rank[len(words) + 1 + place]), rank[before]
     doc = np.repeat(role, n)
-    cols = [sum(np.bincount(x[(doc & flag) > 0], minlength=len(keys)) for x in at) for flag in (_COUNTED, _TARGET)]
+    on = [(doc & flag) > 0 for flag in (_COUNTED, _TARGET)]
+    cols = [sum(np.bincount(x[f], minlength=len(keys)) for x in at) for f in on]
+    cols += [np.bincount(context[f], minlength=len(keys)) for f in on]
     if not role[0] & _SCORED:  # as no other row of the piece is
         return keys, cols, b""
     valid = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
-    return keys, cols, sized(ids.fill_null(0).to_numpy(), valid, n.astype(np.uint32), np.diff(words, prepend=U64(0)), number.astype(np.uint32))
+    # frequent words have small numbers, which pack well
+    order = np.argsort(-np.bincount(number, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.uint32)
+    rank[order] = np.arange(len(words), dtype=np.uint32)
+    return keys, cols, sized(ids.fill_null(0).to_numpy(), valid, n.astype(np.uint32), np.diff(words, prepend=U64(0)), order.astype(np.uint32), rank[number])
 
 
 def _cut(few):
@@ -137,23 +144,23 @@ def _cut(few):
 
 def _told(keys: np.ndarray, cols: list[np.ndarray]) -> np.ndarray:
     """Of the words of a bucket: how many the corpus holds, and their counts."""
-    on = (keys * U64(_BACK)) & U64(3) == _ONE
-    b, t = (c[on] for c in cols)
+    on = (keys * U64(_BACK)) & U64(1) == _ONE
+    b, t = (c[on] for c in cols[:2])
     return np.array([(b > 0).sum(), b.sum(), t.sum()])
 
 
 def _losses(_: int, body: bytes, cols: list[np.ndarray], told: np.ndarray) -> Iterator[pa.RecordBatch]:
     if not body:
         return
-    ids, valid, n, words, number = opened(body, np.int64, np.uint8, np.uint32, U64, np.uint32)
-    n, number, words = n.astype(np.int64), number.astype(np.int64), np.cumsum(words, dtype=U64)
+    ids, valid, n, words, order, number = opened(body, np.int64, np.uint8, np.uint32, U64, np.uint32, np.uint32)
+    n, number, words = n.astype(np.int64), order[number].astype(np.int64), np.cumsum(words, dtype=U64)
     size, *total = np.resize(told, 3) + np.array([2, 0, 0])  # with places for the start mark and for other words
     _, before, own, place = _pairs(number, n, len(words))
     rank = _keys(words, before, own)[1]
-    one, context, pair = rank[own], rank[len(words) + 1 + before], rank[2 * (len(words) + 1) :]
+    one, context, pair = rank[own], rank[before], rank[len(words) + 1 :]
     out = []
-    for c, whole in zip((x.astype(np.float64) for x in cols), total):
-        loss = np.log(c[context] + MU) - np.log(c[pair] + MU * (c[one] + 1) / (whole + size))
+    for c, follows, whole in zip(cols[:2], cols[2:], total):
+        loss = np.log(follows[context] + MU) - np.log(c[pair] + MU * (c[one] + 1) / (whole + size))
         sums = np.zeros(len(n))
         if len(place):
             sums[n > 0] = np.add.reduceat(loss[place], (np.cumsum(n) - n)[n > 0])
@@ -199,5 +206,5 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
         rows = rows.unionByName(_target_rows(models.corpus, ids).select(F.lit(_TARGET).alias("role"), "id", "text"))
     if not own:
         rows = rows.unionByName(_plain(docs, id_col, text_col).select(F.lit(_SCORED).alias("role"), "id", "text"))
-    answered = ask(rows, _cut(few), [np.add, np.add], lambda keys, cols: cols, _told)
-    return hear(answered, _losses, [np.int64, np.int64], "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    answered = ask(rows, _cut(few), [np.add] * 4, lambda keys, cols: cols, _told)
+    return hear(answered, _losses, [np.int64] * 4, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
