@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from .assign import _side
 
+#: Slices that a group's values are cut into to be ranked.
+SLICES = 64
+
 
 def class_counts(boxes: DataFrame, by: list[str] | None = None) -> DataFrame:
     return boxes.groupBy(*(by or []), "cls").agg(F.count("*").alias("n"))
@@ -56,25 +64,51 @@ def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFram
     return df.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), p(0.05).alias("p5"), p(0.5).alias("p50"), p(0.95).alias("p95"))
 
 
+def ordered(df: DataFrame, value: str, places: dict[str, Callable[[Column], Column]], by: list[str]) -> DataFrame:
+    """(by, n, and under each name the value at a place of the group's sorted values): places are from 0, given as functions
+    of n; null values are left out.
+
+    No group is sorted in one task: equal values are counted first, an approximate quantile sketch cuts the values into slices,
+    whose exact sizes say which slices hold the places, and only these are sorted.
+    """
+    same = lambda x, y, cols: reduce(and_, (x[c].eqNullSafe(y[c]) for c in cols), F.lit(True))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    marks = counts.groupBy(*by).agg(F.percentile_approx("_v", [i / SLICES for i in range(1, SLICES)], 1000).alias("_marks"))
+    x, y = counts.alias("x"), marks.alias("y")
+    sliced = x.join(y, same(counts, marks, by)).select(*(F.col(f"x.{c}") for c in by), "_v", "_c", F.size(F.filter("_marks", lambda m: m < F.col("_v"))).alias("_s"))
+    run = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))  # over the SLICES rows of a group
+    sizes = sliced.groupBy(*by, "_s").agg(F.sum("_c").alias("_m")).withColumn("n", F.sum("_m").over(run)).withColumn("_before", F.sum("_m").over(run.orderBy("_s")) - F.col("_m"))
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("place")) for name, place in places.items()))
+    held = F.filter(wanted, lambda w: (w.place >= F.col("_before")) & (w.place < F.col("_before") + F.col("_m")))
+    some = sizes.withColumn("_held", held).filter(F.size("_held") > 0).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_s").alias("_slice"), "n", "_before", "_held")
+    on = reduce(and_, (sliced[c].eqNullSafe(some[f"_{c}"]) for c in by), sliced["_s"] == some["_slice"])
+    upto = F.sum("_c").over(W.partitionBy(*by, "_s").orderBy("_v")) + F.col("_before")
+    rows = sliced.join(some, on).withColumn("_upto", upto)
+    met = F.filter("_held", lambda w: (w.place < F.col("_upto")) & (w.place >= F.col("_upto") - F.col("_c")))
+    got = rows.select(*by, "n", "_v", F.explode(met).alias("_w"))
+    return got.groupBy(*by, "n").agg(*(F.max(F.when(F.col("_w.name") == name, F.col("_v"))).alias(name) for name in places))
+
+
 def nearest_rank(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
-    """Percentiles by nearest rank: place bround(q * (n - 1)) of the sorted values. Ranks are numbered by one window per group."""
-    by = by or []
-    run = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    marked = df.select(*by, F.col(value).alias("_v")).filter("_v is not null")
-    marked = marked.withColumn("_i", F.row_number().over(run.orderBy("_v")) - 1).withColumn("_n", F.count("*").over(run))
-    picks = [F.max(F.when(F.col("_i") == F.least(F.bround(F.lit(q) * (F.col("_n") - 1)), F.col("_n") - 1), F.col("_v"))).alias(name) for name, q in shares.items()]
-    return marked.groupBy(*by).agg(*picks)
+    """Percentiles by nearest rank: place bround(q * (n - 1)) of the sorted values."""
+    place = lambda q: lambda n: F.least(F.bround(F.lit(q) * (n - 1)), n - 1)
+    return ordered(df, value, {name: place(q) for name, q in shares.items()}, by or []).drop("n")
 
 
 def latency(frames: DataFrame, by: list[str], order: str, value: str, warm_up: int = 15) -> DataFrame:
-    """frames, measured, mean, upper median, p95 and rates per group, without the first `warm_up` frames unless there are no others."""
-    run = W.partitionBy(*by)
-    marked = frames.withColumn("_i", F.row_number().over(run.orderBy(order))).withColumn("_all", F.count("*").over(run))
-    kept = marked.filter((F.col("_i") > warm_up) | (F.col("_all") <= warm_up))
-    kept = kept.withColumn("_k", F.row_number().over(run.orderBy(value)) - 1).withColumn("_n", F.count("*").over(run))
-    at = lambda place: F.max(F.when(F.col("_k") == place, F.col(value)))
-    out = kept.groupBy(*by).agg(F.max("_all").alias("frames"), F.count("*").alias("measured"), F.avg(value).alias("mean_ms"), at(F.floor(F.col("_n") / 2)).alias("median_ms"), at(F.least(F.col("_n") - 1, F.floor(F.col("_n") * 0.95))).alias("p95_ms"))
+    """frames, measured, mean, upper median, p95 and rates per group, without the first `warm_up` frames unless there are no
+    others. order is unique in a group."""
+    first = frames.withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy(order))).filter(F.col("_i") <= warm_up)  # kept few by each task
+    warm = first.groupBy(*by).agg(F.max(order).alias("_warm")).select(*(F.col(c).alias(f"_{c}") for c in by), "_warm")
+    size = frames.groupBy(*by).agg(F.count("*").alias("frames")).select(*(F.col(c).alias(f"_{c}") for c in by), "frames")
+    on = lambda x, y: reduce(and_, (x[c].eqNullSafe(y[f"_{c}"]) for c in by))
+    told = size.join(warm.select(*(F.col(f"_{c}").alias(f"_w{c}") for c in by), "_warm"), reduce(and_, (F.col(f"_{c}").eqNullSafe(F.col(f"_w{c}")) for c in by)))
+    kept = frames.join(told, on(frames, told)).filter((F.col(order) > F.col("_warm")) | (F.col("frames") <= warm_up)).select(*frames.columns, "frames")
+    mean = kept.groupBy(*by).agg(F.first("frames").alias("frames"), F.count("*").alias("measured"), F.avg(value).alias("mean_ms"))
+    at = ordered(kept, value, {"median_ms": lambda n: F.floor(n / 2), "p95_ms": lambda n: F.least(n - 1, F.floor(n * 0.95))}, by).drop("n")
+    at = at.select(*(F.col(c).alias(f"_{c}") for c in by), "median_ms", "p95_ms")
     rate = lambda c: F.try_divide(F.lit(1000.0), F.col(c))
+    out = mean.join(at, on(mean, at), "left").select(*by, "frames", "measured", "mean_ms", "median_ms", "p95_ms")
     return out.withColumn("mean_fps", rate("mean_ms")).withColumn("median_fps", rate("median_ms"))
 
 
@@ -88,6 +122,12 @@ def duplicate_groups(files: DataFrame, content: Column, key: str) -> DataFrame:
     return files.groupBy(F.md5(content).alias("digest")).agg(F.count("*").alias("n"), F.min(key).alias("first")).filter("n > 1")
 
 
+def duplicate_members(files: DataFrame, content: Column, key: str) -> DataFrame:
+    """(digest, key) of every file whose content several keys have, however many they are."""
+    marked = files.select(F.md5(content).alias("digest"), F.col(key))
+    return marked.join(duplicate_groups(files, content, key).select("digest"), "digest", "left_semi")
+
+
 def constant_within(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, low, high, constant): whether a value is the same in all rows of a group."""
     return df.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high")).withColumn("constant", F.col("low").eqNullSafe(F.col("high")))
@@ -103,6 +143,15 @@ def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int,
     return each.withColumn("density", F.col("n") / (F.sum("n").over(run) * width))
 
 
+def log_histogram(df: DataFrame, value: Column, low: float, high: float, bins: int, by: list[str] | None = None) -> DataFrame:
+    """(by, bin, n): bins of equal width in the logarithm from low to high, the last one closed; values outside, and those
+    that have no logarithm, are left out."""
+    step = (math.log10(high) - math.log10(low)) / bins
+    inside = df.filter((value >= low) & (value <= high) & (value > 0))
+    at = F.least(F.floor((F.log10(value) - math.log10(low)) / step), F.lit(bins - 1))
+    return inside.groupBy(*(by or []), at.alias("bin")).agg(F.count("*").alias("n"))
+
+
 def remap(boxes: DataFrame, mapping: dict[int, int]) -> tuple[DataFrame, DataFrame]:
     """Boxes with their classes mapped, and how many of each unmapped class were dropped."""
     to = F.create_map(*(F.lit(x) for kv in mapping.items() for x in kv))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .assign import _side
-from .splits import hash_order
+from .splits import hash_places
 
 #: The threshold grid is 0.05 .. 0.95; separations this close count as equal.
 STEPS, PLATEAU = 19, 0.01
@@ -30,18 +30,21 @@ def true_pairs(boxes: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def false_pairs(boxes: DataFrame, key: str = "image_id", seed: int = 0) -> DataFrame:
-    """(key, item, score): every item against a person of another image, chosen by a hash; a person equal in value to a
-    box of the item's image makes no pair. Items and people are dealt by hash into slots of about one person each, so
-    this is an equi join; an item whose slot is empty is scored against nobody and left out."""
+    """(key, item, score): every item of an image with people against a person of another image, drawn by a hash. A person
+    equal in value to a box of the item's own image is no false pair, and the item then has none.
+
+    The people of images with items are numbered in the order of a hash, and an item draws a number: an equi join."""
     people, items = boxes.filter(F.col("cls") == G.PERSON), boxes.filter(F.col("cls").isin(*G.REQUIRED))
     both = people.select(key).distinct().join(items.select(key).distinct(), key)
     people, items = people.join(both, key, "left_semi"), items.join(both, key, "left_semi")
-    n = F.broadcast(people.agg(F.count("*").alias("_n")))
-    slot = lambda df, tag: df.crossJoin(n).withColumn("_slot", F.pmod(F.xxhash64(F.lit(f"{seed}{tag}"), key, "box_idx"), "_n"))
-    p = slot(people, "p").groupBy("_slot").agg(F.min_by(F.struct(F.col(key).alias("other"), *(F.col(c).alias("p_" + c) for c in ("xc", "yc", "w", "h"))), F.struct(key, "box_idx")).alias("p")).select("_slot", "p.*")
-    met = slot(items, "i").join(p, "_slot")
-    same = boxes.filter(F.col("cls") == G.PERSON).select(key, *(F.col(c).alias("p_" + c) for c in ("xc", "yc", "w", "h")))
-    met = met.join(same, [key, "p_xc", "p_yc", "p_w", "p_h"], "left_anti")
+    of = lambda tag: F.md5(F.concat_ws("|", F.lit(f"{seed}{tag}"), F.col(key).cast("string"), F.col("box_idx").cast("string")).cast("binary"))
+    value = ("xc", "yc", "w", "h")
+    pool = hash_places(people, of("p"), [key, "box_idx"]).select("_place", *(F.col(c).alias("p_" + c) for c in value))
+    drawn = F.conv(F.substring(of("i"), 1, 15), 16, 10).cast("long") % F.col("_n")
+    items = items.crossJoin(F.broadcast(people.agg(F.count("*").alias("_n")))).withColumn("_place", drawn)  # one row
+    met = items.join(pool, "_place")
+    same = people.select(key, *(F.col(c).alias("p_" + c) for c in value))
+    met = met.join(same, [key, *("p_" + c for c in value)], "left_anti")
     return met.select(key, F.col("box_idx").alias("item"), G.containment(G.box(), G.box("p_")).alias("score"))
 
 
@@ -94,6 +97,3 @@ def weakest(pairs: DataFrame, k: int, by: list[str], tie: list[str], score: str
     """Per group the k lowest scores, with their rank."""
     rank = F.row_number().over(W.partitionBy(*by).orderBy(score, *tie))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-__all__ = ["grid", "true_pairs", "false_pairs", "retention", "separation", "plateau", "evidence", "weakest", "hash_order"]

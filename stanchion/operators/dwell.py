@@ -24,8 +24,10 @@ def incidents(violating: DataFrame, grace: int, keys: list[str] | None = None, t
     """violating with `incident`, the number of the incident inside its track.
 
     closes names a boolean column of rows that are no violation but end an open incident at once; they are not returned.
+    Rows without a track (a null key) belong to no incident and are left out.
     """
     keys = keys or ["track_id"]
+    violating = violating.dropna(subset=keys)
     run = W.partitionBy(*keys).orderBy(ts)
     before = F.lag(ts).over(run)
     opens = before.isNull() | (F.col(ts) - before > grace)
@@ -52,12 +54,17 @@ def islands(violating: DataFrame, grace: int, keys: list[str] | None = None, ts:
 
 
 def remembered(observed: DataFrame, required: list[int], memory: int, keys: list[str] | None = None, ts: str = "ts_us", worn: str = "worn") -> DataFrame:
-    """observed with `missing`: required classes last seen on the track more than `memory` ago, or never. A row's own sight counts."""
+    """observed with `missing`: required classes last seen on the track more than `memory` ago, or never. A row's own sight
+    counts; a row without a track (a null key) has no other."""
     keys = keys or ["track_id"]
     run = W.partitionBy(*keys).orderBy(ts).rangeBetween(W.unboundedPreceding, W.currentRow)
     out = observed
     for c in required:
-        seen = F.last(F.when(F.array_contains(worn, c), F.col(ts)), ignorenulls=True).over(run)
+        own = F.when(F.array_contains(worn, c), F.col(ts))
+        untracked = F.lit(False)
+        for k in keys:
+            untracked = untracked | F.col(k).isNull()
+        seen = F.when(untracked, own).otherwise(F.last(own, ignorenulls=True).over(run))
         out = out.withColumn(f"_seen_{c}", seen)
     lacks = [F.when(F.col(f"_seen_{c}").isNull() | (F.col(ts) - F.col(f"_seen_{c}") > memory), F.lit(c)) for c in required]
     return out.withColumn("missing", F.array_compact(F.array(*lacks))).drop(*(f"_seen_{c}" for c in required))

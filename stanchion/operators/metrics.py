@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from . import assign
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -41,6 +44,32 @@ def worker_decisions(workers: DataFrame, matched: DataFrame, states: DataFrame,
     return met.withColumn("flag_helmet", flag("wears_helmet")).withColumn("flag_vest", flag("wears_vest"))
 
 
+def sweep(boxes: DataFrame, workers: DataFrame, thresholds: list, keys: list[str], conf: str = "conf") -> DataFrame:
+    """(axis, tau, tp, fp, fn, tn, missed) at every threshold (ascending), with only the boxes of that confidence or more.
+
+    What an image's boxes say changes only at their own confidences. So an image is associated and matched once for each of these
+    (a level, for the thresholds above the one before it), however many thresholds there are; levels are counted by the range
+    of thresholds that they hold for, and only the counts are spread over the thresholds.
+    """
+    taus = F.array(*(F.lit(t) for t in thresholds))
+    # how many thresholds a box passes
+    passed = F.size(F.filter(taus, lambda t: F.col(conf) >= t))
+    live = boxes.withColumn("_passed", passed).filter("_passed > 0")
+    own = live.groupBy(*keys).agg(F.sort_array(F.collect_set("_passed")).alias("_ends"))
+    ends = F.array_distinct(F.concat(F.coalesce("_ends", F.array().cast("array<int>")), F.array(F.lit(len(thresholds)))))
+    ranges = F.transform(ends, lambda hi, i: F.struct(F.when(i == 0, 0).otherwise(F.get(ends, i - 1)).alias("lo"), hi.alias("level")))
+    by = [*keys, "level"]
+    levels = workers.select(*keys).distinct().join(own, keys, "left").select(*keys, F.inline(ranges))
+    at = live.join(levels.select(*by), keys).filter("_passed >= level").drop("_passed")
+    people = at.filter(F.col("cls") == G.PERSON).withColumnRenamed("box_idx", "person")
+    standing = workers.join(levels, keys)
+    states = assign.people_states(at, assign.bind(at, by), by)
+    decided = by_class(worker_decisions(standing, assign.match_people(people, standing, by), states, by))
+    counted = confusion(decided, ["axis", "lo", "level"], F.col("truth"), F.col("flagged"), F.col("detected"))
+    spread = counted.withColumn("tau", F.explode(F.slice(taus, F.col("lo") + 1, F.col("level") - F.col("lo"))))
+    return spread.groupBy("axis", "tau").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn", "missed")))
+
+
 def by_class(decided: DataFrame) -> DataFrame:
     """decided in long form: axis, truth (it is missing), flagged."""
     axis = lambda name: F.struct(F.lit(name).alias("axis"), (~F.col(name)).alias("truth"), F.col(f"flag_{name}").alias("flagged"))

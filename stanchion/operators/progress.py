@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 
 def run_grid(spark, models: list[str], directions: list[str], seeds: list[int]) -> DataFrame:
@@ -61,15 +62,37 @@ def offsets(counts: DataFrame, by: list[str], order: str, n: str) -> DataFrame:
     return counts.withColumn("start", F.sum(n).over(run) - F.col(n))
 
 
-def forbidden(values: Column, marker: str) -> Column:
+def texts(value: Column, kind: DataType, exempt: tuple[str, ...] = (), at: str = "") -> Column:
+    """array<string>: all texts in a value of this type, however deep in structs, arrays and maps. exempt: paths of fields
+    (a.b) that are not looked into."""
+    empty = F.array().cast("array<string>")
+    if at in exempt:
+        return empty
+    if isinstance(kind, StringType):
+        return F.array_compact(F.array(value))
+    if isinstance(kind, StructType):
+        found = [texts(value[f.name], f.dataType, exempt, f"{at}.{f.name}".lstrip(".")) for f in kind.fields]
+        return F.coalesce(F.concat(*found), empty) if found else empty
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.flatten(F.transform(value, lambda x: texts(x, kind.elementType, exempt, at))), empty)
+    if isinstance(kind, MapType):
+        return F.coalesce(F.flatten(F.transform(F.map_values(value), lambda x: texts(x, kind.valueType, exempt, at))), empty)
+    return empty
+
+
+def forbidden(values: Column, *markers: str) -> Column:
     """Whether any text of an array names a forbidden path: backslashes as slashes, in lower case, anywhere in it."""
-    return F.exists(values, lambda v: F.contains(F.lower(F.replace(v, F.lit("\\"), F.lit("/"))), F.lit(marker.lower())))
+    named = F.array(*(F.lit(m.lower()) for m in markers if m)).cast("array<string>")
+    return F.exists(values, lambda v: F.exists(named, lambda m: F.contains(F.lower(F.replace(v, F.lit("\\"), F.lit("/"))), m)))
 
 
-def guard(df: DataFrame, values: Column, marker: str) -> DataFrame:
-    """df, raising where a row names a forbidden path."""
-    message = F.lit(f"a path with '{marker}' is not allowed here")
-    return df.filter(F.when(forbidden(values, marker), F.raise_error(message).cast("boolean")).otherwise(True))
+def guard(df: DataFrame, markers: list[str], exempt: tuple[str, ...] = (), columns: list[str] | None = None) -> DataFrame:
+    """df, raising where a text anywhere in a row names a forbidden path. exempt: fields that may declare one."""
+    row = StructType([f for f in df.schema.fields if columns is None or f.name in columns])
+    every = F.concat(F.array().cast("array<string>"), *(texts(F.col(f"`{f.name}`"), f.dataType, exempt, f.name) for f in row.fields))
+    offending = F.filter(every, lambda v: forbidden(F.array(v), *markers))
+    message = F.concat(F.lit("a forbidden path: "), F.array_join(offending, ", "))
+    return df.filter(F.when(F.size(offending) > 0, F.raise_error(message).cast("boolean")).otherwise(True))
 
 
 def newest(frames: DataFrame, by: list[str], order: str) -> DataFrame:

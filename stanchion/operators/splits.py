@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,12 +17,27 @@ def strata(images: DataFrame, boxes: DataFrame, by: str = "image_id") -> DataFra
     return images.join(own, by, "left").withColumn("stratum", F.coalesce("stratum", F.lit("background")))
 
 
+def hash_places(items: DataFrame, hash_: Column, ties: list[str], by: list[str] | None = None) -> DataFrame:
+    """items with `_place`, from 0 in the order of a hexadecimal hash (and ties) inside each group, and `_n`, the group's size.
+    Ranks are numbered inside slices of the hash and shifted by the sizes of the slices before, so no group is sorted in one task."""
+    by = by or []
+    marked = items.withColumn("_h", hash_).withColumn("_slice", F.substring("_h", 1, 3))
+    sizes = marked.groupBy(*by, "_slice").agg(F.count("*").alias("_c"))
+    whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))  # over the 4096 slices of a group
+    sizes = sizes.withColumn("_n", F.sum("_c").over(whole)).withColumn("_before", F.sum("_c").over(whole.orderBy("_slice")) - F.col("_c")).drop("_c")
+    own = marked.withColumn("_own", F.row_number().over(W.partitionBy(*by, "_slice").orderBy("_h", *ties)))
+    x, y = own.alias("x"), sizes.alias("y")
+    on = F.col("x._slice") == F.col("y._slice")
+    for c in by:
+        on = on & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    met = x.join(y, on)
+    return met.select(*(F.col(f"x.{c}") for c in items.columns), (F.col("_before") + F.col("_own") - 1).alias("_place"), F.col("_n"))
+
+
 def stratified(items: DataFrame, share: float, key: str, stratum: str = "stratum", seed: int = 0) -> DataFrame:
     """items with `side`: of each stratum the first bround(n * share) in hash order are 'minority', the others 'majority'."""
-    place = F.row_number().over(W.partitionBy(stratum).orderBy(hash_order(key, seed), F.col(key)))
-    n = F.count("*").over(W.partitionBy(stratum))
-    marked = items.withColumn("_place", place).withColumn("_n", n)
-    return marked.withColumn("side", F.when(F.col("_place") <= F.bround(F.col("_n") * share), "minority").otherwise("majority")).drop("_place", "_n")
+    marked = hash_places(items, hash_order(key, seed), [key], [stratum])
+    return marked.withColumn("side", F.when(F.col("_place") < F.bround(F.col("_n") * share), "minority").otherwise("majority")).drop("_place", "_n")
 
 
 def sample(items: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
@@ -50,6 +65,12 @@ def overlaps(splits: DataFrame, split: str = "split", key: str = "stem") -> Data
     return met.groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(F.count("*").alias("n"))
 
 
+def same_list(a: DataFrame, b: DataFrame, order: str, key: str) -> bool:
+    """Whether two lists hold the same keys at the same places."""
+    x, y = (d.select(F.col(order).alias("_i"), F.col(key).alias("_k")) for d in (a, b))
+    return x.join(y, "_i", "full_outer").filter(~x["_k"].eqNullSafe(y["_k"])).isEmpty()
+
+
 def same_set(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables have the same rows, as often."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Level, draws and seed of the bootstrap; critical values of the Nemenyi test by number of models.
 ALPHA, DRAWS, SEED = 0.05, 10_000, 0
@@ -15,30 +17,29 @@ Q_ALPHA = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728}
 
 
 def bca(values, alpha: float = ALPHA, draws: int = DRAWS, seed: int = SEED) -> tuple[float, float, float, int, str]:
-    """(mean, low, high, n, method): bias-corrected accelerated bootstrap of the mean; the percentile interval where that is undefined."""
+    """(mean, low, high, n, method): a bootstrap interval of the mean.
+
+    Method `bca` shifts the two tails by bias and acceleration (Efron 1987). The jackknife of a mean leaves deviations
+    (x - mean) / (n - 1), whose scale cancels, so the acceleration is that of the deviations themselves. Where all draws are on
+    one side of the mean, or nothing deviates, it is undefined and the method is `percentile`; of fewer than two values `point`.
+    """
     x = np.asarray(values, float)
-    n = len(x)
-    if n < 2:
-        only = float(x[0]) if n else float("nan")
-        return only, only, only, n, "degenerate (n<2, no interval)"
-    means = np.random.default_rng(seed).choice(x, size=(draws, n), replace=True).mean(axis=1)
-    mean = float(x.mean())
-    below = float((means < mean).mean())
-    left_out = np.array([np.delete(x, i).mean() for i in range(n)])
-    gap = left_out.mean() - left_out
-    spread = 6.0 * float((gap**2).sum()) ** 1.5
-    if below in (0.0, 1.0) or spread == 0:
-        low, high = np.percentile(means, [100 * alpha / 2, 100 * (1 - alpha / 2)])
-        return mean, float(low), float(high), n, "percentile (BCa undefined)" if below in (0.0, 1.0) else "percentile (zero variance)"
+    if len(x) < 2:
+        return *(float(x.sum()) if len(x) else float("nan") for _ in range(3)), len(x), "point"
+    off, tails = x - x.mean(), np.array([alpha / 2, 1 - alpha / 2])
+    drawn = np.sort(x[np.random.default_rng(seed).integers(0, len(x), (draws, len(x)))].mean(axis=1))
+    below, power = np.searchsorted(drawn, x.mean()) / draws, (off @ off) ** 1.5
+    shifted = 0 < below < 1 and power > 0
+    if shifted:
+        tails = _shifted(tails, NormalDist().inv_cdf(below), (off**3).sum() / power / 6)
+    return float(x.mean()), *map(float, np.quantile(drawn, tails)), len(x), "bca" if shifted else "percentile"
+
+
+def _shifted(tails: np.ndarray, bias: float, acceleration: float) -> np.ndarray:
+    """Shares of the standard normal moved by bias and acceleration."""
     normal = NormalDist()
-    z0, a = normal.inv_cdf(below), float((gap**3).sum()) / spread
-
-    def place(share: float) -> float:
-        z = z0 + normal.inv_cdf(share)
-        return 100 * normal.cdf(z0 + z / (1 - a * z))
-
-    low, high = np.percentile(means, [place(alpha / 2), place(1 - alpha / 2)])
-    return mean, float(low), float(high), n, f"BCa ({draws} draws)"
+    z = bias + np.array([normal.inv_cdf(t) for t in tails])
+    return np.array([normal.cdf(v) for v in bias + z / (1 - acceleration * z)])
 
 
 def intervals(scores: DataFrame, by: list[str], value: str = "value", order: str = "seed", alpha: float = ALPHA, draws: int = DRAWS) -> DataFrame:
@@ -47,8 +48,6 @@ def intervals(scores: DataFrame, by: list[str], value: str = "value", order: str
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", mean double, low double, high double, n int, method string"
 
     def one(pdf):
-        import pandas as pd
-
         pdf = pdf.sort_values(order)
         return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), *bca(pdf[value].to_numpy(), alpha, draws)]], columns=[*by, "mean", "low", "high", "n", "method"])
 
@@ -59,17 +58,46 @@ def min_attainable_p(n: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 / F.pow(F.lit(2.0), n)))
 
 
-def sign_flip(pairs: DataFrame, by: list[str], diff: str = "diff", order: str = "seed", most: int = 20) -> DataFrame:
-    """(by, n, mean_diff, p, min_p): exact paired permutation test over all 2**n sign vectors of the differences. n of 0 or above `most` raises."""
+#: Pairs up to which all sign vectors are formed at once; of more, halves are.
+WHOLE = 12
+
+
+def sign_flip(pairs: DataFrame, by: list[str], diff: str = "diff", order: str = "seed", most: int = 40) -> DataFrame:
+    """(by, n, mean_diff, p, min_p): exact paired permutation test over all 2**n sign vectors of the differences, n from 1 to `most`.
+
+    Up to WHOLE pairs, all sums are formed in one expression. Of more, the sums of both halves are sorted, and for each of the
+    one half those of the other that are extreme with it are counted by search: 2**(n/2) numbers instead of 2**n.
+    """
     d = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(diff).cast("double").alias("d")))), lambda x: x.d)
     g = pairs.groupBy(*by).agg(d.alias("_d")).withColumn("n", F.size("_d"))
-    ok = F.when((F.col("n") < 1) | (F.col("n") > most), F.raise_error(F.lit("too few or too many pairs for an exact test"))).otherwise(F.col("n"))
+    ok = F.when((F.col("n") < 1) | (F.col("n") > most), F.raise_error(F.lit(f"an exact test takes 1 to {most} pairs"))).otherwise(F.col("n"))
+    g = g.withColumn("n", ok).withColumn("_sum", F.aggregate("_d", F.lit(0.0), lambda s, x: s + x))
     total = lambda v: F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda s, i: s + F.when(F.call_function("shiftright", v, i.cast("int")).bitwiseAND(F.lit(1)) == 1, -F.get("_d", i)).otherwise(F.get("_d", i)))
-    seen = F.abs(F.aggregate("_d", F.lit(0.0), lambda s, x: s + x) / F.col("n"))
-    vectors = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), ok.cast("int")) - 1)
-    hits = F.size(F.filter(vectors, lambda v: F.abs(total(v) / F.col("n")) >= seen - 1e-12))
-    p = hits / F.pow(F.lit(2.0), F.col("n"))
-    return g.select(*by, "n", (F.aggregate("_d", F.lit(0.0), lambda s, x: s + x) / F.col("n")).alias("mean_diff"), p.alias("p"), min_attainable_p(F.col("n")).alias("min_p"))
+    vectors = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.least("n", F.lit(WHOLE)).cast("int")) - 1)
+    hits = F.size(F.filter(vectors, lambda v: F.abs(total(v) / F.col("n")) >= F.abs(F.col("_sum") / F.col("n")) - 1e-12)).cast("double")
+    p = F.when(F.col("n") <= WHOLE, hits / F.pow(F.lit(2.0), "n")).otherwise(_halves("_d"))
+    return g.select(*by, "n", (F.col("_sum") / F.col("n")).alias("mean_diff"), p.alias("p"), min_attainable_p(F.col("n")).alias("min_p"))
+
+
+@F.pandas_udf(DoubleType())
+def _halves(d: pd.Series) -> pd.Series:
+    def one(x: np.ndarray) -> float | None:
+        n = len(x)
+        if n <= WHOLE:
+            return None  # not looked at
+        sums = []
+        for half in (x[: n // 2], x[n // 2 :]):
+            out = np.zeros(1)
+            for v in half:
+                out = np.concatenate((out + v, out - v))
+            sums.append(np.sort(out))
+        a, b = sums
+        least = abs(x.sum()) - 1e-12 * n
+        high = len(b) - np.searchsorted(b, least - a)
+        low = np.searchsorted(b, -least - a, "right")
+        return float(np.minimum(high + low, len(b)).sum()) / 2.0**n
+
+    return d.map(one)
 
 
 def ranks(scores: DataFrame, block: list[str], value: str = "value") -> DataFrame:
@@ -174,8 +202,6 @@ def nemenyi(ranked: DataFrame, by: list[str], model: str = "model") -> DataFrame
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", a {kinds[model]}, b {kinds[model]}, difference double, p double"
 
     def one(pdf):
-        import pandas as pd
-
         pdf = pdf.sort_values(model)
         k, n = len(pdf), pdf["blocks"].max()
         rows = []

@@ -9,6 +9,10 @@ from ..functions import geometry as G
 from ..functions import polygon as P
 
 
+#: The most zones that are broadcast.
+BROADCAST = 10_000
+
+
 def zone_table(spark, zones: dict[str, list[tuple[float, float]]] | None = None) -> DataFrame:
     """One row per zone; a few rows, fixed in code."""
     zones = zones or P.ZONES
@@ -30,8 +34,9 @@ def zones_of(b: G.Box, zones: dict[str, list[tuple[float, float]]] | None = None
 
 
 def with_zones(people: DataFrame, zones: DataFrame) -> DataFrame:
-    """The same for a table of zones, which must be a few rows, such as zone_table() gives."""
-    met = people.crossJoin(F.broadcast(zones))
+    """The same for a table of zones. Up to BROADCAST of them are broadcast; of more, Spark picks the join."""
+    few = zones.limit(BROADCAST + 1).count() <= BROADCAST
+    met = people.crossJoin(F.broadcast(zones) if few else zones)
     x, y = G.feet(G.box())
     return met.withColumn("in_zone", P.contains(F.col("points"), x, y)).drop("points")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import names as N
 from ..functions import polygon as P
-from ..operators import assign, audit, calibrate, metrics, zone
+from ..operators import assign, audit, calibrate, frames, metrics, zone
 from . import carriers as C
 from . import oracle as O
 from .registry import query
@@ -136,12 +136,12 @@ def zone_membership(spark, d):
     return zone.with_fixed_zones(people).groupBy("zone").agg(F.count("*").alias("people"), F.count_if("in_zone").alias("inside"))
 
 
-#: An L around machinery; the notch is outside. The oracle counts crossings edge by edge.
-_L_SHAPE = [(0.1, 0.1), (0.9, 0.1), (0.9, 0.4), (0.4, 0.4), (0.4, 0.9), (0.1, 0.9)]
-_L_EDGES = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(_L_SHAPE, _L_SHAPE[1:] + _L_SHAPE[:1]))
+#: A hexagon with slanted sides and one vertex drawn inwards. The oracle counts crossings edge by edge.
+_HOLLOW = [(0.125, 0.2), (0.55, 0.0625), (0.925, 0.35), (0.6, 0.5), (0.875, 0.8125), (0.3, 0.9375)]
+_EDGES = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(_HOLLOW, _HOLLOW[1:] + _HOLLOW[:1]))
 
 
-@query(f"""WITH e(x1, y1, x2, y2) AS (VALUES {_L_EDGES}), p AS (SELECT image_id, box_idx, xc AS px, yc AS py FROM ({O.BOXES})),
+@query(f"""WITH e(x1, y1, x2, y2) AS (VALUES {_EDGES}), p AS (SELECT image_id, box_idx, xc AS px, yc AS py FROM ({O.BOXES})),
 t AS (
   SELECT image_id, box_idx, count(*) FILTER (WHERE (y1 > py) <> (y2 > py) AND x1 + (py - y1) * (x2 - x1) / (CASE WHEN y2 = y1 THEN NULL ELSE y2 - y1 END) > px) AS crossings,
          bool_or(abs((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)) <= 1e-3::DOUBLE * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
@@ -150,7 +150,7 @@ t AS (
 SELECT image_id, box_idx, edge OR crossings % 2 = 1 AS inside FROM t""")
 def concave_zone(spark, d):
     b = G.box()
-    return C.boxes(spark, d).select("image_id", "box_idx", P.inside(_L_SHAPE, b.xc, b.yc).alias("inside"))
+    return C.boxes(spark, d).select("image_id", "box_idx", P.inside(_HOLLOW, b.xc, b.yc).alias("inside"))
 
 
 @query(f"""WITH {_ZONES}, p AS (SELECT *, xc AS fx, yc + h / 2 AS fy FROM ({O.BOXES}) WHERE cls = 0)
@@ -184,9 +184,10 @@ def zone_alert_confusion(spark, d):
     return metrics.zone_alerts(judged, workers, assign.match_people(people, C.workers(spark, d)), ["image_id"], list(P.ZONES))
 
 
-_TAUS = [20, 40, 60, 80]
+# confidences are percent, so the 99 thresholds from 0.01 on are 1 to 99
+_TAUS = list(range(1, 100))
 _SWEPT = f"""
-taus AS (SELECT unnest({_TAUS})::INT AS tau),
+taus AS (SELECT i::INT AS tau FROM range(1, 100) r(i)),
 boxes AS (SELECT tau, b.*, tau * 1000000000::BIGINT + image_id AS ti FROM ({O.BOXES}) b, taus WHERE conf >= tau),
 cand AS (SELECT i.ti, i.box_idx AS item, p.box_idx AS person, i.cls, {O.contain("i.", "p.")} AS score, {O.anchor("i.", "i.cls", "p.")} AS dist
   FROM boxes i JOIN boxes p ON i.ti = p.ti AND i.cls IN (1, 2) AND p.cls = 0 WHERE {O.contain("i.", "p.")} >= 0.8),
@@ -194,22 +195,16 @@ bound AS ({O.fold("cand", "ti", "score DESC, dist, item, person", ["item", "pers
 workers AS (SELECT tau, w.*, tau * 1000000000::BIGINT + image_id AS ti FROM ({O.WORKERS}) w, taus),
 mcand AS (SELECT w.ti, w.worker, p.box_idx AS person, {O.iou("p.", "w.")} AS score FROM workers w JOIN boxes p ON w.ti = p.ti AND p.cls = 0 WHERE {O.iou("p.", "w.")} >= 0.5),
 matched AS ({O.fold("mcand", "ti", "score DESC, worker, person", ["worker", "person"], "y.worker = n[1].worker OR y.person = n[1].person")}),
-j AS (SELECT w.tau, NOT w.helmet AS truth, m.person IS NOT NULL AS detected,
-        m.person IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bound b WHERE b.ti = w.ti AND b.person = m.person AND b.cls = 1) AS flagged
-      FROM workers w LEFT JOIN matched m ON m.ti = w.ti AND m.worker = w.worker)
+j AS (SELECT w.tau, w.helmet, w.vest, m.person, x.cls FROM workers w LEFT JOIN matched m ON m.ti = w.ti AND m.worker = w.worker
+      LEFT JOIN (SELECT ti, person, list(cls) AS cls FROM bound GROUP BY 1, 2) x ON x.ti = w.ti AND x.person = m.person),
+axes AS (SELECT tau, 'helmet' AS axis, NOT helmet AS truth, person IS NOT NULL AS detected, person IS NOT NULL AND NOT coalesce(list_contains(cls, 1), false) AS flagged FROM j
+  UNION ALL SELECT tau, 'vest', NOT vest, person IS NOT NULL, person IS NOT NULL AND NOT coalesce(list_contains(cls, 2), false) FROM j)
 """
 
 
-@query(f"WITH {_SWEPT} SELECT tau, {_CONFUSION} FROM j GROUP BY tau")
+@query(f"WITH {_SWEPT} SELECT axis, tau, {_CONFUSION} FROM axes GROUP BY axis, tau")
 def roc_sweep(spark, d):
-    keys = ["tau", "image_id"]
-    taus = F.broadcast(spark.range(len(_TAUS)).select(F.get(F.array(*(F.lit(t) for t in _TAUS)), F.col("id").cast("int")).alias("tau")))
-    boxes = C.boxes(spark, d).crossJoin(taus).filter("conf >= tau")
-    workers = C.workers(spark, d).crossJoin(taus)
-    people = boxes.filter(F.col("cls") == G.PERSON).withColumnRenamed("box_idx", "person")
-    states = assign.people_states(boxes, assign.bind(boxes, keys), keys)
-    decided = metrics.worker_decisions(workers, assign.match_people(people, workers, keys), states, keys)
-    return metrics.confusion(decided, ["tau"], ~F.col("helmet"), F.col("flag_helmet"), F.col("detected"))
+    return metrics.sweep(C.boxes(spark, d), C.workers(spark, d), _TAUS, ["image_id"])
 
 
 _GRID = "grid AS (SELECT (i * 5)::DOUBLE / 100 AS threshold FROM range(1, 20) r(i))"
@@ -223,9 +218,14 @@ def threshold_retention(spark, d):
     return calibrate.retention(calibrate.true_pairs(C.boxes(spark, d)), calibrate.grid(spark), ["cls"])
 
 
-# false pairs of the sweep: an item against the person of the image with the next higher id that has one person
-_FALSE = f"""nxt AS (SELECT image_id, lead(image_id) OVER (ORDER BY image_id) AS other FROM alone),
-neg AS (SELECT i.image_id, {O.contain("i.", "p.")} AS score FROM boxes i JOIN nxt n ON n.image_id = i.image_id JOIN boxes p ON p.image_id = n.other AND p.cls = 0 WHERE i.cls IN (1, 2))"""
+# false pairs: the people of images with items are numbered by a hash, and items draw a number by another
+_HASH15 = lambda tag, i: f"md5('0{tag}|' || {i}image_id::VARCHAR || '|' || {i}box_idx::VARCHAR)"
+_FALSE = f"""useful AS (SELECT image_id FROM boxes GROUP BY 1 HAVING count(*) FILTER (WHERE cls = 0) > 0 AND count(*) FILTER (WHERE cls IN (1, 2)) > 0),
+pool AS (SELECT b.*, row_number() OVER (ORDER BY {_HASH15("p", "b.")}, b.image_id, b.box_idx) - 1 AS place, count(*) OVER () AS n FROM boxes b JOIN useful USING (image_id) WHERE cls = 0),
+neg AS (
+  SELECT i.image_id, i.box_idx AS item, {O.contain("i.", "p.")} AS score FROM boxes i JOIN useful USING (image_id)
+  JOIN pool p ON p.place = ('0x' || substr({_HASH15("i", "i.")}, 1, 15))::BIGINT % (SELECT max(n) FROM pool)
+  WHERE i.cls IN (1, 2) AND NOT EXISTS (SELECT 1 FROM boxes o WHERE o.image_id = i.image_id AND o.cls = 0 AND o.xc = p.xc AND o.yc = p.yc AND o.w = p.w AND o.h = p.h))"""
 _SEPARATION = f"""{_TRUE}, {_FALSE}, {_GRID},
 pc AS (SELECT cls, threshold, sum(CASE WHEN score >= threshold THEN 1 ELSE 0 END)::DOUBLE / count(*) AS k FROM pos, grid GROUP BY 1, 2),
 nc AS (SELECT threshold, sum(CASE WHEN score >= threshold THEN 1 ELSE 0 END)::DOUBLE / count(*) AS k FROM neg, grid GROUP BY 1),
@@ -233,18 +233,15 @@ sep AS (SELECT g.threshold, (coalesce((SELECT k FROM pc WHERE cls = 1 AND pc.thr
           - coalesce((SELECT k FROM nc WHERE nc.threshold = g.threshold), 1) AS separation FROM grid g)"""
 
 
-def _separation(spark, d):
-    from pyspark.sql import Window as W
+@query(f"WITH boxes AS ({O.BOXES}), {_FALSE} SELECT image_id, item, score FROM neg")
+def false_pairs(spark, d):
+    return calibrate.false_pairs(C.boxes(spark, d))
+
 
+def _separation(spark, d):
     boxes = C.boxes(spark, d)
-    alone = boxes.filter("cls = 0").groupBy("image_id").agg(F.count("*").alias("n")).filter("n = 1")
-    # a fixed, documented pairing for the oracle's sake; false_pairs() is the operator for calibration
-    after = alone.select("image_id", F.lead("image_id").over(W.orderBy("image_id")).alias("other"))
-    p = boxes.filter("cls = 0").select(F.col("image_id").alias("other"), *(F.col(c).alias("p_" + c) for c in ("xc", "yc", "w", "h")))
-    items = boxes.filter("cls in (1, 2)").join(after, "image_id").join(p, "other")
-    negative = items.select(F.lit("all").alias("dataset"), G.containment(G.box(), G.box("p_")).alias("score"))
-    positive = calibrate.true_pairs(boxes).withColumn("dataset", F.lit("all"))
-    return calibrate.separation(positive, negative, calibrate.grid(spark))
+    every = F.lit("all").alias("dataset")
+    return calibrate.separation(calibrate.true_pairs(boxes).select(every, "cls", "score"), calibrate.false_pairs(boxes).select(every, "score"), calibrate.grid(spark))
 
 
 @query(f"WITH {_SEPARATION} SELECT threshold, round(separation, 9) AS separation FROM sep")
@@ -263,12 +260,6 @@ def weakest_pairs(spark, d):
     return calibrate.weakest(calibrate.true_pairs(C.boxes(spark, d)), 5, ["cls"], ["image_id", "item"]).select("cls", "image_id", "item", "score", "rank")
 
 
-@query()
-def false_pairs(spark, d):
-    """No oracle: the pairing goes by Spark's hash."""
-    return calibrate.false_pairs(C.boxes(spark, d))
-
-
 @query(f"SELECT cls, count(*) AS n FROM ({O.BOXES}) GROUP BY cls")
 def class_counts(spark, d):
     return audit.class_counts(C.boxes(spark, d))
@@ -392,3 +383,47 @@ def frame_counts(spark, d):
     x, y = G.feet(G.box())
     people = states.select("image_id", F.col("person").alias("box_idx"), F.when(F.col("conf") >= 50, F.col("person")).alias("track_id"), worn.alias("worn"), P.inside(P.ZONES["central-half"], x, y).alias("in_zone"))
     return zone.assess(people, ["image_id"], F.array(F.lit(1), F.lit(2)))[1]
+
+
+_FRAMES = f"""{_DROPPED},
+left_ AS (SELECT b.* FROM boxes b LEFT JOIN dropped d USING (image_id, box_idx) WHERE d.box_idx IS NULL OR b.cls <> 0),
+cand AS (SELECT i.image_id, i.box_idx AS item, p.box_idx AS person, i.cls, {O.contain("i.", "p.")} AS score, {O.anchor("i.", "i.cls", "p.")} AS dist
+  FROM left_ i JOIN left_ p ON i.image_id = p.image_id AND i.cls IN (1, 2) AND p.cls = 0 WHERE {O.contain("i.", "p.")} >= 0.8),
+bound AS ({O.fold("cand", "image_id", "score DESC, dist, item, person", ["item", "person", "cls"], "y.item = n[1].item OR (y.person = n[1].person AND y.cls = n[1].cls)")}),
+worn AS (SELECT image_id, person, list(cls ORDER BY cls) AS worn FROM bound GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_FRAMES} SELECT p.image_id, p.box_idx, coalesce(array_to_string(worn, '+'), '') AS worn, {_inside("p.xc", "(p.yc + p.h / 2)")} AS in_zone
+FROM left_ p LEFT JOIN worn x ON x.image_id = p.image_id AND x.person = p.box_idx, (SELECT 0.25 AS x1, 0.0 AS y1, 0.75 AS x2, 1.0 AS y2) WHERE p.cls = 0""")
+def frame_plan(spark, d):
+    """Suppression, association and the zone in sequence, over frames of one row."""
+    boxes = C.boxes(spark, d).withColumn("track_id", F.col("box_idx"))
+    seen = frames.judged(frames.gather(boxes, ["image_id"], ["box_idx", "cls", "xc", "yc", "w", "h", "track_id"]), lambda x, y: P.inside(P.ZONES["central-half"], x, y))
+    return seen.select("image_id", "box_idx", F.array_join(F.col("worn").cast("array<string>"), "+").alias("worn"), "in_zone")
+
+
+@query("SELECT p_partkey, round_even(p_partkey % 97 / 96.0::DOUBLE * (100 + p_size), 0)::INT AS x1, round_even(p_size / 64.0::DOUBLE * 1001, 0)::INT AS y1 FROM part")
+def zone_pixels(spark, d):
+    """A zone of each row's own; its first corner in pixels."""
+    from ..sources.tables import table
+
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    p = table(spark, d, "part")
+    points = F.array(corner(F.col("p_partkey") % 97 / 96, F.col("p_size") / 64), corner(F.lit(1.0), F.lit(0.0)), corner(F.lit(1.0), F.lit(1.0)))
+    return p.select("p_partkey", P.to_pixels(points, 100 + F.col("p_size"), F.lit(1001))[0].alias("at")).select("p_partkey", F.col("at.x").alias("x1"), F.col("at.y").alias("y1"))
+
+
+_SAID = """n AS (SELECT p_partkey, ['', 'No_', 'no-', 'non-', 'Without ', 'head-no-', 'safety '][p_partkey % 7 + 1] || ['Helmet', 'hard_hat', 'HardHat', 'Vest', 'worker', 'People', 'glove', 'person'][p_partkey % 8 + 1] AS name FROM part),
+m AS (SELECT *, replace(lower(name), '_', '-') AS low FROM n),
+k AS (SELECT *, regexp_matches(low, '^(no-|non-|without)|no-') AS gone FROM m)"""
+
+
+@query(f"""WITH {_SAID} SELECT p_partkey, name, CASE WHEN regexp_matches(low, 'helmet|hardhat|hard-hat') THEN CASE WHEN gone THEN 'no-helmet' ELSE 'helmet' END
+WHEN contains(low, 'vest') THEN CASE WHEN gone THEN 'no-vest' ELSE 'vest' END WHEN regexp_matches(low, 'person|worker|people') THEN 'person' ELSE '- (extra / out of scope)' END AS core FROM k""")
+def suggested_classes(spark, d):
+    from ..sources.tables import table
+
+    heads, nouns = ["", "No_", "no-", "non-", "Without ", "head-no-", "safety "], ["Helmet", "hard_hat", "HardHat", "Vest", "worker", "People", "glove", "person"]
+    pick = lambda words: F.get(F.array(*(F.lit(w) for w in words)), (F.col("p_partkey") % len(words)).cast("int"))
+    named = table(spark, d, "part").select("p_partkey", F.concat(pick(heads), pick(nouns)).alias("name"))
+    return named.withColumn("core", N.suggest_class(F.col("name")))

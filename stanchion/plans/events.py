@@ -341,10 +341,14 @@ def iso_times(spark, d):
     return table(spark, d, "events").select("event_id", N.iso_seconds(F.col("ts")).alias("at"))
 
 
-@query(f"WITH e(x1, y1, x2, y2) AS (VALUES (0.1::DOUBLE, 0.1::DOUBLE, 0.9::DOUBLE, 0.1::DOUBLE), (0.9::DOUBLE, 0.1::DOUBLE, 0.9::DOUBLE, 0.4::DOUBLE), (0.9::DOUBLE, 0.4::DOUBLE, 0.1::DOUBLE, 0.9::DOUBLE), (0.1::DOUBLE, 0.9::DOUBLE, 0.1::DOUBLE, 0.1::DOUBLE)) SELECT r_regionkey, round(abs(sum(x1 * y2 - x2 * y1)) / 2, 9) AS area FROM region, e GROUP BY 1")
+@query("""WITH v AS (SELECT p_partkey, [0.0, 0.5 + p_size / 200.0, 0.75, p_partkey % 89 / 200.0]::DOUBLE[] AS x, [0.0, p_partkey % 83 / 200.0, 0.75, 0.5 + p_size / 250.0]::DOUBLE[] AS y FROM part)
+SELECT p_partkey, round(abs(list_sum(list_transform(range(1, 5), lambda i: x[i] * y[i % 4 + 1] - x[i % 4 + 1] * y[i]))) / 2, 9) AS area FROM v""")
 def polygon_area(spark, d):
-    shape = P.polygon([(0.1, 0.1), (0.9, 0.1), (0.9, 0.4), (0.1, 0.9)])
-    return table(spark, d, "region").select("r_regionkey", F.round(P.shoelace(shape), 9).alias("area"))
+    """A quadrilateral of each row's own."""
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    n, size = F.col("p_partkey"), F.col("p_size")
+    shape = F.array(corner(F.lit(0), F.lit(0)), corner(0.5 + size / 200, n % 83 / 200), corner(F.lit(0.75), F.lit(0.75)), corner(n % 89 / 200, 0.5 + size / 250))
+    return table(spark, d, "part").select("p_partkey", F.round(P.shoelace(shape), 9).alias("area"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderpriority LIKE '1%' THEN 'resumable' ELSE 'pending' END AS state FROM orders")
@@ -389,10 +393,22 @@ def last_violations(spark, d):
     return e.orderBy(F.desc("ts"), F.desc("event_id")).limit(200).orderBy("ts", "event_id").select("event_id", "value")
 
 
-@query("SELECT count(*) FILTER (WHERE contains(lower(url), 'example')) AS hits, count(*) AS pages FROM pages")
+@query("SELECT page_id, contains(lower(url), 'example') OR contains(lower(html), 'lorem') AS hit FROM pages")
 def forbidden_paths(spark, d):
-    p = table(spark, d, "pages")
-    return p.agg(F.count_if(progress.forbidden(F.array("url"), "Example")).alias("hits"), F.count("*").alias("pages"))
+    """Texts at several depths; the field `declared` is exempt."""
+    p = table(spark, d, "pages").select("page_id", F.struct(F.array(F.struct("html")).alias("train"), F.create_map(F.lit("u"), F.col("url")).alias("more"), F.lit("Example").alias("declared")).alias("config"))
+    found = progress.texts(F.col("config"), p.schema["config"].dataType, ("config.declared",), "config")
+    return p.select("page_id", progress.forbidden(found, "Example", "LOREM").alias("hit"))
+
+
+@query("SELECT md5(text) AS digest, doc_id FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents GROUP BY 1 HAVING count(*) > 1)")
+def dup_members_md5(spark, d):
+    return audit.duplicate_members(table(spark, d, "documents"), F.col("text").cast("binary"), "doc_id")
+
+
+@query("SELECT lang, least(floor((log10(n_chars) - log10(10.0::DOUBLE)) / ((log10(100000.0::DOUBLE) - log10(10.0::DOUBLE)) / 16)), 15)::BIGINT AS bin, count(*) AS n FROM documents WHERE n_chars >= 10 AND n_chars <= 100000 GROUP BY 1, 2")
+def log_lengths(spark, d):
+    return audit.log_histogram(table(spark, d, "documents"), F.col("n_chars"), 10.0, 100000.0, 16, ["lang"])
 
 
 @query("SELECT p_partkey, greatest(round_even(p_size * 40 * least(1.0::DOUBLE, 640.0::DOUBLE / greatest(p_size * 40, 500)), 0), 1)::INT AS w, greatest(round_even(500 * least(1.0::DOUBLE, 640.0::DOUBLE / greatest(p_size * 40, 500)), 0), 1)::INT AS h FROM part")

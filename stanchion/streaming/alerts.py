@@ -1,21 +1,22 @@
 """Dwell alerts and equipment memory on streams of observations, by keyed state.
 
-An observation is (track_id, ts_us, in_zone, worn). State per track: when each class was last seen,
-and the open incident. Rows of a batch are put in time order per track; a row older than the
-track's last one is late and dropped, and counted out by the watermark beyond it. A timer at the
-end of grace and memory clears a track, so state is bounded by the tracks that are about.
+An observation is (track_id, ts_us, in_zone, worn) and, where incidents can be resolved, closes.
+State per track, in columns: the last time, when each required class was last seen, and the open
+incident. Rows of a batch are put in time order per track; a row older than the track's last one is
+late and dropped, and counted out by the watermark beyond it. A timer at the end of grace and memory
+clears a track, so state is bounded by the tracks that are about. People without a track are no
+track: they are counted (counters), and never take part in incidents.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 OUT = "track_id long, started_us long, fired_us long, missing array<int>"
 
@@ -26,39 +27,38 @@ class DwellProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("track", StructType([StructField("json", StringType())]))
-
-    def _load(self) -> dict:
-        got = self.state.get()
-        return json.loads(got[0]) if got else {"seen": {}, "last": None, "open": None}
+        times = ["last", "timer", "start", "until", *(f"seen_{c}" for c in self.required)]
+        self.state = handle.getValueState("track", StructType([StructField(c, LongType()) for c in times] + [StructField("fired", BooleanType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = self._load()
-        fired = []
+        held = self.state.get()
+        last, timer, start, until, *seen, fired = held if held else (None,) * (5 + len(self.required))
+        seen, out = dict(zip(self.required, seen)), []
         for r in pd.concat(list(rows)).sort_values("ts_us", kind="stable").itertuples(index=False):
             now = int(r.ts_us)
-            if s["last"] is not None and now < s["last"]:
+            if last is not None and now < last:
+                continue
+            last = now
+            seen |= {int(c): now for c in (r.worn if r.worn is not None else []) if int(c) in seen}
+            if getattr(r, "closes", False):
+                start = None
                 continue
-            s["last"] = now
-            for c in list(r.worn) if r.worn is not None else []:
-                s["seen"][str(int(c))] = now
-            lacks = [c for c in self.required if str(c) not in s["seen"] or now - s["seen"][str(c)] > self.memory]
+            lacks = [c for c, at in seen.items() if at is None or now - at > self.memory]
             if not r.in_zone or not lacks:
                 continue
-            o = s["open"]
-            if o is None or now - o["last"] > self.grace:
-                o = {"start": now, "last": now, "fired": False}
-            o["last"] = now
-            if not o["fired"] and now - o["start"] >= self.dwell:
-                o["fired"] = True
-                fired.append((key[0], o["start"], now, lacks))
-            s["open"] = o
-        self.state.update((json.dumps(s),))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer((s["last"] + max(self.grace, self.memory)) // 1000 + 1)
-        if fired:
-            yield pd.DataFrame(fired, columns=["track_id", "started_us", "fired_us", "missing"])
+            if start is None or now - until > self.grace:
+                start, fired = now, False
+            until = now
+            if not fired and now - start >= self.dwell:
+                fired = True
+                out.append((key[0], start, now, lacks))
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = (last + max(self.grace, self.memory)) // 1000 + 1
+        self.handle.registerTimer(timer)
+        self.state.update((last, timer, start, until, *seen.values(), fired))
+        if out:
+            yield pd.DataFrame(out, columns=["track_id", "started_us", "fired_us", "missing"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
@@ -69,14 +69,37 @@ class DwellProcessor(StatefulProcessor):
 
 
 def alert_stream(observed: DataFrame, dwell: int, grace: int, memory: int, required: tuple[int, ...] = (1, 2), late: str = "10 seconds") -> DataFrame:
-    """observed: a streaming frame with ts (timestamp) and the observation columns. Alerts in append mode."""
-    marked = observed.withWatermark("ts", late)
+    """observed: a streaming frame with ts (timestamp) and the observation columns. A row with `closes` ends its track's open
+    incident at once. Alerts in append mode."""
+    marked = observed.filter("track_id is not null").withWatermark("ts", late)
     return marked.groupBy("track_id").transformWithStateInPandas(DwellProcessor(dwell, grace, memory, required), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
 
+def frame_alerts(detections: DataFrame, points: list[tuple[float, float]], dwell: int, grace: int, memory: int, required: tuple[int, ...] = (1, 2), late: str = "10 seconds") -> DataFrame:
+    """The whole plan of a frame, from detections to alerts: duplicate people go, equipment is bound, people are judged against
+    the zone of these points, and dwell and memory decide what fires.
+
+    detections: a streaming frame of one row per frame with ts, ts_us, frame and boxes, an array of struct<box_idx, cls, xc, yc,
+    w, h, track_id>. A frame is one row, so nothing is shuffled until alerts are keyed by track.
+    """
+    from ..functions import polygon as P
+    from ..operators.frames import judged
+
+    people = judged(detections, lambda x, y: P.inside(points, x, y))
+    return alert_stream(people.select("ts", "ts_us", "track_id", "in_zone", "worn"), dwell, grace, memory, required, late)
+
+
 def counters(observed: DataFrame) -> DataFrame:
-    """Running counts for update mode: rows, tracks in breach and untracked rows per zone."""
-    return observed.groupBy("zone").agg(F.count("*").alias("people"), F.count_if(F.col("track_id").isNull()).alias("untracked"), F.max("ts").alias("last"))
+    """Running counts for update mode per zone: people, distinct frames (approximately), those in breach, and untracked ones.
+    observed: zone, frame, track_id, in_zone, missing, ts."""
+    breach = F.col("in_zone") & (F.size("missing") > 0)
+    return observed.groupBy("zone").agg(
+        F.count("*").alias("people"),
+        F.approx_count_distinct("frame").alias("frames"),
+        F.count_if(breach).alias("in_breach"),
+        F.count_if(F.col("track_id").isNull()).alias("untracked"),
+        F.max("ts").alias("last"),
+    )
 
 
 def newest_only(batch: DataFrame, by: list[str], order: str) -> DataFrame:

@@ -97,3 +97,50 @@ def test_stream_equals_machine(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted((r.track_id, r.started_us - shift, r.fired_us - shift, tuple(r.missing)) for r in spark.sql("select * from alerts_test").collect())
     assert got == machine(rows, 3 * S, 2 * S, S)
+
+
+def test_untracked_people_are_no_track(spark):
+    rows = [(None, t * S, True, []) for t in range(6)] + [(1, t * S, True, []) for t in range(5)] + [(None, 9 * S, True, [1, 2])]
+    df = spark.createDataFrame(rows, "track_id long, ts_us long, in_zone boolean, worn array<int>")
+    seen = dwell.remembered(df, [1, 2], 100 * S)
+    assert seen.filter("track_id is null and ts_us = 0 and size(missing) = 2").count() == 1 and seen.filter("track_id is null and size(missing) = 0").count() == 1
+    lacking = seen.filter("size(missing) > 0")
+    assert [(r.track_id, r.started_us, r.fired_us) for r in dwell.alerts(lacking, 3 * S, 2 * S).collect()] == [(1, 0, 3 * S)]
+    assert dwell.islands(lacking, 2 * S).count() == 1
+
+
+def run_stream(spark, tmp_path, build, df, name):
+    src = str(tmp_path / name)
+    for part in (df.filter("half"), df.filter("not half")):
+        part.drop("half").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.drop("half").schema).parquet(src)
+    q = build(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"cp_{name}")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return spark.sql(f"select * from {name}").collect()
+
+
+def test_stream_closes_and_skips_untracked(spark, tmp_path):
+    from stanchion.streaming.alerts import alert_stream
+
+    base = 1_700_000_000 * S
+    rows = [(1, t, True, [], t == 2) for t in range(9)] + [(None, t, True, [], False) for t in range(9)]
+    df = spark.createDataFrame(rows, "track_id long, t long, in_zone boolean, worn array<int>, closes boolean").withColumn("ts_us", F.lit(base) + F.col("t") * S)
+    df = df.withColumn("ts", F.timestamp_micros("ts_us")).withColumn("half", F.col("t") < 4).drop("t")
+    got = run_stream(spark, tmp_path, lambda s: alert_stream(s, 3 * S, 2 * S, 0), df, "closing")
+    # the incident that opens at 0 is closed at 2; the next opens at 3 and fires at 6
+    assert [(r.track_id, (r.started_us - base) // S, (r.fired_us - base) // S) for r in got] == [(1, 3, 6)]
+
+
+def test_stream_of_frames(spark, tmp_path):
+    """Detections to alerts: a duplicate person goes, a helmet binds, and who stands outside the zone does not count."""
+    from stanchion.streaming.alerts import frame_alerts
+
+    base = 1_700_000_000 * S
+    person, small, hat = (0, 0, 0.5, 0.5, 0.4, 0.8, 5), (1, 0, 0.5, 0.5, 0.2, 0.4, 6), (2, 1, 0.5, 0.14, 0.08, 0.06, None)
+    away = (3, 0, 0.1, 0.5, 0.1, 0.4, 7)
+    boxes = "array<struct<box_idx:int,cls:int,xc:double,yc:double,w:double,h:double,track_id:long>>"
+    rows = [(t, [person, small, hat, away]) for t in range(6)]
+    df = spark.createDataFrame(rows, f"t long, boxes {boxes}").withColumn("ts_us", F.lit(base) + F.col("t") * S).withColumn("ts", F.timestamp_micros("ts_us")).withColumn("half", F.col("t") < 3).withColumnRenamed("t", "frame")
+    zone = [(0.25, 0.0), (0.75, 0.0), (0.75, 1.0), (0.25, 1.0)]
+    got = run_stream(spark, tmp_path, lambda s: frame_alerts(s, zone, 3 * S, 2 * S, 0), df, "framed")
+    assert [(r.track_id, (r.started_us - base) // S, (r.fired_us - base) // S, list(r.missing)) for r in got] == [(5, 0, 3, [2])]

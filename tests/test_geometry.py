@@ -1,4 +1,7 @@
 import math
+from fractions import Fraction
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -33,32 +36,55 @@ def test_pixels_and_sizes(spark):
     assert one(spark, *geometry.decode_state(F.lit(7))) == (None, None)
 
 
-SQUARE = [(0.2, 0.2), (0.8, 0.2), (0.8, 0.8), (0.2, 0.8)]
-ELL = [(0.1, 0.1), (0.9, 0.1), (0.9, 0.4), (0.4, 0.4), (0.4, 0.9), (0.1, 0.9)]
+#: A kite, a hexagon with one vertex drawn inwards, and a zigzag with two; corners are multiples of 1/16.
+SHAPES = [[(2, 7), (9, 1), (14, 7), (9, 15)], [(1, 3), (9, 1), (15, 6), (10, 8), (14, 13), (5, 15)], [(1, 1), (15, 2), (11, 6), (15, 10), (9, 9), (2, 14), (5, 7)]]
+
+
+def winding(shape, x, y):
+    """Where (x, y) is, in exact fractions: 'edge', 'in' or 'out'. By how often the boundary turns around the point."""
+    turns = 0
+    for (ax, ay), (bx, by) in zip(shape, shape[1:] + shape[:1]):
+        side = (bx - ax) * (y - ay) - (x - ax) * (by - ay)
+        if side == 0 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+            return "edge"
+        turns += (ay <= y < by and side > 0) - (by <= y < ay and side < 0)
+    return "in" if turns else "out"
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_polygons(spark, shape):
+    scaled = [(x / 16, y / 16) for x, y in shape]
+    points = spark.range(17 * 17).select((F.col("id") % 17 / 16).alias("x"), (F.floor(F.col("id") / 17) / 16).alias("y"))
+    a, b = polygon.contains(polygon.polygon(scaled), F.col("x"), F.col("y")), polygon.inside(scaled, F.col("x"), F.col("y"))
+    seen = set()
+    for r in points.select("x", "y", a.alias("a"), b.alias("b")).collect():
+        where = winding([(Fraction(x), Fraction(y)) for x, y in shape], Fraction(r.x) * 16, Fraction(r.y) * 16)
+        seen.add(where)
+        assert r.a == r.b == (where != "out"), (r.x, r.y, where)
+    assert seen == {"in", "out", "edge"}
+
+
+def test_polygons_without_area(spark):
+    flat = [(0.125, 0.25), (0.375, 0.25), (0.875, 0.25)]
+    for y, want in ((0.25, True), (0.375, False)):
+        assert one(spark, polygon.contains(polygon.polygon(flat), F.lit(0.5), F.lit(y)), polygon.inside(flat, F.lit(0.5), F.lit(y))) == (want, want)
+    pair = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(0.25).alias("y")) for x in (0.125, 0.875)))
+    assert one(spark, polygon.contains(pair, F.lit(0.5), F.lit(0.25))) is False
+    kite = [(x / 16, y / 16) for x, y in SHAPES[0]]
+    assert math.isclose(one(spark, polygon.shoelace(polygon.polygon(kite))), 84 / 256)
+    for bad in ([(0, 0), (1, 1)], [(0, 0), (1.5, 0), (1, 1)]):
+        with pytest.raises(ValueError):
+            polygon.polygon(bad)
+
 
+def test_pixels_round_to_even(spark):
+    at = one(spark, polygon.to_pixels(polygon.polygon([(0.29, 0.57), (0.125, 0.375), (1.0, 0.0)]), F.lit(100), F.lit(100)))
+    assert [(p.x, p.y) for p in at] == [(29, 57), (12, 38), (100, 0)]
 
-def test_polygons(spark):
-    def inside(shape, x, y):
-        a, b = one(spark, polygon.contains(polygon.polygon(shape), F.lit(x), F.lit(y)), polygon.inside(shape, F.lit(x), F.lit(y)))
-        assert a == b
-        return a
 
-    assert inside(SQUARE, 0.5, 0.5) and not inside(SQUARE, 0.1, 0.5) and not inside(SQUARE, 0.5, 0.9)
-    assert inside(SQUARE, 0.2, 0.5) and inside(SQUARE, 0.2, 0.2) and inside(SQUARE, 0.8, 0.8)
-    assert inside(ELL, 0.2, 0.2) and inside(ELL, 0.2, 0.7) and not inside(ELL, 0.7, 0.7) and not inside(ELL, 0.95, 0.5)
-    diamond = [(0.5, 0.1), (0.9, 0.5), (0.5, 0.9), (0.1, 0.5)]
-    assert inside(diamond, 0.5, 0.5) and not inside(diamond, 0.05, 0.5)
-    line = [(0.2, 0.5), (0.5, 0.5), (0.8, 0.5)]
-    assert inside(line, 0.5, 0.5) and not inside(line, 0.5, 0.6)
-    two = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(0.5).alias("y")) for x in (0.1, 0.9)))
-    assert one(spark, polygon.contains(two, F.lit(0.5), F.lit(0.5))) is False
-    assert math.isclose(one(spark, polygon.shoelace(polygon.polygon(SQUARE))), 0.36)
-    for bad in ([(0, 0), (1, 1)], [(0, 0), (1.5, 0), (1, 1)]):
-        try:
-            polygon.polygon(bad)
-        except ValueError:
-            continue
-        raise AssertionError(bad)
+@pytest.mark.parametrize("name,want", [("Hard_Hat", "helmet"), ("hard-hat", "helmet"), ("no-helmet", "no-helmet"), ("NO_VEST", "no-vest"), ("head_no_helmet", "no-helmet"), ("without vest", "no-vest"), ("safety-vest", "vest"), ("People", "person"), ("non-worker", "person"), ("gloves", names.EXTRA)])
+def test_suggested_classes(spark, name, want):
+    assert one(spark, names.suggest_class(F.lit(name))) == want
 
 
 def test_names(spark):

@@ -1,5 +1,7 @@
+import hashlib
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,10 +10,38 @@ from stanchion.operators import audit, calibrate, metrics, progress, stats
 
 
 def test_bca():
-    mean, low, high, n, method = stats.bca([0.70, 0.72, 0.74])
-    assert low <= mean <= high and n == 3 and method.startswith("BCa")
-    assert stats.bca([0.5] * 3)[1:3] == (0.5, 0.5) and stats.bca([0.5] * 3)[4].startswith("percentile")
-    assert stats.bca([0.42])[4].startswith("degenerate")
+    """Against the definition, with an explicit jackknife."""
+    from statistics import NormalDist, fmean
+
+    import numpy as np
+
+    normal = NormalDist()
+    for x in ([0.70, 0.72, 0.74], [0.1, 0.9, 0.95, 0.97, 0.2], [3.0, 1.0, 1.5, 9.0]):
+        mean, low, high, n, method = stats.bca(x)
+        drawn = np.random.default_rng(0).choice(x, size=(10_000, len(x)), replace=True).mean(axis=1)
+        z0 = normal.inv_cdf(float((drawn < np.mean(x)).mean()))
+        jack = [fmean(x[:i] + x[i + 1 :]) for i in range(len(x))]
+        a = sum((fmean(jack) - j) ** 3 for j in jack) / (6 * sum((fmean(jack) - j) ** 2 for j in jack) ** 1.5)
+        for got, z in ((low, normal.inv_cdf(0.025)), (high, normal.inv_cdf(0.975))):
+            want = np.percentile(drawn, 100 * normal.cdf(z0 + (z0 + z) / (1 - a * (z0 + z))))
+            assert math.isclose(got, want, rel_tol=1e-3), (x, got, want)
+        assert n == len(x) and method == "bca" and math.isclose(mean, fmean(x))
+    assert stats.bca([0.5] * 3)[1:] == (0.5, 0.5, 3, "percentile")
+    assert stats.bca([0.42]) == (0.42, 0.42, 0.42, 1, "point") and stats.bca([])[3:] == (0, "point")
+
+
+def test_sign_flip_of_many_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"g{n}", i, round(rng.uniform(-1, 2), 3)) for n in (13, 16, 17) for i in range(n)] + [("one", 0, 0.25)]
+    got = {r.g: r for r in stats.sign_flip(spark.createDataFrame(rows, "g string, seed int, diff double"), ["g"]).collect()}
+    for g, r in got.items():
+        d = [v for h, _, v in rows if h == g]
+        sums = [0.0]
+        for v in d:
+            sums = [s + e * v for s in sums for e in (1, -1)]
+        assert r.n == len(d) and r.p == sum(abs(s) >= abs(sum(d)) - 1e-9 for s in sums) / 2 ** len(d), g
+    with pytest.raises(Exception, match="exact test"):
+        stats.sign_flip(spark.createDataFrame([("x", i, 1.0) for i in range(41)], "g string, seed int, diff double"), ["g"]).collect()
 
 
 def test_sign_flip(spark):
@@ -65,11 +95,57 @@ def test_plateau_and_weights(spark):
     assert math.isclose(sep[0.5], 0.5) and len(sep) == 19
 
 
-def test_false_pairs_are_across_images(spark):
-    rows = [(i, 0, 0, 0.5 + i / 100, 0.5, 0.4, 0.8) for i in range(20)] + [(i, 1, 1, 0.5, 0.2, 0.1, 0.1) for i in range(20)]
+def test_false_pairs(spark):
+    """Every item of an image with people draws one person; none of its own image, nor one equal to one of its own."""
+    rng = random.Random(2)
+    rows = [(i, k, 0, rng.randint(1, 9) / 10, 0.5, 0.4, 0.8) for i in range(60) for k in range(rng.randint(0, 3))]
+    rows += [(i, 10 + k, rng.choice([1, 2]), 0.5, 0.2, 0.1, 0.1) for i in range(60) for k in range(rng.randint(0, 4))]
     boxes = spark.createDataFrame(rows, "image_id long, box_idx int, cls int, xc double, yc double, w double, h double")
-    got = calibrate.false_pairs(boxes)
-    assert 0 < got.count() <= 20
+    digest = lambda tag, r: hashlib.md5(f"0{tag}|{r[0]}|{r[1]}".encode()).hexdigest()
+    useful = {r[0] for r in rows if r[2] == 0} & {r[0] for r in rows if r[2]}
+    pool = sorted((r for r in rows if r[2] == 0 and r[0] in useful), key=lambda r: (digest("p", r), r[0], r[1]))
+    drawn = {(r[0], r[1]): pool[int(digest("i", r)[:15], 16) % len(pool)] for r in rows if r[2] and r[0] in useful}
+    want = {k for k, p in drawn.items() if not any(r[0] == k[0] and r[2] == 0 and r[3:] == p[3:] for r in rows)}
+    got = calibrate.false_pairs(boxes).collect()
+    assert len(got) == len(want) and {(r.image_id, r.item) for r in got} == want and len(want) < len(drawn)
+    assert calibrate.false_pairs(boxes.limit(0)).count() == 0
+
+
+def test_ordered_values(spark, monkeypatch):
+    """Ranks in slices are those of the whole order, with ties, negative values, a null group and one of a single row."""
+    monkeypatch.setattr(audit, "SLICES", 5)
+    rng = random.Random(3)
+    rows = [(g, round(rng.gauss(0, 3), rng.randint(0, 2))) for g in ("a", "b", None) for _ in range(400)] + [("one", 7.0), ("a", None)]
+    got = {r.g: r for r in audit.nearest_rank(spark.createDataFrame(rows, "g string, v double"), "v", {"p0": 0.0, "p37": 0.37, "p95": 0.95, "p100": 1.0}, ["g"]).collect()}
+    for g in ("a", "b", None, "one"):
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        assert [got[g][c] for c in ("p0", "p37", "p95", "p100")] == [v[min(round(q * (len(v) - 1)), len(v) - 1)] for q in (0, 0.37, 0.95, 1)], g
+    assert audit.nearest_rank(spark.createDataFrame(rows, "g string, v double"), "v", {"p50": 0.5}).count() == 1
+
+
+def test_sweep_equals_each_threshold(spark):
+    """Levels of an image's own confidences against association and matching once for each threshold."""
+    from stanchion.operators import assign
+
+    rng = random.Random(4)
+    rows, work = [], []
+    for i in range(25):
+        for k in range(rng.randint(0, 6)):
+            cls = rng.choice([0, 0, 1, 2])
+            rows.append((i, k, cls, 0.5 + rng.randint(-2, 2) / 20, 0.5 if cls == 0 else 0.3, *((0.4, 0.8) if cls == 0 else (0.1, 0.1)), rng.choice([0.0, 0.2, 0.2, 0.45, 0.9, 1.0])))
+        work += [(i, k, 0.5 + k / 20, 0.5, 0.4, 0.8, rng.random() < 0.5, rng.random() < 0.5) for k in range(rng.randint(0, 3))]
+    boxes = spark.createDataFrame(rows, "image_id long, box_idx int, cls int, xc double, yc double, w double, h double, conf double")
+    workers = spark.createDataFrame(work, "image_id long, worker int, xc double, yc double, w double, h double, helmet boolean, vest boolean")
+    taus = [0.1, 0.2, 0.3, 0.5, 0.9, 0.95]
+    got = {(r.axis, r.tau): (r.tp, r.fp, r.fn, r.tn, r.missed) for r in metrics.sweep(boxes, workers, taus, ["image_id"]).collect()}
+    assert len(got) == 2 * len(taus)
+    for tau in taus:
+        live = boxes.filter(F.col("conf") >= tau)
+        states = assign.people_states(live, assign.bind(live))
+        met = assign.match_people(live.filter("cls = 0").withColumnRenamed("box_idx", "person"), workers)
+        decided = metrics.by_class(metrics.worker_decisions(workers, met, states, ["image_id"]))
+        for r in metrics.confusion(decided, ["axis"], F.col("truth"), F.col("flagged"), F.col("detected")).collect():
+            assert got[r.axis, tau] == (r.tp, r.fp, r.fn, r.tn, r.missed), (r.axis, tau)
 
 
 def test_latency_and_percentiles(spark):
@@ -86,6 +162,12 @@ def test_progress(spark):
     assert math.isclose(r.eta_min, 48 * 10 / 60)
     grid = [(r.seed, r.model, r.direction) for r in progress.run_grid(spark, ["m", "n"], ["f", "o"], [0, 1]).orderBy("ordinal").collect()]
     assert grid[:4] == [(0, "m", "f"), (0, "m", "o"), (0, "n", "f"), (0, "n", "o")] and len(grid) == 8
-    paths = spark.createDataFrame([(["a\\Secret\\b"],)], "v array<string>")
-    with pytest.raises(Exception, match="not allowed"):
-        progress.guard(paths, F.col("v"), "secret").collect()
+    kind = "data string, datasets struct<root:string,more:map<string,array<struct<p:string>>>>"
+    config = lambda data, root, deep: spark.createDataFrame([(data, (root, {"k": [(deep,), (None,)]}))], kind)
+    for bad in (config("a\\Secret\\b", "", "x"), config("a", "", "x/Hidden"), config(None, "SECRET", None)):
+        with pytest.raises(Exception, match="forbidden path"):
+            progress.guard(bad, ["secret", "hidden", ""]).collect()
+    declared = config("a", "d/secret", "x")
+    assert progress.guard(declared, ["secret"], exempt=("datasets.root",)).count() == 1
+    with pytest.raises(Exception, match="forbidden path"):
+        progress.guard(declared, ["secret"]).collect()
