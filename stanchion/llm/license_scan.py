@@ -30,7 +30,7 @@ IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
 #: Phrases whose places are counted, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label, notice, key phrases that must stand in full. Short public notices.
+#: Label, notice, key phrases that must stand in full. Public notices and paragraphs of public licences.
 NOTICES: list[tuple[str, str, list[str]]] = [
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license", "version 2 0"]),
     ("mit", "released under the mit license", ["mit license"]),
@@ -49,13 +49,28 @@ NOTICES: list[tuple[str, str, list[str]]] = [
     ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
     ("cc-by-4.0", "creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
     ("cc0-1.0", "creative commons cc0 1 0 universal public domain dedication", ["cc0 1 0"]),
+    # paragraphs of whole licence texts and the headers that they ask for
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ["without restriction"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["this permission notice shall be included"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["for any purpose with or without fee"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce"]),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products derived from this software"]),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ["except in compliance with the license", "apache org licenses"]),
+    ("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu general public license", "version 3"]),
+    ("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ["gnu general public license", "version 2"]),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ["lesser general public license"]),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ["affero general public license"]),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ["copy of the mpl"]),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ["eclipse public license"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable"]),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", ["boost software license"]),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["anyone is free to copy"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
 ]
 ENOUGH, SLACK = 0.6, 3
 #: Alignments that are compared at once.
 BLOCK = 1 << 16
-#: As if so many documents without any licence word had been seen too: in a small corpus of licences their words are still rare.
-PRIOR = 1000
 
 
 def hash_words(text: str) -> np.ndarray:
@@ -114,6 +129,12 @@ def document_counts(base: DataFrame, index: Index) -> tuple[int, np.ndarray]:
     return total, df
 
 
+def weights(total: int, df: np.ndarray) -> np.ndarray:
+    """Inverse document frequency, between log 2 for a word of every document and that of a word of none. It depends on shares
+    only, so a corpus and many copies of it give the same labels."""
+    return np.log(1 + (total + 1) / (df + 1))
+
+
 def rarest(weight: np.ndarray) -> np.ndarray:
     """The fewest places of a notice without which less than ENOUGH of its weight is left."""
     order = np.argsort(-weight, kind="stable")
@@ -157,7 +178,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     index = Index(notices, base_phrases)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total, df = document_counts(base, index)
-    idf = np.log((total + PRIOR) / (df + 1))
+    idf = weights(total, df)
 
     span = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 

@@ -122,6 +122,15 @@ def test_license_line_in_a_third_of_the_rows(spark):
     assert [tuple(x) for x in got[3].spans] == [("cc-by-4.0", 2, 8, 1.0)]
 
 
+@pytest.mark.parametrize("n", [1, 10, 3000])
+def test_license_in_every_row(spark, n):
+    """Labels do not depend on how large the corpus is, even where every file carries the licence."""
+    from stanchion.llm.license_scan import license_scan
+
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("file "), F.col("id").cast("string"), F.lit(" Licensed under the MIT License. end")).alias("text"))
+    assert {(r.labels, r.score) for r in license_scan(df).collect()} == {("mit", 1.0)}
+
+
 def test_license_notices_however_many(spark):
     """All notices in one document, notices in prose full of rare licence words, and damaged ones, against brute force."""
     from stanchion.llm import license_scan as L
@@ -138,7 +147,7 @@ def test_license_notices_however_many(spark):
     rows += [(i, "the of a is under this") for i in range(60, 100)] + [(100, " ".join(whole[0].split()[2:])), (101, "licensed under the")]
     got = {r.doc_id: r for r in L.license_scan(docs_of(spark, rows).repartition(2)).collect()}
     texts = {i: t.translate(LOWER).replace("/", " ").split() for i, t in rows}
-    idf = {x: np.log((len(rows) + L.PRIOR) / (sum(x in t for t in map(set, texts.values())) + 1)) for x in licence}
+    idf = {x: np.log(1 + (len(rows) + 1) / (sum(x in t for t in map(set, texts.values())) + 1)) for x in licence}
     for i, w in texts.items():
         best = {}
         for label, text, keys in L.NOTICES:
@@ -182,6 +191,54 @@ def test_toxicity(spark, empty):
     assert score(empty, model).count() == 0 and train(empty, lab) is None
 
 
+def test_toxicity_by_definition(spark, monkeypatch):
+    """Counts, ratios, chi-square, selection and scores by dictionaries of character n-grams, and the weights by what makes them
+    best: the penalised likelihood is flat there."""
+    from stanchion.llm import toxicity as T
+
+    monkeypatch.setattr(T, "FEATURES", 40)
+    monkeypatch.setattr(T, "STEPS", 30_000)
+    rng = random.Random(7)
+    texts = {i: " ".join(rng.choice(VOCAB) for _ in range(rng.randint(0, 9))) + (" dümwit" if i % 4 == 0 and rng.random() < 0.8 else "") for i in range(160)}
+    labels = {i: int(i % 4 == 0) for i in texts}
+    model = T.train(docs_of(spark, list(texts.items())), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    got = {r.doc_id: r.toxicity_score for r in T.score(docs_of(spark, list(texts.items())), model).collect()}
+
+    def grams(text):
+        return {t[i : i + k] for t in [text.translate(LOWER)] for k in T.GRAMS for i in range(len(t) - k + 1)}
+
+    def place(gram):
+        body = gram.encode()
+        found = [p[w] for p, w in T._places(*T._characters(np.frombuffer(body, np.uint8), np.array([0, len(body)])))]
+        return int(found[-1][0])
+
+    known = {g: place(g) for t in texts.values() for g in grams(t)}
+    assert len(set(known.values())) == len(known)  # no two share a place here
+    learned = [i for i in texts if zlib.crc32(str(i).encode()) % 5]
+    y = np.array([labels[i] for i in learned])
+    seen = {g: [sum(g in grams(texts[i]) and labels[i] == k for i in learned) for k in (0, 1)] for g in known}
+    total = [sum(c[k] for c in seen.values()) + (1 << T.BITS) for k in (0, 1)]
+    size = [int((y == k).sum()) for k in (0, 1)]
+    ratio, apart = {}, {}
+    for g, (q, p) in seen.items():
+        if q + p >= 3:
+            share = (p + q) / len(y)
+            ratio[g] = np.log((p + 1) / total[1]) - np.log((q + 1) / total[0])
+            apart[g] = (p / size[1] - q / size[0]) ** 2 / max(share * (1 - share), 1e-12)
+    best = sorted((g for g in apart if apart[g] > 0), key=lambda g: (-round(apart[g], 12), known[g]))[:40]
+    edge = round(apart[best[-1]], 12)
+    chosen = {g for g in known if model.table[known[g]] >= 0}
+    assert {g for g in best if round(apart[g], 12) > edge} <= chosen and all(round(apart[g], 12) >= edge for g in chosen) and len(chosen) == 40
+    weight = {g: model.weights[model.table[known[g]]] for g in chosen}
+    for i, t in texts.items():
+        z = model.bias + sum(weight[g] for g in grams(t) & chosen)
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+    x = np.array([[ratio[g] if g in grams(texts[i]) else 0.0 for g in sorted(chosen)] for i in learned])
+    w = np.array([weight[g] / ratio[g] for g in sorted(chosen)])
+    off = 1 / (1 + np.exp(-(x @ w + model.bias))) - y
+    assert abs(off.sum()) < 1e-3 and np.abs(x.T @ off + T.L2 * w).max() < 1e-3
+
+
 def test_token_output(spark, empty, tmp_path):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -263,11 +320,28 @@ def test_pieces(spark, empty):
     assert X.encode(empty, path).count() == 0 and X.round_trip(df, path).filter("not exact").count() == 0
 
 
-def test_crc_of_queries(spark, data):
+def test_queries_run(spark, data):
+    """Every query gives rows with the columns of its contract."""
     pytest.importorskip("public_tokenizers")
     from stanchion.llm import queries as Q
 
+    first = {"op1": "doc_id n_words n_base first_word last_word base_labels labels score", "op4": "doc_id held_out score predicted", "op5": "doc_id start n_tokens ids_crc32", "op8": "doc_id n_words n_removed kept_sha256", "op9": "query_id rank vec_id score", "op10": "doc_id n_shingles component_id"}
     for name, f in Q.queries().items():
         df = f(spark, data)
-        assert df.count() > 0 and df.columns, name
-    assert F is not None and hashlib is not None
+        assert df.count() > 0 and set(first.get(name.split("_")[0], "").split()) <= set(df.columns), name
+
+
+def test_oracles(spark, data):
+    """Every oracle of this subpackage against its query, over the whole smallest tables."""
+    duckdb = pytest.importorskip("duckdb")
+    from stanchion.llm import oracles, queries
+
+    con = duckdb.connect()
+    for t in ("documents", "labels", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    for name, sql in oracles.oracle_sql().items():
+        got, want = queries.queries()[name](spark, data).toPandas(), con.execute(sql).df()
+        cols = sorted(want.columns)
+        assert sorted(got.columns) == cols, name
+        rows = lambda df: sorted(tuple("-" if x is None or x != x else repr(round(float(x), 6)) if isinstance(x, float) else str(x) for x in r) for r in df[cols].itertuples(index=False))  # noqa: B023, E731
+        assert rows(got) == rows(want), name
