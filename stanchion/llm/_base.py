@@ -255,7 +255,9 @@ def drop(*frames: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker is handed at once; texts of a thousand rows suffice to work in arrays."""
+    """Bounds what a Python worker is handed at once, and what a scan holds of whole texts; for the rest of the session. Texts of
+    a thousand rows suffice to work in arrays, and arrays of many megabytes in the JVM make its heap grow to the limit."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 

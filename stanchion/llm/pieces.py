@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ MARK = "▁"
 UNKNOWN = 10.0
 #: Longer segments (runs of bytes without a space) are worked on one at a time, in memory that follows their length.
 TOGETHER = 64
+#: Bytes of texts whose segments are found and made distinct together.
+CHUNK = 2 << 20
 _LIVE: dict[str, "Automaton"] = {}
 _MARK = np.frombuffer(MARK.encode(), np.uint8)
 #: Bytes that no text has stand for those of a mark in the text itself, which goes by byte pieces, so that it is not read back as a space.
@@ -237,6 +240,15 @@ def decode_chunk(auto: Automaton, ids: np.ndarray, bounds: np.ndarray) -> tuple[
     return body[keep], at - np.concatenate(([0], np.cumsum(full)))
 
 
+def _apart(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts that differ from the one before, and for each row, in order, which of them it has."""
+    column = pc.fill_null(column, "")
+    fresh = np.ones(len(column), bool)
+    if len(column) > 1:
+        fresh[1:] = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    return column.filter(pa.array(fresh)), np.cumsum(fresh) - 1
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, score (sum of the pieces' scores), exact (whether decoding gives back the text)."""
     small_batches(docs.sparkSession)
@@ -245,12 +257,15 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(model_path)
         for batch in batches:
-            data, offsets = strings(batch.column(1))
-            for lo, hi, body, offs in chunks(data, offsets, 8 << 20):
+            texts, which = _apart(batch.column(1))  # copies stand together where a mixture has made them
+            data, offsets = strings(texts)
+            for lo, hi, body, offs in chunks(data, offsets, CHUNK):
                 ids, bounds, score = encode_chunk(auto, body, offs)
                 column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
-                cols = [batch.column(0).slice(lo, hi - lo), column, pa.array(score), pa.array(_same(auto, ids, bounds, body, offs))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "score", "exact"])
+                exact = pa.array(_same(auto, ids, bounds, body, offs))
+                a, z = np.searchsorted(which, (lo, hi))
+                at = pa.array(which[a:z] - lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), *(c.take(at) for c in (column, pa.array(score), exact))], ["doc_id", "ids", "score", "exact"])
 
     return base.mapInArrow(trimmed(run), "doc_id long, ids array<int>, score double, exact boolean")
 
@@ -294,7 +309,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         auto = automaton(model_path)
         for batch in batches:
             data, offsets = strings(batch.column(1))
-            for lo, hi, body, offs in chunks(data, offsets, 8 << 20):
+            for lo, hi, body, offs in chunks(data, offsets, CHUNK):
                 ids, bounds, score = encode_chunk(auto, body, offs)
                 raw = ids.astype("<u4").tobytes()
                 same = _same(auto, ids, bounds, body, offs)
