@@ -7,7 +7,7 @@ times are verified by true distance. If fewer than k verified ones are within R,
 (virtual rehashing: the same arrays, only the windows widen) until k are, or the windows hold all.
 A vector within R is in a window with probability erf(1/sqrt 2) = 0.683, and the threshold is
 MARGIN standard deviations below the count expected of it, so each true neighbour is missed with
-a probability of about half a percent. Every row is in a shard; nothing is sampled or capped.
+a probability of at most seven percent (that of one at distance R itself). Every row is in a shard; nothing is sampled or capped.
 
 Shards answer for their own rows, k each, and the answers are merged exactly. Queries go round in
 blocks of QUERY_BLOCK, the bound of what is broadcast.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._base import keep, trimmed
 
-PROJECTIONS, SHARD, QUERY_BLOCK, GROWTH, MARGIN, SEED = 64, 16_384, 4_096, 1.15, 2.6, 7
+PROJECTIONS, SHARD, QUERY_BLOCK, GROWTH, MARGIN, SEED = 64, 16_384, 4_096, 1.15, 1.5, 7
 _NEAR = math.erf(1 / math.sqrt(2))
 
 
