@@ -128,6 +128,11 @@ def decode_state(code: Column) -> tuple[Column, Column]:
     return F.when(known, code.isin(1, 3)), F.when(known, code.isin(2, 3))
 
 
+def unknown_state(code: Column) -> Column:
+    """Whether a code is none of 0..3; such rows are counted and left out, not decoded."""
+    return ~F.coalesce(code.isin(0, 1, 2, 3), F.lit(False))
+
+
 def brightness(red: Column, green: Column, blue: Column) -> Column:
     """Mean of a pixel's (or an image's mean) channels."""
     return (red + green + blue) / 3

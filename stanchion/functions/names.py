@@ -28,6 +28,15 @@ def build_run(experiment: Column, model: Column, seed: Column, dataset: Column)
     return F.concat_ws("-", experiment, model, F.concat(F.lit("s"), seed.cast("string")), dataset)
 
 
+#: Fixed value: the suffix of a dataset's smaller build, which is the same dataset.
+RESOLUTION = "-640"
+
+
+def dataset_of(path: Column, suffix: str = RESOLUTION) -> Column:
+    """The dataset of a configuration's path: its stem without the resolution suffix."""
+    return F.regexp_replace(stem(path), f"{suffix}$", "")
+
+
 def other_dataset(dataset: Column, pair: tuple[str, str]) -> Column:
     """The dataset a run is not trained on; null for names outside the pair."""
     return F.when(dataset == pair[0], pair[1]).when(dataset == pair[1], pair[0])

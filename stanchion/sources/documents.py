@@ -45,36 +45,65 @@ def read_predictions(spark: SparkSession, path: str, at_least: float = 0.0) -> D
     return spark.read.parquet(path).filter(F.col("conf") >= at_least)
 
 
-def flatten_ragged(names: list[str], counts: list[int], sizes: list[tuple[int, int]], boxes: list[tuple], spark: SparkSession) -> DataFrame:
-    """(image, width, height, box_idx, cls, xc, yc, w, h, conf) of a ragged cache; offsets are the counts' running sums."""
-    rows, at = [], 0
-    for name, n, (w, h) in zip(names, counts, sizes):
-        rows += [(name, w, h, i, int(b[0]), *map(float, b[1:6])) for i, b in enumerate(boxes[at : at + n])]
-        at += n
-    if at != len(boxes):
-        raise ValueError("counts do not add up to the boxes")
-    return spark.createDataFrame(rows, "image string, width int, height int, box_idx int, cls int, xc double, yc double, w double, h double, conf double")
+def flatten_ragged(caches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, image, width, height, box_idx, cls, xc, yc, w, h, conf) of ragged caches, one row each: names, counts, sizes (arrays of
+    width and height) and boxes (all images' one after another, six numbers each). Counts that do not add up raise."""
+    by = by or []
+    ends = F.aggregate("counts", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n.cast("int"))))
+    total = F.element_at(ends, -1)
+    message = F.concat(F.lit("counts give "), total.cast("string"), F.lit(" boxes, there are "), F.size("boxes").cast("string"))
+    checked = F.when((total == F.size("boxes")) & (F.size("names") == F.size("counts")) & (F.size("names") == F.size("sizes")), ends).otherwise(F.raise_error(message).cast("array<int>"))
+    images = caches.select(*by, "boxes", checked.alias("_ends"), F.posexplode(F.arrays_zip("names", "counts", "sizes")).alias("_i", "_m"))
+    own = F.slice("boxes", F.get("_ends", F.col("_i")) + 1, F.col("_m.counts"))
+    rows = images.select(*by, F.col("_m.names").alias("image"), F.get("_m.sizes", F.lit(0)).cast("int").alias("width"), F.get("_m.sizes", F.lit(1)).cast("int").alias("height"), F.posexplode(own).alias("box_idx", "_b"))
+    value = [F.get("_b", F.lit(i)).cast("double").alias(c) for i, c in enumerate(("xc", "yc", "w", "h", "conf"), 1)]
+    return rows.select(*by, "image", "width", "height", "box_idx", F.get("_b", F.lit(0)).cast("int").alias("cls"), *value)
+
+
+def parse_document(text: str) -> dict:
+    """A mapping from JSON or YAML text; where no YAML reader is installed, from JSON or lines `key: value`."""
+    if not text.strip():
+        return {}
+    try:
+        import yaml
 
+        given = yaml.safe_load(text)
+    except ImportError:
+        given = _flat(text)
+    if not isinstance(given, dict):
+        raise ValueError("the document is no mapping")
+    return given
 
-def read_config(text: str, defaults: dict, overrides: dict | None = None) -> tuple[dict, list[str]]:
-    """A small configuration document (JSON, or lines `key: value`), checked against the keys of defaults; and notes of what was overridden."""
+
+def _flat(text: str) -> dict:
     try:
-        given = json.loads(text) if text.strip() else {}
+        return json.loads(text)
     except ValueError:
-        given = {}
-        for line in text.splitlines():
-            line = line.split("#", 1)[0].rstrip()
-            if line:
-                key, _, value = line.partition(":")
-                value = value.strip()
-                try:
-                    given[key.strip()] = json.loads(value)
-                except ValueError:
-                    given[key.strip()] = value
-    unknown = sorted(set(given) - set(defaults))
-    if unknown:
-        raise ValueError(f"unknown keys: {', '.join(unknown)}")
-    out = defaults | given
+        pass
+    given = {}
+    for line in text.splitlines():
+        line = line.split("#", 1)[0].rstrip()
+        if line:
+            key, _, value = line.partition(":")
+            try:
+                given[key.strip()] = json.loads(value)
+            except ValueError:
+                given[key.strip()] = value.strip()
+    return given
+
+
+def read_config(text: str, defaults: dict, overrides: dict | None = None) -> tuple[dict, list[str]]:
+    """A configuration document (JSON or YAML), checked against the keys of defaults, also inside values that are mappings with
+    defaults of their own; and notes of what was overridden."""
+
+    def merged(given: dict, usual: dict, at: str) -> dict:
+        unknown = sorted(set(given) - set(usual))
+        if unknown:
+            raise ValueError(f"unknown keys: {', '.join(at + k for k in unknown)}")
+        deep = {k: merged(v, usual[k], f"{at}{k}.") for k, v in given.items() if isinstance(v, dict) and isinstance(usual[k], dict) and usual[k]}
+        return usual | given | deep
+
+    out = merged(parse_document(text), defaults, "")
     notes = [f"{k}: {out[k]} -> {v}" for k, v in (overrides or {}).items() if v is not None and v != out[k]]
     return out | {k: v for k, v in (overrides or {}).items() if v is not None}, notes
 
