@@ -39,7 +39,7 @@ from ._base import U64, WHITE, Words, parts, ragged, scratch, small_batches, str
 
 END, SAMPLE, DICT_BYTES, SHARD_BYTES, LEVEL = 2, 1000, 1 << 16, 1 << 20, 3
 #: Longer texts are not sampled for the dictionary.
-SAMPLE_CHARS = 200_000
+SAMPLE_CHARS = 20_000
 MAGIC = b"TKS1"
 #: Units whose ids a process remembers (about 50 bytes each).
 MOST_UNITS = 1_000_000
@@ -211,7 +211,7 @@ class Shard:
         return np.frombuffer(self.z.decompress(self.raw[self.offsets[i] : self.offsets[i + 1]]), self.kind)
 
 
-SHARDS = "part int, seq int, first_id long, last_id long, n_docs long, n_tokens long, start long, shard binary"
+SHARDS = "part int, seq int, first_id long, last_id long, n_docs long, n_null long, n_tokens long, start long, shard binary"
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -233,13 +233,13 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = E
         z = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None)
         told, width = xxhash.xxh64_intdigest(d), int(kind[-1])
         part, seq, start, ended = TaskContext.get().partitionId(), 0, 0, np.array([end_id], kind)
-        ids, counts, frames, held = [], [], [], 0
+        ids, counts, frames, held, nulls = [], [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
             n = sum(counts)
-            row = (part, seq, ids[0], ids[-1], len(ids), n, start, pack_shard(ids, counts, frames, width, told))
-            types = [pa.int32(), pa.int32()] + [pa.int64()] * 5 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], ["part", "seq", "first_id", "last_id", "n_docs", "n_tokens", "start", "shard"])
+            row = (part, seq, ids[0], ids[-1], len(ids), nulls, n, start, pack_shard(ids, counts, frames, width, told))
+            types = [pa.int32(), pa.int32()] + [pa.int64()] * 6 + [pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], ["part", "seq", "first_id", "last_id", "n_docs", "n_null", "n_tokens", "start", "shard"])
 
         for batch in batches:
             data, offsets = strings(batch.column(1))
@@ -248,14 +248,15 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = E
             got = got.astype(kind)
             for i, key in enumerate(keys):
                 own = np.concatenate((got[bounds[i] : bounds[i + 1]], ended))
-                ids.append(_NULL if key is None else key)
+                ids.append(_FIRST if key is None else key)
+                nulls += key is None
                 counts.append(len(own))
                 frames.append(z.compress(own.tobytes()))
                 held += len(frames[-1])
                 if held >= SHARD_BYTES:
                     yield shard()
                     start += sum(counts)
-                    seq, ids, counts, frames, held = seq + 1, [], [], [], 0
+                    seq, ids, counts, frames, held, nulls = seq + 1, [], [], [], 0, 0
         if ids:
             yield shard()
 
@@ -263,7 +264,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = E
     ranged.mapInArrow(trimmed(run), SHARDS).write.option("compression", "none").parquet(f"{out}/shards")
 
 
-_NULL = -(1 << 63)
+#: Stands for null ids, which come first; a shard says how many it has.
+_FIRST = -(1 << 63)
 
 
 def read_tokens(spark: SparkSession, out: str, with_ids: bool = True) -> DataFrame:
@@ -279,27 +281,27 @@ def read_tokens(spark: SparkSession, out: str, with_ids: bool = True) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, start, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, start, nulls, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 s = Shard(raw, shared.value)
                 own = [s.ids(i) for i in range(len(s.docs))]
                 crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in own]
                 c = s.counts.astype(np.int64)
-                cols = [pa.array(s.docs, mask=s.docs == _NULL), pa.array(base[part] + start + np.cumsum(c) - c), pa.array(c), pa.array(crc, pa.int64())]
+                cols = [pa.array(s.docs, mask=np.arange(len(s.docs)) < nulls), pa.array(base[part] + start + np.cumsum(c) - c), pa.array(c), pa.array(crc, pa.int64())]
                 if with_ids:
                     cols.append(pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return shards.select("part", "start", "shard").mapInArrow(trimmed(run), kind)
+    return shards.select("part", "start", "n_null", "shard").mapInArrow(trimmed(run), kind)
 
 
 def read_document(spark: SparkSession, out: str, doc_id: int) -> list[int] | None:
     """One document's ids: only shards whose range holds the id are read, only its frame decompressed."""
     dictionary = bytes(spark.read.parquet(f"{out}/dictionary").first().dictionary)
     near = spark.read.schema(SHARDS).parquet(f"{out}/shards").filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
-    for r in near.select("shard").toLocalIterator():
+    for r in near.select("n_null", "shard").toLocalIterator():
         s = Shard(bytes(r.shard), dictionary)
-        i = np.searchsorted(s.docs, doc_id)
+        i = r.n_null + np.searchsorted(s.docs[r.n_null :], doc_id)
         if i < len(s.docs) and s.docs[i] == doc_id:
             return s.ids(i).tolist()
     return None

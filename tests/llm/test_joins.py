@@ -357,3 +357,29 @@ def test_pipeline(spark, tmp_path):
     assert final.count() == mixed.count() and final.filter("not exact").count() == 0
     whole = P.run(spark, d)
     assert whole.exceptAll(final).count() == 0 and final.exceptAll(whole).count() == 0
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows, columns with names used inside, and an empty table, through all stages."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline as P
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, comp long, _mix_n int, toxicity_score double, id long"
+    long = "some words of a text that is long enough to be found again in another row of this table of texts " * 3
+    texts = [(1, long, "s"), (2, long, None), (None, long, "s"), (None, None, None), (3, None, "t"), (4, "", "s"), (4, "short", "s"), (4, "short", "s"), (2**63 - 1, "x" * 5000, "t")]
+    rows = [(i, t, None, s, None, "r", 1, 2, 0.25, 9) for i, t, s in texts]
+    d = str(tmp_path)
+    spark.createDataFrame([(1, 0), (3, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    for name, given in (("odd", rows), ("none", [])):
+        now = spark.createDataFrame(given, kind)
+        for stage, f in P.STAGES:
+            columns = now.columns
+            f(spark, now, d).write.parquet(f"{d}/{name}_{stage}")
+            now = spark.read.parquet(f"{d}/{name}_{stage}")
+            assert stage == "sentencepiece" or now.columns == columns, stage
+        assert now.filter("not exact").count() == 0
+        if given:
+            left = spark.read.parquet(f"{d}/{name}_near_duplicates")
+            assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == sorted((i is None, i or 0) for i, _, _ in texts if i != 2)
+        else:
+            assert now.count() == 0

@@ -246,7 +246,7 @@ def test_token_output(spark, empty, tmp_path):
     from stanchion.llm import token_store as T
 
     path = P.path("byte_bpe_50k.json")
-    rows = corpus() + [(300, "a \nb  c  d\x1c e <|endoftext|> it's\r\n\r\n x"), (301, "　 \n日本 語"), (None, "nul"), (302, "tail  \n ")]
+    rows = corpus() + [(300, "a \nb  c  d\x1c e <|endoftext|> it's\r\n\r\n x"), (301, "　 \n日本 語"), (None, "nul"), (302, "tail  \n "), (-(2**63), "first"), (2**63 - 1, "last")]
     out = str(tmp_path / "store")
     T.SHARD_BYTES, kept = 2000, T.SHARD_BYTES
     try:
@@ -262,6 +262,7 @@ def test_token_output(spark, empty, tmp_path):
         r = by_id[i]
         assert (r.start, r.n_tokens, r.ids, r.ids_crc32) == (start, len(ids), ids, zlib.crc32(np.array(ids, "<u4").tobytes())), i
         start += len(ids)
+    assert T.read_document(spark, out, -(2**63)) == by_id[-(2**63)].ids
     assert T.read_document(spark, out, 300) == by_id[300].ids and T.read_document(spark, out, 999) is None
     T.write_tokens(empty, str(tmp_path / "none"), path)
     assert T.read_tokens(spark, str(tmp_path / "none")).count() == 0
