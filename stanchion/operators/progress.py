@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
@@ -115,6 +118,29 @@ def due(runs: DataFrame, summaries: DataFrame, checkpoints: DataFrame, key: str
     return met.withColumn("state", state).drop("_s", "_c").filter("state <> 'done'").orderBy(F.desc("state"), key)
 
 
+def run_queue(runs: DataFrame, summaries: DataFrame, checkpoints: DataFrame, work: Callable[[Row, bool], object], key: str = "run_id", dry: bool = False) -> DataFrame:
+    """(key, outcome, seconds, error) of every run, each worked on once: skipped (done before), ok, failed, or dry-run.
+
+    work gets a run's row and whether it is to resume. What it raises is that run's failure and goes no further, so the others
+    have their turn. A run is a whole Spark or training job, so the queue is a loop on the driver, over the runs of a grid.
+    """
+    spark, told = runs.sparkSession, []
+    waiting = due(runs, summaries, checkpoints, key)
+    for row in waiting.toLocalIterator():
+        began, outcome, error = time.monotonic(), "dry-run", None
+        if not dry:
+            try:
+                work(row, row.state == "resumable")
+                outcome = "ok"
+            except Exception as e:  # one bad run must not cost the rest
+                outcome, error = "failed", f"{type(e).__name__}: {e}"[:1000]
+        told.append((row[key], outcome, time.monotonic() - began if not dry else 0.0, error))
+    kind = runs.schema[key].dataType.simpleString()
+    worked = spark.createDataFrame(told, f"{key} {kind}, outcome string, seconds double, error string")
+    skipped = runs.select(key).distinct().join(worked.select(key), key, "left_anti")
+    return worked.unionByName(skipped.select(key, F.lit("skipped").alias("outcome"), F.lit(0.0).alias("seconds"), F.lit(None).cast("string").alias("error")))
+
+
 def frame_policy(kind: Column, dwell: Column, memory: Column) -> Column:
     """struct(tracked, dwell, memory): stills have no identity over time, so they are not tracked, fire at once and remember nothing."""
     still = kind == "images"

@@ -171,3 +171,19 @@ def test_progress(spark):
     assert progress.guard(declared, ["secret"], exempt=("datasets.root",)).count() == 1
     with pytest.raises(Exception, match="forbidden path"):
         progress.guard(declared, ["secret"]).collect()
+
+
+def test_run_queue(spark):
+    """Done runs are skipped, begun ones resume first, and one that fails does not hold up the others."""
+    runs, seen = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "run_id string"), []
+
+    def work(row, resume):
+        seen.append((row.run_id, resume))
+        if row.run_id == "c":
+            raise RuntimeError("no memory")
+
+    done, begun = runs.filter("run_id = 'a'"), runs.filter("run_id = 'd'")
+    got = {r.run_id: (r.outcome, r.error) for r in progress.run_queue(runs, done, begun, work).collect()}
+    assert seen == [("d", True), ("b", False), ("c", False)]
+    assert got == {"a": ("skipped", None), "b": ("ok", None), "c": ("failed", "RuntimeError: no memory"), "d": ("ok", None)}
+    assert {r.outcome for r in progress.run_queue(runs, done, begun, work, dry=True).collect()} == {"skipped", "dry-run"} and len(seen) == 3
