@@ -20,22 +20,48 @@ def within(query: DataFrame, reference: DataFrame, radius: int, hash_: str = "ha
     return met.select("query", "reference", "distance").distinct()
 
 
-def within_words(query: DataFrame, reference: DataFrame, radius: int, words: list[str], by: str = "stem", bound: int | None = None) -> DataFrame:
-    """The same for fingerprints in several columns and any radius, by comparing all with all. A small side is broadcast;
-    otherwise each partition of the one meets each of the other. With a `bound`, more reference rows are an error."""
+#: Pieces of at least so many bits are joined on; with fewer, most pairs would meet anyway, and all are compared.
+PIECE_BITS = 10
+
+
+def within_words(query: DataFrame, reference: DataFrame, radius: int, words: list[str], by: str = "stem", bits: int = 64, bound: int | None = None) -> DataFrame:
+    """The same for fingerprints in several columns of `bits` bits each, and any radius.
+
+    Up to a radius that leaves pieces of PIECE_BITS, the words are cut into radius + 1 pieces together and these are joined.
+    Beyond, all are compared with all: a small side is broadcast, otherwise each partition of the one meets each of the other.
+    With a `bound`, more reference rows are an error.
+    """
     if bound is not None and reference.limit(bound + 1).count() > bound:
         raise ValueError(f"more than {bound} reference rows; use within() with a small radius")
-    a = query.select(F.col(by).alias("query"), *(F.col(w).alias(f"q_{w}") for w in words))
-    b = reference.select(F.col(by).alias("reference"), *(F.col(w).alias(f"r_{w}") for w in words))
+    banded = bits * len(words) >= PIECE_BITS * (radius + 1) and radius + 1 >= len(words)
+    cut = [round(i * (radius + 1) / len(words)) for i in range(len(words) + 1)]  # pieces of each word
+
+    def side(df: DataFrame, name: str, prefix: str) -> DataFrame:
+        out = df.select(F.col(by).alias(name), *(F.col(w).alias(f"{prefix}_{w}") for w in words))
+        if not banded:
+            return out
+        tagged = []
+        for k, (w, n, m) in enumerate(zip(words, cut, cut[1:])):
+            tagged.append(F.transform(B.bands(F.col(f"{prefix}_{w}"), m - n - 1, bits), _tagged(k)))
+        return out.select("*", F.inline(F.flatten(F.array(*tagged))))
+
+    a, b = side(query, "query", "q"), side(reference, "reference", "r")
     far = F.lit(0)
     for w in words:
         far = far + B.hamming(F.col(f"q_{w}"), F.col(f"r_{w}"))
-    return a.join(b, far <= radius).select("query", "reference", far.alias("distance"))
+    if not banded:
+        return a.join(b, far <= radius).select("query", "reference", far.alias("distance"))
+    met = a.join(b, ["word", "band", "bits"]).withColumn("distance", far).filter(F.col("distance") <= radius)
+    return met.select("query", "reference", "distance").distinct()
+
+
+def _tagged(k: int):
+    return lambda x: F.struct(F.lit(k).alias("word"), x.band.alias("band"), x.bits.alias("bits"))
 
 
 def nearest(query: DataFrame, reference: DataFrame, words: list[str], by: str = "stem", bound: int | None = None) -> DataFrame:
     """(query, distance): least distance to any reference row. No radius bounds it, so all are compared, as above."""
-    every = within_words(query, reference, 64 * len(words), words, by, bound)
+    every = within_words(query, reference, 64 * len(words), words, by, bound=bound)
     return every.groupBy("query").agg(F.min("distance").alias("distance"))
 
 

@@ -47,7 +47,7 @@ def sample(items: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
 def split_ids(splits: DataFrame, by: list[str], key: str) -> DataFrame:
     """A content hash of each split: 12 digits of the SHA-1 of its sorted keys, one per line. A split's keys are held in one
-    row, as its identity is that of its sorted text."""
+    row, as its identity is that of its sorted text: a split's keys must be under 2 GB as text."""
     joined = F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n")
     return splits.groupBy(*by).agg(F.count("*").alias("n"), F.substring(F.sha1(joined.cast("binary")), 1, 12).alias("id"))
 

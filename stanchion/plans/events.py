@@ -119,7 +119,7 @@ def _prints(spark, d):
 @query(f"WITH {_PRINTS} SELECT q.vec_id AS query, r.vec_id AS reference, {_FAR}::INT AS distance FROM prints q JOIN prints r ON q.vec_id % 2 = 0 AND r.vec_id % 2 = 1 AND {_FAR} <= 18")
 def hamming_pairs(spark, d):
     """Even against odd vectors: the two datasets of the operator."""
-    return similarity.within_words(*_prints(spark, d), 18, ["lo", "hi"])
+    return similarity.within_words(*_prints(spark, d), 18, ["lo", "hi"], bits=32)
 
 
 @query(f"WITH {_PRINTS} SELECT q.vec_id AS query, min({_FAR})::INT AS distance FROM prints q JOIN prints r ON q.vec_id % 2 = 0 AND r.vec_id % 2 = 1 GROUP BY 1")

@@ -81,3 +81,23 @@ def test_splits(spark):
     images = spark.createDataFrame([(1,), (2,)], "image_id long")
     boxes = spark.createDataFrame([(1, 2), (1, 0), (1, 2)], "image_id long, cls int")
     assert {r.image_id: r.stratum for r in splits.strata(images, boxes).collect()} == {1: "0-2", 2: "background"}
+
+
+def test_words_in_pieces(spark):
+    """Small radii join pieces of several words, large ones compare all: both against brute force."""
+    rng = random.Random(6)
+    base = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(30)]
+    rows = []
+    for i in range(160):
+        lo, hi = rng.choice(base)
+        for _ in range(rng.randint(0, 9)):
+            if rng.random() < 0.5:
+                lo ^= 1 << rng.randrange(63)
+            else:
+                hi ^= 1 << rng.randrange(63)
+        rows.append((i, lo, hi))
+    df = spark.createDataFrame(rows, "stem long, lo long, hi long")
+    for radius in (1, 3, 8, 11, 14, 40):
+        got = sorted((r.query, r.reference, r.distance) for r in similarity.within_words(df.filter("stem % 3 = 0"), df, radius, ["lo", "hi"]).collect())
+        far = [(a, b, (x ^ u).bit_count() + (y ^ v).bit_count()) for a, x, y in rows if a % 3 == 0 for b, u, v in rows]
+        assert got == sorted(t for t in far if t[2] <= radius), radius
