@@ -19,6 +19,7 @@ a row; other columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,6 +144,31 @@ class Automaton:
         return out, counts, best[lengths, np.arange(n)]
 
 
+    def segment_one(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """segment() of one long segment: stepping through plain memory costs a fraction of array calls for each byte."""
+        go, first, link, length, score, ident = (memoryview(x) for x in (self.go, self.first, self.link, self.length, self.score, self.id))
+        own, fallback = self.byte_ids.tolist(), self.fallback
+        best, back, which = array("d", [0.0]) * (len(text) + 1), array("i", [0]) * (len(text) + 1), array("i", [0]) * (len(text) + 1)
+        state, before = 0, 0.0
+        for p, byte in enumerate(text, 1):
+            state = go[state * 256 + byte]
+            now, size, i = before + fallback, 1, own[byte]
+            at = first[state]
+            while at:
+                k = length[at]
+                offer = best[p - k] + score[at]
+                if offer > now:  # longest first: of equals the longer piece stays
+                    now, size, i = offer, k, ident[at]
+                at = link[at]
+            best[p] = before = now
+            back[p], which[p] = size, i
+        out, at = array("i"), len(text)
+        while at:
+            out.append(which[at])
+            at -= back[at]
+        return np.array(out, np.int32)[::-1].copy(), np.array([len(out)]), np.array([before])
+
+
 def automaton(path: str) -> Automaton:
     """Of a model file, once per process."""
     if path not in _LIVE:
@@ -206,16 +232,18 @@ def encode_chunk(auto: Automaton, data: np.ndarray, offsets: np.ndarray) -> tupl
             hi = min(hi, lo + int(np.searchsorted(-length[order[lo:hi]], -(widest // 2), "right")))
         rows = order[lo : max(hi, lo + 1)]
         size = length[rows]
-        cells = np.zeros((len(rows), widest), np.uint8)
         span = e[rows] - s[rows]
         raw = body[ragged(s[rows], span)]
         times = np.where(raw == 0x20, 3, 1)
         flat = np.repeat(raw, times)
         inner = ragged(np.zeros(len(raw), np.int64), times)
         flat = np.where(np.repeat(raw == 0x20, times), _MARK[inner], flat)
-        mask = np.arange(widest) < size[:, None]
-        cells[mask] = flat
-        ids, c, best = auto.segment(cells, size)
+        if widest > 64 * TOGETHER:  # alone
+            ids, c, best = auto.segment_one(flat.astype(np.uint8).tobytes())
+        else:
+            cells = np.zeros((len(rows), widest), np.uint8)
+            cells[np.arange(widest) < size[:, None]] = flat
+            ids, c, best = auto.segment(cells, size)
         counts[rows], scores[rows] = c, best
         at[rows] = total + np.concatenate(([0], np.cumsum(c)[:-1]))
         total += len(ids)

@@ -321,6 +321,26 @@ def test_pieces(spark, empty):
     assert X.encode(empty, path).count() == 0 and X.round_trip(df, path).filter("not exact").count() == 0
 
 
+def test_long_segments(spark):
+    """A text without spaces: one segment of any length, by the plain loop, as the array steps give it."""
+    import time
+
+    P = pytest.importorskip("public_tokenizers")
+    from stanchion.llm import pieces as X
+
+    path = P.path("piece_bpe_32k.model")
+    auto, rng = X.automaton(path), random.Random(4)
+    text = "".join(rng.choice(VOCAB + ["the", "ing", "▁", "🙂"]) for _ in range(3000)).encode()
+    cells = np.frombuffer(text, np.uint8)[None, :]
+    one, many = auto.segment_one(text), auto.segment(cells, np.array([len(text)]))
+    assert all(np.array_equal(x, y) for x, y in zip(one, many))
+    began = time.perf_counter()
+    rows = [(1, "é" * 150_000), (2, "abc" * 150_000 + " tail"), (3, "abc" * 150_000 + " tail")]
+    got = {r.doc_id: r for r in X.encode(docs_of(spark, rows), path).collect()}
+    assert all(r.exact for r in got.values()) and got[2].ids == got[3].ids and time.perf_counter() - began < 60
+    assert X.decode(X.encode(docs_of(spark, rows), path), path).filter("doc_id = 1").first().text == rows[0][1]
+
+
 def test_queries_run(spark, data):
     """Every query gives rows with the columns of its contract."""
     pytest.importorskip("public_tokenizers")
