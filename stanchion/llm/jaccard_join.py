@@ -24,8 +24,8 @@ Data flow:
     being listed. Documents of the other tokens are compared across components, in cells of a bounded size, by sketch
     and then exactly; a cell gives only links that connect components. Then components are formed again.
 
-Only components are computed, which these steps keep exact. Links are not enumerated: a pair whose
-ends are connected by then is not verified, so there is no count of a document's links.
+jaccard_join() computes components only, which these steps keep exact: a pair whose ends are connected by
+then is not verified. links() gives every link between different sets, and the number of each document's.
 
 Defined results: null or blank text has an empty set and is linked with nothing; rows that
 share an id count as one document; a null id has no component (null) and links to nothing.
@@ -180,8 +180,9 @@ def tokens(h: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, int]
         yield tok, spare
 
 
-def _looked_up(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """For each piece of sets: its stars (kind 0: a, b), and what is left to compare (kind 1: packed seats; kind 2: sizes as a and ids as b)."""
+def _looked_up(sets: DataFrame, num: int, den: int, stars: bool = True) -> DataFrame:
+    """For each piece of sets: its stars (kind 0: a, b), and what is left to compare (kind 1: packed seats; kind 2: sizes as a and
+    ids as b). Without stars, every seat of a token that several sets chose is left."""
 
     def piece(held: list) -> tuple[np.ndarray, list[np.ndarray], bytes]:
         doc, size, toks, spare = zip(*held)
@@ -208,7 +209,7 @@ def _looked_up(sets: DataFrame, num: int, den: int) -> DataFrame:
 
     def answer(keys, cols):
         count, low = cols
-        return [count.astype(np.uint32), np.where(count > 1, low, 0), np.where(count > 2, keys, U64(0))]
+        return [count.astype(np.uint32), np.where(count > 1, low, 0), np.where(count > 1 + stars, keys, U64(0))]
 
     def finish(number: int, body: bytes, cols: list[np.ndarray], _) -> Iterator[pa.RecordBatch]:
         doc, size, n, spare, place = opened(body, *[np.int64] * 4, np.uint32)
@@ -221,15 +222,15 @@ def _looked_up(sets: DataFrame, num: int, den: int) -> DataFrame:
         place, segment, count = place[order], segment[order], count[order]
         own, lead = doc[segment], cols[1][place]
         star = np.unique(np.stack((lead, own), 1)[lead != own], axis=0)
-        if len(star):
+        if stars and len(star):
             yield _chosen(0, number, star[:, 0], star[:, 1])
-        on = count > 2
+        on = count > 1 + stars
         if on.any():
             keys, at = np.unique(cols[2][place[on]], return_inverse=True)
             left, who = np.unique(own[on], return_inverse=True)
             most = np.zeros(len(left), np.int64)
             np.maximum.at(most, who, size[segment[on]])
-            seat = np.unique(np.stack((who, at, (lead == own)[on]), 1), axis=0)  # rows that share an id may share a token
+            seat = np.unique(np.stack((who, at, (lead == own)[on] & stars), 1), axis=0)  # rows that share an id may share a token
             packed = sized(keys, *(np.ascontiguousarray(seat[:, i]).astype(np.uint32) for i in range(3)))
             yield _chosen(1, number, np.array([-1]), np.array([-1]), packed)
             yield _chosen(2, number, most, left)
@@ -330,9 +331,9 @@ def _open(chosen: DataFrame, comps: DataFrame) -> DataFrame:
     return keep(hear(answered, finish, [U64], "tok long, doc long, n long, comp long"), "open")
 
 
-def _cells(num: int, den: int):
-    """Links between the left and the right sets of each cell, as many as connect what its links connect; sets of one component are
-    not compared. Sketches come first, then exact intersections of one set with all that are left."""
+def _cells(num: int, den: int, every: bool = False):
+    """Links between the left and the right sets of each cell, as many as connect what its links connect (or every one); sets of one
+    component are not compared. Sketches come first, then exact intersections of one set with all that are left."""
 
     def one(rows: list) -> Iterator[tuple[int, int]]:
         doc, comp, n = (np.array(x, np.int64) for x in list(zip(*rows))[1:4])
@@ -355,7 +356,9 @@ def _cells(num: int, den: int):
             both = np.add.reduceat(seen[number[ragged(starts[y], n[y])]], np.cumsum(n[y]) - n[y])
             seen[own] = 0
             y = y[den * both >= num * (n[x] + n[y] - both)]
-            if len(y):
+            if every:
+                yield from zip([int(doc[x])] * len(y), doc[y].tolist())
+            elif len(y):
                 met, first = np.unique(comp[y], return_index=True)
                 yield from zip([int(doc[x])] * len(met), doc[y[first]].tolist())
                 comp[np.isin(comp, met)] = comp[x]
@@ -368,8 +371,8 @@ def _cells(num: int, den: int):
     return run
 
 
-def _left_over(chosen: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
-    """Links that the stars have left out; None if every token's docs are in one component.
+def _left_over(chosen: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int, every: bool = False) -> DataFrame | None:
+    """Links that the stars have left out, as many as connect (or every one); None if every token's docs are in one component.
 
     Tokens that hang together by their docs are a span. A span that fits in a cell is compared in one; the tokens of larger
     ones each for itself. Of each such group the docs outside its largest component (left) meet all (right), in cells of
@@ -399,13 +402,13 @@ def _left_over(chosen: DataFrame, comps: DataFrame, sets: DataFrame, num: int, d
     put = put.select(F.concat_ws("/", "large", "key", "cell.l", "cell.r").alias("cell"), "doc", "comp", (F.col("outside") & (F.col("cell.l") == F.col("own_l"))).alias("is_left"), (F.col("cell.r") == F.col("own_r")).alias("is_right"))
     met = keep(put, "cells").join(sets, "doc").select("cell", "doc", "comp", "n", "is_left", "is_right", "items", *SKETCH)
     met = met.repartition(parts(sets.sparkSession), "cell").sortWithinPartitions("cell")
-    out = keep(met.mapInArrow(trimmed(_cells(num, den)), "a long, b long"), "left")
+    out = keep(met.mapInArrow(trimmed(_cells(num, den, every)), "a long, b long"), "left")
     drop(seats, edges, spans, members)
     return out
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of docs; component_id is the smallest id reachable by links."""
+def _prepared(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's id, size and set key (items null), and the distinct sets that may have a link; in one kept table."""
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -422,6 +425,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     info = keep(made.mapInArrow(trimmed(_classes), kind), "info")
     bits.destroy()
     sets = info.filter("items is not null").select("doc", "n", "items", *SKETCH)
+    return info, sets
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of docs; component_id is the smallest id reachable by links."""
+    info, sets = _prepared(docs, id_col, text_col, shingle, num, den)
     classes = info.filter("items is not null").select("k1", "k2", F.col("doc").alias("rep"))
 
     chosen = keep(_looked_up(sets, num, den), "chosen")
@@ -439,3 +448,31 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc").isNotNull() & (F.col("n") > 0), F.coalesce("comp", "doc")).otherwise(F.col("doc")).alias("component_id"),
     )
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
+    """All links, without expanding copies. Pairs (a, b), a < b, of classes whose different sets are linked, a class being named by
+    the smallest id that has its set; and one row per row of docs: doc_id, class_id (null without words or id) and n_links, the
+    number of rows its own is linked with, copies included.
+
+    Every pair within a group is compared by sketch, so unlike jaccard_join() the work grows with the square of a group of near
+    copies, as its links do. Ids should be distinct: rows that share an id are one node, so a link of one is a link of all.
+    """
+    info, sets = _prepared(docs, id_col, text_col, shingle, num, den)
+    spark = docs.sparkSession
+    chosen = keep(_looked_up(sets, num, den, stars=False), "chosen")
+    alone = spark.createDataFrame([], "id long, comp long")
+    found = _left_over(chosen, alone, sets, num, den, every=True)
+    drop(chosen)
+    none = spark.createDataFrame([], "a long, b long")
+    pairs = none if found is None else keep(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "pairs")
+    thin = info.filter("items is null").select("doc", "n", "k1", "k2")
+    rows = thin.filter("doc is not null and n > 0")
+    named = rows.groupBy("k1", "k2").agg(F.min("doc").alias("class_id"), F.count("*").alias("own"))
+    size = named.select(F.col("class_id").alias("y"), "own")
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    others = both.join(size, "y").groupBy(F.col("x").alias("class_id")).agg(F.sum("own").alias("others"))
+    told = keep(named.join(others, "class_id", "left").select("k1", "k2", "class_id", (F.coalesce("others", F.lit(0)) + F.col("own") - 1).alias("n_links")), "told")
+    mine = F.col("doc").isNotNull() & (F.col("n") > 0)
+    met = thin.join(told, ["k1", "k2"], "left")
+    return pairs, met.select(F.col("doc").alias("doc_id"), F.when(mine, F.col("class_id")).alias("class_id"), F.when(mine, F.col("n_links")).otherwise(0).alias("n_links"))

@@ -88,6 +88,33 @@ def test_left_over_groups(spark, monkeypatch, cell, items):
     assert got == linked(rows)
 
 
+@pytest.mark.parametrize("seed,cell", [(4, 4096), (6, 3)])
+def test_every_link(spark, monkeypatch, seed, cell):
+    """Links between different sets and each document's number of links, against all pairs."""
+    from stanchion.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "CELL", cell)
+    rows, rng = near_copies(seed), random.Random(seed)
+    for i in range(30):
+        words = [f"w{j}" for j in range(100)]
+        for _ in range(rng.randint(1, 5)):
+            words[rng.randrange(100)] = f"e{rng.randint(0, 30)}"
+        rows.append((10_000 + i, " ".join(words), "s"))
+    sets = {}
+    for i, t, _ in rows:
+        w = (t or "").translate(LOWER).encode().split()
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    name = {v: min(i for i in sets if sets[i] == v) for v in sets.values()}
+    met = lambda a, b: a and b and 100 * len(a & b) >= 75 * len(a | b)
+    pairs, told = J.links(docs_of(spark, rows).repartition(3))
+    want = {(name[a], name[b]) for a in name for b in name if name[a] < name[b] and met(a, b)}
+    assert {(r.a, r.b) for r in pairs.collect()} == want and pairs.count() == len(want) > 10
+    got = {r.doc_id: (r.class_id, r.n_links) for r in told.collect()}
+    assert got == {i: (name[v] if v else None, sum(bool(met(v, u)) for j, u in sets.items() if j != i)) for i, v in sets.items()}
+    pairs, told = J.links(docs_of(spark, rows).limit(0))
+    assert pairs.count() == told.count() == 0
+
+
 def test_jaccard_odd_rows(spark):
     from stanchion.llm.jaccard_join import jaccard_join
 
