@@ -37,19 +37,44 @@ def duplicates(boxes: Column, overlap: float = G.DUPLICATE) -> Column:
     return F.aggregate(pairs, F.array().cast("array<int>"), lambda acc, x: F.when(held(acc, x), acc).otherwise(F.concat(acc, F.array(x["small"].cast("int")))))
 
 
-def bindings(boxes: Column, threshold: float = G.CONTAINMENT) -> Column:
-    """array<struct<person, cls, item>>: strongest containment first, ties to the nearer anchor, then by index."""
+def candidates(boxes: Column, threshold: float = G.CONTAINMENT, more: Callable[[Column, Column], Column] = lambda i, p: F.lit(0)) -> Column:
+    """Items and the people they are inside, in the order in which they bind: strongest containment first, ties to the nearer
+    anchor, then by index. more: what else of the two is to be known."""
 
     def scored(i: Column) -> Column:
         inside = F.filter(_people(boxes), lambda p: G.containment(_box(i), _box(p)) >= threshold)
-        row = lambda p: F.struct((-G.containment(_box(i), _box(p))).alias("s"), G.anchor_distance(_box(i), i["cls"], _box(p)).alias("d"), i["box_idx"].alias("item"), p["box_idx"].alias("person"), i["cls"].alias("cls"))
+        row = lambda p: F.struct((-G.containment(_box(i), _box(p))).alias("s"), G.anchor_distance(_box(i), i["cls"], _box(p)).alias("d"), i["box_idx"].cast("int").alias("item"), p["box_idx"].cast("int").alias("person"), i["cls"].cast("int").alias("cls"), more(i, p).alias("more"))
         return F.transform(inside, row)
 
-    every = F.array_sort(F.flatten(F.transform(F.filter(boxes, lambda x: x["cls"].isin(*G.REQUIRED)), scored)))
-    plain = lambda x: F.struct(x["person"].cast("int").alias("person"), x["cls"].cast("int").alias("cls"), x["item"].cast("int").alias("item"))
-    clash = lambda acc, x: F.exists(acc, lambda y: (y["item"] == x["item"]) | ((y["person"] == x["person"]) & (y["cls"] == x["cls"])))
-    none = F.array().cast("array<struct<person:int,cls:int,item:int>>")
-    return F.aggregate(every, none, lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(plain(x)))))
+    return F.array_sort(F.flatten(F.transform(F.filter(boxes, lambda x: x["cls"].isin(*G.REQUIRED)), scored)))
+
+
+def taken(ordered: Column, fields: list[str], clash: Callable[[Column, Column], Column]) -> Column:
+    """Of an ordered array those that clash with none taken before, with these integer fields."""
+    plain = lambda x: F.struct(*(x[f].alias(f) for f in fields))
+    none = F.array().cast(f"array<struct<{','.join(f'{f}:int' for f in fields)}>>")
+    return F.aggregate(ordered, none, lambda acc, x: F.when(F.exists(acc, lambda y: clash(y, x)), acc).otherwise(F.concat(acc, F.array(plain(x)))))
+
+
+def bound(ordered: Column) -> Column:
+    """array<struct<person, cls, item>>: an item binds once, a person once per class."""
+    return taken(ordered, ["person", "cls", "item"], lambda y, x: (y["item"] == x["item"]) | ((y["person"] == x["person"]) & (y["cls"] == x["cls"])))
+
+
+def bindings(boxes: Column, threshold: float = G.CONTAINMENT) -> Column:
+    return bound(candidates(boxes, threshold))
+
+
+def overlapping(boxes: Column, workers: Column, threshold: float = G.MATCH_IOU, more: Callable[[Column], Column] = lambda p: F.lit(0)) -> Column:
+    """Workers and the people they overlap, best overlap first, then by index."""
+    row = lambda w, p: F.struct((-G.iou(_box(p), _box(w))).alias("s"), w["worker"].cast("int").alias("worker"), p["box_idx"].cast("int").alias("person"), more(p).alias("more"))
+    of = lambda w: F.transform(F.filter(_people(boxes), lambda p: G.iou(_box(p), _box(w)) >= threshold), lambda p: row(w, p))
+    return F.array_sort(F.flatten(F.transform(workers, of)))
+
+
+def matched(ordered: Column) -> Column:
+    """array<struct<worker, person>>: one to one."""
+    return taken(ordered, ["worker", "person"], lambda y, x: (y["worker"] == x["worker"]) | (y["person"] == x["person"]))
 
 
 def judged(frames: DataFrame, inside: Callable[[Column, Column], Column], overlap: float = G.DUPLICATE, threshold: float = G.CONTAINMENT) -> DataFrame:

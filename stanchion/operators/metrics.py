@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from . import assign
+from . import frames
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -53,19 +53,25 @@ def sweep(boxes: DataFrame, workers: DataFrame, thresholds: list, keys: list[str
     """
     taus = F.array(*(F.lit(t) for t in thresholds))
     # how many thresholds a box passes
-    passed = F.size(F.filter(taus, lambda t: F.col(conf) >= t))
-    live = boxes.withColumn("_passed", passed).filter("_passed > 0")
-    own = live.groupBy(*keys).agg(F.sort_array(F.collect_set("_passed")).alias("_ends"))
-    ends = F.array_distinct(F.concat(F.coalesce("_ends", F.array().cast("array<int>")), F.array(F.lit(len(thresholds)))))
-    ranges = F.transform(ends, lambda hi, i: F.struct(F.when(i == 0, 0).otherwise(F.get(ends, i - 1)).alias("lo"), hi.alias("level")))
-    by = [*keys, "level"]
-    levels = workers.select(*keys).distinct().join(own, keys, "left").select(*keys, F.inline(ranges))
-    at = live.join(levels.select(*by), keys).filter("_passed >= level").drop("_passed")
-    people = at.filter(F.col("cls") == G.PERSON).withColumnRenamed("box_idx", "person")
-    standing = workers.join(levels, keys)
-    states = assign.people_states(at, assign.bind(at, by), by)
-    decided = by_class(worker_decisions(standing, assign.match_people(people, standing, by), states, by))
-    counted = confusion(decided, ["axis", "lo", "level"], F.col("truth"), F.col("flagged"), F.col("detected"))
+    live = boxes.withColumn("passed", F.size(F.filter(taus, lambda t: F.col(conf) >= t))).filter("passed > 0")
+    seen = frames.gather(live, keys, ["box_idx", "cls", "xc", "yc", "w", "h", "passed"])
+    standing = workers.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("worker", "xc", "yc", "w", "h", "helmet", "vest"))).alias("workers"))
+    met = standing.join(seen, keys, "left")
+    # each image's pairs are measured once, and known with the thresholds that both of their boxes pass
+    binds = frames.candidates(F.col("boxes"), more=lambda i, p: F.least(i["passed"], p["passed"]))
+    overlaps = frames.overlapping(F.col("boxes"), F.col("workers"), more=lambda p: p["passed"])
+    ends = F.sort_array(F.array_distinct(F.concat(F.coalesce(F.transform("boxes", lambda x: x["passed"]), F.array().cast("array<int>")), F.array(F.lit(len(thresholds))))))
+    met = met.select("workers", binds.alias("_binds"), overlaps.alias("_overlaps"), ends.alias("_ends"))
+    ranges = F.transform("_ends", lambda hi, i: F.struct(F.when(i == 0, 0).otherwise(F.get("_ends", i - 1)).alias("lo"), hi.alias("level")))
+    levels = met.select("workers", "_binds", "_overlaps", F.inline(ranges))
+    live_at = lambda c: F.coalesce(F.filter(c, lambda x: x["more"] >= F.col("level")), F.filter(c, lambda x: F.lit(False)))
+    levels = levels.select("lo", "level", "workers", frames.bound(live_at("_binds")).alias("_bound"), frames.matched(live_at("_overlaps")).alias("_matched"))
+    each = levels.select("lo", "level", "_bound", "_matched", F.explode("workers").alias("_w"))
+    each = each.withColumn("person", F.get(F.filter("_matched", lambda m: m["worker"] == F.col("_w.worker")), F.lit(0))["person"])
+    detected = F.col("person").isNotNull()
+    lacks = lambda c: F.coalesce(detected & ~F.exists("_bound", lambda y: (y["person"] == F.col("person")) & (y["cls"] == c)), detected)
+    decided = each.select("lo", "level", detected.alias("detected"), F.col("_w.helmet").alias("helmet"), F.col("_w.vest").alias("vest"), lacks(G.HELMET).alias("flag_helmet"), lacks(G.VEST).alias("flag_vest"))
+    counted = confusion(by_class(decided), ["axis", "lo", "level"], F.col("truth"), F.col("flagged"), F.col("detected"))
     spread = counted.withColumn("tau", F.explode(F.slice(taus, F.col("lo") + 1, F.col("level") - F.col("lo"))))
     return spread.groupBy("axis", "tau").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn", "missed")))
 

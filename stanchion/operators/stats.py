@@ -75,7 +75,9 @@ def sign_flip(pairs: DataFrame, by: list[str], diff: str = "diff", order: str =
     total = lambda v: F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda s, i: s + F.when(F.call_function("shiftright", v, i.cast("int")).bitwiseAND(F.lit(1)) == 1, -F.get("_d", i)).otherwise(F.get("_d", i)))
     vectors = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.least("n", F.lit(WHOLE)).cast("int")) - 1)
     hits = F.size(F.filter(vectors, lambda v: F.abs(total(v) / F.col("n")) >= F.abs(F.col("_sum") / F.col("n")) - 1e-12)).cast("double")
-    p = F.when(F.col("n") <= WHOLE, hits / F.pow(F.lit(2.0), "n")).otherwise(_halves("_d"))
+    p = hits / F.pow(F.lit(2.0), "n")
+    if most > WHOLE:  # else no Python is in the plan
+        p = F.when(F.col("n") <= WHOLE, p).otherwise(_halves("_d"))
     return g.select(*by, "n", (F.col("_sum") / F.col("n")).alias("mean_diff"), p.alias("p"), min_attainable_p(F.col("n")).alias("min_p"))
 
 
