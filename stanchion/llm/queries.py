@@ -97,5 +97,55 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op11_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each file of the table after the upsert, read back from the files."""
+    from .upsert import create, latest, new_table, upsert
+
+    crc = lambda c: F.crc32(c.cast("string").cast("binary"))
+    clients = _table(spark, sf_dir, "clients")
+    rows_per_file = 1 + clients.count() // 700
+    folder = new_table(spark, "clients")
+    create(clients.filter(crc(F.col("client_id")) % 7 > 3), folder, "client_id", rows_per_file)
+
+    def action(first, change):
+        h = crc(first) % 12
+        deletes = F.coalesce(change.op == "D", F.lit(False)) | F.coalesce(crc(change.change_id) % 8 < h, F.lit(False))
+        return F.when(h > 7, "ignore").when(deletes, "delete").otherwise("set")
+
+    changes = latest(_table(spark, sf_dir, "client_changes"), "client_id", ["seq", "change_id"])
+    made = upsert(folder, changes, action, clients.schema, "client_id", ["source", "segment", "city", "balance"], rows_per_file)
+
+    table = spark.read.schema(clients.schema).parquet(folder)
+    balance = F.col("balance").cast("double")
+    cents = F.when(F.abs(balance) < float("inf"), F.floor(100 * balance + 0.5)).otherwise(0)
+    text = F.concat_ws("|", *(F.coalesce(F.col(c), F.lit("")) for c in ("source", "segment", "city")))
+    ids = F.transform(F.sort_array(F.collect_list(F.struct(F.col("_metadata.row_index").alias("at"), "client_id"))), lambda x: x.client_id.cast("string"))
+    per_file = table.groupBy(F.col("_metadata.file_name").alias("name")).agg(
+        F.min("client_id").alias("first_id"),
+        F.count("*").alias("n_rows"),
+        F.sum(cents).cast("long").alias("cents"),
+        F.sum(F.crc32(text.cast("binary"))).alias("rows_crc"),
+        F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("ids_sha256"),
+    )
+    return per_file.select(
+        "first_id", "n_rows", "cents", "rows_crc", "ids_sha256",
+        F.lit(",".join(table.columns)).alias("columns"),
+        F.concat(F.lit(f"{folder}/"), "name").alias("path"),
+        F.col("name").isin(made).alias("rewritten"),
+    )
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import embedding_dedup
+
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
