@@ -175,6 +175,18 @@ def ids_of(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column.cast(pa.int64()), np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
 
 
+def is_null(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.is_null().to_numpy(zero_copy_only=False), bool)
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """wanted, or with underscores before it the first name that no column has."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 _Z: dict[str, object] = {}
 
 

@@ -15,8 +15,8 @@ Data flow, for text of size D:
 A key of any frequency reaches a bucket at most once per flush, so hot passages do not pile up.
 
 Defined results: null or blank text has no words and an empty result; rows that share an id
-count as one document (equal starts are one place); a null id comes after all others; other
-columns are ignored.
+count as one document (equal starts are one place), those of a null id too, which comes after
+all others, 2^63 - 1 included; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import _sketch
-from ._base import MULT, U64, WHITE, chunks, cuts, ids_of, pack, pack_sorted, parts, small_batches, strings, trimmed, unpack, unpack_sorted, windows, words_of, xxhash64
+from ._base import MULT, U64, WHITE, chunks, cuts, ids_of, is_null, pack, pack_sorted, parts, small_batches, strings, trimmed, unpack, unpack_sorted, windows, words_of, xxhash64
 
 WINDOW = 20
 FLUSH = 500_000
 _WORD = ~WHITE
+#: Set in the starts of a null id, whose number is the largest integer; no text has so many words.
+_NULL = np.uint32(1 << 31)
 _HASHED = "bucket int, kind int, h1 binary, h2 binary, doc binary, start binary"
 
 
@@ -57,13 +59,13 @@ def _candidates(size: int, n_buckets: int, n_groups: int, bits):
         held: list[tuple] = []
         n = 0
         for batch in batches:
-            ids = ids_of(batch.column(0))
+            ids, null = ids_of(batch.column(0)), is_null(batch.column(0))
             for lo, w, h, at, h2 in _windows(batch.column(1), size, True):
                 on = _sketch.maybe_repeated(bits.value, h)
                 if on.any():
                     at = at[on]
                     doc = np.searchsorted(w.first, at, "right") - 1
-                    held.append((h[on], h2[on], ids[lo + doc], (at - w.first[doc]).astype(np.uint32)))
+                    held.append((h[on], h2[on], ids[lo + doc], (at - w.first[doc]).astype(np.uint32) | np.where(null[lo + doc], _NULL, np.uint32(0))))
                     n += len(at)
                 if n >= FLUSH:
                     yield _flush(held, n_buckets, n_groups)
@@ -160,7 +162,7 @@ def _applied(size: int):
         for batch in batches:
             out: list[list] = [[], [], []]
             g_, kind, flagged_, at_ = (batch.column(k).to_pylist() for k in (0, 1, 4, 5))
-            keys = ids_of(batch.column(2))
+            keys, null = ids_of(batch.column(2)), is_null(batch.column(2))
             texts = batch.column(3).cast(pa.large_binary())
             for k, (g, row, flagged, at) in enumerate(zip(g_, kind, flagged_, at_)):
                 if g != now:
@@ -178,7 +180,8 @@ def _applied(size: int):
                 lo, hi = np.searchsorted(ready[0], keys[k]), np.searchsorted(ready[0], keys[k], "right")
                 n = len(words)
                 if hi > lo:
-                    at = ready[1][lo:hi].astype(np.int64)
+                    at = ready[1][lo:hi]
+                    at = (at[(at >= _NULL) == null[k]] & ~_NULL).astype(np.int64)
                     at = at[at + size <= n]  # rows that share an id can be of other lengths
                     cover = np.zeros(n + size + 1, np.int64)
                     np.add.at(cover, at, 1)

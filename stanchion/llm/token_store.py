@@ -9,8 +9,9 @@ self-describing binary value, so Spark's writers commit it, in any store:
 A frame is the zstandard frame of a document's ids, little-endian. The offset index gives one
 document without decompressing others. The table holds shards of ids in ascending order:
 part, seq, first_id, last_id, n_docs, n_tokens, start (ids before it in its part), shard.
-The dictionary is trained on the id arrays of SAMPLE documents, chosen by a hash of the id;
-it is kept beside the shards and its hash checked on reading. It affects sizes only.
+The dictionary is trained on the first SAMPLE_BYTES of the id arrays of SAMPLE documents of any length, chosen
+by a hash of the id; where these are too few to train on, they serve as the dictionary themselves.
+It is kept beside the shards and its hash checked on reading. It affects sizes only.
 
 Encoding goes by units: white space and the run of other characters after it. The tokenizer's
 pattern always splits before a unit, so a unit's ids depend on the unit alone, and a worker
@@ -37,9 +38,9 @@ from pyspark.sql import functions as F
 
 from ._base import U64, WHITE, Words, parts, ragged, scratch, small_batches, strings, trimmed
 
-END, SAMPLE, DICT_BYTES, SHARD_BYTES, LEVEL = 2, 1000, 1 << 16, 1 << 20, 3
-#: Longer texts are not sampled for the dictionary.
-SAMPLE_CHARS = 20_000
+END, SAMPLE, DICT_BYTES, SHARD_BYTES, LEVEL = 2, 2000, 1 << 16, 1 << 20, 3
+#: Bytes of each sampled document's ids; with SAMPLE the bound of what the driver trains on (16 MB).
+SAMPLE_BYTES = 1 << 13
 MAGIC = b"TKS1"
 #: Units whose ids a process remembers (about 50 bytes each).
 MOST_UNITS = 1_000_000
@@ -219,12 +220,20 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = E
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    tok, size = tokenizer(tokenizer_path)
+    _, size = tokenizer(tokenizer_path)
     kind = "<u2" if max(len(size), end_id + 1) <= 1 << 16 else "<u4"
     few = docs.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
-    texts = [r.text for r in base.join(F.broadcast(few), "doc_id").filter(F.length("text") <= SAMPLE_CHARS).orderBy("doc_id").limit(2 * SAMPLE).collect()]
-    arrays = [np.array(x.ids + [end_id], kind).tobytes() for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    dictionary = _train(arrays)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got, bounds = encode_chunk(tokenizer_path, *strings(batch.column(1)))
+            most = SAMPLE_BYTES // int(kind[-1])
+            own = [np.append(got[a:b], end_id)[:most].astype(kind).tobytes() for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["doc_id", "head"])
+
+    # of rows that share an id one is taken, so that the bound holds
+    chosen = base.join(F.broadcast(few), "doc_id").mapInArrow(trimmed(heads), "doc_id long, head binary").groupBy("doc_id").agg(F.min("head").alias("head"))
+    dictionary = _train([bytes(r["head"]) for r in sorted(chosen.collect())])
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{out}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)
 

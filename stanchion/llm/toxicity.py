@@ -183,11 +183,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(table, w * ratio, b)
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs and toxicity_score; rows keep their place."""
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", name: str = "toxicity_score") -> DataFrame:
+    """All columns of docs and the score as `name`, which docs may not have already; rows keep their place."""
     small_batches(docs.sparkSession)
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs have a column {name}: give another name for the score")
     if model is None:
-        return docs.withColumn("toxicity_score", F.lit(0.0))
+        return docs.select("*", F.lit(0.0).alias(name))
     held = docs.sparkSession.sparkContext.broadcast(model)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     plain = docs.select(row, F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -196,7 +198,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         for batch in batches:
             data, offsets = strings(batch.column(1))
             s = [held.value.scores(body, offs) for _, _, body, offs in chunks(data, offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(s) if s else np.empty(0))], ["row", "toxicity_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(s) if s else np.empty(0))], ["row", "score"])
 
-    kind = StructType([plain.schema["row"], StructField("toxicity_score", DoubleType())])
-    return plain.mapInArrow(trimmed(run), kind).select("row.*", "toxicity_score")
+    kind = StructType([plain.schema["row"], StructField("score", DoubleType())])
+    return plain.mapInArrow(trimmed(run), kind).select("row.*", F.col("score").alias(name))

@@ -15,7 +15,7 @@ blocks of QUERY_BLOCK, the bound of what is broadcast.
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another
 length than most, and null ids, take no part; rows with the query's id are its own; ties go to the
 smaller id; with fewer candidates than k, all of them; of several query rows with one id the least
-vector asks.
+vector asks. A distance beyond the largest double is infinite, and such a row is still an answer.
 """
 
 from __future__ import annotations
@@ -48,9 +48,23 @@ def matrix(column: pa.Array) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of x to q; where squares would overflow or vanish, differences are scaled first."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = x - q
+        s = (d * d).sum(1)
+        out = np.sqrt(s)
+        odd = np.flatnonzero(~((s > 1e-280) & (s < np.inf)))
+        if len(odd):
+            top = np.abs(d[odd]).max(1)
+            scaled = d[odd] / np.where((top > 0) & (top < np.inf), top, 1)[:, None]
+            out[odd] = np.where(top < np.inf, top * np.sqrt((scaled * scaled).sum(1)), np.inf)
+    return out
+
+
 class Shard:
     def __init__(self, ids: np.ndarray, x: np.ndarray, lines: np.ndarray):
-        self.ids, self.x = ids, x
+        self.ids, self.x, self.unit = ids, x, unit_of(x.shape[1])
         at = x @ lines
         self.order = np.argsort(at, axis=0, kind="stable").T.astype(np.int32).copy()
         self.place = np.take_along_axis(at, self.order.T, 0).T.copy()
@@ -59,15 +73,17 @@ class Shard:
         n, m = len(self.ids), len(where)
         threshold = max(1, int(m * _NEAR - MARGIN * math.sqrt(m * _NEAR * (1 - _NEAR))))
         few = self.x[:: max(1, n // 256)]
-        near = np.sort(np.sqrt(((few - q) ** 2).sum(1)))
+        near = np.sort(distances(few, q))
         r = max(float(near[min(len(near) - 1, k)]) * 0.5, 1e-12)
         lo = hi = None
         count = np.zeros(n, np.int32)
         known = np.zeros(n, bool)
         dist = np.full(n, np.inf)
+        own = self.ids == qid
         while True:
-            a = np.array([np.searchsorted(p, w - r, "left") for p, w in zip(self.place, where)])
-            b = np.array([np.searchsorted(p, w + r, "right") for p, w in zip(self.place, where)])
+            half = r * self.unit
+            a = np.array([np.searchsorted(p, w - half, "left") for p, w in zip(self.place, where)])
+            b = np.array([np.searchsorted(p, w + half, "right") for p, w in zip(self.place, where)])
             if lo is None:
                 fresh = [o[i:j] for o, i, j in zip(self.order, a, b)]
             else:
@@ -76,13 +92,11 @@ class Shard:
             count += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
             new = np.flatnonzero((count >= threshold) & ~known)
             known[new] = True
-            dist[new] = np.sqrt(((self.x[new] - q) ** 2).sum(1))
-            dist[new[self.ids[new] == qid]] = np.inf
-            done = known.all()
-            if done or int((dist <= r).sum()) >= k:
+            dist[new] = distances(self.x[new], q)
+            if known.all() or int((known & ~own & (dist <= r)).sum()) >= k:
                 break
             r *= GROWTH
-        got = np.flatnonzero(np.isfinite(dist))
+        got = np.flatnonzero(known & ~own)
         if len(got) > k:
             edge = np.partition(dist[got], k - 1)[k - 1]
             got = got[dist[got] <= edge]
@@ -90,8 +104,13 @@ class Shard:
         return self.ids[got], dist[got]
 
 
+def unit_of(dims: int) -> float:
+    """What lines are scaled by, so that no finite vector's place on one overflows."""
+    return 2.0 ** -(4 + math.ceil(math.log2(dims)))
+
+
 def lines_for(dims: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((dims, PROJECTIONS))
+    return np.random.default_rng(SEED).standard_normal((dims, PROJECTIONS)) * unit_of(dims)
 
 
 def _answers(queries: tuple[np.ndarray, np.ndarray], k: int):

@@ -346,7 +346,7 @@ def test_queries_run(spark, data):
     pytest.importorskip("public_tokenizers")
     from stanchion.llm import queries as Q
 
-    first = {"op1": "doc_id n_words n_base first_word last_word base_labels labels score", "op4": "doc_id held_out score predicted", "op5": "doc_id start n_tokens ids_crc32", "op8": "doc_id n_words n_removed kept_sha256", "op9": "query_id rank vec_id score", "op10": "doc_id n_shingles component_id"}
+    first = {"op1": "doc_id n_words n_base first_word last_word base_labels labels score", "op4": "doc_id held_out score predicted", "op5": "doc_id start n_tokens ids_crc32", "op8": "doc_id n_words n_removed kept_sha256", "op9": "query_id rank vec_id score", "op10": "doc_id n_shingles component_id", "op11": "first_id n_rows cents rows_crc ids_sha256 columns path rewritten", "op12": "doc_id n_features weight score rank", "op13": "vec_id n_links component_id kept"}
     for name, f in Q.queries().items():
         df = f(spark, data)
         assert df.count() > 0 and set(first.get(name.split("_")[0], "").split()) <= set(df.columns), name
@@ -355,14 +355,17 @@ def test_queries_run(spark, data):
 def test_oracles(spark, data):
     """Every oracle of this subpackage against its query, over the whole smallest tables."""
     duckdb = pytest.importorskip("duckdb")
+    import pandas as pd
+
     from stanchion.llm import oracles, queries
 
     con = duckdb.connect()
-    for t in ("documents", "labels", "embeddings"):
+    for t in ("documents", "labels", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     for name, sql in oracles.oracle_sql().items():
         got, want = queries.queries()[name](spark, data).toPandas(), con.execute(sql).df()
         cols = sorted(want.columns)
         assert sorted(got.columns) == cols, name
-        rows = lambda df: sorted(tuple("-" if x is None or x != x else repr(round(float(x), 6)) if isinstance(x, float) else str(x) for x in r) for r in df[cols].itertuples(index=False))  # noqa: B023, E731
+        plain = lambda x: "-" if pd.isna(x) else str(x) if isinstance(x, str) else repr(round(float(x), 6) + 0.0)
+        rows = lambda df: sorted(tuple(map(plain, r)) for r in df[cols].itertuples(index=False))  # noqa: B023, E731
         assert rows(got) == rows(want), name
