@@ -10,13 +10,14 @@ from stanchion.llm import mixing as _mixing
 from stanchion.llm import pieces as _pieces
 from stanchion.llm import substring_dedup as _substring
 from stanchion.llm import toxicity as _toxicity
-from stanchion.llm._base import keep
+from stanchion.llm._base import free_name, keep
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for toxic go."""
     model = _toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _toxicity.score(docs, model).filter("toxicity_score < 0.5").select(docs.columns)
+    name = free_name(docs.columns, "toxicity_score")
+    return _toxicity.score(docs, model, name=name).filter(F.col(name) < 0.5).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
