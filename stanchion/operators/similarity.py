@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
+from ..sources.tables import kept
 
 
 def within(query: DataFrame, reference: DataFrame, radius: int, hash_: str = "hash", by: str = "stem") -> DataFrame:
@@ -20,49 +23,148 @@ def within(query: DataFrame, reference: DataFrame, radius: int, hash_: str = "ha
     return met.select("query", "reference", "distance").distinct()
 
 
-#: Pieces of at least so many bits are joined on; with fewer, most pairs would meet anyway, and all are compared.
-PIECE_BITS = 10
+#: Pieces are at least so wide; of narrower ones nearly all would agree by chance.
+LEAST_BITS = 4
+#: The most neighbours of a piece that are looked up.
+MOST_PROBES = 1 << 17
+
 
+def piece_widths(per_word: int, words: int, bits: int) -> list[int]:
+    cut = [round(i * bits / per_word) for i in range(per_word + 1)]
+    return [b - a for a, b in zip(cut, cut[1:])] * words
 
-def within_words(query: DataFrame, reference: DataFrame, radius: int, words: list[str], by: str = "stem", bits: int = 64, bound: int | None = None) -> DataFrame:
-    """The same for fingerprints in several columns of `bits` bits each, and any radius.
 
-    Up to a radius that leaves pieces of PIECE_BITS, the words are cut into radius + 1 pieces together and these are joined.
-    Beyond, all are compared with all: a small side is broadcast, otherwise each partition of the one meets each of the other.
-    With a `bound`, more reference rows are an error.
+def piece_radii(pieces: int, radius: int) -> list[int]:
+    """How far a piece may be off: two fingerprints within the radius have a piece within its own number (-1: never looked at).
+
+    With radius = pieces * r + a, either one of the first a + 1 pieces is within r, or one of the others is within r - 1;
+    otherwise the pieces would be off by more than the radius together.
     """
-    if bound is not None and reference.limit(bound + 1).count() > bound:
-        raise ValueError(f"more than {bound} reference rows; use within() with a small radius")
-    banded = bits * len(words) >= PIECE_BITS * (radius + 1) and radius + 1 >= len(words)
-    cut = [round(i * (radius + 1) / len(words)) for i in range(len(words) + 1)]  # pieces of each word
-
-    def side(df: DataFrame, name: str, prefix: str) -> DataFrame:
-        out = df.select(F.col(by).alias(name), *(F.col(w).alias(f"{prefix}_{w}") for w in words))
-        if not banded:
-            return out
-        tagged = []
-        for k, (w, n, m) in enumerate(zip(words, cut, cut[1:])):
-            tagged.append(F.transform(B.bands(F.col(f"{prefix}_{w}"), m - n - 1, bits), _tagged(k)))
-        return out.select("*", F.inline(F.flatten(F.array(*tagged))))
-
-    a, b = side(query, "query", "q"), side(reference, "reference", "r")
+    r, a = divmod(radius, pieces)
+    return [r] * (a + 1) + [r - 1] * (pieces - a - 1)
+
+
+def ball(width: int, radius: int) -> int:
+    return sum(math.comb(width, i) for i in range(radius + 1))
+
+
+def pieces_per_word(queries: int, references: int, radius: int, words: int, bits: int) -> int:
+    """The number of pieces of a word with which the fewest rows are to be expected: probes of the queries, pieces of the
+    references, and pairs that meet if bits are even."""
+
+    def rows(per_word: int) -> float:
+        widths = piece_widths(per_word, words, bits)
+        each = [(w, ball(w, r)) for w, r in zip(widths, piece_radii(len(widths), radius)) if r >= 0]
+        if max(n for _, n in each) > MOST_PROBES:
+            return math.inf
+        return queries * sum(n + references * n / 2**w for w, n in each) + references * len(each)
+
+    return min(range(1, bits // LEAST_BITS + 1), key=rows)
+
+
+def _prints(df: DataFrame, words: list[str], prefix: str) -> DataFrame:
+    """Each fingerprint once: rows that share one are looked up together."""
+    return df.select(*(F.col(w).alias(f"{prefix}{w}") for w in words)).dropna().distinct()
+
+
+def _pieces(prints: DataFrame, words: list[str], prefix: str, per_word: int, bits: int) -> DataFrame:
+    """prints with (piece, value), one row for each piece."""
+    tagged = [F.transform(B.bands(F.col(f"{prefix}{w}"), per_word - 1, bits), _tagged(k * per_word)) for k, w in enumerate(words)]
+    return prints.select("*", F.inline(F.flatten(F.array(*tagged))))
+
+
+def _tagged(first: int):
+    return lambda x: F.struct((F.lit(first) + x.band).alias("piece"), x.bits.alias("value"))
+
+
+def _masks(spark, widths: list[int], least: list[int], most: list[int]) -> DataFrame:
+    """(piece, mask): what a piece of each width is changed by at distances from `least` to `most`; up to MOST_PROBES a piece."""
+    out = None
+    for w in sorted(set(widths)):
+        own = [(i, a, b) for i, (x, a, b) in enumerate(zip(widths, least, most)) if x == w and b >= a]
+        if own:
+            top = max(b for _, _, b in own)
+            flips = _flips(spark, w, top)
+            told = F.array(*(F.struct(F.lit(i).alias("piece"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, a, b in own))
+            these = flips.select("mask", F.inline(told)).filter(F.bit_count("mask").between(F.col("a"), F.col("b"))).select("piece", "mask")
+            out = these if out is None else out.unionByName(these)
+    return out
+
+
+def _flips(spark, width: int, most: int) -> DataFrame:
+    """Numbers of `width` bits of which at most so many are set: bits are added one at a time, above the highest set one."""
+    steps = spark.range(1).select(F.lit(0).cast("long").alias("mask"), F.lit(0).alias("next"))
+    every = steps
+    for _ in range(most):
+        steps = steps.filter(F.col("next") < width).select("mask", F.explode(F.sequence("next", F.lit(width - 1))).alias("bit"))
+        steps = steps.select(F.col("mask").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("mask"), (F.col("bit") + 1).alias("next"))
+        every = every.unionByName(steps)
+    return every.select("mask")
+
+
+def _met(query: DataFrame, reference: DataFrame, masks: DataFrame, words: list[str]) -> DataFrame:
+    """Pairs of fingerprints that meet in a piece, with their distance. query, reference: rows of _pieces()."""
+    probes = query.join(F.broadcast(masks), "piece").withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+    met = probes.join(reference, ["piece", "value"])
     far = F.lit(0)
     for w in words:
         far = far + B.hamming(F.col(f"q_{w}"), F.col(f"r_{w}"))
-    if not banded:
-        return a.join(b, far <= radius).select("query", "reference", far.alias("distance"))
-    met = a.join(b, ["word", "band", "bits"]).withColumn("distance", far).filter(F.col("distance") <= radius)
-    return met.select("query", "reference", "distance").distinct()
+    return met.withColumn("distance", far)
 
 
-def _tagged(k: int):
-    return lambda x: F.struct(F.lit(k).alias("word"), x.band.alias("band"), x.bits.alias("bits"))
+def within_words(query: DataFrame, reference: DataFrame, radius: int, words: list[str], by: str = "stem", bits: int = 64, per_word: int | None = None) -> DataFrame:
+    """(query, reference, distance) of all pairs within the radius, of fingerprints in several columns of `bits` bits each.
 
-
-def nearest(query: DataFrame, reference: DataFrame, words: list[str], by: str = "stem", bound: int | None = None) -> DataFrame:
-    """(query, distance): least distance to any reference row. No radius bounds it, so all are compared, as above."""
-    every = within_words(query, reference, 64 * len(words), words, by, bound=bound)
-    return every.groupBy("query").agg(F.min("distance").alias("distance"))
+    Multi-index: the words are cut into pieces; two fingerprints within the radius have a piece that differs in few bits
+    (piece_radii), so a query looks up all values of its pieces that are so near, by equality. How many pieces there are
+    follows from the number of rows. A fingerprint that many rows share is looked up once. Nulls match nothing.
+    """
+    q, r = _prints(query, words, "q_"), _prints(reference, words, "r_")
+    per_word = per_word or pieces_per_word(q.count(), r.count(), radius, len(words), bits)
+    widths = piece_widths(per_word, len(words), bits)
+    radii = piece_radii(len(widths), radius)
+    masks = _masks(query.sparkSession, widths, [0] * len(widths), radii)
+    met = _met(_pieces(q, words, "q_", per_word, bits), _pieces(r, words, "r_", per_word, bits), masks, words)
+    pairs = met.filter(F.col("distance") <= radius).drop("piece", "value").distinct()
+    named = lambda df, n: df.select(F.col(by).alias(n), *(F.col(w).alias(f"{n[0]}_{w}") for w in words))
+    out = pairs.join(named(query, "query"), [f"q_{w}" for w in words]).join(named(reference, "reference"), [f"r_{w}" for w in words])
+    return out.select("query", "reference", "distance").distinct()
+
+
+def nearest(query: DataFrame, reference: DataFrame, words: list[str], by: str = "stem", bits: int = 64) -> DataFrame:
+    """(query, distance): least distance to any reference row.
+
+    The same pieces, probed at a distance of 0, 1, 2, .. bits in turn. When all pieces have been probed up to s, whatever
+    lies within pieces * (s + 1) - 1 has been met, so a query whose best is no further leaves. Pieces have about as many
+    values as there are references, so a probe meets about one. State goes through written tables from round to round.
+    """
+    spark = query.sparkSession
+    q, r = _prints(query, words, "q_"), _prints(reference, words, "r_")
+    n = r.count()
+    per_word = max(1, min(bits // LEAST_BITS, round(bits / max(LEAST_BITS, math.log2(max(n, 2))))))
+    widths = piece_widths(per_word, len(words), bits)
+    index = kept(_pieces(r, words, "r_", per_word, bits), "index")
+    keys = [f"q_{w}" for w in words]
+    open_, done = kept(q.withColumn("best", F.lit(None).cast("int")), "round"), []
+    for s in range(max(widths) + 1):
+        if not n or open_.isEmpty():
+            break
+        masks = _masks(spark, widths, [s] * len(widths), [min(s, w) for w in widths])
+        # a probe hands on only the least distance of what it met, before any shuffle of pairs
+        met = _met(_pieces(open_.select(*keys), words, "q_", per_word, bits), index, masks, words)
+        found = met.groupBy(*keys).agg(F.min("distance").alias("now"))
+        told = open_.join(found, keys, "left").select(*keys, F.least("best", "now").alias("best"))
+        told = kept(told, "round")
+        proven = F.coalesce(F.col("best") <= len(widths) * (s + 1) - 1, F.lit(False))
+        done.append(told.filter(proven))
+        open_ = told.filter(~proven)
+    if not done:
+        return query.select(F.col(by).alias("query"), F.lit(0).alias("distance")).limit(0)
+    best = done[0]
+    for d in done[1:]:
+        best = best.unionByName(d)
+    asked = query.select(F.col(by).alias("query"), *(F.col(w).alias(f"q_{w}") for w in words))
+    return asked.join(best, keys).groupBy("query").agg(F.min("best").alias("distance"))
 
 
 def leaking(pairs: DataFrame, splits: DataFrame, trained: str, other: str, evaluated: list[str] | None = None) -> DataFrame:

@@ -124,7 +124,7 @@ def hamming_pairs(spark, d):
 
 @query(f"WITH {_PRINTS} SELECT q.vec_id AS query, min({_FAR})::INT AS distance FROM prints q JOIN prints r ON q.vec_id % 2 = 0 AND r.vec_id % 2 = 1 GROUP BY 1")
 def nearest_hamming(spark, d):
-    return similarity.nearest(*_prints(spark, d), ["lo", "hi"])
+    return similarity.nearest(*_prints(spark, d), ["lo", "hi"], bits=32)
 
 
 _PAIRS = "pairs AS (SELECT p_partkey AS a, s_suppkey AS b, bit_count(xor(p_partkey * 2654435761, s_suppkey * 2654435761))::INT AS distance FROM part, supplier WHERE bit_count(xor(p_partkey * 2654435761, s_suppkey * 2654435761)) <= 4)"

@@ -19,3 +19,16 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{top.rstrip('/')}/stanchion-files/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what scratch() and kept() of this application hold; call it when all results are written."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark, "x")).getParent()
+    top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(top, True)

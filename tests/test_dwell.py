@@ -126,7 +126,7 @@ def test_stream_closes_and_skips_untracked(spark, tmp_path):
     rows = [(1, t, True, [], t == 2) for t in range(9)] + [(None, t, True, [], False) for t in range(9)]
     df = spark.createDataFrame(rows, "track_id long, t long, in_zone boolean, worn array<int>, closes boolean").withColumn("ts_us", F.lit(base) + F.col("t") * S)
     df = df.withColumn("ts", F.timestamp_micros("ts_us")).withColumn("half", F.col("t") < 4).drop("t")
-    got = run_stream(spark, tmp_path, lambda s: alert_stream(s, 3 * S, 2 * S, 0), df, "closing")
+    got = run_stream(spark, tmp_path, lambda s: alert_stream(s, 3 * S, 2 * S, 0, late="0 seconds"), df, "closing")
     # the incident that opens at 0 is closed at 2; the next opens at 3 and fires at 6
     assert [(r.track_id, (r.started_us - base) // S, (r.fired_us - base) // S) for r in got] == [(1, 3, 6)]
 
@@ -142,5 +142,5 @@ def test_stream_of_frames(spark, tmp_path):
     rows = [(t, [person, small, hat, away]) for t in range(6)]
     df = spark.createDataFrame(rows, f"t long, boxes {boxes}").withColumn("ts_us", F.lit(base) + F.col("t") * S).withColumn("ts", F.timestamp_micros("ts_us")).withColumn("half", F.col("t") < 3).withColumnRenamed("t", "frame")
     zone = [(0.25, 0.0), (0.75, 0.0), (0.75, 1.0), (0.25, 1.0)]
-    got = run_stream(spark, tmp_path, lambda s: frame_alerts(s, zone, 3 * S, 2 * S, 0), df, "framed")
+    got = run_stream(spark, tmp_path, lambda s: frame_alerts(s, zone, 3 * S, 2 * S, 0, late="0 seconds"), df, "framed")
     assert [(r.track_id, (r.started_us - base) // S, (r.fired_us - base) // S, list(r.missing)) for r in got] == [(5, 0, 3, [2])]

@@ -50,10 +50,36 @@ def test_many_references(spark):
         assert {x.query: x.distance for x in near} == {i: min(far[i, j] for j in range(100_001)) for i in (1, 2, 3)}
 
 
-def test_bound_is_checked(spark):
-    p = prints(spark, {"a": 1, "b": 2})
-    with pytest.raises(ValueError):
-        similarity.within_words(p, p, 1, ["hash"], bound=1)
+def test_pieces_prove_the_radius():
+    """Whatever way the differing bits fall on the pieces, one piece is within its own radius."""
+    for pieces in range(1, 7):
+        for radius in range(12):
+            radii = similarity.piece_radii(pieces, radius)
+            worst = sum(r + 1 for r in radii)  # the fewest bits with which every piece is beyond its radius
+            assert worst == radius + 1 and len(radii) == pieces
+
+
+@pytest.mark.parametrize("per_word", [None, 1, 2, 3, 5])
+def test_large_radius_and_nearest_against_all_pairs(spark, per_word):
+    """Words of 16 bits, shared fingerprints, nulls, repeated rows: any number of pieces gives the pairs of all with all."""
+    rng = random.Random(3)
+    bases = [(rng.getrandbits(16), rng.getrandbits(16)) for _ in range(12)]
+    flip = lambda v: v ^ sum(1 << i for i in rng.sample(range(16), rng.randint(0, 5)))
+    make = lambda n: [(i, *(map(flip, rng.choice(bases)) if i % 4 else bases[0])) for i in range(n)]
+    q, r = make(60), make(70)
+    schema = "stem long, lo long, hi long"
+    dq = spark.createDataFrame([*q, q[0], (97, None, 3), (98, 5, None)], schema)
+    dr = spark.createDataFrame([*r, r[1], (99, None, 3)], schema)
+    far = {(a[0], b[0]): (a[1] ^ b[1]).bit_count() + (a[2] ^ b[2]).bit_count() for a in q for b in r}
+    for radius in (0, 4, 9) if per_word is None else (9,):
+        got = similarity.within_words(dq, dr, radius, ["lo", "hi"], bits=16, per_word=per_word)
+        assert sorted(map(tuple, got.collect())) == sorted((*k, n) for k, n in far.items() if n <= radius)
+    if per_word is None:
+        assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+        near = {x.query: x.distance for x in similarity.nearest(dq, dr, ["lo", "hi"], bits=16).collect()}
+        assert near == {a[0]: min(far[a[0], b[0]] for b in r) for a in q}
+        assert similarity.nearest(dq, dr.limit(0), ["lo", "hi"], bits=16).count() == 0
+        assert similarity.nearest(dq.limit(0), dr, ["lo", "hi"], bits=16).count() == 0
 
 
 def test_leakage_and_exclusion(spark):
