@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
+from ..sources.tables import scratch
+
 
 def run_grid(spark, models: list[str], directions: list[str], seeds: list[int]) -> DataFrame:
     """(ordinal, seed, model, direction), seed-major."""
@@ -118,27 +120,54 @@ def due(runs: DataFrame, summaries: DataFrame, checkpoints: DataFrame, key: str
     return met.withColumn("state", state).drop("_s", "_c").filter("state <> 'done'").orderBy(F.desc("state"), key)
 
 
-def run_queue(runs: DataFrame, summaries: DataFrame, checkpoints: DataFrame, work: Callable[[Row, bool], object], key: str = "run_id", dry: bool = False) -> DataFrame:
+JOURNAL = "at long, {key}, event string, seconds double, error string"
+
+
+def _journal(spark, path: str, key: str, kind: str) -> DataFrame:
+    """All entries, those of several sessions; none where the journal does not exist yet."""
+    schema = JOURNAL.format(key=f"`{key}` {kind}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def run_queue(runs: DataFrame, summaries: DataFrame, checkpoints: DataFrame, work: Callable[[Row, bool], object], key: str = "run_id", dry: bool = False, journal: str | None = None) -> DataFrame:
     """(key, outcome, seconds, error) of every run, each worked on once: skipped (done before), ok, failed, or dry-run.
 
     work gets a run's row and whether it is to resume. What it raises is that run's failure and goes no further, so the others
     have their turn. A run is a whole Spark or training job, so the queue is a loop on the driver, over the runs of a grid.
+
+    journal: the path of a table that outlives the driver (without one, the queue is not to be resumed). That a run begins, and how it ended, is appended to it before the
+    queue goes on. A queue that is started again with the same journal passes over runs that ended well, tries failed ones
+    again, and resumes one that began and never ended. The outcomes are those of the journal, whichever session they are of.
     """
-    spark, told = runs.sparkSession, []
-    waiting = due(runs, summaries, checkpoints, key)
-    for row in waiting.toLocalIterator():
-        began, outcome, error = time.monotonic(), "dry-run", None
-        if not dry:
-            try:
-                work(row, row.state == "resumable")
-                outcome = "ok"
-            except Exception as e:  # one bad run must not cost the rest
-                outcome, error = "failed", f"{type(e).__name__}: {e}"[:1000]
-        told.append((row[key], outcome, time.monotonic() - began if not dry else 0.0, error))
-    kind = runs.schema[key].dataType.simpleString()
-    worked = spark.createDataFrame(told, f"{key} {kind}, outcome string, seconds double, error string")
-    skipped = runs.select(key).distinct().join(worked.select(key), key, "left_anti")
-    return worked.unionByName(skipped.select(key, F.lit("skipped").alias("outcome"), F.lit(0.0).alias("seconds"), F.lit(None).cast("string").alias("error")))
+    spark, kind = runs.sparkSession, runs.schema[key].dataType.simpleString()
+    journal = journal or scratch(spark, "journal")
+    last = lambda: _journal(spark, journal, key, kind).groupBy(key).agg(F.max_by(F.struct("event", "seconds", "error"), "at").alias("e")).select(key, "e.*")
+
+    def note(value, event: str, seconds: float = 0.0, error: str | None = None) -> None:
+        entry = [(time.time_ns(), value, event, seconds, error)]
+        spark.createDataFrame(entry, JOURNAL.format(key=f"`{key}` {kind}")).coalesce(1).write.mode("append").parquet(journal)
+
+    ended = {r[key]: r.event for r in last().collect()}
+    for row in due(runs, summaries, checkpoints, key).toLocalIterator():
+        value = row[key]
+        if ended.get(value) == "ok":
+            continue
+        if dry:
+            note(value, "dry-run")
+            continue
+        note(value, "began")
+        began = time.monotonic()
+        try:
+            work(row, row.state == "resumable" or ended.get(value) == "began")
+            note(value, "ok", time.monotonic() - began)
+        except Exception as e:  # one bad run must not cost the rest
+            note(value, "failed", time.monotonic() - began, f"{type(e).__name__}: {e}"[:1000])
+    told = runs.select(key).distinct().join(last(), key, "left")
+    outcome = F.coalesce("event", F.lit("skipped")).alias("outcome")
+    return told.select(key, outcome, F.coalesce("seconds", F.lit(0.0)).alias("seconds"), "error")
 
 
 def frame_policy(kind: Column, dwell: Column, memory: Column) -> Column:

@@ -33,8 +33,55 @@ def zones_of(b: G.Box, zones: dict[str, list[tuple[float, float]]] | None = None
     return F.array_compact(F.array(*(F.when(P.inside(v, x, y), k) for k, v in (zones or P.ZONES).items())))
 
 
+#: A zone is covered by at least so many cells along its longer side; and the finest and coarsest cells, as powers of 1/2.
+CELLS, FINEST, COARSEST = 8, 14, -40
+
+
+def cover(zones: DataFrame, tolerance: float = P.EDGE) -> DataFrame:
+    """(zone, level, cell_x, cell_y, points): the cells of side 2^-level in which a zone can hold a point. Cells wholly inside have null points;
+    in the others, which an edge passes or comes near, a point has to be tested. Some 100 cells a zone at most."""
+    far = lambda c, f, g: f(F.transform("_sides", lambda e: g(e[f"{c}1"], e[f"{c}2"])))
+    out = zones.filter(F.size("points") >= 3).select("zone", "points", F.transform(P.edges(F.col("points")), lambda e: P.reach(e, tolerance)).alias("_sides"))
+    out = out.withColumns({f"_{c}{n}": far(c, f, g) + d for c in "xy" for n, f, g, d in ((1, F.array_min, F.least, -tolerance), (2, F.array_max, F.greatest, tolerance))})
+    longer = F.greatest(F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1"))
+    level = F.floor(F.log2(CELLS / longer)).cast("int")
+    out = out.withColumn("level", F.greatest(F.lit(COARSEST), F.least(F.lit(FINEST), level)))
+    cell = lambda v: F.floor(v * F.pow(F.lit(2.0), "level")).cast("long")
+    for c in "xy":
+        out = out.withColumn(f"cell_{c}", F.explode(F.sequence(cell(F.col(f"_{c}1")), cell(F.col(f"_{c}2")))))
+    side = F.pow(F.lit(2.0), -F.col("level"))
+    x, y, half = (F.col("cell_x") + 0.5) * side, (F.col("cell_y") + 0.5) * side, side / 2 + tolerance
+
+    def passes(e: Column) -> Column:
+        dx, dy = e.x2 - e.x1, e.y2 - e.y1
+        within = lambda v, a, b: v.between(F.least(a, b) - half, F.greatest(a, b) + half)
+        return within(x, e.x1, e.x2) & within(y, e.y1, e.y2) & (F.abs(dx * (y - e.y1) - dy * (x - e.x1)) <= half * (F.abs(dx) + F.abs(dy)))
+
+    edge = F.exists("_sides", passes)
+    out = out.withColumn("_edge", edge).filter(F.col("_edge") | P.contains(F.col("points"), x, y, tolerance))
+    return out.select("zone", "level", "cell_x", "cell_y", F.when(F.col("_edge"), F.col("points")).alias("points"))
+
+
+def members(people: DataFrame, zones: DataFrame) -> DataFrame:
+    """Each person with each zone of a table (zone, points) that their feet stand in, for any number of zones.
+
+    People join the cells that cover the zones; only in a cell that an edge passes is the point tested. Every zone has cells of
+    one size, so a person meets it at most once.
+    """
+    cells = cover(zones)
+    levels = [r.level for r in cells.select("level").distinct().collect()]  # at most one for each power of two
+    x, y = G.feet(G.box())
+    at = people.select(F.struct("*").alias("_person"), x.alias("_px"), y.alias("_py")).withColumn("level", F.explode(F.array(*(F.lit(v) for v in levels)).cast("array<int>")))
+    for c in "xy":
+        at = at.withColumn(f"cell_{c}", F.floor(F.col(f"_p{c}") * F.pow(F.lit(2.0), "level")).cast("long"))
+    met = at.join(cells, ["level", "cell_x", "cell_y"])
+    inside = F.when(F.col("points").isNull(), True).otherwise(P.contains(F.col("points"), F.col("_px"), F.col("_py")))
+    return met.filter(inside).select("_person.*", "zone")
+
+
 def with_zones(people: DataFrame, zones: DataFrame) -> DataFrame:
-    """The same for a table of zones. Up to BROADCAST of them are broadcast; of more, Spark picks the join."""
+    """Each person with each zone of a small table, whether or not they stand in it: as many rows as people times zones, so for
+    many zones use members(). Up to BROADCAST of them are broadcast; of more, Spark picks the join."""
     few = zones.limit(BROADCAST + 1).count() <= BROADCAST
     met = people.crossJoin(F.broadcast(zones) if few else zones)
     x, y = G.feet(G.box())

@@ -8,6 +8,7 @@ from ..functions import geometry as G
 from ..functions import names as N
 from ..functions import polygon as P
 from ..operators import assign, audit, calibrate, frames, metrics, zone
+from ..sources.tables import table
 from . import carriers as C
 from . import oracle as O
 from .registry import query
@@ -156,9 +157,33 @@ def concave_zone(spark, d):
 @query(f"""WITH {_ZONES}, p AS (SELECT *, xc AS fx, yc + h / 2 AS fy FROM ({O.BOXES}) WHERE cls = 0)
 SELECT zone, count(*) FILTER (WHERE {_inside("fx", "fy")}) AS inside FROM p, zones GROUP BY zone""")
 def zone_table_membership(spark, d):
-    """The same by a table of zones, read at run time."""
+    """The same by a table of zones, read at run time, and covered by cells."""
     people = C.boxes(spark, d).filter(F.col("cls") == G.PERSON)
-    return zone.with_zones(people, zone.zone_table(spark)).groupBy("zone").agg(F.count_if("in_zone").alias("inside"))
+    zones = zone.zone_table(spark)
+    counts = zone.members(people, zones).groupBy("zone").agg(F.count("*").alias("n"))
+    return zones.select("zone").join(counts, "zone", "left").select("zone", F.coalesce("n", F.lit(0)).alias("inside"))
+
+
+_YARDS = """SELECT s_suppkey AS zone, list_transform([(-1, -1), (1, -1), (1, 1), (0, 0), (-1, 1)],
+  lambda q: struct_pack(x := (100 + (s_suppkey * 37) % 800 + q[1] * (20 + (s_suppkey * 29) % 80))::DOUBLE / 1000::DOUBLE, y := (100 + (s_suppkey * 53) % 800 + q[2] * (20 + (s_suppkey * 29) % 80))::DOUBLE / 1000::DOUBLE)) AS points FROM supplier"""
+
+
+@query(f"""WITH z AS ({_YARDS}), e AS (
+  SELECT zone, points[i].x AS x1, points[i].y AS y1, points[i % 5 + 1].x AS x2, points[i % 5 + 1].y AS y2 FROM z, (SELECT unnest(range(1, 6)) AS i)),
+p AS (SELECT image_id, box_idx, xc AS px, yc + h / 2 AS py FROM ({O.BOXES}) WHERE cls = 0),
+t AS (
+  SELECT zone, image_id, box_idx, count(*) FILTER (WHERE (y1 > py) <> (y2 > py) AND x1 + (py - y1) * (x2 - x1) / (CASE WHEN y2 = y1 THEN NULL ELSE y2 - y1 END) > px) AS crossings,
+         bool_or(abs((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)) <= 1e-3::DOUBLE * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
+           AND (px - x1) * (x2 - x1) + (py - y1) * (y2 - y1) >= -1e-3::DOUBLE AND (px - x1) * (x2 - x1) + (py - y1) * (y2 - y1) <= (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) + 1e-3::DOUBLE) AS edge
+  FROM p, e GROUP BY ALL)
+SELECT zone, count(*) AS people, count(DISTINCT image_id) AS images FROM t WHERE edge OR crossings % 2 = 1 GROUP BY zone""")
+def zone_members(spark, d):
+    """Who stands in which yard: a concave zone for each supplier, so that zones grow with the tables."""
+    k, side = F.col("s_suppkey"), F.lit(20) + (F.col("s_suppkey") * 29) % 80
+    point = lambda dx, dy: F.struct(((100 + (k * 37) % 800 + dx * side).cast("double") / 1000.0).alias("x"), ((100 + (k * 53) % 800 + dy * side).cast("double") / 1000.0).alias("y"))
+    yards = table(spark, d, "supplier").select(k.alias("zone"), F.array(*(point(*q) for q in ((-1, -1), (1, -1), (1, 1), (0, 0), (-1, 1)))).alias("points"))
+    people = C.boxes(spark, d).filter(F.col("cls") == G.PERSON)
+    return zone.members(people, yards).groupBy("zone").agg(F.count("*").alias("people"), F.count_distinct("image_id").alias("images"))
 
 
 @query(f"""WITH {_DECIDED}, {_ZONES},

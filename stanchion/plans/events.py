@@ -226,9 +226,13 @@ def score_threshold_roc(spark, d):
 _S = f"s AS (SELECT * FROM ({O.SCORES}))"
 
 
-@query("SELECT (row_number() OVER (ORDER BY s.i, m.i, t.i) - 1)::INT AS ordinal, s.v AS seed, m.v AS model, t.v AS direction FROM (VALUES (0, 0), (1, 1), (2, 2)) s(i, v), (VALUES (0, 'a'), (1, 'n'), (2, 'r')) m(i, v), (VALUES (0, 'f'), (1, 'o')) t(i, v)")
+@query("""SELECT (row_number() OVER (ORDER BY seed, model, direction) - 1)::INT AS ordinal, seed, model, direction
+FROM (SELECT DISTINCT (l_linenumber % 3)::INT AS seed FROM lineitem), (SELECT DISTINCT l_returnflag AS model FROM lineitem), (SELECT DISTINCT l_linestatus AS direction FROM lineitem)""")
 def grid_cells(spark, d):
-    return progress.run_grid(spark, ["a", "n", "r"], ["f", "o"], [0, 1, 2])
+    """Runs of all seeds, models and directions that the tables have; these are a few values each."""
+    t = table(spark, d, "lineitem")
+    few = lambda c: sorted(r[0] for r in t.select(c).distinct().collect())
+    return progress.run_grid(spark, few("l_returnflag"), few("l_linestatus"), few((F.col("l_linenumber") % 3).cast("int")))
 
 
 @query(f"WITH {_S} SELECT model, trained_on, round(avg(CASE WHEN tested = 0 THEN value END), 9) AS in_domain, round(avg(CASE WHEN tested = 1 THEN value END), 9) AS cross_domain, round(avg(CASE WHEN tested = 1 THEN value END) - avg(CASE WHEN tested = 0 THEN value END), 9) AS delta FROM s GROUP BY 1, 2")

@@ -79,29 +79,22 @@ def corner_labels(spark, d):
     rows = c.select(k.alias("k"), F.lit(0).alias("turn"), line.alias("value")).union(again)
     for name, on in (("train", F.col("k") % 3 != 0), ("val", F.col("k") % 3 == 0)):
         paths[name] = scratch(spark, "corners")
-        rows.filter(on).repartition(1).sortWithinPartitions("turn", "k").select("value").write.text(paths[name])
+        rows.filter(on).orderBy("turn", "k").select("value").write.text(paths[name])
     read = labels.read_corner_labels(spark, paths)
     return read.select("split", "image", F.col("boxes")[0]["x1"].cast("long").alias("x1"), F.size("boxes").alias("boxes"), F.size("bad").alias("bad"))
 
 
 @query("SELECT 'doc' || (doc_id % 400)::VARCHAR AS stem, count(*) > 1 AS again, min(doc_id) AS first FROM documents GROUP BY 1")
 def split_lists(spark, d):
-    """A list of paths as a set, and in its order: the first place of each stem and whether it stands again."""
-    path = scratch(spark, "list")
-    docs = table(spark, d, "documents")
-    ids = docs.select(F.dense_rank().over(_whole("doc_id")).alias("_r"), "doc_id")
-    listed = ids.select("doc_id", F.concat(F.lit("C:\\data/images\\doc"), (F.col("doc_id") % 400).cast("string"), F.lit(".v.jpg")).alias("value"))
-    listed.repartition(1).sortWithinPartitions("doc_id").select(F.replace("value", F.lit(".v"), F.lit("")).alias("value")).write.text(path)
-    order = labels.read_split_order(spark, path).groupBy("stem").agg(F.count("*").alias("n"), F.min("place").alias("at"))
-    ranked = docs.select("doc_id").distinct().withColumn("at", F.row_number().over(_whole("doc_id")) - 1)
-    met = labels.read_split_list(spark, path).join(order, "stem").join(ranked, "at")
-    return met.select("stem", (F.col("n") > 1).alias("again"), F.col("doc_id").alias("first"))
-
-
-def _whole(order):
-    from pyspark.sql import Window as W
-
-    return W.partitionBy(F.lit(1)).orderBy(order)
+    """A list of paths as a set, and in its order: the first place of each stem and whether it stands again. A second list names
+    the documents in the same order, so that places can be told from ids."""
+    docs, paths = table(spark, d, "documents").select("doc_id"), [scratch(spark, n) for n in ("list", "ids")]
+    for path, name in zip(paths, (F.concat(F.lit("doc"), (F.col("doc_id") % 400).cast("string")), F.col("doc_id").cast("string"))):
+        docs.orderBy("doc_id").select(F.concat(F.lit("C:\\data/images\\"), name, F.lit(".jpg")).alias("value")).write.text(path)
+    order = labels.read_split_order(spark, paths[0]).groupBy("stem").agg(F.count("*").alias("n"), F.min("place").alias("place"))
+    ids = labels.read_split_order(spark, paths[1]).select("place", F.col("stem").cast("long").alias("first"))
+    met = labels.read_split_list(spark, paths[0]).join(order, "stem").join(ids, "place")
+    return met.select("stem", (F.col("n") > 1).alias("again"), "first")
 
 
 @query(f"SELECT 'X04-' || lower(model) || '-s' || seed || '-' || lower(trained_on) AS run_id, CASE WHEN tested = 0 THEN 'in_domain' ELSE 'cross_domain' END AS tested, 'map50' AS metric, value FROM ({O.SCORES})")
@@ -163,16 +156,34 @@ def cached_predictions(spark, d):
     return documents.read_predictions(spark, path, 60).select("image_id", "box_idx", "cls")
 
 
-@query("SELECT zone, i::INT AS corner, x, y FROM (VALUES ('central-half', 0, 0.25, 0.0), ('central-half', 1, 0.75, 0.0), ('central-half', 2, 0.75, 1.0), ('central-half', 3, 0.25, 1.0), ('third', 0, 0.333333, 0.0), ('third', 1, 1.0, 0.666667), ('third', 2, 0.0, 1.0)) t(zone, i, x, y)")
+@query("""SELECT s_name AS zone, (i - 1)::INT AS corner, round([s_suppkey * 37 % 800, s_suppkey * 53 % 900 + 1000, s_suppkey * 29 % 700 + 2000][i] / 3000::DOUBLE, 6) AS x, round([s_suppkey * 17 % 900, s_suppkey * 11 % 800, s_suppkey * 13 % 700 + 2000][i] / 3000::DOUBLE, 6) AS y
+FROM supplier, (SELECT unnest([1, 2, 3]) AS i)""")
 def zone_documents(spark, d):
-    """Zones written as documents and read again: six digits stay."""
-    path = scratch(spark, "zones")
-    given = {"central-half": [(0.25, 0.0), (0.75, 0.0), (0.75, 1.0), (0.25, 1.0)], "third": [(1 / 3, 0.0), (1.0, 2 / 3), (0.0, 1.0)]}
-    rows = [F.lit(sinks.zone_document(k, v)) for k, v in given.items()]
-    spark.range(1).select(F.explode(F.array(*rows)).alias("value")).repartition(2, "value").write.option("lineSep", "\n...\n").text(path)
-    texts = [t for r in spark.read.text(path, wholetext=True).collect() for t in r.value.split("\n...\n") if t.strip()]
-    out = [(name, i, x, y) for name, points in map(sinks.read_zone, texts) for i, (x, y) in enumerate(points)]
-    return spark.createDataFrame(out, "zone string, corner int, x double, y double")
+    """A zone for each supplier, written as documents and read again: six digits stay."""
+    path, k = scratch(spark, "zones"), F.col("s_suppkey")
+    point = lambda x, y: F.struct((x / 3000.0).alias("x"), (y / 3000.0).alias("y"))
+    points = F.array(point(k * 37 % 800, k * 17 % 900), point(k * 53 % 900 + 1000, k * 11 % 800), point(k * 29 % 700 + 2000, k * 13 % 700 + 2000))
+    sinks.write_zones(table(spark, d, "supplier").select(F.col("s_name").alias("zone"), points.alias("points")), path)
+    return documents.read_zones(spark, path).select("zone", F.posexplode("points").alias("corner", "p")).select("zone", "corner", "p.x", "p.y")
+
+
+@query(f"SELECT image_id::VARCHAR AS stem, count(*) AS boxes, min(xc) AS least_x, max(h) AS most_h FROM ({O.BOXES}) WHERE image_id % 50 = 0 GROUP BY 1")
+def label_folders(spark, d):
+    """Label files by their writer, a folder for each of the images of every fiftieth order, and their scan."""
+    path = scratch(spark, "folders")
+    sinks.write_labels(C.boxes(spark, d).filter(F.col("image_id") % 50 == 0).withColumn("stem", F.col("image_id").cast("string")), path)
+    read = labels.read_centre_labels(spark, path).withColumn("stem", F.regexp_extract("path", "stem=([^/]+)", 1))
+    return read.groupBy("stem").agg(F.count("*").alias("boxes"), F.min("xc").alias("least_x"), F.max("h").alias("most_h"))
+
+
+@query("""WITH s AS (SELECT 'd' || lpad(doc_id::VARCHAR, 12, '0') AS stem FROM documents WHERE lang = 'en') SELECT row_number() OVER (ORDER BY stem) - 1 AS place, stem FROM s""")
+def split_files(spark, d):
+    """The list of a split's images by its writer, in order of their stems, and read in its order."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("stem"), "lang")
+    images = docs.select("stem", F.concat(F.lit("data/images/"), "stem", F.lit(".jpg")).alias("path"))
+    path = scratch(spark, "split")
+    sinks.write_split_list(docs.filter("lang = 'en'").select("stem"), images, path)
+    return labels.read_split_order(spark, path)
 
 
 @query(ORACLES["dwell_alerts"].replace("SELECT track_id, incident, started_us, ts_us AS fired_us, 'helmet+vest' AS missing FROM f", "SELECT track_id, started_us AS started_at, ts_us AS fired_at, 'helmet+vest' AS missing, round((ts_us - started_us) / 1e6::DOUBLE, 3) AS dwell_seconds FROM f"))
@@ -193,12 +204,13 @@ def curve_file(spark, d):
     return spark.read.option("header", True).csv(path)
 
 
-@query("SELECT 'r' || i AS run_id, i = 2 AS recommended FROM range(4) t(i)")
+@query("SELECT r_name AS run_id, r_regionkey = 2 AS recommended FROM region")
 def model_files(spark, d):
-    top = scratch(spark, "models")
-    for i in range(4):
-        spark.range(1).select(F.lit("weights")).coalesce(1).write.text(f"{top}/r{i}/weights")
-    return documents.list_models(spark, f"{top}/*/weights/part-*", "r2").select("run_id", "recommended")
+    """A folder of weights for each region, found again by its name."""
+    top, names = scratch(spark, "models"), [(r.r_name, r.r_regionkey) for r in table(spark, d, "region").collect()]
+    for name, _ in names:
+        table(spark, d, "region").filter(F.col("r_name") == name).select("r_name").coalesce(1).write.text(f"{top}/{name}/weights")
+    return documents.list_models(spark, f"{top}/*/weights/part-*", next(n for n, k in names if k == 2)).select("run_id", "recommended")
 
 
 # ---------------------------------------------------------------------------------------- scalars

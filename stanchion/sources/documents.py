@@ -108,6 +108,15 @@ def read_config(text: str, defaults: dict, overrides: dict | None = None) -> tup
     return out | {k: v for k, v in (overrides or {}).items() if v is not None}, notes
 
 
+def read_zones(spark: SparkSession, path: str) -> DataFrame:
+    """(zone, points) of files of zone documents, one for each line; one without points is an error, one without a name has its file's."""
+    docs = spark.read.text(path).filter(F.trim("value") != "")
+    read = docs.select(F.from_json("value", "name string, points array<array<double>>").alias("d"), F.regexp_extract("_metadata.file_name", r"([^/.]+)[^/]*$", 1).alias("_file"))
+    points = F.when(F.size("d.points") > 0, F.transform("d.points", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    points = F.coalesce(points, F.raise_error(F.lit("no zone: it has no points")).cast("array<struct<x:double,y:double>>"))
+    return read.select(F.coalesce("d.name", "_file").alias("zone"), points.alias("points"))
+
+
 def list_models(spark: SparkSession, glob: str, recommended: str | None = None) -> DataFrame:
     """(run_id, path, recommended) of files <run>/weights/best.*."""
     files = spark.read.format("binaryFile").load(glob).select("path")

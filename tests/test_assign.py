@@ -1,5 +1,9 @@
+"""Association, matching and suppression against plain computations, on scenes that a seeded generator draws."""
+
 import random
+from itertools import product
 
+import pytest
 from pyspark.sql import functions as F
 
 from stanchion.operators import assign
@@ -7,105 +11,102 @@ from stanchion.operators import assign
 COLS = "image_id long, box_idx int, cls int, xc double, yc double, w double, h double"
 
 
-def person(xc, yc=0.5, w=0.4, h=0.8):
-    return (0, xc, yc, w, h)
-
-
-def helmet(xc, yc):
-    return (1, xc, yc, 0.08, 0.06)
-
-
-def vest(xc, yc=0.4, w=0.2, h=0.25):
-    return (2, xc, yc, w, h)
-
-
-def frame(spark, *images):
-    return spark.createDataFrame([(i, k, *b) for i, boxes in enumerate(images) for k, b in enumerate(boxes)], COLS)
+def scene(rng, n, grid=40):
+    """n boxes by their corners on a grid, which makes ties and touching edges common: (cls, xc, yc, w, h)."""
+    boxes = []
+    for _ in range(n):
+        cls = rng.choice([0, 0, 1, 2])
+        reach = grid // 2 if cls == 0 else grid // 8
+        left, top = rng.randrange(grid), rng.randrange(grid)
+        right, low = left + rng.randint(0 if cls else 1, reach), top + rng.randint(1, reach)
+        boxes.append((cls, (left + right) / 2 / grid, (top + low) / 2 / grid, (right - left) / grid, (low - top) / grid))
+    return boxes
 
 
-def bound(spark, *images, threshold=0.8):
-    out = {}
-    for r in assign.bind(frame(spark, *images), threshold=threshold).collect():
-        out.setdefault(r.image_id, set()).add((r.person, r.cls, r.item))
-    return [out.get(i, set()) for i in range(len(images))]
+SCENES = [scene(random.Random(100 + k), k % 14) for k in range(70)]
 
 
-def test_cases(spark):
-    images = [
-        [person(0.5), helmet(0.5, 0.15), vest(0.5)],
-        [person(0.5), vest(0.5)],
-        [person(0.35), person(0.60), helmet(0.47, 0.14)],
-        [person(0.45), person(0.55), helmet(0.45, 0.14), helmet(0.55, 0.18)],
-        [person(0.2), helmet(0.85, 0.9)],
-        [person(0.5), helmet(0.5, 0.15), helmet(0.52, 0.15)],
-        [helmet(0.5, 0.1), vest(0.5)],
-    ]
-    got = bound(spark, *images)
-    assert got[0] == {(0, 1, 1), (0, 2, 2)} and got[1] == {(0, 2, 1)}
-    assert got[2] == {(0, 1, 2)} and got[3] == {(0, 1, 2), (1, 1, 3)}
-    assert got[4] == set() and len(got[5]) == 1 and got[6] == set()
-    boxes = frame(spark, *images)
-    b = assign.bind(boxes)
-    codes = {(r.image_id, r.person): r.code for r in assign.people_states(boxes, b).collect()}
-    assert codes[0, 0] == "WHV" and codes[1, 0] == "WV" and codes[2, 1] == "W"
-    free = {(r.image_id, r.item) for r in assign.unbound(boxes, b).collect()}
-    assert free == {(4, 1), (5, 2), (6, 0), (6, 1)}
+def frame(spark, scenes):
+    return spark.createDataFrame([(i, k, *b) for i, boxes in enumerate(scenes) for k, b in enumerate(boxes)], COLS)
 
 
-def test_threshold(spark):
-    image = [person(0.5), vest(0.68, 0.4, 0.1, 0.2)]
-    assert bound(spark, image, threshold=0.6)[0] == {(0, 2, 1)} and bound(spark, image)[0] == set()
+def common(a, b):
+    sides = [min(a[k] + a[k + 2] / 2, b[k] + b[k + 2] / 2) - max(a[k] - a[k + 2] / 2, b[k] - b[k + 2] / 2) for k in (1, 2)]
+    return sides[0] * sides[1] if min(sides) > 0 else 0.0
 
 
-def contain(a, b):
-    w = min(a[1] + a[3] / 2, b[1] + b[3] / 2) - max(a[1] - a[3] / 2, b[1] - b[3] / 2)
-    h = min(a[2] + a[4] / 2, b[2] + b[4] / 2) - max(a[2] - a[4] / 2, b[2] - b[4] / 2)
-    return w * h / (a[3] * a[4]) if w > 0 and h > 0 else 0.0
+def contained(a, b):
+    return common(a, b) / (a[3] * a[4]) if a[3] * a[4] > 0 else 0.0
 
 
-def by_hand(boxes, threshold=0.8):
-    cand = []
-    for i, x in enumerate(boxes):
-        for p, y in enumerate(boxes):
-            if x[0] and not y[0] and contain(x, y) >= threshold:
-                dy = x[2] - (y[2] - y[4] / 2 + {1: 0.05, 2: 0.35}[x[0]] * y[4])
-                cand.append((-contain(x, y), ((x[1] - y[1]) ** 2 + dy**2) ** 0.5 / (y[3] ** 2 + y[4] ** 2) ** 0.5, i, p, x[0]))
-    items, slots, out = set(), set(), set()
-    for _, _, i, p, c in sorted(cand):
-        if i not in items and (p, c) not in slots:
-            items.add(i)
-            slots.add((p, c))
-            out.add((p, c, i))
+def pick(ranked, *ends):
+    """In order, whatever shares no end with what has been picked."""
+    used, out = [set() for _ in ends], []
+    for x in sorted(ranked):
+        own = [end(x) for end in ends]
+        if all(o not in u for o, u in zip(own, used)):
+            for o, u in zip(own, used):
+                u.add(o)
+            out.append(x)
     return out
 
 
-def test_random_images(spark):
-    rng = random.Random(3)
-    images = []
-    for _ in range(60):
-        some = [person(rng.uniform(0.2, 0.8), rng.uniform(0.4, 0.6)) for _ in range(rng.randint(0, 4))]
-        some += [helmet(rng.uniform(0.2, 0.8), rng.uniform(0.1, 0.5)) for _ in range(rng.randint(0, 4))]
-        some += [vest(rng.uniform(0.2, 0.8)) for _ in range(rng.randint(0, 3))]
-        rng.shuffle(some)
-        images.append(some)
-    assert bound(spark, *images) == [by_hand(b) for b in images]
+def expected_bindings(boxes, least):
+    ranked = []
+    for (i, item), (p, who) in product(enumerate(boxes), repeat=2):
+        share = contained(item, who)
+        if item[0] and not who[0] and share >= least:
+            place = who[2] - who[4] / 2 + (0.05 if item[0] == 1 else 0.35) * who[4]
+            away = ((item[1] - who[1]) ** 2 + (item[2] - place) ** 2) ** 0.5 / (who[3] ** 2 + who[4] ** 2) ** 0.5
+            ranked.append((-share, away, i, p, item[0]))
+    return {(p, cls, i) for _, _, i, p, cls in pick(ranked, lambda x: x[2], lambda x: (x[3], x[4]))}
+
+
+@pytest.mark.parametrize("least", [0.8, 0.55])
+def test_bindings_and_what_follows_from_them(spark, least):
+    boxes = frame(spark, SCENES)
+    bound = assign.bind(boxes, threshold=least)
+    got = {i: set() for i in range(len(SCENES))}
+    for r in bound.collect():
+        got[r.image_id].add((r.person, r.cls, r.item))
+    assert got == {i: expected_bindings(s, least) for i, s in enumerate(SCENES)} and sum(map(len, got.values())) > 20
+    worn = {(i, p, cls) for i, x in got.items() for p, cls, _ in x}
+    for r in assign.people_states(boxes, bound).collect():
+        helmet, vest = ((r.image_id, r.person, c) in worn for c in (1, 2))
+        assert (r.wears_helmet, r.wears_vest, r.code) == (helmet, vest, "W" + "H" * helmet + "V" * vest)
+    items = {(i, k) for i, s in enumerate(SCENES) for k, b in enumerate(s) if b[0]}
+    assert {(r.image_id, r.item) for r in assign.unbound(boxes, bound).collect()} == items - {(i, k) for i, x in got.items() for _, _, k in x}
 
 
 def test_matching(spark):
-    p = spark.createDataFrame([(0, 0, 0.52, 0.5, 0.2, 0.5), (0, 1, 0.5, 0.5, 0.2, 0.5)], "image_id long, person int, xc double, yc double, w double, h double")
-    w = spark.createDataFrame([(0, 0, 0.5, 0.5, 0.2, 0.5)], "image_id long, worker int, xc double, yc double, w double, h double")
-    assert [(r.worker, r.person) for r in assign.match_people(p, w).collect()] == [(0, 1)]
-    w2 = w.union(w.withColumn("worker", F.lit(1)).withColumn("xc", F.lit(0.53)))
-    assert assign.match_people(p.filter("person = 0"), w2).count() == 1
+    rng = random.Random(8)
+    seen = [[b for b in s if b[0] == 0] for s in SCENES]
+    truth = [[(0, b[1] + rng.choice([0, 0.025, 0.05]), b[2], b[3], b[4] * rng.choice([1, 0.75])) for b in s] for s in seen]
+    table = lambda scenes, name: frame(spark, scenes).withColumnRenamed("box_idx", name)
+    got = sorted((r.image_id, r.worker, r.person) for r in assign.match_people(table(seen, "person"), table(truth, "worker")).collect())
+    want = []
+    for i, (people, workers) in enumerate(zip(seen, truth)):
+        ranked = []
+        for (w, a), (p, b) in product(enumerate(workers), enumerate(people)):
+            both = common(a, b)
+            share = both / (a[3] * a[4] + b[3] * b[4] - both)
+            if share >= 0.5:
+                ranked.append((-share, w, p))
+        want += [(i, w, p) for _, w, p in pick(ranked, lambda x: x[1], lambda x: x[2])]
+    assert got == sorted(want) and len(want) > 50
 
 
 def test_suppression(spark):
-    image = [(0, 0.5, 0.5, 0.3, 0.8), (0, 0.5, 0.58, 0.2, 0.55), (0, 0.8, 0.5, 0.28, 0.78), helmet(0.5, 0.15)]
-    kept = assign.suppress_duplicates(frame(spark, image))
-    assert sorted(r.box_idx for r in kept.collect()) == [0, 2, 3]
-    a, b, c = (0, 0.5, 0.5, 0.1, 0.3), (0, 0.5, 0.5, 0.2, 0.5), (0, 0.5, 0.5, 0.4, 0.9)
-    drops = assign.duplicate_people(frame(spark, [a, b, c], [c, b, a], [b, a, c]))
-    got = {}
-    for r in drops.collect():
-        got.setdefault(r.image_id, set()).add(r.box_idx)
-    assert got == {0: {0, 1}, 1: {1, 2}, 2: {0, 1}}
+    crowds = [[b for b in scene(random.Random(k), 30, 12) if b[0] == 0] for k in range(30)]
+    boxes = frame(spark, crowds)
+    want = set()
+    for i, people in enumerate(crowds):
+        gone = set()
+        for a, b in product(range(len(people)), repeat=2):
+            x, y = people[a], people[b]
+            if a not in gone and b not in gone and y[3] * y[4] > x[3] * x[4] and contained(x, y) >= 0.8:
+                gone.add(a)
+        want |= {(i, a) for a in gone}
+    assert {(r.image_id, r.box_idx) for r in assign.duplicate_people(boxes).collect()} == want and len(want) > 30
+    kept = {(r.image_id, r.box_idx) for r in assign.suppress_duplicates(boxes.withColumn("cls", F.col("cls"))).collect()}
+    assert kept == {(i, k) for i, s in enumerate(crowds) for k in range(len(s))} - want

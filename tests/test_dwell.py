@@ -136,8 +136,8 @@ def test_stream_of_frames(spark, tmp_path):
     from stanchion.streaming.alerts import frame_alerts
 
     base = 1_700_000_000 * S
-    person, small, hat = (0, 0, 0.5, 0.5, 0.4, 0.8, 5), (1, 0, 0.5, 0.5, 0.2, 0.4, 6), (2, 1, 0.5, 0.14, 0.08, 0.06, None)
-    away = (3, 0, 0.1, 0.5, 0.1, 0.4, 7)
+    person, small, hat = (0, 0, 0.5, 0.45, 0.3, 0.7, 5), (1, 0, 0.47, 0.45, 0.15, 0.3, 6), (2, 1, 0.48, 0.13, 0.05, 0.05, None)
+    away = (3, 0, 0.12, 0.45, 0.15, 0.35, 7)
     boxes = "array<struct<box_idx:int,cls:int,xc:double,yc:double,w:double,h:double,track_id:long>>"
     rows = [(t, [person, small, hat, away]) for t in range(6)]
     df = spark.createDataFrame(rows, f"t long, boxes {boxes}").withColumn("ts_us", F.lit(base) + F.col("t") * S).withColumn("ts", F.timestamp_micros("ts_us")).withColumn("half", F.col("t") < 3).withColumnRenamed("t", "frame")

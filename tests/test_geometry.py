@@ -108,3 +108,25 @@ def test_bits(spark):
     rising = F.array(*(F.lit(i % 9) for i in range(72)))
     assert one(spark, bits.gradient_hash(rising)) == -1
     assert one(spark, bits.gradient_hash(F.transform(rising, lambda x: -x))) == 0
+
+
+def test_members_by_cells(spark):
+    """Cells give whom the test of every zone gives: concave, tiny, large and degenerate zones, points on edges, corners and cells' borders."""
+    import random
+
+    from stanchion.operators import zone
+
+    rng = random.Random(12)
+    shapes = [[(x / 16, y / 16) for x, y in s] for s in SHAPES]
+    shapes += [[(rng.random(), rng.random()) for _ in range(rng.randint(3, 7))] for _ in range(25)]
+    shapes += [[(0.5 + rng.random() / 500, 0.5 + rng.random() / 500) for _ in range(4)] for _ in range(5)]
+    shapes += [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)], [(0.25, 0.25), (0.25, 0.25), (0.75, 0.5)], [(0.125, 0.25), (0.375, 0.25), (0.875, 0.25)], [(0.1, 0.1), (0.9, 0.1)]]
+    zones = spark.createDataFrame([(i, [tuple(map(float, p)) for p in s]) for i, s in enumerate(shapes)], "zone int, points array<struct<x:double,y:double>>")
+    feet = [(rng.random(), rng.random()) for _ in range(300)] + [(x / 16, y / 16) for x in range(17) for y in range(17)] + [(0.5 + rng.random() / 400, 0.5 + rng.random() / 400) for _ in range(40)] + [p for s in shapes for p in s] + [(1.4, -0.3)]
+    people = spark.createDataFrame([(i, float(x), y - 0.05, 0.1, 0.1) for i, (x, y) in enumerate(feet)], "level int, xc double, yc double, w double, h double")
+    got = zone.members(people, zones)
+    assert got.columns == [*people.columns, "zone"] and "NestedLoop" not in got._jdf.queryExecution().toString()
+    every = zone.with_zones(people, zones).filter("in_zone")
+    pairs = lambda df: sorted((r.level, r.zone) for r in df.collect())
+    assert pairs(got) == pairs(every) and len(pairs(got)) > 1000
+    assert zone.members(people, zones.limit(0)).count() == 0

@@ -2,12 +2,14 @@
 
 import glob
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
 
 import stanchion.plans.detection  # noqa: F401
 import stanchion.plans.events  # noqa: F401
+import stanchion.plans.files  # noqa: F401
 from stanchion.plans.registry import ORACLES, QUERIES
 
 
@@ -21,7 +23,7 @@ def duck(data):
 
 def rows(columns, values):
     order = sorted(range(len(columns)), key=columns.__getitem__)
-    plain = lambda v: list(v) if isinstance(v, (list, tuple)) else v
+    plain = lambda v: list(v) if isinstance(v, (list, tuple)) else float(v) if isinstance(v, Decimal) else v
     return sorted(repr([plain(v[i]) for i in order]) for v in values)
 
 

@@ -187,3 +187,29 @@ def test_run_queue(spark):
     assert seen == [("d", True), ("b", False), ("c", False)]
     assert got == {"a": ("skipped", None), "b": ("ok", None), "c": ("failed", "RuntimeError: no memory"), "d": ("ok", None)}
     assert {r.outcome for r in progress.run_queue(runs, done, begun, work, dry=True).collect()} == {"skipped", "dry-run"} and len(seen) == 3
+
+
+class Killed(BaseException):
+    """What no run can raise: the driver goes."""
+
+
+def test_a_queue_that_was_stopped_goes_on(spark, tmp_path):
+    runs, seen = spark.createDataFrame([(x,) for x in "abcdef"], "run_id string"), []
+    none, journal = runs.limit(0), str(tmp_path / "journal")
+
+    def work(row, resume):
+        seen.append((row.run_id, resume))
+        if row.run_id == "b" and len(seen) < 3:
+            raise ValueError("the first time")
+        if row.run_id == "d" and not resume:
+            raise Killed
+
+    with pytest.raises(Killed):
+        progress.run_queue(runs, none, none, work, journal=journal)
+    assert seen == [("a", False), ("b", False), ("c", False), ("d", False)]
+    del seen[:2]
+    got = {r.run_id: r.outcome for r in progress.run_queue(runs, none, none, work, journal=journal).collect()}
+    # a and c ended well; b failed and is tried again; d had begun, so it resumes
+    assert seen[2:] == [("b", False), ("d", True), ("e", False), ("f", False)]
+    assert got == dict.fromkeys("abcdef", "ok")
+    assert progress.run_queue(runs, none, none, work, journal=journal).filter("outcome = 'ok'").count() == 6 and len(seen) == 6
