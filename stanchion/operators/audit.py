@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.tables import kept
 from .assign import _side
 
 #: Slices that a group's values are cut into to be ranked.
@@ -58,35 +59,69 @@ def agreement(table: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Mean, population deviation, and interpolated 5th, 50th and 95th percentiles. Exact percentiles sort the group's distinct
-    values; for groups of billions give an approximate column instead."""
-    p = lambda q: F.percentile(value, F.lit(q))
-    return df.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), p(0.05).alias("p5"), p(0.5).alias("p50"), p(0.95).alias("p95"))
+    """Mean, population deviation, and interpolated 5th, 50th and 95th percentiles, each between the two values next to its place."""
+    by = by or []
+    counts = _counted(df, value, by)
+    shares = {"p5": 0.05, "p50": 0.5, "p95": 0.95}
+    at = lambda q, n: F.lit(q) * (n - 1)
+    places: dict[str, Callable[[Column], Column]] = {}
+    for name, q in shares.items():
+        places[f"{name}_lo"] = lambda n, q=q: F.floor(at(q, n))
+        places[f"{name}_hi"] = lambda n, q=q: F.ceil(at(q, n))
+    got = _at_places(counts, places, by)
+    low = lambda name, n: F.floor(at(shares[name], n))
+    moments = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+    between = lambda name, n: F.when(F.col(f"{name}_lo") == F.col(f"{name}_hi"), F.col(f"{name}_lo")).otherwise((low(name, n) + 1 - at(shares[name], n)) * F.col(f"{name}_lo") + (at(shares[name], n) - low(name, n)) * F.col(f"{name}_hi"))
+    told = got.select(*(F.col(c).alias(f"_{c}") for c in by), *(between(name, F.col("n")).alias(name) for name in shares))
+    on = reduce(and_, (moments[c].eqNullSafe(told[f"_{c}"]) for c in by), F.lit(True))
+    return moments.join(told, on, "left").select(*by, "n", "mean", "sd", *shares)
+
+
+#: Distinct values up to which each group's are numbered by one window; of more, slices of them are.
+FEW = 1_000_000
+
+
+def _counted(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, _v, _c): how often each value of a group occurs, kept."""
+    return kept(df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c")), "counts")
 
 
 def ordered(df: DataFrame, value: str, places: dict[str, Callable[[Column], Column]], by: list[str]) -> DataFrame:
     """(by, n, and under each name the value at a place of the group's sorted values): places are from 0, given as functions
-    of n; null values are left out.
+    of n; null values are left out."""
+    return _at_places(_counted(df, value, by), places, by)
+
 
-    No group is sorted in one task: equal values are counted first, an approximate quantile sketch cuts the values into slices,
-    whose exact sizes say which slices hold the places, and only these are sorted.
+def _at_places(counts: DataFrame, places: dict[str, Callable[[Column], Column]], by: list[str]) -> DataFrame:
+    """ordered() of counted values.
+
+    Equal values are counted first. Where few distinct ones remain, they are numbered by a window. Otherwise no group is sorted in one
+    task: an approximate quantile sketch cuts the values into slices, whose exact sizes say which slices hold the places, and
+    only these are sorted.
     """
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("place")) for name, place in places.items()))
+    run = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
+    if counts.count() <= FEW:
+        rows = counts.withColumn("n", F.sum("_c").over(run)).withColumn("_upto", F.sum("_c").over(run.orderBy("_v"))).withColumn("_held", wanted)
+    else:
+        rows = _in_slices(counts, wanted, by, run)
+    met = F.filter("_held", lambda w: (w.place < F.col("_upto")) & (w.place >= F.col("_upto") - F.col("_c")))
+    got = rows.select(*by, "n", "_v", F.explode(met).alias("_w"))
+    return got.groupBy(*by, "n").agg(*(F.max(F.when(F.col("_w.name") == name, F.col("_v"))).alias(name) for name in places))
+
+
+def _in_slices(counts: DataFrame, wanted: Column, by: list[str], run) -> DataFrame:
     same = lambda x, y, cols: reduce(and_, (x[c].eqNullSafe(y[c]) for c in cols), F.lit(True))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     marks = counts.groupBy(*by).agg(F.percentile_approx("_v", [i / SLICES for i in range(1, SLICES)], 1000).alias("_marks"))
     x, y = counts.alias("x"), marks.alias("y")
     sliced = x.join(y, same(counts, marks, by)).select(*(F.col(f"x.{c}") for c in by), "_v", "_c", F.size(F.filter("_marks", lambda m: m < F.col("_v"))).alias("_s"))
-    run = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))  # over the SLICES rows of a group
+    # windows over the SLICES rows of a group
     sizes = sliced.groupBy(*by, "_s").agg(F.sum("_c").alias("_m")).withColumn("n", F.sum("_m").over(run)).withColumn("_before", F.sum("_m").over(run.orderBy("_s")) - F.col("_m"))
-    wanted = F.array(*(F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("place")) for name, place in places.items()))
     held = F.filter(wanted, lambda w: (w.place >= F.col("_before")) & (w.place < F.col("_before") + F.col("_m")))
     some = sizes.withColumn("_held", held).filter(F.size("_held") > 0).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_s").alias("_slice"), "n", "_before", "_held")
     on = reduce(and_, (sliced[c].eqNullSafe(some[f"_{c}"]) for c in by), sliced["_s"] == some["_slice"])
     upto = F.sum("_c").over(W.partitionBy(*by, "_s").orderBy("_v")) + F.col("_before")
-    rows = sliced.join(some, on).withColumn("_upto", upto)
-    met = F.filter("_held", lambda w: (w.place < F.col("_upto")) & (w.place >= F.col("_upto") - F.col("_c")))
-    got = rows.select(*by, "n", "_v", F.explode(met).alias("_w"))
-    return got.groupBy(*by, "n").agg(*(F.max(F.when(F.col("_w.name") == name, F.col("_v"))).alias(name) for name in places))
+    return sliced.join(some, on).withColumn("_upto", upto)
 
 
 def nearest_rank(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
@@ -103,9 +138,11 @@ def latency(frames: DataFrame, by: list[str], order: str, value: str, warm_up: i
     size = frames.groupBy(*by).agg(F.count("*").alias("frames")).select(*(F.col(c).alias(f"_{c}") for c in by), "frames")
     on = lambda x, y: reduce(and_, (x[c].eqNullSafe(y[f"_{c}"]) for c in by))
     told = size.join(warm.select(*(F.col(f"_{c}").alias(f"_w{c}") for c in by), "_warm"), reduce(and_, (F.col(f"_{c}").eqNullSafe(F.col(f"_w{c}")) for c in by)))
-    kept = frames.join(told, on(frames, told)).filter((F.col(order) > F.col("_warm")) | (F.col("frames") <= warm_up)).select(*frames.columns, "frames")
-    mean = kept.groupBy(*by).agg(F.first("frames").alias("frames"), F.count("*").alias("measured"), F.avg(value).alias("mean_ms"))
-    at = ordered(kept, value, {"median_ms": lambda n: F.floor(n / 2), "p95_ms": lambda n: F.least(n - 1, F.floor(n * 0.95))}, by).drop("n")
+    measured = frames.join(told, on(frames, told)).filter((F.col(order) > F.col("_warm")) | (F.col("frames") <= warm_up)).select(*frames.columns, "frames")
+    # values are counted once; all that is told follows from how often each occurs
+    counts = kept(measured.groupBy(*by, "frames", F.col(value).alias("_v")).agg(F.count("*").alias("_c")), "counts")
+    mean = counts.groupBy(*by).agg(F.first("frames").alias("frames"), F.sum("_c").alias("measured"), (F.sum(F.col("_v") * F.col("_c")) / F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")))).alias("mean_ms"))
+    at = _at_places(counts.filter("_v is not null"), {"median_ms": lambda n: F.floor(n / 2), "p95_ms": lambda n: F.least(n - 1, F.floor(n * 0.95))}, by).drop("n")
     at = at.select(*(F.col(c).alias(f"_{c}") for c in by), "median_ms", "p95_ms")
     rate = lambda c: F.try_divide(F.lit(1000.0), F.col(c))
     out = mean.join(at, on(mean, at), "left").select(*by, "frames", "measured", "mean_ms", "median_ms", "p95_ms")

@@ -13,6 +13,8 @@ from pyspark.sql.types import DoubleType
 
 #: Level, draws and seed of the bootstrap; critical values of the Nemenyi test by number of models.
 ALPHA, DRAWS, SEED = 0.05, 10_000, 0
+#: Drawn values that are held at once.
+CELLS = 1 << 22
 Q_ALPHA = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728}
 
 
@@ -27,7 +29,8 @@ def bca(values, alpha: float = ALPHA, draws: int = DRAWS, seed: int = SEED) -> t
     if len(x) < 2:
         return *(float(x.sum()) if len(x) else float("nan") for _ in range(3)), len(x), "point"
     off, tails = x - x.mean(), np.array([alpha / 2, 1 - alpha / 2])
-    drawn = np.sort(x[np.random.default_rng(seed).integers(0, len(x), (draws, len(x)))].mean(axis=1))
+    rng, at_once = np.random.default_rng(seed), max(1, CELLS // len(x))  # one generator, so the draws are those of one matrix
+    drawn = np.sort(np.concatenate([x[rng.integers(0, len(x), (min(at_once, draws - a), len(x)))].mean(axis=1) for a in range(0, draws, at_once)]))
     below, power = np.searchsorted(drawn, x.mean()) / draws, (off @ off) ** 1.5
     shifted = 0 < below < 1 and power > 0
     if shifted:
@@ -62,21 +65,29 @@ def min_attainable_p(n: Column) -> Column:
 WHOLE = 12
 
 
-def sign_flip(pairs: DataFrame, by: list[str], diff: str = "diff", order: str = "seed", most: int = 40) -> DataFrame:
-    """(by, n, mean_diff, p, min_p): exact paired permutation test over all 2**n sign vectors of the differences, n from 1 to `most`.
+#: Pairs up to which halves are formed; of more, equal sums are put together. And the different sums that are then held.
+HALVES, SUMS = 40, 4_000_000
 
-    Up to WHOLE pairs, all sums are formed in one expression. Of more, the sums of both halves are sorted, and for each of the
-    one half those of the other that are extreme with it are counted by search: 2**(n/2) numbers instead of 2**n.
+
+def sign_flip(pairs: DataFrame, by: list[str], diff: str = "diff", order: str = "seed", most: int | None = None) -> DataFrame:
+    """(by, n, mean_diff, p, min_p): exact paired permutation test over all 2**n sign vectors of the differences; n is 1 or more.
+
+    Up to WHOLE pairs, all sums are formed in one expression. Up to HALVES, the sums of both halves are sorted, and for each of the
+    one half those of the other that are extreme with it are counted by search: 2**(n/2) numbers instead of 2**n. Beyond,
+    differences are whole multiples of 1e-12, and sign vectors of equal sums are carried on as one with their share: scores of a few
+    decimals have few different sums, however many pairs there are. Over SUMS different ones are an error. `most`: bounds n, and up to
+    WHOLE no Python is in the plan.
     """
     d = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(diff).cast("double").alias("d")))), lambda x: x.d)
     g = pairs.groupBy(*by).agg(d.alias("_d")).withColumn("n", F.size("_d"))
-    ok = F.when((F.col("n") < 1) | (F.col("n") > most), F.raise_error(F.lit(f"an exact test takes 1 to {most} pairs"))).otherwise(F.col("n"))
+    bad = F.col("n") < 1 if most is None else (F.col("n") < 1) | (F.col("n") > most)
+    ok = F.when(bad, F.raise_error(F.lit(f"an exact test takes 1 to {most or 'any number of'} pairs"))).otherwise(F.col("n"))
     g = g.withColumn("n", ok).withColumn("_sum", F.aggregate("_d", F.lit(0.0), lambda s, x: s + x))
     total = lambda v: F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda s, i: s + F.when(F.call_function("shiftright", v, i.cast("int")).bitwiseAND(F.lit(1)) == 1, -F.get("_d", i)).otherwise(F.get("_d", i)))
     vectors = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.least("n", F.lit(WHOLE)).cast("int")) - 1)
     hits = F.size(F.filter(vectors, lambda v: F.abs(total(v) / F.col("n")) >= F.abs(F.col("_sum") / F.col("n")) - 1e-12)).cast("double")
     p = hits / F.pow(F.lit(2.0), "n")
-    if most > WHOLE:  # else no Python is in the plan
+    if most is None or most > WHOLE:  # else no Python is in the plan
         p = F.when(F.col("n") <= WHOLE, p).otherwise(_halves("_d"))
     return g.select(*by, "n", (F.col("_sum") / F.col("n")).alias("mean_diff"), p.alias("p"), min_attainable_p(F.col("n")).alias("min_p"))
 
@@ -87,6 +98,8 @@ def _halves(d: pd.Series) -> pd.Series:
         n = len(x)
         if n <= WHOLE:
             return None  # not looked at
+        if n > HALVES:
+            return shared_sums(x)
         sums = []
         for half in (x[: n // 2], x[n // 2 :]):
             out = np.zeros(1)
@@ -102,6 +115,20 @@ def _halves(d: pd.Series) -> pd.Series:
     return d.map(one)
 
 
+def shared_sums(x: np.ndarray) -> float:
+    """p of sign_flip() by putting equal sums together, in units of 1e-12."""
+    units = np.rint(np.asarray(x, float) * 1e12)
+    if np.abs(units).sum() >= 2.0**53:
+        raise ValueError("the differences are too large for sums in units of 1e-12")
+    sums, share = np.zeros(1, np.int64), np.ones(1)
+    for v in units.astype(np.int64):
+        sums, at = np.unique(np.concatenate((sums + v, sums - v)), return_inverse=True)
+        share = np.bincount(at, np.concatenate((share, share)) / 2)
+        if len(sums) > SUMS:
+            raise ValueError(f"over {SUMS} different sums of {len(x)} differences: round these")
+    return float(share[np.abs(sums) >= abs(int(units.sum())) - len(x)].sum())
+
+
 def ranks(scores: DataFrame, block: list[str], value: str = "value") -> DataFrame:
     """scores with `rank` in its block: 1 is the best, ties share the mean rank."""
     top = F.rank().over(W.partitionBy(*block).orderBy(F.desc(value)))

@@ -8,7 +8,7 @@ from ..functions import geometry as G
 from ..functions import names as N
 from ..functions import polygon as P
 from ..operators import assign, audit, calibrate, frames, metrics, zone
-from ..sources.tables import table
+from ..sources.tables import kept, table
 from . import carriers as C
 from . import oracle as O
 from .registry import query
@@ -264,7 +264,7 @@ def false_pairs(spark, d):
 
 
 def _separation(spark, d):
-    boxes = C.boxes(spark, d)
+    boxes = kept(C.boxes(spark, d).select("image_id", "box_idx", "cls", "xc", "yc", "w", "h"), "boxes")  # read seven times
     every = F.lit("all").alias("dataset")
     return calibrate.separation(calibrate.true_pairs(boxes).select(every, "cls", "score"), calibrate.false_pairs(boxes).select(every, "score"), calibrate.grid(spark))
 
@@ -430,7 +430,7 @@ def frame_plan(spark, d):
 @query("SELECT p_partkey, round_even(p_partkey % 97 / 96.0::DOUBLE * (100 + p_size), 0)::INT AS x1, round_even(p_size / 64.0::DOUBLE * 1001, 0)::INT AS y1 FROM part")
 def zone_pixels(spark, d):
     """A zone of each row's own; its first corner in pixels."""
-    from ..sources.tables import table
+    from ..sources.tables import kept, table
 
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     p = table(spark, d, "part")
@@ -446,7 +446,7 @@ k AS (SELECT *, regexp_matches(low, '^(no-|non-|without)|no-') AS gone FROM m)""
 @query(f"""WITH {_SAID} SELECT p_partkey, name, CASE WHEN regexp_matches(low, 'helmet|hardhat|hard-hat') THEN CASE WHEN gone THEN 'no-helmet' ELSE 'helmet' END
 WHEN contains(low, 'vest') THEN CASE WHEN gone THEN 'no-vest' ELSE 'vest' END WHEN regexp_matches(low, 'person|worker|people') THEN 'person' ELSE '- (extra / out of scope)' END AS core FROM k""")
 def suggested_classes(spark, d):
-    from ..sources.tables import table
+    from ..sources.tables import kept, table
 
     heads, nouns = ["", "No_", "no-", "non-", "Without ", "head-no-", "safety "], ["Helmet", "hard_hat", "HardHat", "Vest", "worker", "People", "glove", "person"]
     pick = lambda words: F.get(F.array(*(F.lit(w) for w in words)), (F.col("p_partkey") % len(words)).cast("int"))

@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def test_sign_flip_of_many_pairs(spark, monkeypatch):
             sums = [s + e * v for s in sums for e in (1, -1)]
         assert r.n == len(d) and r.p == sum(abs(s) >= abs(sum(d)) - 1e-9 for s in sums) / 2 ** len(d), g
     with pytest.raises(Exception, match="exact test"):
-        stats.sign_flip(spark.createDataFrame([("x", i, 1.0) for i in range(41)], "g string, seed int, diff double"), ["g"]).collect()
+        stats.sign_flip(spark.createDataFrame([("x", i, 1.0) for i in range(41)], "g string, seed int, diff double"), ["g"], most=40).collect()
 
 
 def test_sign_flip(spark):
@@ -213,3 +214,45 @@ def test_a_queue_that_was_stopped_goes_on(spark, tmp_path):
     assert seen[2:] == [("b", False), ("d", True), ("e", False), ("f", False)]
     assert got == dict.fromkeys("abcdef", "ok")
     assert progress.run_queue(runs, none, none, work, journal=journal).filter("outcome = 'ok'").count() == 6 and len(seen) == 6
+
+
+def test_any_number_of_pairs(spark):
+    """Equal sums put together give what all sign vectors give, and the binomial tail where all differences are equal."""
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 13, 16):
+        x = np.round(rng.normal(0.01, 0.03, n), 4)
+        signs = 1 - 2 * ((np.arange(2**n)[:, None] >> np.arange(n)) & 1)
+        assert stats.shared_sums(x) == pytest.approx((np.abs(signs @ x) / n >= abs(x.sum()) / n - 1e-12).mean(), abs=1e-12)
+    rows = [("equal", i, 0.25) for i in range(100)] + [("mixed", i, 0.5 if i < 60 else -0.5) for i in range(90)]
+    got = {r.g: (r.n, r.p) for r in stats.sign_flip(spark.createDataFrame(rows, "g string, seed int, diff double"), ["g"]).collect()}
+    tail = 2 * sum(math.comb(90, k) for k in range(60, 91)) / 2**90
+    assert got["equal"] == (100, pytest.approx(2 / 2**100)) and got["mixed"] == (90, pytest.approx(tail))
+    with pytest.raises(ValueError):
+        stats.shared_sums(rng.random(60))
+
+
+def test_draws_in_pieces_are_those_of_one_matrix(monkeypatch):
+    x = np.random.default_rng(2).normal(size=37)
+    whole = stats.bca(x)
+    monkeypatch.setattr(stats, "CELLS", 37 * 61)
+    assert stats.bca(x) == whole
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_describe_and_latency_by_places(spark, monkeypatch, few):
+    from stanchion.operators import audit
+
+    monkeypatch.setattr(audit, "FEW", few)
+    rng = np.random.default_rng(7)
+    rows = [(str(g), i, float(v)) for g, n in enumerate((1, 2, 40, 700)) for i, v in enumerate(np.round(rng.exponential(20, n), 1))]
+    df = spark.createDataFrame([*rows, ("none", 0, None)], "g string, i int, v double").repartition(5)
+    got = {r.g: r for r in audit.describe(df, "v", ["g"]).collect()}
+    assert (got["none"].n, got["none"].p50) == (0, None)
+    fast = {r.g: r for r in audit.latency(df, ["g"], "i", "v").collect()}
+    for g in "0123":
+        x = np.array([v for h, _, v in rows if h == g])
+        assert [got[g].p5, got[g].p50, got[g].p95, got[g]["mean"], got[g].sd] == pytest.approx([*np.quantile(x, [0.05, 0.5, 0.95]), x.mean(), x.std()])
+        y = np.sort(x[15:] if len(x) > 15 else x)
+        assert (fast[g].frames, fast[g].measured, fast[g].median_ms, fast[g].p95_ms) == (len(x), len(y), y[len(y) // 2], y[min(len(y) - 1, int(len(y) * 0.95))])
+        assert fast[g].mean_ms == pytest.approx(y.mean())
+    assert audit.describe(df, "v").first().n == len(rows)
