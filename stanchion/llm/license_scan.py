@@ -67,7 +67,64 @@ NOTICES: list[tuple[str, str, list[str]]] = [
     ("bsl-1.0", "distributed under the boost software license version 1 0", ["boost software license"]),
     ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["anyone is free to copy"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ["the software is provided as is", "and noninfringement"]),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ["the use or other dealings in the software"]),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", ["by the copyright holders and contributors as is"]),
+    ("bsd", "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption", ["procurement of substitute goods or services"]),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", ["the author disclaims all warranties"]),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["distributed on an as is basis", "warranties or conditions of any kind"]),
+    ("apache-2.0", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form", ["each contributor hereby grants to you", "in source or object form"]),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ["in the hope that it will be useful", "see the gnu general public license"]),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", ["copy of the gnu general public license along with"]),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library", ["copy of the gnu lesser general public license along with"]),
+    ("mpl-2.0", "covered software is provided under this license on an as is basis without warranty of any kind either expressed implied or statutory", ["covered software is provided under this license"]),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", ["must not be misrepresented as being the original software"]),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ["and changing it is allowed as long as the name is changed"]),
+    ("cc0-1.0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
 ]
+
+#: Titles and short names of public licences; each must stand in full.
+TITLES = {
+    "apache license version 2 0 january 2004": "apache-2.0",
+    "the mit license mit": "mit",
+    "isc license": "isc",
+    "bsd 2 clause license": "bsd-2-clause",
+    "bsd 2 clause simplified license": "bsd-2-clause",
+    "bsd 3 clause license": "bsd-3-clause",
+    "bsd 3 clause new or revised license": "bsd-3-clause",
+    "gnu general public license version 2 june 1991": "gpl-2.0",
+    "gnu general public license version 3 29 june 2007": "gpl-3.0",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl",
+    "gnu affero general public license version 3 19 november 2007": "agpl",
+    "mozilla public license version 2 0": "mpl-2.0",
+    "eclipse public license v 2 0": "epl-2.0",
+    "artistic license 2 0": "artistic-2.0",
+    "boost software license version 1 0 august 17th 2003": "bsl-1.0",
+    "do what the fuck you want to public license": "wtfpl",
+    "sil open font license version 1 1": "ofl-1.1",
+    "open data commons open database license": "odbl",
+    "european union public licence v 1 2": "eupl-1.2",
+}
+#: Identifiers of the SPDX list that files name in a line of their own.
+SPDX = [
+    "Apache-2.0", "MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only",
+    "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "WTFPL", "Artistic-2.0", "OFL-1.1", "CC0-1.0",
+]
+#: The licences of Creative Commons, by their conditions and versions.
+CC_KINDS, CC_VERSIONS = ["BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"], ["2.0", "2.5", "3.0", "4.0"]
+
+
+def _plain(name: str) -> str:
+    return name.lower().replace("-", " ").replace(".", " ")
+
+
+NOTICES += [(label, title, [title]) for title, label in TITLES.items()]
+NOTICES += [(name.lower(), f"spdx license identifier {_plain(name)}", [f"spdx license identifier {_plain(name)}"]) for name in SPDX]
+for _kind in CC_KINDS:
+    for _version in CC_VERSIONS:
+        _name = f"CC-{_kind}-{_version}"
+        NOTICES += [(_name.lower(), text, [text]) for text in (_plain(_name), f"spdx license identifier {_plain(_name)}")]
 ENOUGH, SLACK = 0.6, 3
 #: Alignments that are compared at once.
 BLOCK = 1 << 16

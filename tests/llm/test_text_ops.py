@@ -131,6 +131,25 @@ def test_license_in_every_row(spark, n):
     assert {(r.labels, r.score) for r in license_scan(df).collect()} == {("mit", 1.0)}
 
 
+def test_license_titles_and_tags(spark):
+    from stanchion.llm.license_scan import NOTICES, license_scan
+
+    cases = {
+        "// SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+        "# SPDX-License-Identifier: BSD-3-Clause\nimport os": "bsd-3-clause",
+        "BSD 2-Clause License\n\nCopyright (c) 2020": "bsd-2-clause",
+        "Artistic License 2.0": "artistic-2.0",
+        "CC BY-SA 3.0": "cc-by,cc-by-sa-3.0",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991": "gpl,gpl-2.0",
+        "the identifier of a license in SPDX is not here, nor is Apache 2.0": "",
+        "a clause of the license says 2 things": "",
+    }
+    rows = list(enumerate(cases))
+    got = {r.doc_id: r.labels for r in license_scan(docs_of(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == list(cases.values())
+    assert len(NOTICES) > 120 and all(text == text.lower() and keys for _, text, keys in NOTICES)
+
+
 def test_license_notices_however_many(spark):
     """All notices in one document, notices in prose full of rare licence words, and damaged ones, against brute force."""
     from stanchion.llm import license_scan as L
