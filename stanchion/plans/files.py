@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from ..functions import geometry as G
 from ..functions import names as N
-from ..operators import dwell, progress, splits
+from ..operators import dwell, progress, splits, stats
 from ..sources import documents, labels, sinks
 from ..sources.tables import scratch, table
 from . import carriers as C
 from . import oracle as O
-from .events import HOUR, _violating
+from .events import HOUR, _splits, _violating
 from .registry import ORACLES, query
 
 # label lines of every kind: five numbers, too few, a word, further fields, a coordinate out of range
@@ -176,6 +176,24 @@ def label_folders(spark, d):
     return read.groupBy("stem").agg(F.count("*").alias("boxes"), F.min("xc").alias("least_x"), F.max("h").alias("most_h"))
 
 
+@query(ORACLES["split_ids"])
+def split_manifest(spark, d):
+    """The document of all splits, written by its writer and read back. It holds a line for each split, so it is one text."""
+    text = sinks.manifest(splits.split_ids(_splits(spark, d), ["dataset", "split"], "stem"))
+    path = scratch(spark, "manifest")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").text(path)
+    read = spark.read.text(path, wholetext=True).filter("value <> ''").first().value
+    rows = [(ds, split, v["images"], v["id"]) for ds, own in documents.parse_document(read).items() for split, v in own.items()]
+    return spark.createDataFrame(rows, "dataset string, split string, n long, id string")
+
+
+@query(ORACLES["mean_ranks"])
+def seed_aggregation(spark, d):
+    """One of the tables that a whole report over models, conditions and seeds is put together from."""
+    tables = stats.aggregate(C.scores(spark, d), metric="tested")
+    return tables["mean_ranks"].withColumn("mean_rank", F.round("mean_rank", 9))
+
+
 @query("""WITH s AS (SELECT 'd' || lpad(doc_id::VARCHAR, 12, '0') AS stem FROM documents WHERE lang = 'en') SELECT row_number() OVER (ORDER BY stem) - 1 AS place, stem FROM s""")
 def split_files(spark, d):
     """The list of a split's images by its writer, in order of their stems, and read in its order."""

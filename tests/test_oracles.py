@@ -10,6 +10,7 @@ import pytest
 import stanchion.plans.detection  # noqa: F401
 import stanchion.plans.events  # noqa: F401
 import stanchion.plans.files  # noqa: F401
+import stanchion.plans.streams  # noqa: F401
 from stanchion.plans.registry import ORACLES, QUERIES
 
 
