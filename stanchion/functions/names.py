@@ -66,26 +66,25 @@ def source_kind(address: Column) -> Column:
     return F.when(a.rlike(r"^\d+$"), "camera").when(F.lower(a).rlike(r"^(rtsp|rtmp|https?)://"), "stream").when(a.rlike(r"[/\\]$"), "images").otherwise("file")
 
 
-#: Marks of a name of something missing, and words by class, the first class that matches holds.
-ABSENT = (("no-", "non-", "without"), "no-")
-SPOKEN = {"helmet": ("helmet", "hardhat", "hard-hat"), "vest": ("vest",), "person": ("person", "worker", "people")}
 EXTRA = "- (extra / out of scope)"
 
 
 def suggest_class(name: Column) -> Column:
-    """The core class that a source's class name speaks of, no-helmet or no-vest where it speaks of its absence; EXTRA for others."""
+    """The core class that a source's class name speaks of, no-helmet or no-vest where it speaks of its absence; EXTRA for others.
+    The words are fixed values."""
     n = F.replace(F.lower(name), F.lit("_"), F.lit("-"))
-    heads, inner = ABSENT
-    absent = F.contains(n, F.lit(inner))
-    for head in heads:
-        absent = absent | n.startswith(head)
-    out = F.lit(EXTRA)
-    for cls, words in reversed(SPOKEN.items()):
-        said = F.contains(n, F.lit(words[0]))
-        for w in words[1:]:
-            said = said | F.contains(n, F.lit(w))
-        out = F.when(said, F.lit(cls) if cls == "person" else F.when(absent, f"no-{cls}").otherwise(cls)).otherwise(out)
-    return out
+    says = lambda word: F.contains(n, F.lit(word))
+    absent = n.startswith("no-") | n.startswith("non-") | n.startswith("without") | says("no-")
+    helmet = says("helmet") | says("hardhat") | says("hard-hat")
+    person = says("person") | says("worker") | says("people")
+    return (
+        F.when(helmet & absent, "no-helmet")
+        .when(helmet, "helmet")
+        .when(says("vest") & absent, "no-vest")
+        .when(says("vest"), "vest")
+        .when(person, "person")
+        .otherwise(EXTRA)
+    )
 
 
 def breach_banner(names: Column, most: int = 3) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..sources.tables import kept
-from .assign import _side
+from .assign import _side, crowded, meet
 
 #: Slices that a group's values are cut into to be ranked.
 SLICES = 64
@@ -44,7 +44,13 @@ def containment_table(workers: DataFrame, items: DataFrame, keys: list[str], lea
 
     workers: keys, worker, code, box; items: keys, cls, box.
     """
-    met = _side(workers, keys, "w_", ["worker", "code"]).join(_side(items, keys, "i_", ["cls"]), keys, "left")
+    own, there = _side(workers, keys, "w_", ["worker", "code"]), _side(items, keys, "i_", ["cls"])
+    crowd = crowded([workers, items], keys) if least >= 0.5 else None
+    if crowd is None:
+        met = own.join(there, keys, "left")
+    else:  # only items that can be half inside a worker meet them; workers that meet none stay
+        near = meet(there, own, keys, "i_", "w_", crowd)
+        met = near.unionByName(own.join(near.select(*keys, "w_worker").distinct(), [*keys, "w_worker"], "left_anti"), allowMissingColumns=True)
     inside = F.coalesce(G.containment(G.box("i_"), G.box("w_")) >= least, F.lit(False))
     per = met.groupBy(*keys, "w_worker").agg(F.first("w_code").alias("code"), F.bool_or(inside & (F.col("i_cls") == G.HELMET)).alias("h"), F.bool_or(inside & (F.col("i_cls") == G.VEST)).alias("v"))
     per = per.select("code", F.coalesce("h", F.lit(False)).alias("has_helmet"), F.coalesce("v", F.lit(False)).alias("has_vest"))

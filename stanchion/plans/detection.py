@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import names as N
 from ..functions import polygon as P
-from ..operators import assign, audit, calibrate, frames, metrics, zone
+from ..operators import assign, audit, calibrate, frames, metrics, reports, zone
 from ..sources.tables import kept, table
 from . import carriers as C
 from . import oracle as O
@@ -243,6 +243,15 @@ def threshold_retention(spark, d):
     return calibrate.retention(calibrate.true_pairs(C.boxes(spark, d)), calibrate.grid(spark), ["cls"])
 
 
+@query(f"""WITH {_TRUE}, b AS (SELECT p.*, {O.iou("i.", "q.")} AS iou FROM pos p JOIN boxes i ON i.image_id = p.image_id AND i.box_idx = p.item JOIN boxes q ON q.image_id = p.image_id AND q.cls = 0)
+SELECT 'all' AS dataset, cls, count(*) AS pairs, list_sort(list(score))[count(*) // 2 + 1] AS median_score, round(avg(CASE WHEN score >= 0.8 THEN 1.0 ELSE 0.0 END), 9) AS kept,
+       list_sort(list(iou))[count(*) // 2 + 1] AS median_iou, round(avg(CASE WHEN iou >= 0.45 THEN 1.0 ELSE 0.0 END), 9) AS kept_iou, count(*) FILTER (WHERE score < 0.8) AS below FROM b GROUP BY cls""")
+def calibration_report(spark, d):
+    """The report's table of what the threshold keeps of true pairs, against the rule by overlap."""
+    pairs = calibrate.true_pairs(C.boxes(spark, d)).withColumn("dataset", F.lit("all"))
+    return reports.retained(kept(pairs, "true"), 0.8).withColumns({c: F.round(c, 9) for c in ("kept", "kept_iou")})
+
+
 # false pairs: the people of images with items are numbered by a hash, and items draw a number by another
 _HASH15 = lambda tag, i: f"md5('0{tag}|' || {i}image_id::VARCHAR || '|' || {i}box_idx::VARCHAR)"
 _FALSE = f"""useful AS (SELECT image_id FROM boxes GROUP BY 1 HAVING count(*) FILTER (WHERE cls = 0) > 0 AND count(*) FILTER (WHERE cls IN (1, 2)) > 0),

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stanchion.operators import assign
+from stanchion.operators import assign, audit
 
 BOXES = "image_id long, box_idx int, cls int, xc double, yc double, w double, h double"
 
@@ -34,7 +34,8 @@ def test_grid_and_rounds_give_the_same_rows(spark, monkeypatch):
     boxes = spark.createDataFrame(boxes_of(1, 25, 40), BOXES).cache()
     people = boxes.filter("cls = 0").withColumnRenamed("box_idx", "person")
     workers = people.withColumnRenamed("person", "worker").withColumn("xc", F.col("xc") + 0.01 * (F.col("worker") % 5)).withColumn("h", F.col("h") * 1.1)
-    run = lambda: [rows(assign.bind(boxes)), rows(assign.bind(boxes, threshold=0.3)), rows(assign.match_people(people, workers)), rows(assign.duplicate_people(boxes))]
+    labelled = workers.withColumn("code", F.col("worker") % 4)
+    run = lambda: [rows(audit.containment_table(labelled, boxes.filter("cls > 0"), ["image_id"])), rows(assign.bind(boxes)), rows(assign.bind(boxes, threshold=0.3)), rows(assign.match_people(people, workers)), rows(assign.duplicate_people(boxes))]
     want = run()
     monkeypatch.setattr(assign, "CROWD", 12)
     assert assign.crowded([boxes], ["image_id"]).count() > 5
