@@ -67,16 +67,22 @@ def agreement(table: DataFrame) -> DataFrame:
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Mean, population deviation, and interpolated 5th, 50th and 95th percentiles, each between the two values next to its place."""
     by = by or []
-    counts = _counted(df, value, by)
+    # one scan: all that is told follows from how often each value occurs, null ones too, for a group of these is a group
+    counts = kept(df.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")), "counts")
     shares = {"p5": 0.05, "p50": 0.5, "p95": 0.95}
     at = lambda q, n: F.lit(q) * (n - 1)
     places: dict[str, Callable[[Column], Column]] = {}
     for name, q in shares.items():
         places[f"{name}_lo"] = lambda n, q=q: F.floor(at(q, n))
         places[f"{name}_hi"] = lambda n, q=q: F.ceil(at(q, n))
-    got = _at_places(counts, places, by)
+    got = _at_places(counts.filter("_v is not null"), places, by)
     low = lambda name, n: F.floor(at(shares[name], n))
-    moments = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+    there = F.when(F.col("_v").isNotNull(), F.col("_c"))
+    means = counts.groupBy(*by).agg(F.coalesce(F.sum(there), F.lit(0)).alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum(there)).alias("mean"))
+    away = counts.join(means.select(*(F.col(c).alias(f"_{c}") for c in by), "mean"), reduce(and_, (counts[c].eqNullSafe(F.col(f"_{c}")) for c in by), F.lit(True)))
+    spread = away.groupBy(*by).agg(F.sqrt(F.sum((F.col("_v") - F.col("mean")) ** 2 * F.col("_c")) / F.sum(there)).alias("sd"))
+    spread = spread.select(*(F.col(c).alias(f"_s_{c}") for c in by), "sd")
+    moments = means.join(spread, reduce(and_, (means[c].eqNullSafe(spread[f"_s_{c}"]) for c in by), F.lit(True))).select(*by, "n", "mean", "sd")
     between = lambda name, n: F.when(F.col(f"{name}_lo") == F.col(f"{name}_hi"), F.col(f"{name}_lo")).otherwise((low(name, n) + 1 - at(shares[name], n)) * F.col(f"{name}_lo") + (at(shares[name], n) - low(name, n)) * F.col(f"{name}_hi"))
     told = got.select(*(F.col(c).alias(f"_{c}") for c in by), *(between(name, F.col("n")).alias(name) for name in shares))
     on = reduce(and_, (moments[c].eqNullSafe(told[f"_{c}"]) for c in by), F.lit(True))

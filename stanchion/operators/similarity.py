@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame
@@ -62,6 +63,23 @@ def pieces_per_word(queries: int, references: int, radius: int, words: int, bits
     return min(range(1, bits // LEAST_BITS + 1), key=rows)
 
 
+def nearest_pieces(queries: int, references: int, words: int, bits: int) -> int:
+    """The number of pieces of a word for nearest(), with which the fewest rows are to be expected, if the nearest of so many even
+    fingerprints lies where one of them can be expected at all."""
+    total = words * bits
+    far = next(r for r in range(total + 1) if references * ball(total, r) >= 2**total)
+
+    def rows(per_word: int) -> float:
+        widths = piece_widths(per_word, words, bits)
+        s = far // len(widths)
+        each = [(w, ball(w, min(s, w))) for w in widths]
+        if max(n for _, n in each) > MOST_PROBES:
+            return math.inf
+        return queries * sum(n + references * n / 2**w for w, n in each) + references * len(each)
+
+    return min(range(1, bits // LEAST_BITS + 1), key=rows)
+
+
 def _prints(df: DataFrame, words: list[str], prefix: str) -> DataFrame:
     """Each fingerprint once: rows that share one are looked up together."""
     return df.select(*(F.col(w).alias(f"{prefix}{w}") for w in words)).dropna().distinct()
@@ -92,14 +110,9 @@ def _masks(spark, widths: list[int], least: list[int], most: list[int]) -> DataF
 
 
 def _flips(spark, width: int, most: int) -> DataFrame:
-    """Numbers of `width` bits of which at most so many are set: bits are added one at a time, above the highest set one."""
-    steps = spark.range(1).select(F.lit(0).cast("long").alias("mask"), F.lit(0).alias("next"))
-    every = steps
-    for _ in range(most):
-        steps = steps.filter(F.col("next") < width).select("mask", F.explode(F.sequence("next", F.lit(width - 1))).alias("bit"))
-        steps = steps.select(F.col("mask").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("mask"), (F.col("bit") + 1).alias("next"))
-        every = every.unionByName(steps)
-    return every.select("mask")
+    """Numbers of `width` bits of which at most so many are set."""
+    masks = [(sum(1 << i for i in bits),) for n in range(most + 1) for bits in itertools.combinations(range(width), n)]
+    return spark.createDataFrame(masks, "mask long")
 
 
 def _met(query: DataFrame, reference: DataFrame, masks: DataFrame, words: list[str]) -> DataFrame:
@@ -120,7 +133,7 @@ def within_words(query: DataFrame, reference: DataFrame, radius: int, words: lis
     follows from the number of rows. A fingerprint that many rows share is looked up once. Nulls match nothing.
     """
     q, r = _prints(query, words, "q_"), _prints(reference, words, "r_")
-    per_word = per_word or pieces_per_word(q.count(), r.count(), radius, len(words), bits)
+    per_word = per_word or pieces_per_word(query.count(), reference.count(), radius, len(words), bits)
     widths = piece_widths(per_word, len(words), bits)
     radii = piece_radii(len(widths), radius)
     masks = _masks(query.sparkSession, widths, [0] * len(widths), radii)
@@ -134,28 +147,32 @@ def within_words(query: DataFrame, reference: DataFrame, radius: int, words: lis
 def nearest(query: DataFrame, reference: DataFrame, words: list[str], by: str = "stem", bits: int = 64) -> DataFrame:
     """(query, distance): least distance to any reference row.
 
-    The same pieces, probed at a distance of 0, 1, 2, .. bits in turn. When all pieces have been probed up to s, whatever
-    lies within pieces * (s + 1) - 1 has been met, so a query whose best is no further leaves. Pieces have about as many
-    values as there are references, so a probe meets about one. State goes through written tables from round to round.
+    The same pieces, probed at a distance of 0, 1, 2, .. bits in turn. When all pieces have been probed up to s - 1 and j of
+    them at s, whatever lies within pieces * s + j - 1 has been met, so a query whose best is no further leaves. From two
+    bits on a distance is probed in thirds of the pieces, as it costs more than all before it together. State goes
+    through written tables from round to round.
     """
     spark = query.sparkSession
     q, r = _prints(query, words, "q_"), _prints(reference, words, "r_")
-    n = r.count()
-    per_word = max(1, min(bits // LEAST_BITS, round(bits / max(LEAST_BITS, math.log2(max(n, 2))))))
+    n = reference.count()
+    per_word = nearest_pieces(query.count(), max(n, 1), len(words), bits)
     widths = piece_widths(per_word, len(words), bits)
     index = kept(_pieces(r, words, "r_", per_word, bits), "index")
     keys = [f"q_{w}" for w in words]
     open_, done = kept(q.withColumn("best", F.lit(None).cast("int")), "round"), []
-    for s in range(max(widths) + 1):
+    m = len(widths)
+    for s, part in ((s, part) for s in range(max(widths) + 1) for part in (_thirds(m) if s > 1 else [range(m)])):
         if not n or open_.isEmpty():
             break
-        masks = _masks(spark, widths, [s] * len(widths), [min(s, w) for w in widths])
+        masks = _masks(spark, widths, [s] * m, [s if i in part and s <= w else -1 for i, w in enumerate(widths)])
+        if masks is None:
+            continue
         # a probe hands on only the least distance of what it met, before any shuffle of pairs
         met = _met(_pieces(open_.select(*keys), words, "q_", per_word, bits), index, masks, words)
         found = met.groupBy(*keys).agg(F.min("distance").alias("now"))
         told = open_.join(found, keys, "left").select(*keys, F.least("best", "now").alias("best"))
         told = kept(told, "round")
-        proven = F.coalesce(F.col("best") <= len(widths) * (s + 1) - 1, F.lit(False))
+        proven = F.coalesce(F.col("best") <= m * s + part[-1], F.lit(False))
         done.append(told.filter(proven))
         open_ = told.filter(~proven)
     if not done:
@@ -167,6 +184,11 @@ def nearest(query: DataFrame, reference: DataFrame, words: list[str], by: str =
     return asked.join(best, keys).groupBy("query").agg(F.min("best").alias("distance"))
 
 
+def _thirds(m: int) -> list[range]:
+    cut = sorted({round(i * m / 3) for i in range(4)})
+    return [range(a, b) for a, b in zip(cut, cut[1:])]
+
+
 def leaking(pairs: DataFrame, splits: DataFrame, trained: str, other: str, evaluated: list[str] | None = None) -> DataFrame:
     """Pairs with one side in an evaluation split of dataset `other` and the other side in the training split of `trained`.
 
