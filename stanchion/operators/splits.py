@@ -76,6 +76,20 @@ def same_set(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: how many rows each of two tables has that the other lacks, as often as it has them more."""
+    only = lambda x, y, name: x.exceptAll(y).agg(F.count("*").alias(name))
+    return only(a, b, "only_first").crossJoin(F.broadcast(only(b, a, "only_second")))  # one row each
+
+
+def list_differences(a: DataFrame, b: DataFrame, order: str, key: str) -> DataFrame:
+    """One row: at how many places two lists differ, and how many places only one of them has."""
+    x, y = (d.select(F.col(order).alias("_i"), F.col(key).alias("_k"), F.lit(True).alias("_in")) for d in (a, b))
+    met = x.join(y, x["_i"] == y["_i"], "full_outer")
+    both = x["_in"].isNotNull() & y["_in"].isNotNull()
+    return met.agg(F.count_if(both & ~x["_k"].eqNullSafe(y["_k"])).alias("differing"), F.count_if(y["_in"].isNull()).alias("only_first"), F.count_if(x["_in"].isNull()).alias("only_second"))
+
+
 def presence(images: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Which side each key is on: both, images or labels."""
     a, b = images.select(key).distinct().withColumn("_a", F.lit(True)), labels.select(key).distinct().withColumn("_b", F.lit(True))

@@ -343,3 +343,18 @@ def same_collections(spark, d):
     back = p.crossJoin(F.broadcast(top)).select((F.col("top") + 1 - F.col("p_partkey")).alias("p_partkey"), "p_size")  # one row
     told = [splits.same_set(p, p.orderBy(F.desc("p_partkey"))), splits.same_set(p, p.filter("p_partkey > 1")), splits.same_list(p, p, "p_partkey", "p_size"), splits.same_list(p, back, "p_partkey", "p_size")]
     return spark.range(1).select(*(F.lit(x).alias(n) for n, x in zip(("sets", "other_sets", "lists", "other_lists"), told)))
+
+
+_LISTS = """a AS (SELECT p_partkey AS place, p_size AS v FROM part), b AS (SELECT p_partkey + CASE WHEN p_partkey % 10 = 0 THEN 100000000 ELSE 0 END AS place, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS v FROM part)"""
+
+
+@query(f"""WITH {_LISTS} SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_first, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_second,
+count(*) FILTER (WHERE a.place IS NOT NULL AND b.place IS NOT NULL AND a.v IS DISTINCT FROM b.v) AS differing, count(*) FILTER (WHERE b.place IS NULL) AS places_only_first FROM a FULL JOIN b ON a.place = b.place""")
+def collection_differences(spark, d):
+    """Two tables as sets and as lists: some values are lost in the second, and some rows stand elsewhere."""
+    k = F.col("p_partkey")
+    p = table(spark, d, "part")
+    a = p.select(k.alias("place"), F.col("p_size").alias("v"))
+    b = p.select((k + F.when(k % 10 == 0, 100_000_000).otherwise(0)).alias("place"), F.when(k % 7 != 0, F.col("p_size")).alias("v"))
+    lists = splits.list_differences(a, b, "place", "v").select("differing", F.col("only_first").alias("places_only_first"))
+    return splits.differences(a, b).crossJoin(F.broadcast(lists))  # one row each
