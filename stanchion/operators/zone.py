@@ -71,7 +71,9 @@ def members(people: DataFrame, zones: DataFrame) -> DataFrame:
     cells = cover(zones)
     levels = [r.level for r in cells.select("level").distinct().collect()]  # at most one for each power of two
     x, y = G.feet(G.box())
-    at = people.select(F.struct("*").alias("_person"), x.alias("_px"), y.alias("_py")).withColumn("level", F.explode(F.array(*(F.lit(v) for v in levels)).cast("array<int>")))
+    # rows are short and tests are long, so people are dealt out by number, not by size
+    tasks = max(1, int(people.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = people.select(F.struct("*").alias("_person"), x.alias("_px"), y.alias("_py")).repartition(tasks).withColumn("level", F.explode(F.array(*(F.lit(v) for v in levels)).cast("array<int>")))
     for c in "xy":
         at = at.withColumn(f"cell_{c}", F.floor(F.col(f"_p{c}") * F.pow(F.lit(2.0), "level")).cast("long"))
     met = at.join(cells, ["level", "cell_x", "cell_y"])
