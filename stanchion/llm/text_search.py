@@ -5,13 +5,15 @@ taken over the whole corpus, exactly. Documents are dealt into shards of about S
 postings; a shard is an inverted index of its own, packed into one row of a table: terms (64-bit
 hashes) with their postings in document order. A query is a bag of distinct terms.
 
-In a shard, documents stand in blocks of BLOCK, and each long list keeps its largest part of a
-score in every block. For a group of queries the sums of these, which bound all scores in a block,
-are one matrix product. A query adds what its short lists hold, and looks only at documents whose
-bound reaches its threshold (the k-th best so far, of all shards of the task). For these the long
-lists are added up, and those that still reach it are scored whole. This is block-max pruning, not
-WAND proper: bounds are taken for all blocks at once, so there are no cursors, pivots or skips in
-lists; what they would save is saved by the product.
+In a shard, a list is cut into blocks of BLOCK postings, each with its largest part of a score (taken
+when the shard is opened, as it rests on the corpus's mean length and the terms' weights). For a
+query every list has a cursor, which stands on a block at first. At a document the sum of the
+blocks that the cursors stand on there bounds its score; where it reaches the query's threshold (the
+k-th best so far, of all shards of the task), the document is a pivot, and all others are skipped. Then the cursors
+go down from blocks to postings, rarest lists first, STEPS times: blocks without a pivot
+are skipped unopened, in the others each posting's own part takes the place of the block's largest, and pivots that
+fall below the threshold drop out. When it costs less to score the pivots left than to go on, they are scored whole. All documents
+of a shard go side by side in arrays, so the pivots of a step are found at once, not one after another.
 
 Queries go round in blocks of about QUERY_TERMS terms, the bound of what is broadcast. A block first
 asks about the square root of the number of shards; the k-th best found there is the floor that all
@@ -39,9 +41,9 @@ from pyspark.sql import functions as F
 from ._base import LOWER, U64, chunks, drop, keep, pack, pack_sorted, ragged, small_batches, strings, trimmed, unpack, unpack_sorted, words_of
 from ._counts import count_keys, read
 
-K1, B, BLOCK, SHARD_TERMS, QUERY_TERMS = 1.2, 0.75, 2, 2_500_000, 2_000_000
-#: A list is long if it holds more than one of SPARSE documents; queries of a matrix product.
-SPARSE, GROUP = 32, 256
+K1, B, BLOCK, SHARD_TERMS, QUERY_TERMS = 1.2, 0.75, 64, 2_500_000, 2_000_000
+#: Shares of a query's blocks after which the pivots are looked at again.
+STEPS = (0.25, 0.5, 0.75, 1.0)
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
 
@@ -99,6 +101,7 @@ class Shard:
 
     def __init__(self, ids, known, lengths, terms, df, docs, tfs, mean_length: float, asked: np.ndarray, idf: np.ndarray):
         self.ids, self.known = unpack(ids, np.int64), unpack(known, np.uint8).astype(bool)
+        self.met = self.opened = self.whole = 0  # blocks of the lists asked for, those that were opened, documents scored whole
         n = len(self.ids)
         length = unpack(lengths, np.uint32).astype(np.float64)
         scale = K1 * (1 - B + B * length / max(mean_length, 1e-9))
@@ -118,51 +121,72 @@ class Shard:
         self.term_of = np.repeat(np.arange(len(df), dtype=np.int32), df)[order]
         self.part_of = self.part[order]
         self.first = np.searchsorted(self.docs[order], np.arange(n + 1))
-        # long lists as columns, and the largest part of each in each block
-        self.blocks = -(-n // BLOCK)
-        long = np.flatnonzero((df > n / SPARSE) & (weight > 0))
-        self.row = np.full(len(df), -1, np.int32)
-        self.row[long] = np.arange(len(long))
-        self.column = np.zeros((len(long), self.blocks * BLOCK), np.float32)
-        for r, t in enumerate(long):
-            a, b = self.at[t], self.at[t + 1]
-            self.column[r, self.docs[a:b]] = self.part[a:b]
-        self.column *= np.float32(1 + 1e-6)  # no less than the parts
         self.wanted = np.zeros(len(df))
-        self.peak = self.column.reshape(len(long), self.blocks, BLOCK).max(axis=2)
+        # blocks of the lists asked for: a row of postings each; what a last one lacks are parts of 0 at a document that is none
+        rows = np.where((weight > 0) & (df > BLOCK), -(-df // BLOCK), 0)  # a list of one block is opened at once
+        self.row_at = np.cumsum(rows) - rows
+        start = np.repeat(self.at[:-1], rows) + ragged(np.zeros(len(rows), np.int64), rows) * BLOCK
+        size = np.minimum(BLOCK, np.repeat(self.at[1:], rows) - start)
+        self.block_docs = np.full((len(start), BLOCK), n, np.int64)
+        self.block_part = np.zeros((len(start), BLOCK))
+        on = np.arange(BLOCK) < size[:, None]
+        p = ragged(start, size)
+        self.block_docs[on], self.block_part[on] = self.docs[p], self.part[p]
+        self.peak = self.block_part.max(axis=1, initial=0)
+        self.head, self.tail = self.docs[start].astype(np.int64), self.docs[start + size - 1].astype(np.int64) + 1
+        self.rows, self.df = rows, df
+
+    def _bounds(self, rows: np.ndarray) -> np.ndarray:
+        """For each document, the sum of the largest parts of those of these blocks that reach over it."""
+        n = len(self.ids)
+        return np.cumsum(np.bincount(self.head[rows], self.peak[rows], n + 1) - np.bincount(self.tail[rows], self.peak[rows], n + 1))[:n]
 
     def best(self, queries: list[tuple[int, np.ndarray]], floors: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query (own id, numbers of its terms): the k best that reach its floor of those held and of this shard (ids, scores)."""
         n = len(self.ids)
-        for s in range(0, len(queries), GROUP):
-            group = queries[s : s + GROUP]
-            terms = [t[t >= 0] for t in (self.term[q] for _, q in group)]
-            row = [self.row[t] for t in terms]
-            which = np.zeros((len(group), len(self.peak)), np.float32)
-            which[np.repeat(np.arange(len(group)), [(r >= 0).sum() for r in row]), np.concatenate([r[r >= 0] for r in row])] = 1
-            bounds = (which @ self.peak) * np.float32(1 + 1e-5)
-            for i, ((own, _), t, r) in enumerate(zip(group, terms, row)):
-                ids, scores = best[s + i]
-                if not len(t):
-                    yield ids, scores
+        size = np.diff(self.first)  # what it takes to score a document whole
+        for (own, q), floor, (ids, scores) in zip(queries, floors, best):
+            t = self.term[q]
+            t = t[t >= 0]
+            if not len(t):
+                yield ids, scores
+                continue
+            short, lists = t[self.rows[t] == 0], t[self.rows[t] > 0]
+            lists = lists[np.argsort(self.df[lists], kind="stable")]
+            p = ragged(self.at[short], self.df[short])
+            rows = ragged(self.row_at[lists], self.rows[lists])
+            sure = np.bincount(self.docs[p], self.part[p], n).astype(np.float64)  # integers where there is nothing
+            bound = sure + self._bounds(rows)
+            out = ~self.known | (self.ids == own)
+            if not len(rows):  # bounds are exact
+                out |= sure == 0
+            slack = 1e-14 * (n + len(rows)) * bound.max()  # above the rounding of bounds, which are sums of differences
+            threshold = max(floor, scores[k - 1] if len(scores) >= k else 0.0)
+            step = 0
+            for upto in STEPS:
+                pivot = ~out & (bound >= threshold - slack)
+                upto = math.ceil(upto * len(rows))
+                if not upto > step or size[pivot].sum() < (len(rows) - step) * BLOCK:
                     continue
-                short, r = t[r < 0], r[r >= 0]
-                p = ragged(self.at[short], self.at[short + 1] - self.at[short])
-                rest = np.bincount(self.docs[p], self.part[p], n)
-                bound = np.repeat(bounds[i].astype(np.float64), BLOCK)[:n] + rest
-                bound[~self.known | (self.ids == own)] = 0
-                threshold = max(floors[s + i], scores[k - 1] if len(scores) >= k else 0.0)
-                if not threshold:  # the documents of highest bound give one
+                some = rows[step:upto]
+                before = np.concatenate(([0], np.cumsum(pivot)))
+                some = some[before[self.tail[some]] > before[self.head[some]]]  # the others are skipped
+                self.opened += len(some)
+                parts = np.bincount(self.block_docs[some].ravel(), self.block_part[some].ravel(), n + 1)[:n]
+                bound += parts - self._bounds(some)
+                step = upto
+                if not threshold:  # the documents that hold most of the rarest lists give one
+                    sure += parts
                     few = min(n, 4 * k)
-                    lead = np.sort(np.argpartition(-bound, few - 1)[:few])
-                    ids, scores = self._scored(lead[bound[lead] > 0], t, k, 0.0, ids, scores)
-                    bound[lead] = 0
+                    lead = np.sort(np.argpartition(np.where(out, 0, -sure), few - 1)[:few])
+                    lead = lead[~out[lead]]
+                    ids, scores = self._scored(lead, t, k, 0.0, ids, scores)
+                    out[lead] = True
                     threshold = scores[k - 1] if len(scores) >= k else 0.0
-                near = np.flatnonzero((bound > 0) & (bound >= threshold * (1 - 1e-9)))
-                exact = rest[near] + self.column[r[:, None], near].sum(axis=0) * (1 + 1e-5)
-                found = near[exact >= threshold * (1 - 1e-9)]
-                ids, scores = self._scored(found, t, k, threshold, ids, scores)
-                yield ids, scores
+            found = np.flatnonzero(~out & (bound >= threshold - slack))
+            self.met += len(rows)
+            self.whole += len(found)
+            yield self._scored(found, t, k, threshold, ids, scores)
 
     def _scored(self, found: np.ndarray, terms: np.ndarray, k: int, least: float, ids: np.ndarray, scores: np.ndarray):
         """The k best of those held and of the documents found, whose parts are summed in the order of their terms."""

@@ -170,16 +170,15 @@ def test_components(spark, most):
     assert got == {x: find(x) for x in up if find(x) != x}
 
 
-@pytest.mark.parametrize("block,sparse,group", [(2, 32, 256), (4, 3, 2), (1, 10**6, 5)])
-def test_text_search(spark, monkeypatch, block, sparse, group):
+@pytest.mark.parametrize("block,steps", [(64, (0.1, 0.45, 1.0)), (4, (0.3, 1.0)), (2, (1.0,)), (1, (0.1, 0.2, 0.5, 1.0))])
+def test_text_search(spark, monkeypatch, block, steps):
     import re
 
     from stanchion.llm import text_search as T
 
     monkeypatch.setattr(T, "SHARD_TERMS", 400)
     monkeypatch.setattr(T, "BLOCK", block)
-    monkeypatch.setattr(T, "SPARSE", sparse)
-    monkeypatch.setattr(T, "GROUP", group)
+    monkeypatch.setattr(T, "STEPS", steps)
     monkeypatch.setattr(T, "QUERY_TERMS", 300)
     rows = near_copies(8)
     df = docs_of(spark, rows).repartition(3)
