@@ -3,11 +3,11 @@
 Each shard of up to SHARD vectors keeps, for each of PROJECTIONS random lines, its vectors' places
 on the line in order. A query looks at the window of half-width R around its own place on every
 line and counts, for each vector, the windows that it is in. Vectors counted at least `threshold`
-times are verified by true distance. If fewer than k verified ones are within R, R grows by GROWTH
-(virtual rehashing: the same arrays, only the windows widen) until k are, or the windows hold all.
+times are verified by true distance. If fewer than k verified ones are within R, R grows by GROWTH, but not beyond the k-th
+best distance found (virtual rehashing: the same arrays, only the windows widen) until k are, or the windows hold all.
 A vector within R is in a window with probability erf(1/sqrt 2) = 0.683, and the threshold is
 MARGIN standard deviations below the count expected of it, so each true neighbour is missed with
-a probability of at most seven percent (that of one at distance R itself). Every row is in a shard; nothing is sampled or capped.
+a probability of at most five percent (that of one at distance R itself). Every row is in a shard; nothing is sampled or capped.
 
 Shards answer for their own rows, k each, and the answers are merged exactly. Queries go round in
 blocks of QUERY_BLOCK, the bound of what is broadcast.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._base import keep, trimmed
 
-PROJECTIONS, SHARD, QUERY_BLOCK, GROWTH, MARGIN, SEED = 64, 16_384, 4_096, 1.15, 1.5, 7
+PROJECTIONS, SHARD, QUERY_BLOCK, GROWTH, MARGIN, SEED = 192, 16_384, 4_096, 1.3, 1.7, 7
 _NEAR = math.erf(1 / math.sqrt(2))
 
 
@@ -66,7 +66,7 @@ class Shard:
     def __init__(self, ids: np.ndarray, x: np.ndarray, lines: np.ndarray):
         self.ids, self.x, self.unit = ids, x, unit_of(x.shape[1])
         at = x @ lines
-        self.order = np.argsort(at, axis=0, kind="stable").T.astype(np.int32).copy()
+        self.order = np.argsort(at, axis=0, kind="stable").T.copy()
         self.place = np.take_along_axis(at, self.order.T, 0).T.copy()
 
     def nearest(self, qid: int, q: np.ndarray, where: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,9 +93,11 @@ class Shard:
             new = np.flatnonzero((count >= threshold) & ~known)
             known[new] = True
             dist[new] = distances(self.x[new], q)
-            if known.all() or int((known & ~own & (dist <= r)).sum()) >= k:
+            best = dist[known & ~own]
+            edge = np.partition(best, k - 1)[k - 1] if len(best) >= k else np.inf
+            if known.all() or edge <= r:
                 break
-            r *= GROWTH
+            r = min(r * GROWTH, float(edge))  # no neighbour that is still sought is farther than the k-th found
         got = np.flatnonzero(known & ~own)
         if len(got) > k:
             edge = np.partition(dist[got], k - 1)[k - 1]
