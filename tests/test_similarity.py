@@ -127,3 +127,38 @@ def test_words_in_pieces(spark):
         got = sorted((r.query, r.reference, r.distance) for r in similarity.within_words(df.filter("stem % 3 = 0"), df, radius, ["lo", "hi"]).collect())
         far = [(a, b, (x ^ u).bit_count() + (y ^ v).bit_count()) for a, x, y in rows if a % 3 == 0 for b, u, v in rows]
         assert got == sorted(t for t in far if t[2] <= radius), radius
+
+
+@pytest.mark.parametrize("radius", [4, 9])
+def test_few_bits_used(spark, radius):
+    """Products of small numbers leave the top bits equal in all: no piece may hold only these, or all would meet all."""
+    a, b = ([(i, i * 2654435761) for i in range(lo, hi)] for lo, hi in ((0, 4000), (50, 350)))
+    weights = similarity._weights(*(similarity._shares(spark.createDataFrame(x, "stem long, hash long").select("hash"), 64)[1] for x in (a, b)))
+    pieces = similarity.cut_words(weights, 4)
+    assert len(pieces) == 4 and min(tells for *_, tells in pieces) > 8
+    want = sorted((i, j, (x ^ y).bit_count()) for i, x in a for j, y in b if (x ^ y).bit_count() <= radius)
+    sides = [spark.createDataFrame(x, "stem long, hash long") for x in (a, b)]
+    assert sorted(map(tuple, similarity.within(*sides, radius).collect())) == want and len(want) >= 300
+    assert sorted((j, i, d) for i, j, d in similarity.within(*sides[::-1], radius).collect()) == want
+
+
+def test_blocks_against_all_pairs(spark, monkeypatch):
+    """Blocks of fingerprints, of uneven number, with nulls and rows that stand twice."""
+    monkeypatch.setattr(similarity, "LEAST_SIDE", 32)
+    rng = random.Random(8)
+    make = lambda n: [(i, rng.getrandbits(64) - (1 << 63), rng.getrandbits(32)) for i in range(n)] + [(n, 5, 5)] * 2
+    q, r = make(100), make(70)
+    one, other = (spark.createDataFrame([*x, (-1, None, 1)], "stem long, lo long, hi long") for x in (q, r))
+    far = {(a[0], b[0]): ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() + (a[2] ^ b[2]).bit_count() for a in q for b in r}
+    got = similarity.within_words(one, other, 40, ["lo", "hi"], per_word=0)
+    assert sorted(map(tuple, got.collect())) == sorted((*k, n) for k, n in far.items() if n <= 40)
+    near = similarity.nearest(one, other, ["lo", "hi"], per_word=0)
+    assert sorted(map(tuple, near.collect())) == sorted((i, min(far[i, b[0]] for b in r)) for i in {a[0] for a in q})
+
+
+def test_which_way_costs_less():
+    """A large radius over many fingerprints goes by blocks, a small one by pieces."""
+    even = [[1.0] * 32] * 2
+    at = lambda n, radius: similarity._by_blocks(n, n, similarity.pieces_within(n, n, radius, even)[1])
+    assert at(300_000, 18) and not at(300_000, 4) and not at(1000, 18)
+    assert similarity._by_blocks(300_000, 300_000, similarity.pieces_nearest(300_000, 300_000, even)[1])
