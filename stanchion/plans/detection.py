@@ -183,7 +183,7 @@ def zone_members(spark, d):
     point = lambda dx, dy: F.struct(((100 + (k * 37) % 800 + dx * side).cast("double") / 1000.0).alias("x"), ((100 + (k * 53) % 800 + dy * side).cast("double") / 1000.0).alias("y"))
     yards = table(spark, d, "supplier").select(k.alias("zone"), F.array(*(point(*q) for q in ((-1, -1), (1, -1), (1, 1), (0, 0), (-1, 1)))).alias("points"))
     people = C.boxes(spark, d).filter(F.col("cls") == G.PERSON)
-    return zone.members(people, yards).groupBy("zone").agg(F.count("*").alias("people"), F.count_distinct("image_id").alias("images"))
+    return zone.tally(people, yards, ["image_id"])
 
 
 @query(f"""WITH {_DECIDED}, {_ZONES},

@@ -130,3 +130,23 @@ def test_members_by_cells(spark):
     pairs = lambda df: sorted((r.level, r.zone) for r in df.collect())
     assert pairs(got) == pairs(every) and len(pairs(got)) > 1000
     assert zone.members(people, zones.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_tally_of_shared_shapes_and_places(spark, monkeypatch, most):
+    """Zones of one shape and people at one place are looked up once; the counts are those of members()."""
+    from stanchion.operators import zone
+
+    looked = []
+    cover = zone.cover
+    monkeypatch.setattr(zone, "cover", lambda zones: (looked.append(zones.count()), cover(zones))[1])
+    monkeypatch.setattr(zone, "BROADCAST_PAIRS", most)
+    shapes = [[(0.1, 0.1), (0.6, 0.1), (0.3, 0.3), (0.1, 0.6)], [(0.4, 0.4), (0.9, 0.4), (0.9, 0.9)], [(0.0, 0.0), (0.01, 0.0), (0.0, 0.01)]]
+    zones = spark.createDataFrame([(i, shapes[i % 3]) for i in range(30)], "zone int, points array<struct<x:double,y:double>>")
+    people = spark.createDataFrame([(i // 3, i, (i * 7 % 10) / 10, (i * 3 % 10) / 10, 0.1, 0.1) for i in range(300)], "image_id int, box_idx int, xc double, yc double, w double, h double")
+    got = sorted(map(tuple, zone.tally(people, zones, ["image_id"]).collect()))
+    assert looked == [3]
+    one = {}
+    for r in zone.members(people, zones).collect():
+        one.setdefault(r.zone, []).append(r.image_id)
+    assert got == sorted((z, len(v), len(set(v))) for z, v in one.items()) and len(got) == 20
