@@ -49,13 +49,14 @@ def flatten_ragged(caches: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, image, width, height, box_idx, cls, xc, yc, w, h, conf) of ragged caches, one row each: names, counts, sizes (arrays of
     width and height) and boxes (all images' one after another, six numbers each). Counts that do not add up raise."""
     by = by or []
-    ends = F.aggregate("counts", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n.cast("int"))))
-    total = F.element_at(ends, -1)
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda acc, n: acc + n)
     message = F.concat(F.lit("counts give "), total.cast("string"), F.lit(" boxes, there are "), F.size("boxes").cast("string"))
-    checked = F.when((total == F.size("boxes")) & (F.size("names") == F.size("counts")) & (F.size("names") == F.size("sizes")), ends).otherwise(F.raise_error(message).cast("array<int>"))
-    images = caches.select(*by, "boxes", checked.alias("_ends"), F.posexplode(F.arrays_zip("names", "counts", "sizes")).alias("_i", "_m"))
-    own = F.slice("boxes", F.get("_ends", F.col("_i")) + 1, F.col("_m.counts"))
-    rows = images.select(*by, F.col("_m.names").alias("image"), F.get("_m.sizes", F.lit(0)).cast("int").alias("width"), F.get("_m.sizes", F.lit(1)).cast("int").alias("height"), F.posexplode(own).alias("box_idx", "_b"))
+    whole = (total == F.size("boxes")) & (F.size("names") == F.size("counts")) & (F.size("names") == F.size("sizes"))
+    # each image once for each of its boxes, in their order: as long as the boxes, whatever a cache holds, and no row carries all boxes
+    own = lambda m: F.transform(F.array_repeat(m, m.counts.cast("int")), lambda m, i: F.struct(m.names.alias("image"), m.sizes.alias("size"), i.alias("box_idx")))
+    images = F.flatten(F.transform(F.arrays_zip("names", "counts", "sizes"), own))
+    checked = F.when(whole, F.arrays_zip(images.alias("_m"), F.col("boxes").alias("_b"))).otherwise(F.raise_error(message))
+    rows = caches.select(*by, F.inline(checked)).select(*by, F.col("_m.image").alias("image"), F.get("_m.size", F.lit(0)).cast("int").alias("width"), F.get("_m.size", F.lit(1)).cast("int").alias("height"), F.col("_m.box_idx").alias("box_idx"), "_b")
     value = [F.get("_b", F.lit(i)).cast("double").alias(c) for i, c in enumerate(("xc", "yc", "w", "h", "conf"), 1)]
     return rows.select(*by, "image", "width", "height", "box_idx", F.get("_b", F.lit(0)).cast("int").alias("cls"), *value)
 
