@@ -107,6 +107,11 @@ def alert_stream(observed: DataFrame, dwell: int, grace: int, memory: int, requi
     """observed: a streaming frame with ts (timestamp) and the observation columns. A row with `closes` ends its track's open
     incident at once. Alerts in append mode, as soon as the watermark has passed the row that fires."""
     marked = observed.withWatermark("ts", late).filter("track_id is not null")
+    # a row outside with nothing worn changes no incident; it moves the watermark (naming ts keeps the filter above it), and then goes
+    tells = F.col("in_zone") | (F.size("worn") > 0) | F.col("ts").isNull()
+    if "closes" in observed.columns:
+        tells = tells | F.col("closes")
+    marked = marked.filter(tells)
     return marked.groupBy("track_id").transformWithStateInPandas(DwellProcessor(dwell, grace, memory, required), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
 

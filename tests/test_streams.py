@@ -127,3 +127,13 @@ def test_a_crash_leaves_every_alert_in_the_log_once(spark, tmp_path):
             q.awaitTermination(120)
     assert len(tries) == 4 and len(set(tries)) == 3
     assert sorted(tuple(r) for r in read_log(spark, log).collect()) == [row(i) for i in range(30)]
+
+
+def test_rows_that_tell_nothing_are_not_kept(spark, tmp_path):
+    """A row outside with nothing worn moves the watermark and goes; it does not wait in the state."""
+    from stanchion.streaming import alerts as A
+
+    schema = spark.createDataFrame([], "track_id long, ts_us long, in_zone boolean, ts timestamp, worn array<int>").schema
+    plan = A.alert_stream(A.frames(spark, str(tmp_path), schema), 10, 10, 0)._jdf.queryExecution().analyzed().toString()
+    kept = [x for x in plan.splitlines() if "Filter" in x and "in_zone" in x]
+    assert len(kept) == 1 and plan.index(kept[0]) < plan.index("EventTimeWatermark")
