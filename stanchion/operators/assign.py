@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..sources.tables import kept
+from . import frames
 
 FIELDS = ("xc", "yc", "w", "h")
 #: Boxes of an image beyond which it is not one fold; and the finest grid, of 2^LEVELS cells a side.
@@ -211,8 +212,29 @@ def nearest_object(rows: DataFrame, objects: DataFrame, keys: list[str]) -> Data
 
     rows: keys, row_idx, cls, box; objects: keys, obj_idx, name, box.
     """
-    met = _side(rows, keys, "r_", ["row_idx", "cls"]).join(_side(objects, keys, "o_", ["obj_idx", "name"]), keys)
-    gaps = [F.col("o_" + c) - F.col("r_" + c) for c in FIELDS]
-    far = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2] + gaps[3] * gaps[3]
-    best = F.min_by(F.struct(F.col("o_name").alias("name"), F.col("o_obj_idx").alias("obj_idx")), F.struct(far.alias("far"), F.col("o_obj_idx").alias("i")))
-    return met.groupBy(*keys, F.col("r_row_idx").alias("row_idx"), F.col("r_cls").alias("cls")).agg(best.alias("o")).select(*keys, "row_idx", "cls", "o.name", "o.obj_idx")
+    row, object_ = F.struct("row_idx", "cls", *FIELDS).alias("row"), F.struct("obj_idx", "name", *FIELDS).alias("object")
+    return nearest_in(rows.select(*keys, row).unionByName(objects.select(*keys, object_), allowMissingColumns=True), keys)
+
+
+def nearest_in(both: DataFrame, keys: list[str], first: Column | None = None) -> DataFrame:
+    """nearest_object() of one table with a row for each row, for each object, or for both at once (row, object: structs, null where there is none).
+
+    An image is one row, in which each row looks for its object; crowded images go by a join instead, to the same rows.
+    """
+    crowd = crowded([both], keys)
+    few = both if crowd is None else both.join(crowd, keys, "left_anti")
+    seen = frames.gathered(few, keys, {"row": "rows", "object": "objects"}, first).filter(F.size("objects") > 0)
+    far = lambda r: lambda o: F.struct(_away(r, o).alias("far"), o["obj_idx"].alias("obj_idx"), o["name"].alias("name"))
+    best = F.transform("rows", lambda r: F.struct(r["row_idx"].alias("row_idx"), r["cls"].alias("cls"), F.array_min(F.transform("objects", far(r))).alias("o")))
+    out = seen.select(*keys, F.inline(best)).select(*keys, "row_idx", "cls", "o.name", "o.obj_idx")
+    if crowd is None:
+        return out
+    many = both.join(crowd, keys, "left_semi")
+    met = many.filter("row IS NOT NULL").select(*keys, "row").join(many.filter("object IS NOT NULL").select(*keys, "object"), keys)
+    nearest = F.min_by("object", F.struct(_away(F.col("row"), F.col("object")).alias("far"), F.col("object.obj_idx").alias("i")))
+    return out.unionByName(met.groupBy(*keys, "row.row_idx", "row.cls").agg(nearest.alias("o")).select(*keys, "row_idx", "cls", "o.name", "o.obj_idx"))
+
+
+def _away(a: Column, b: Column) -> Column:
+    gaps = [b[c] - a[c] for c in FIELDS]
+    return gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2] + gaps[3] * gaps[3]

@@ -344,9 +344,10 @@ v AS (SELECT cls, name, count(*) AS n, min(image_id * 1000 + row_idx) AS first F
 b AS (SELECT cls, name, n, n::DOUBLE / sum(n) OVER (PARTITION BY cls) AS purity, row_number() OVER (PARTITION BY cls ORDER BY n DESC, first, name) AS nth FROM v)
 SELECT cls, name, n, purity FROM b WHERE nth = 1""")
 def majority_vote(spark, d):
-    boxes = C.boxes(spark, d)
-    objects = boxes.filter("cls <> 0").select("image_id", F.col("box_idx").alias("obj_idx"), F.concat(F.lit("c"), F.col("cls").cast("string")).alias("name"), "xc", "yc", "w", "h")
-    votes = assign.nearest_object(boxes.withColumnRenamed("box_idx", "row_idx"), objects, ["image_id"])
+    box = ("xc", "yc", "w", "h")
+    object_ = F.struct(F.col("box_idx").alias("obj_idx"), F.concat(F.lit("c"), F.col("cls").cast("string")).alias("name"), *box)
+    both = C.boxes(spark, d).select("image_id", (F.col("box_idx") == 0).alias("first"), F.struct(F.col("box_idx").alias("row_idx"), "cls", *box).alias("row"), F.when(F.col("cls") != 0, object_).alias("object"))
+    votes = assign.nearest_in(both, ["image_id"], F.col("first"))
     return audit.majority(votes.withColumn("first_at", F.col("image_id") * 1000 + F.col("row_idx")), ["cls"], "name", "first_at")
 
 

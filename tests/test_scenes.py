@@ -4,16 +4,17 @@ import pytest
 from pyspark.sql import functions as F
 from test_crowds import BOXES, boxes_of, rows
 
-from stanchion.operators import assign, metrics
+from stanchion.operators import assign, calibrate, metrics
 from stanchion.plans import detection
+from stanchion.sources import labels
 
-ONE_PASS = ["roc_sweep", "violation_confusion", "detection_rate", "zone_alert_confusion"]
+ONE_PASS = ["majority_vote", "threshold_retention", "roc_sweep", "violation_confusion", "detection_rate", "zone_alert_confusion"]
 
 
 @pytest.mark.parametrize("name", ONE_PASS)
 def test_table_is_read_once(spark, data, name):
     plan = getattr(detection, name)(spark, data)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Relation [") == 1 and " Join " not in plan
+    assert plan.count("Relation [") == 1 and " Join Inner, (" not in plan and " Join Left" not in plan
 
 
 @pytest.fixture
@@ -58,3 +59,45 @@ def test_passed_counts_thresholds(spark):
     got = spark.createDataFrame([(v,) for v in (0, 1, 4, 5, 9, 50, None)], "v int").select("v", metrics.passed(F.col("v"), taus)).collect()
     assert [n for _, n in got] == [sum(v is not None and v >= t for t in taus) for v, _ in got]
     assert rows(spark.range(1).select(metrics.passed(F.lit(3), []))) == [(0,)]
+
+
+def test_nearest_object_by_frames_and_by_joins(spark, monkeypatch):
+    every = boxes_of(7, 20, 30)
+    boxes = spark.createDataFrame(every, BOXES)
+    objects = boxes.filter("cls <> 0").select("image_id", F.col("box_idx").alias("obj_idx"), F.concat(F.lit("c"), "cls").alias("name"), "xc", "yc", "w", "h")
+    run = lambda: rows(assign.nearest_object(boxes.withColumnRenamed("box_idx", "row_idx"), objects, ["image_id"]))
+    want = []
+    for i, k, cls, *at in every:
+        near = [(sum((a - b) * (a - b) for a, b in zip(o[3:], at)), o[1], o[2]) for o in every if o[0] == i and o[2]]
+        want += [(i, k, cls, f"c{min(near)[2]}", min(near)[1])] if near else []
+    assert run() == sorted(want) and len(want) > 100
+    monkeypatch.setattr(assign, "CROWD", 12)
+    assert run() == sorted(want)
+
+
+def test_false_pairs_of_crowded_images(spark, monkeypatch):
+    boxes = spark.createDataFrame([(i, k, c, *(round(v * 2) / 2 for v in at)) for i, k, c, *at in boxes_of(8, 25, 30)], BOXES)
+    want = rows(calibrate.false_pairs(boxes))
+    assert 100 < len(want) < boxes.filter("cls > 0").count()  # some items meet a person like one of their own image
+    monkeypatch.setattr(assign, "CROWD", 12)
+    assert rows(calibrate.false_pairs(boxes)) == want
+
+
+def test_retention_counts_scores_before_they_meet_thresholds(spark, monkeypatch):
+    scores = spark.createDataFrame([(k % 2, v) for k, v in enumerate([0.0, 0.05, 0.3, 0.8, 0.95, 1.0, float("nan"), None, 0.15])], "cls int, score double")
+    run = lambda: sorted(map(repr, calibrate.retention(scores, calibrate.grid(spark), ["cls"]).collect()))
+    plan = calibrate.retention(scores, calibrate.grid(spark), ["cls"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2  # before the thresholds and after
+    got = run()
+    monkeypatch.setattr(calibrate, "FEW", 0)
+    assert run() == got and len(got) == 38
+
+
+def test_label_lines_are_split_once(spark):
+    lines = ["1 0.5 0.25 0.1 0.2", "\t 2\t0.5  0.25 0.1 0.2 \t", "1 0.5", "1 0.5 ", "", " ", "\t", "helmet 1 1 1 1", "1.9 0 0 0 0 more x", "nan 0 0 0 0", "3e9 0 0 0 0", "1 0 x 0 0"]
+    read = labels.parse_centre_lines(spark.createDataFrame([(v,) for v in lines], "value string"))
+    assert set(read.columns) == {"value", "malformed", "xc", "yc", "w", "h", "cls"}
+    got = [(r.value, r.cls, r.xc, r.h) for r in read.collect()]
+    assert got == [(lines[0], 1, 0.5, 0.2), (lines[1], 2, 0.5, 0.2), (lines[2], None, None, None), (lines[3], None, None, None), (lines[7], None, None, None), (lines[8], 1, 0.0, 0.0), *((v, None, None, None) for v in lines[9:])]
+    plan = read.filter("not malformed").select("cls", "h")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
